@@ -35,7 +35,7 @@ def encode_labels(fx: DataFrame, classes: Sequence[str], label: str = "label") -
 
 def first_appearance_codes(df: DataFrame, columns: Sequence[str], order_col: str) -> DataFrame:
     """Per column, code = order of first appearance of each value (by
-    ``order_col``), 0-based.  Returns ``(column, value, code)``.
+    ``order_col``), 0-based.  Returns ``(column_name, value, code)``.
 
     One group-by per column computes the first position of every distinct value
     (partial aggregation keeps the shuffle at one row per value per task); the
@@ -46,13 +46,13 @@ def first_appearance_codes(df: DataFrame, columns: Sequence[str], order_col: str
             df.where(F.col(c).isNotNull())
             .groupBy(F.col(c).cast("string").alias("value"))
             .agg(F.min(order_col).alias("first_pos"))
-            .withColumn("column", F.lit(c))
+            .withColumn("column_name", F.lit(c))
         )
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    w = Window.partitionBy("column").orderBy("first_pos", "value")
-    return u.select("column", "value", (F.row_number().over(w) - 1).cast("int").alias("code"))
+    w = Window.partitionBy("column_name").orderBy("first_pos", "value")
+    return u.select("column_name", "value", (F.row_number().over(w) - 1).cast("int").alias("code"))
 
 
 def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], integer_columns: Sequence[str] = ()) -> DataFrame:
@@ -62,10 +62,10 @@ def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str], integer
     ``codes`` holds one row per distinct value, bounded by the vocabulary;
     it is joined per column (Catalyst broadcasts it when small)."""
     # One scalar per column: safe to bring to the driver as a literal.
-    means = {r["column"]: r["mean_code"] for r in codes.groupBy("column").agg(F.avg("code").alias("mean_code")).collect()}
+    means = {r["column_name"]: r["mean_code"] for r in codes.groupBy("column_name").agg(F.avg("code").alias("mean_code")).collect()}
     out = df
     for c in columns:
-        cc = codes.where(F.col("column") == c).select(F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}"))
+        cc = codes.where(F.col("column_name") == c).select(F.col("value").alias(f"__v_{c}"), F.col("code").alias(f"__c_{c}"))
         out = out.join(cc, out[c].cast("string") == cc[f"__v_{c}"], "left")
         m = means.get(c)
         fallback = F.lit(None).cast("double") if m is None else F.lit(float(round(m)) if c in integer_columns else float(m))

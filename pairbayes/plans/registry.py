@@ -4,16 +4,18 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from pairbayes.plans import learner_queries
+    from pairbayes.plans import learner_queries, prep_queries
 
     q = {}
     q.update(learner_queries.QUERIES)
+    q.update(prep_queries.QUERIES)
     return q
 
 
 def all_oracles() -> dict:
-    from pairbayes.plans import oracles
+    from pairbayes.plans import oracles, prep_queries
 
     o = {}
     o.update(oracles.learner_oracles())
+    o.update(prep_queries.oracles())
     return o
