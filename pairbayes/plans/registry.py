@@ -4,18 +4,20 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from pairbayes.plans import learner_queries, prep_queries
+    from pairbayes.plans import learner_queries, match_queries, prep_queries
 
     q = {}
     q.update(learner_queries.QUERIES)
     q.update(prep_queries.QUERIES)
+    q.update(match_queries.QUERIES)
     return q
 
 
 def all_oracles() -> dict:
-    from pairbayes.plans import oracles, prep_queries
+    from pairbayes.plans import match_queries, oracles, prep_queries
 
     o = {}
     o.update(oracles.learner_oracles())
     o.update(prep_queries.oracles())
+    o.update(match_queries.oracles())
     return o
