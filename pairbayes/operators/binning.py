@@ -15,6 +15,9 @@ from pairbayes.functions.columns import all_pair_cells  # noqa: F401  (re-export
 PAD_FRACTION = 0.01
 MIN_PAD = 1e-6
 DEFAULT_BINS = 128
+# Up to this many pairs the pair index arrays are plan literals (faster
+# than generating them per row); beyond it they are generated per row.
+LITERAL_PAIRS_MAX = 50000
 
 
 @dataclass(frozen=True)
@@ -96,6 +99,8 @@ def pair_struct_array(pairs: Sequence[tuple[int, int]] | None, n_features: int,
     With ``pairs=None`` all pairs are generated by nested ``sequence`` lambdas
     (no literal of size P in the plan); otherwise two literal index arrays."""
     bc = F.col(b)
+    if pairs is None and n_features * (n_features - 1) // 2 <= LITERAL_PAIRS_MAX:
+        pairs = list(itertools.combinations(range(n_features), 2))
     if pairs is None:
         return F.flatten(
             F.transform(
@@ -138,3 +143,25 @@ def edges_frame(fx: DataFrame, n_bins: int = DEFAULT_BINS) -> DataFrame:
     pad = F.greatest((F.col("mx") - F.col("mn")) * F.lit(PAD_FRACTION), F.lit(MIN_PAD))
     g = g.withColumn("lo", F.col("mn") - pad).withColumn("hi", F.col("mx") + pad)
     return g.withColumn("width", (F.col("hi") - F.col("lo")) / F.lit(float(n_bins)))
+
+
+def class_profile(fx: DataFrame, n_features: int, label: str = "label"):
+    """One pass for everything the driver needs before fitting: sorted class
+    list, rows per class and per-feature min/max.  Returns at most C rows of
+    2F scalars (bounded by the schema and the class count)."""
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for i in range(n_features):
+        v = F.col("x")[i]
+        v = F.when(~F.isnan(v), v)
+        aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
+    rows = fx.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("__l")).agg(*aggs).collect()
+    rows = sorted(rows, key=lambda r: r["__l"])
+    classes = [r["__l"] for r in rows]
+    counts = [int(r["__n"]) for r in rows]
+    mins, maxs = [], []
+    for i in range(n_features):
+        lo = [r[f"mn{i}"] for r in rows if r[f"mn{i}"] is not None]
+        hi = [r[f"mx{i}"] for r in rows if r[f"mx{i}"] is not None]
+        mins.append(min(lo) if lo else None)
+        maxs.append(max(hi) if hi else None)
+    return classes, counts, mins, maxs

@@ -38,11 +38,12 @@ def weight_deltas(model: HistogramModel, failed: DataFrame, threshold: float = S
     ``rule="bin_overlap"`` (B14) instead updates only cells the predicted
     class does not occupy."""
     table, _ = materialize_table(model)
+    side = table.select(*CELL_KEYS, "p")
     if broadcast is None:
-        broadcast = sized_for_broadcast(model)
-    side = F.broadcast(table) if broadcast else table
+        broadcast = sized_for_broadcast(model, arrays=1)
+    side = F.broadcast(side) if broadcast else side
     ex = explode_cells(failed, model.pairs, model.n_features, keep=("y", "pred", "adj"))
-    j = ex.join(side.select(*CELL_KEYS, "p"), CELL_KEYS, "left")
+    j = ex.join(side, CELL_KEYS, "left")
     p0 = F.lit(model.p0())
     p_pred = F.coalesce(F.col("p")[F.col("pred")], p0[F.col("pred")])
     if rule == "threshold":

@@ -15,6 +15,7 @@ def feature_frame(
     cols: Sequence[str] | None = None,
     array_col: str | None = None,
     n_dims: int | None = None,
+    balance: bool = True,
 ) -> DataFrame:
     """Project ``df`` to ``(row_id long, label string, x array<double>)``.
 
@@ -36,7 +37,12 @@ def feature_frame(
         lab = F.col(label) if isinstance(label, str) else label
         out.append(lab.cast("string").alias("label"))
     out.append(x.alias("x"))
-    return df.select(*out)
+    res = df.select(*out)
+    if balance:
+        from pairbayes.session import spread
+
+        res = spread(res, "row_id")
+    return res
 
 
 def n_features_of(fx: DataFrame) -> int:

@@ -74,11 +74,13 @@ def fit_counts(fx_y: DataFrame, spec: BinSpec, pairs, n_features: int) -> DataFr
 
 def fit_histogram(fx_y: DataFrame, spec: BinSpec, classes: Sequence[str], pairs=None,
                   n_features: int | None = None, w0: float = INITIAL_WEIGHT, eps: float = EPSILON,
-                  persist: bool = True) -> HistogramModel:
+                  persist: bool = True, class_counts: Sequence[int] | None = None) -> HistogramModel:
     """B4 inputs: cell counts and class totals.  ``fx_y`` has ``y`` codes and ``x``."""
     nf = n_features or spec.n_features
-    totals = {r["y"]: r["n"] for r in fx_y.groupBy("y").count().withColumnRenamed("count", "n").collect()}
-    class_counts = tuple(int(totals.get(c, 0)) for c in range(len(classes)))
+    if class_counts is None:
+        totals = {r["y"]: r["n"] for r in fx_y.groupBy("y").count().withColumnRenamed("count", "n").collect()}
+        class_counts = [int(totals.get(c, 0)) for c in range(len(classes))]
+    class_counts = tuple(int(n) for n in class_counts)
     counts = fit_counts(fx_y, spec, pairs, nf)
     if persist:
         counts = counts.persist()
@@ -128,20 +130,24 @@ def model_table(model: HistogramModel) -> DataFrame:
 
 
 def materialize_table(model: HistogramModel) -> tuple[DataFrame, int]:
-    """Checkpoint the model table (cuts weight lineage) and count its rows."""
-    from pairbayes.session import cut_lineage
+    """Persist the model table and count its rows (the count is the size
+    check for broadcasting).  Its lineage is short: persisted counts plus the
+    weight table, which the training loop checkpoints every epoch."""
+    from pyspark import StorageLevel
 
     if model._table_rows is None:
-        t = cut_lineage(model_table(model))
+        t = model_table(model).persist(StorageLevel.MEMORY_AND_DISK)
         model._table = t
         model._table_rows = t.count()
     return model._table, model._table_rows
 
 
-def sized_for_broadcast(model: HistogramModel, limit: int = BROADCAST_BYTES) -> bool:
-    """Size check behind every broadcast of the model: rows x (keys + 2C doubles)."""
+def sized_for_broadcast(model: HistogramModel, limit: int = BROADCAST_BYTES, arrays: int = 1) -> bool:
+    """Size check behind every broadcast of the model: rows x (3 int keys +
+    ``arrays`` arrays of C doubles + row overhead).  The row count is exact
+    and bounded by min(N*P, P*B^2) whatever the data size."""
     _, rows = materialize_table(model)
-    row_bytes = 12 + 16 * model.n_classes + 48
+    row_bytes = 12 + arrays * (8 * model.n_classes + 16) + 32
     return rows * row_bytes <= limit
 
 

@@ -20,10 +20,14 @@ from pairbayes.operators.likelihood import CELL_KEYS, HistogramModel, materializ
 
 
 def _model_side(model: HistogramModel, broadcast: bool | None):
+    """Scoring needs only the keys and ``d``; broadcast when that fits the
+    checked size, otherwise a shuffle join on the cell keys (AQE splits
+    skewed cells)."""
     table, _ = materialize_table(model)
+    side = table.select(*CELL_KEYS, "d")
     if broadcast is None:
-        broadcast = sized_for_broadcast(model)
-    return F.broadcast(table) if broadcast else table
+        broadcast = sized_for_broadcast(model, arrays=1)
+    return F.broadcast(side) if broadcast else side
 
 
 def log_likelihoods(model: HistogramModel, fx: DataFrame, keep=("row_id", "y"), broadcast: bool | None = None,

@@ -13,9 +13,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbayes.operators.binning import BinSpec, feature_pairs, fit_bins
+from pairbayes.operators.binning import class_profile, edges_from_minmax, feature_pairs
 from pairbayes.operators.boost import MIN_LR, failed_rows, merge_weights, weight_deltas
-from pairbayes.operators.encode import class_list, encode_labels
+from pairbayes.operators.encode import encode_labels
 from pairbayes.operators.likelihood import HistogramModel, fit_histogram
 from pairbayes.operators.posterior import score
 from pairbayes.session import cut_lineage
@@ -33,19 +33,22 @@ class TrainLog:
         return spark.createDataFrame([tuple(r[k] for k in ("epoch", "n_rows", "n_errors", "error_rate", "lr", "patience", "best_error")) for r in self.rows], schema)
 
 
-def prepare(fx: DataFrame, n_bins: int = 128, max_combinations: int | None = None, classes=None,
-            spec: BinSpec | None = None):
-    """Label codes, bins and pairs for a feature frame ``(row_id, label, x)``."""
+def prepare(fx: DataFrame, n_bins: int = 128, max_combinations: int | None = None, persist: bool = True):
+    """Label codes, class totals, bins and pairs for ``(row_id, label, x)``
+    from ONE aggregation pass (``class_profile``).  The encoded frame is
+    persisted (memory and disk) because every epoch re-reads it."""
     from pairbayes.operators.features import n_features_of
 
-    classes = classes or class_list(fx)
-    fx_y = encode_labels(fx, classes).where(F.col("y").isNotNull())
     nf = n_features_of(fx)
-    spec = spec or fit_bins(fx_y, nf, n_bins)
+    classes, counts, mins, maxs = class_profile(fx, nf)
+    spec = edges_from_minmax(mins, maxs, n_bins)
+    fx_y = encode_labels(fx, classes).where(F.col("y").isNotNull())
+    if persist:
+        fx_y = fx_y.persist(StorageLevel.MEMORY_AND_DISK)
     pairs = None
     if max_combinations is not None and nf * (nf - 1) // 2 > max_combinations:
         pairs = feature_pairs(nf, max_combinations)
-    return fx_y, classes, spec, pairs, nf
+    return fx_y, classes, counts, spec, pairs, nf
 
 
 def train(model: HistogramModel, train_fx: DataFrame, epochs: int = 10, patience: int = 5,
@@ -95,9 +98,12 @@ def fit(fx: DataFrame, n_bins: int = 128, epochs: int = 10, patience: int = 5,
         max_combinations: int | None = None, likelihood_rows: DataFrame | None = None,
         log: TrainLog | None = None):
     """Fit counts on ``likelihood_rows`` (default: the training rows) and boost."""
-    fx_y, classes, spec, pairs, nf = prepare(fx, n_bins, max_combinations)
-    base = fx_y if likelihood_rows is None else encode_labels(likelihood_rows, classes).where(F.col("y").isNotNull())
-    model = fit_histogram(base, spec, classes, pairs, nf)
+    fx_y, classes, counts, spec, pairs, nf = prepare(fx, n_bins, max_combinations)
+    if likelihood_rows is None:
+        model = fit_histogram(fx_y, spec, classes, pairs, nf, class_counts=counts)
+    else:
+        base = encode_labels(likelihood_rows, classes).where(F.col("y").isNotNull())
+        model = fit_histogram(base, spec, classes, pairs, nf)
     if epochs > 0:
         model = train(model, fx_y, epochs=epochs, patience=patience, log=log)
     return model, fx_y

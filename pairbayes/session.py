@@ -66,3 +66,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give narrow, row-heavy work (binning, pair explosion) enough tasks.
+
+    When the scan yields fewer partitions than the cluster has cores (small
+    files, one row group per file) the rows are hash-partitioned by ``keys``
+    (the row identity).  Later group-bys on ``keys`` + other columns are then
+    already clustered, so Spark adds no second exchange.  On big inputs
+    (partitions >= 2x cores) this is a no-op."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
