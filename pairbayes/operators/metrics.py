@@ -128,7 +128,9 @@ def confusion_class_weights(conf: DataFrame, n_classes: int) -> DataFrame:
     )
     g = g.withColumn("w", F.lit(1.0) - F.col("tp") / F.when(F.col("tot") == 0, F.lit(1)).otherwise(F.col("tot")))
     tot = F.sum("w").over(Window.partitionBy())
-    return g.select(F.col("true_class").alias("cls"), (F.col("w") * F.lit(float(n_classes)) / tot).alias("weight"))
+    # every class perfect: all weights 0 -> uniform weight 1 (no 0/0)
+    return g.select(F.col("true_class").alias("cls"),
+                    F.when(tot > 0, F.col("w") * F.lit(float(n_classes)) / tot).otherwise(F.lit(1.0)).alias("weight"))
 
 
 def nmi(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -11,9 +11,20 @@ _A = 48271
 
 
 def split_unit(row_id: Column, seed: int = 42) -> Column:
-    """A deterministic pseudo-uniform value in [0, 1) from an integer id."""
+    """A deterministic pseudo-uniform value in [0, 1) from an integer id:
+    three Lehmer steps (products stay below 2^47, exact in 64-bit ints)."""
     r = F.pmod(row_id + F.lit(seed), F.lit(_M))
-    return F.pmod(r * F.lit(_A), F.lit(_M)) / F.lit(float(_M))
+    for _ in range(3):
+        r = F.pmod(r * F.lit(_A), F.lit(_M))
+    return r / F.lit(float(_M))
+
+
+def split_unit_sql(col: str, seed: int = 42) -> str:
+    """The same value as SQL text (for oracles)."""
+    r = f"(({col} + {seed}) % {_M})"
+    for _ in range(3):
+        r = f"(({r} * {_A}) % {_M})"
+    return f"({r} / {float(_M)}e0)".replace(".0e0", ".0")
 
 
 def train_test_split(df: DataFrame, row_id: str = "row_id", test_share: float = 0.2, seed: int = 42) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairbayes.functions.columns import MISSING_SENTINEL
 from pairbayes.operators import encode, prep, sampling
 from pairbayes.session import table
+from pairbayes.operators.sampling import split_unit_sql
 
 R = 6
 LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -204,7 +205,7 @@ SELECT o.o_orderkey,
 FROM orders o LEFT JOIN codes a ON a.column_name = 'o_orderpriority' AND a.value = o.o_orderpriority
 LEFT JOIN codes b ON b.column_name = 'o_orderstatus' AND b.value = o.o_orderstatus""",
         "emb_seed_rows": """SELECT row_id, y FROM (SELECT vec_id AS row_id, label AS y, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings) WHERE rn <= 2""",
-        "events_split": """SELECT CASE WHEN ((event_id + 42) % 2147483647) * 48271 % 2147483647 / 2147483647.0e0 < 0.8e0 THEN 'train' ELSE 'test' END AS split,
+        "events_split": f"""SELECT CASE WHEN {split_unit_sql('event_id')} < 0.8e0 THEN 'train' ELSE 'test' END AS split,
   event_type, count(*) AS n FROM events GROUP BY 1, 2""",
         "emb_cap_per_class": """WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
 SELECT label AS y, count(*) AS n, max(vec_id) AS last_id FROM r WHERE rn <= greatest(2, floor(n * 0.99e0)) GROUP BY label""",

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from pairbayes.plans import embed_queries, learner_queries, match_queries, prep_queries
+    from pairbayes.plans import embed_queries, learner_queries, match_queries, metric_queries, prep_queries
 
     q = {}
     q.update(learner_queries.QUERIES)
     q.update(prep_queries.QUERIES)
     q.update(match_queries.QUERIES)
     q.update(embed_queries.QUERIES)
+    q.update(metric_queries.QUERIES)
     return q
 
 
 def all_oracles() -> dict:
-    from pairbayes.plans import embed_queries, match_queries, oracles, prep_queries
+    from pairbayes.plans import embed_queries, match_queries, metric_queries, oracles, prep_queries
 
     o = {}
     o.update(oracles.learner_oracles())
     o.update(prep_queries.oracles())
     o.update(match_queries.oracles())
     o.update(embed_queries.oracles())
+    o.update(metric_queries.oracles())
     return o
