@@ -141,3 +141,54 @@ sp AS (SELECT row_id, CASE WHEN {split_unit_sql('row_id')} < 0.8e0 THEN 'train'
 SELECT split, count(*) AS n, round(avg(CASE WHEN p.pred = p.ytrue THEN 1.0e0 ELSE 0.0e0 END), {R}) AS accuracy
 FROM pred_s p JOIN sp ON sp.row_id = p.row_id GROUP BY split""",
     }
+
+
+def emb_failed_margins(spark, sf) -> DataFrame:
+    """Margins of failed rows, mandatory top-2 per class."""
+    from pairbayes.operators.active import failed_margins
+
+    s, _ = _pred(spark, sf)
+    f = failed_margins(s)
+    return f.select("row_id", F.col("y").alias("true_class"), F.round("margin", R).alias("margin"),
+                    F.col("margin_rank").cast("int").alias("margin_rank"), "mandatory")
+
+
+def emb_active_selection(spark, sf) -> DataFrame:
+    """One selection round over every failed row (rows-only check)."""
+    from pairbayes.operators.active import select_samples
+    from pairbayes.operators.binning import feature_pairs as fp
+
+    model, fx_y = _emb_model(spark, sf, EMB_BOOST_DIMS)
+    s = score(model, fx_y)
+    sizes = s.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    return select_samples(s, fx_y, fp(EMB_BOOST_DIMS), sizes)
+
+
+def emb_adaptive_rounds(spark, sf) -> DataFrame:
+    """Adaptive training rounds from two seed rows per class; the round
+    log (rows-only check)."""
+    from pairbayes.operators.features import feature_frame
+    from pairbayes.plans.train import adaptive_fit
+    from pairbayes.session import table
+
+    fx = feature_frame(table(spark, sf, "embeddings"), "vec_id", "label", array_col="embedding", n_dims=EMB_BOOST_DIMS)
+    _, _, log = adaptive_fit(fx, n_bins=16, epochs=2, rounds=3, patience=2)
+    return log
+
+
+QUERIES.update({
+    "emb_failed_margins": emb_failed_margins,
+    "emb_active_selection": emb_active_selection,
+    "emb_adaptive_rounds": emb_adaptive_rounds,
+})
+
+_base_oracles = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    o = _base_oracles()
+    o["emb_failed_margins"] = "WITH " + emb_base(EMB_BOOST_DIMS) + "," + score_ctes("s", None) + f""",
+f AS (SELECT row_id, ytrue AS true_class, pmax - ptrue AS margin FROM pred_s WHERE pred <> ytrue),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY true_class ORDER BY margin DESC, row_id) AS INTEGER) AS margin_rank FROM f)
+SELECT row_id, true_class, round(margin, {R}) AS margin, margin_rank, margin_rank <= 2 AS mandatory FROM r"""
+    return o

@@ -107,3 +107,52 @@ def fit(fx: DataFrame, n_bins: int = 128, epochs: int = 10, patience: int = 5,
     if epochs > 0:
         model = train(model, fx_y, epochs=epochs, patience=patience, log=log)
     return model, fx_y
+
+
+def adaptive_fit(fx: DataFrame, n_bins: int = 128, epochs: int = 5, rounds: int = 10, patience: int = 3,
+                 min_gain: float = 1e-4, likelihood_from_all: bool = False, max_combinations: int | None = None,
+                 chunk_rows: int = 4096):
+    """Seed two rows per class -> fit -> boost -> score every row ->
+    add selected failures of the not-yet-training rows -> repeat, until no
+    row is added or ``patience`` rounds pass without an accuracy gain.
+
+    Returns (model, training ids, round log).  The training-id table is
+    checkpointed each round so the plan does not grow with the rounds."""
+    from pairbayes.operators.active import select_samples
+    from pairbayes.operators.sampling import seed_rows
+
+    fx_y, classes, counts, spec, pairs, nf = prepare(fx, n_bins, max_combinations)
+    pair_list = list(pairs) if pairs is not None else feature_pairs(nf)
+    spark = fx_y.sparkSession
+    train_ids = cut_lineage(seed_rows(fx_y.select("row_id", "y"), 2).select("row_id"))
+    log = []
+    best = -1.0
+    stale = 0
+    model = None
+    for rnd in range(rounds):
+        train_df = fx_y.join(train_ids, "row_id", "left_semi")
+        base = fx_y if likelihood_from_all else train_df
+        model = fit_histogram(base, spec, classes, pairs, nf, class_counts=counts if likelihood_from_all else None)
+        model = train(model, train_df, epochs=epochs, patience=5)
+        scored = score(model, fx_y).persist(StorageLevel.MEMORY_AND_DISK)
+        acc_row = scored.agg(F.avg(F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)).alias("a"),
+                             F.count(F.lit(1)).alias("n")).collect()[0]
+        acc = float(acc_row["a"])
+        rest = scored.join(train_ids, "row_id", "left_anti")
+        sizes = rest.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+        new = select_samples(rest, fx_y, pair_list, sizes, chunk_rows=chunk_rows).select("row_id")
+        new = cut_lineage(new)
+        n_new = new.count()
+        n_train = train_ids.count()
+        log.append((rnd, n_train, acc, n_new))
+        if acc > best + min_gain:
+            best = acc
+            stale = 0
+        else:
+            stale += 1
+        scored.unpersist()
+        if n_new == 0 or stale >= patience:
+            break
+        train_ids = cut_lineage(train_ids.unionByName(new).distinct())
+    log_df = spark.createDataFrame(log, "round int, n_train long, accuracy double, n_added long")
+    return model, train_ids, log_df
