@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from pairbayes.plans import embed_queries, learner_queries, match_queries, metric_queries, prep_queries
+    from pairbayes.plans import embed_queries, io_queries, learner_queries, match_queries, metric_queries, prep_queries
 
     q = {}
     q.update(learner_queries.QUERIES)
@@ -12,11 +12,12 @@ def all_queries() -> dict:
     q.update(match_queries.QUERIES)
     q.update(embed_queries.QUERIES)
     q.update(metric_queries.QUERIES)
+    q.update(io_queries.QUERIES)
     return q
 
 
 def all_oracles() -> dict:
-    from pairbayes.plans import embed_queries, match_queries, metric_queries, oracles, prep_queries
+    from pairbayes.plans import embed_queries, io_queries, match_queries, metric_queries, oracles, prep_queries
 
     o = {}
     o.update(oracles.learner_oracles())
@@ -24,4 +25,5 @@ def all_oracles() -> dict:
     o.update(match_queries.oracles())
     o.update(embed_queries.oracles())
     o.update(metric_queries.oracles())
+    o.update(io_queries.oracles(oracles.learner_oracles()))
     return o
