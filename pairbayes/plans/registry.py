@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from pairbayes.plans import embed_queries, io_queries, learner_queries, match_queries, metric_queries, prep_queries
+    from pairbayes.plans import embed_queries, io_queries, learner_queries, match_queries, metric_queries, pixel_queries, prep_queries
 
     q = {}
     q.update(learner_queries.QUERIES)
@@ -13,11 +13,12 @@ def all_queries() -> dict:
     q.update(embed_queries.QUERIES)
     q.update(metric_queries.QUERIES)
     q.update(io_queries.QUERIES)
+    q.update(pixel_queries.QUERIES)
     return q
 
 
 def all_oracles() -> dict:
-    from pairbayes.plans import embed_queries, io_queries, match_queries, metric_queries, oracles, prep_queries
+    from pairbayes.plans import embed_queries, io_queries, match_queries, metric_queries, oracles, pixel_queries, prep_queries
 
     o = {}
     o.update(oracles.learner_oracles())
@@ -26,4 +27,5 @@ def all_oracles() -> dict:
     o.update(embed_queries.oracles())
     o.update(metric_queries.oracles())
     o.update(io_queries.oracles(oracles.learner_oracles()))
+    o.update(pixel_queries.oracles())
     return o
