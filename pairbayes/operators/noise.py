@@ -9,14 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("double")
-def _poisson(lam: pd.Series, seed: pd.Series) -> pd.Series:
+def _poisson_draw(lam: pd.Series, seed: pd.Series) -> pd.Series:
     out = np.empty(len(lam))
     for k, (l, s) in enumerate(zip(lam.to_numpy(), seed.to_numpy())):
         out[k] = np.random.default_rng(int(s) & 0x7FFFFFFF).poisson(max(float(l), 0.0))
     return pd.Series(out)
 
 
+def _poisson():
+    # built on first use: a pandas UDF needs an active session
+    return F.pandas_udf(_poisson_draw, "double")
+
+
 def add_noise(x: Column, kind: str, level: float, seed: int, row_key: Column | None = None, clip: bool = True) -> Column:
     """P28 noise kinds: gaussian, salt_pepper, poisson, speckle, rayleigh,
     exponential, uniform; values clipped to [0, 1]."""
@@ -36,7 +40,7 @@ def add_noise(x: Column, kind: str, level: float, seed: int, row_key: Column | N
     elif kind == "poisson":
         lam = F.lit(1.0 / max(level, 1e-12))
         key = row_key if row_key is not None else F.monotonically_increasing_id()
-        v = _poisson(x * lam, F.xxhash64(key, F.lit(seed))) / lam
+        v = _poisson()(x * lam, F.xxhash64(key, F.lit(seed))) / lam
     else:
         raise ValueError(kind)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)) if clip else v

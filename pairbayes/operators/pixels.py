@@ -64,9 +64,13 @@ def shape_stats(pix: DataFrame, v: str = "v") -> DataFrame:
     # running flux, brightest first; n(p) = pixels whose running sum < p% of total
     w = Window.partitionBy("image_id").orderBy(F.col(v).desc(), "y", "x").rowsBetween(Window.unboundedPreceding, 0)
     r = pix.select("image_id", F.sum(v).over(w).alias("cum")).join(tot.select("image_id", "flux"), "image_id")
+    # "below the target" with a 1e-9 relative margin: a running sum equal to
+    # the target in exact arithmetic counts as reached, whatever the
+    # float summation order.
+    tol = F.abs(F.col("flux")) * F.lit(1e-9)
     conc = r.groupBy("image_id").agg(
-        F.sum(F.when(F.col("cum") < F.col("flux") * 0.2, 1).otherwise(0)).alias("n20"),
-        F.sum(F.when(F.col("cum") < F.col("flux") * 0.8, 1).otherwise(0)).alias("n80"))
+        F.sum(F.when(F.col("cum") < F.col("flux") * 0.2 - tol, 1).otherwise(0)).alias("n20"),
+        F.sum(F.when(F.col("cum") < F.col("flux") * 0.8 - tol, 1).otherwise(0)).alias("n80"))
     out = tot.join(c, "image_id").join(m, "image_id").join(conc, "image_id")
     disc = F.sqrt((F.col("mxx") - F.col("myy")) * (F.col("mxx") - F.col("myy")) + F.lit(4.0) * F.col("mxy") * F.col("mxy"))
     r20 = F.sqrt(F.col("n20") / F.lit(math.pi))

@@ -107,7 +107,8 @@ c AS (SELECT image_id, sum(v) AS flux, sum(x * v) / sum(v) AS xc, sum(y * v) / s
 m AS (SELECT p.image_id, sum((x - xc) * (x - xc) * v) / sum(v) AS mxx, sum((y - yc) * (y - yc) * v) / sum(v) AS myy,
         sum((x - xc) * (y - yc) * v) / sum(v) AS mxy FROM pix p JOIN c ON c.image_id = p.image_id GROUP BY p.image_id),
 r AS (SELECT image_id, sum(v) OVER (PARTITION BY image_id ORDER BY v DESC, y, x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM pix),
-k AS (SELECT r.image_id, sum(CASE WHEN cum < flux * 0.2e0 THEN 1 ELSE 0 END) AS n20, sum(CASE WHEN cum < flux * 0.8e0 THEN 1 ELSE 0 END) AS n80
+k AS (SELECT r.image_id, sum(CASE WHEN cum < flux * 0.2e0 - abs(flux) * 1e-9 THEN 1 ELSE 0 END) AS n20,
+        sum(CASE WHEN cum < flux * 0.8e0 - abs(flux) * 1e-9 THEN 1 ELSE 0 END) AS n80
       FROM r JOIN c ON c.image_id = r.image_id GROUP BY r.image_id)
 SELECT c.image_id, round(xc, {R}) AS xc, round(yc, {R}) AS yc,
   round(CASE WHEN flux < 1e-8 THEN 0.0e0 ELSE sqrt((mxx - myy) * (mxx - myy) + 4.0e0 * mxy * mxy) / (mxx + myy + 1e-8) END, {R}) AS ellipticity,
