@@ -39,6 +39,7 @@ class HistogramModel:
     w0: float = INITIAL_WEIGHT
     eps: float = EPSILON
     lr: float = 0.1
+    overlap_mask: bool = False
     _table: DataFrame | None = field(default=None, repr=False)
     _table_rows: int | None = field(default=None, repr=False)
 
@@ -125,6 +126,15 @@ def model_table(model: HistogramModel) -> DataFrame:
         F.array(*[F.coalesce(F.col(f"p{c}"), p0[c]) for c in range(C)]).alias("p"),
         F.array(*[F.coalesce(F.col(f"d{c}"), F.lit(0.0)) for c in range(C)]).alias("d"),
     )
+    if model.overlap_mask:
+        # Cells occupied by >= 2 classes carry p = 0 for every class,
+        # i.e. ln(eps) instead of ln(p*w + eps).
+        import math
+
+        ov = occupied_cells(model).select(*CELL_KEYS, F.lit(True).alias("__ov"))
+        masked = F.array(*[F.lit(math.log(model.eps) - math.log(p0v * model.w0 + model.eps)) for p0v in model.p0()])
+        t = t.join(ov, CELL_KEYS, "left").select(
+            *CELL_KEYS, "p", F.when(F.col("__ov"), masked).otherwise(F.col("d")).alias("d"))
     model._table = t
     return t
 

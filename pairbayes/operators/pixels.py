@@ -184,3 +184,100 @@ def box_mean(pix: DataFrame, k: int, v: str = "v") -> DataFrame:
                  F.count("rx").over(wy).alias("cy"))
     full = (F.col("mcx") == 2 * k + 1) & (F.col("cy") == 2 * k + 1)
     return c.where(full).select("image_id", "y", "x", "box_mean")
+
+
+def dataset_stats(pix: DataFrame, bands) -> DataFrame:
+    """Per image mean and std (population) per band, then their
+    average over images."""
+    per = pix.groupBy("image_id").agg(*[F.avg(b).alias(f"m_{b}") for b in bands], *[F.stddev_pop(b).alias(f"s_{b}") for b in bands])
+    return per.agg(*[F.avg(f"m_{b}").alias(f"mean_{b}") for b in bands], *[F.avg(f"s_{b}").alias(f"std_{b}") for b in bands])
+
+
+def satellite_indices(pix: DataFrame, nir: str, red: str, green: str, swir: str) -> DataFrame:
+    """NDVI, NDWI, NDBI = (swir-nir)/(swir+nir), MNDWI = (green-swir)/(green+swir) means."""
+    e = F.lit(1e-8)
+    return pix.groupBy("image_id").agg(
+        F.avg((F.col(nir) - F.col(red)) / (F.col(nir) + F.col(red) + e)).alias("ndvi"),
+        F.avg((F.col(green) - F.col(nir)) / (F.col(green) + F.col(nir) + e)).alias("ndwi"),
+        F.avg((F.col(swir) - F.col(nir)) / (F.col(swir) + F.col(nir) + e)).alias("ndbi"),
+        F.avg((F.col(green) - F.col(swir)) / (F.col(green) + F.col(swir) + e)).alias("mndwi"))
+
+
+def robust_contrasts(pix: DataFrame, v: str = "v") -> DataFrame:
+    """(p95-p5)/(p95+p5+1e-8), Michelson on p99/p1, RMS contrast (pop
+    std), dynamic range, shares above 0.95 / below 0.2, uniformity 1-std/mean."""
+    g = pix.groupBy("image_id").agg(
+        F.percentile(F.col(v), 0.05).alias("p5"), F.percentile(F.col(v), 0.95).alias("p95"),
+        F.percentile(F.col(v), 0.01).alias("p1"), F.percentile(F.col(v), 0.99).alias("p99"),
+        F.stddev_pop(v).alias("std"), F.avg(v).alias("mean"), (F.max(v) - F.min(v)).alias("dynamic_range"),
+        F.avg(F.when(F.col(v) > 0.95, 1.0).otherwise(0.0)).alias("bright_share"),
+        F.avg(F.when(F.col(v) < 0.2, 1.0).otherwise(0.0)).alias("dark_share"))
+    e = F.lit(1e-8)
+    return g.select(
+        "image_id",
+        ((F.col("p95") - F.col("p5")) / (F.col("p95") + F.col("p5") + e)).alias("robust_contrast"),
+        ((F.col("p99") - F.col("p1")) / (F.col("p99") + F.col("p1") + e)).alias("michelson"),
+        F.col("std").alias("rms_contrast"), "dynamic_range", "bright_share", "dark_share",
+        (F.lit(1.0) - F.col("std") / (F.col("mean") + e)).alias("uniformity"))
+
+
+def tail_snr(pix: DataFrame, v: str = "v") -> DataFrame:
+    """SNR = mean above p90 / (pop std below p10 + 1e-8); CNR =
+    (mean above p90 - mean below p10) / (that std + 1e-8)."""
+    q = pix.groupBy("image_id").agg(F.percentile(F.col(v), 0.9).alias("p90"), F.percentile(F.col(v), 0.1).alias("p10"))
+    j = pix.join(q, "image_id")
+    g = j.groupBy("image_id").agg(
+        F.avg(F.when(F.col(v) > F.col("p90"), F.col(v))).alias("sig"),
+        F.avg(F.when(F.col(v) < F.col("p10"), F.col(v))).alias("bg"),
+        F.stddev_pop(F.when(F.col(v) < F.col("p10"), F.col(v))).alias("noise"))
+    n = F.coalesce(F.col("noise"), F.lit(0.0)) + F.lit(1e-8)
+    return g.select("image_id", (F.coalesce("sig", F.lit(0.0)) / n).alias("snr"),
+                    ((F.coalesce("sig", F.lit(0.0)) - F.coalesce("bg", F.lit(0.0))) / n).alias("cnr"))
+
+
+def bright_heterogeneity(pix: DataFrame, v: str = "v", bins: int = 20) -> DataFrame:
+    """std/mean of pixels above p85, and the entropy of a 20-bin
+    histogram of all pixels (density form: p_k = count_k / n)."""
+    q = pix.groupBy("image_id").agg(F.percentile(F.col(v), 0.85).alias("p85"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    j = pix.join(q, "image_id")
+    het = j.where(F.col(v) > F.col("p85")).groupBy("image_id").agg(
+        (F.stddev_pop(v) / (F.avg(v) + F.lit(1e-8))).alias("bright_heterogeneity"))
+    w = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    k = F.when(w == 0, F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(v) - F.col("lo")) / w))).cast("int")
+    h = j.groupBy("image_id", k.alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    h = h.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("image_id")))
+    ent = h.groupBy("image_id").agg((-F.sum(F.col("p") * F.ln(F.col("p") + F.lit(1e-10)))).alias("histogram_entropy"))
+    return q.select("image_id").join(het, "image_id", "left").join(ent, "image_id", "left").withColumn(
+        "bright_heterogeneity", F.coalesce("bright_heterogeneity", F.lit(0.0)))
+
+
+def scene_flags(pix: DataFrame, v: str, red: str, green: str, blue: str) -> DataFrame:
+    """Night if mean < 0.3; outdoor if blue share > .35 or green share > .4."""
+    g = pix.groupBy("image_id").agg(F.avg(v).alias("mean"), F.avg(red).alias("r"), F.avg(green).alias("g"), F.avg(blue).alias("b"))
+    tot = F.col("r") + F.col("g") + F.col("b") + F.lit(1e-8)
+    return g.select("image_id", (F.col("mean") < 0.3).alias("is_night"),
+                    ((F.col("b") / tot > 0.35) | (F.col("g") / tot > 0.4)).alias("is_outdoor"))
+
+
+def normalise_image(pix: DataFrame, method: str, v: str = "v") -> DataFrame:
+    """Percent (p1..p99 -> 0..1, clipped), asinh, min-max, zscale
+    (median +- 2.5 std, clipped) per image."""
+    if method == "asinh":
+        return pix.withColumn("norm", F.asinh(F.col(v)))
+    s = pix.groupBy("image_id").agg(
+        F.percentile(F.col(v), 0.01).alias("p1"), F.percentile(F.col(v), 0.99).alias("p99"),
+        F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(F.col(v), 0.5).alias("med"), F.stddev_pop(v).alias("sd"))
+    j = pix.join(s, "image_id")
+    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    e = F.lit(1e-8)
+    if method == "percent":
+        n = clip((F.col(v) - F.col("p1")) / (F.col("p99") - F.col("p1") + e))
+    elif method == "minmax":
+        n = (F.col(v) - F.col("lo")) / (F.col("hi") - F.col("lo") + e)
+    elif method == "zscale":
+        lo = F.col("med") - F.lit(2.5) * F.col("sd")
+        hi = F.col("med") + F.lit(2.5) * F.col("sd")
+        n = clip((F.col(v) - lo) / (hi - lo + e))
+    else:
+        raise ValueError(method)
+    return j.select(*pix.columns, n.alias("norm"))

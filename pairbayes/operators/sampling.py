@@ -52,3 +52,14 @@ def cap_per_class(df: DataFrame, label: str = "y", order: str = "row_id", share:
     return df.withColumn("__rn", F.row_number().over(w)).withColumn("__cap", cap).where(
         F.col("__rn") <= F.col("__cap")
     ).drop("__rn", "__cap")
+
+
+def global_index(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
+    """A dense 0-based position in the global order of ``order``.
+
+    A distributed sort then ``zipWithIndex`` (one pass to count rows per
+    partition, one to number them): no single-partition window."""
+    s = df.orderBy(*order)
+    schema = s.schema.add(name, "long")
+    rdd = s.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],))
+    return df.sparkSession.createDataFrame(rdd, schema)

@@ -46,7 +46,8 @@ def test_every_query_has_oracle_or_is_rows_only():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     rows_only = set(q) - set(o)
-    assert rows_only <= {"emb_kmeans", "emb_pca", "emb_active_selection", "emb_adaptive_rounds", "px_noise"}
+    assert rows_only <= {"emb_kmeans", "emb_pca", "emb_active_selection", "emb_adaptive_rounds", "px_noise",
+                         "emb_selected_features", "emb_sample", "emb_method_comparison"}
 
 
 @pytest.mark.parametrize("name", _names())
