@@ -168,7 +168,9 @@ def soft_assignment(fx: DataFrame, centres: list[list[float]], tau: float = 1.0)
     keep = ["row_id", *(["y"] if "y" in fx.columns else [])]
     q = fx.select(*keep, l2_normalize(F.col("x")).alias("xn"))
     q = q.select(*keep, F.transform(F.sequence(F.lit(0), F.lit(K - 1)), lambda k: dot(F.col("xn"), Cl[k]) / F.lit(tau)).alias("sims"))
-    q = q.select(*keep, softmax(F.col("sims"), 0.0).alias("q"))
+    from pairbayes.operators.posterior import posterior_columns
+
+    q = posterior_columns(q.withColumnRenamed("sims", "ll"), 0.0).select(*keep, F.col("posterior").alias("q"))
     fk = q.agg(*[F.sum(F.col("q")[k]).alias(f"f{k}") for k in range(K)])
     f = fk.collect()[0]  # K scalars
     fl = F.lit([float(f[f"f{k}"]) for k in range(K)])

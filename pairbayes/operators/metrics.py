@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Materialise a small aggregate (at most C x C rows) that two branches
+    read, so the expensive plan below it runs once."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
 def confusion(pred: DataFrame, true_col: str = "y", pred_col: str = "pred", classes: DataFrame | None = None) -> DataFrame:
     """``(true_class, pred_class, n)`` zero-filled over the class union.
 
     The grid is built from the distinct class codes (tiny) joined to itself
     on a constant key: C*C rows, bounded by the class count."""
-    counts = pred.groupBy(F.col(true_col).alias("true_class"), F.col(pred_col).alias("pred_class")).agg(
+    counts = _small(pred.groupBy(F.col(true_col).alias("true_class"), F.col(pred_col).alias("pred_class")).agg(
         F.count(F.lit(1)).alias("n")
-    )
+    ))
     if classes is None:
-        classes = pred.select(F.col(true_col).alias("c")).union(pred.select(F.col(pred_col).alias("c"))).distinct()
+        # from the (small) counts, not from ``pred``: the scoring plan runs
+        # once and its exchange is reused by both branches
+        classes = counts.select(F.col("true_class").alias("c")).union(counts.select(F.col("pred_class").alias("c"))).distinct()
     cl = classes.select(F.col(classes.columns[0]).alias("c"), F.lit(0).alias("k"))
     grid = cl.select(F.col("c").alias("true_class"), "k").join(
         F.broadcast(cl.select(F.col("c").alias("pred_class"), "k")), "k"
@@ -33,12 +44,13 @@ def row_normalised_confusion(conf: DataFrame) -> DataFrame:
 
 
 def per_class_report(pred: DataFrame, true_col: str = "y", pred_col: str = "pred") -> DataFrame:
-    """Per class support, tp, fp, fn, precision, recall, f1."""
-    t = pred.groupBy(F.col(true_col).alias("cls")).agg(
-        F.count(F.lit(1)).alias("support"),
-        F.sum(F.when(F.col(pred_col) == F.col(true_col), 1).otherwise(0)).alias("tp"),
-    )
-    p = pred.groupBy(F.col(pred_col).alias("cls")).agg(F.count(F.lit(1)).alias("predicted"))
+    """Per class support, tp, fp, fn, precision, recall, f1.
+    One aggregation of ``pred`` (to true x predicted counts); the per-class
+    sums are taken from that small table."""
+    cnt = _small(pred.groupBy(F.col(true_col).alias("t"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("n")))
+    t = cnt.groupBy(F.col("t").alias("cls")).agg(
+        F.sum("n").alias("support"), F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("tp"))
+    p = cnt.groupBy(F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
     j = t.join(p, "cls", "full_outer").select(
         "cls",
         F.coalesce("support", F.lit(0)).cast("long").alias("support"),

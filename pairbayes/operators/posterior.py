@@ -52,15 +52,25 @@ def log_likelihoods(model: HistogramModel, fx: DataFrame, keep=("row_id", "y"),
     return g.select(*keep, ll.alias("ll"), *(["b"] if with_bins else []))
 
 
+def posterior_columns(df: DataFrame, eps: float, ll: str = "ll") -> DataFrame:
+    """softmax + argmax in separate projections, so the max, the exp array
+    and its sum are computed once per row (a nested expression would
+    re-evaluate them inside every lambda call)."""
+    df = df.withColumn("__m", F.array_max(ll))
+    df = df.withColumn("__e", F.transform(ll, lambda v: F.exp(v - F.col("__m"))))
+    df = df.withColumn("__s", F.aggregate("__e", F.lit(0.0).cast("double"), lambda a, v: a + v))
+    df = df.withColumn("posterior", F.transform("__e", lambda v: v / (F.col("__s") + F.lit(eps))))
+    df = df.withColumn("confidence", F.array_max("posterior"))
+    df = df.withColumn("pred", (F.array_position("posterior", F.col("confidence")) - F.lit(1)).cast("int"))
+    return df.drop("__m", "__e", "__s")
+
+
 def score(model: HistogramModel, fx: DataFrame, keep=("row_id", "y"), broadcast: bool | None = None,
           with_bins: bool = False) -> DataFrame:
-    """B6 + W4: ``(keep..., posterior array, pred int, confidence double)``."""
+    """B6 + W4: ``(keep..., ll, posterior array, confidence double, pred int)``;
+    ties of the maximum go to the lowest class code."""
     ll = log_likelihoods(model, fx, keep=keep, broadcast=broadcast, with_bins=with_bins)
-    post = softmax(F.col("ll"), model.eps)
-    out = ll.withColumn("posterior", post)
-    return out.withColumn("pred", argmax_first(F.col("posterior"))).withColumn(
-        "confidence", F.array_max("posterior")
-    )
+    return posterior_columns(ll, model.eps)
 
 
 def gaussian_score(moments: DataFrame, fx: DataFrame, classes, pairs, n_features: int,
@@ -113,5 +123,4 @@ def gaussian_score(moments: DataFrame, fx: DataFrame, classes, pairs, n_features
     j = j.select(*keep, F.transform("k", term).alias("t"))
     g = j.groupBy(*keep).agg(*[F.sum(F.col("t")[c]).alias(f"s{c}") for c in range(C)])
     ll = F.array(*[F.col(f"s{c}") for c in range(C)])
-    out = g.select(*keep, ll.alias("ll")).withColumn("posterior", softmax(F.col("ll"), eps))
-    return out.withColumn("pred", argmax_first(F.col("posterior"))).withColumn("confidence", F.array_max("posterior"))
+    return posterior_columns(g.select(*keep, ll.alias("ll")), eps)
