@@ -135,10 +135,28 @@ def pair_struct_array(pairs: Sequence[tuple[int, int]] | None, n_features: int,
     return F.transform(f1, lambda a, k: F.struct(bc[a].alias("bi"), bc[f2[k]].alias("bj")))
 
 
+def explode_all_pairs(df: DataFrame, arr: str, n_features: int, keep: Sequence[str],
+                      names: tuple[str, str] = ("bi", "bj")) -> DataFrame:
+    """All pairs i<j of an array column as rows ``(keep..., pair_id, a, b)``
+    in two plain ``posexplode`` steps (i over the array, then j over the
+    tail after i), both compiled by whole-stage codegen.  pair_id is the
+    position of (i, j) in sorted order: i*F - i*(i+1)/2 + (j - i - 1)."""
+    Fn = n_features
+    a, b = names
+    s1 = df.select(*keep, arr, F.posexplode(F.slice(F.col(arr), 1, Fn - 1)).alias("__i", a))
+    s2 = s1.select(*keep, "__i", a, F.posexplode(
+        F.slice(F.col(arr), F.col("__i") + 2, F.lit(Fn) - F.col("__i") - 1)).alias("__o", b))
+    i = F.col("__i")
+    pid = (i * F.lit(Fn) - F.floor(i * (i + 1) / 2) + F.col("__o")).cast("int")
+    return s2.select(*keep, pid.alias("pair_id"), a, b)
+
+
 def explode_cells(binned: DataFrame, pairs: Sequence[tuple[int, int]] | None, n_features: int,
                   keep: Sequence[str] = ("row_id", "y")) -> DataFrame:
     """One row per (row, pair): ``(keep..., pair_id, bi, bj)``.  Generated
     inside the task that read the row: no shuffle."""
+    if pairs is None and n_features * (n_features - 1) // 2 > CODEGEN_MAX_PAIRS:
+        return explode_all_pairs(binned, "b", n_features, keep)
     return binned.select(*keep, F.posexplode(pair_struct_array(pairs, n_features)).alias("pair_id", "c")).select(
         *keep, F.col("pair_id").cast("int").alias("pair_id"), F.col("c.bi").alias("bi"), F.col("c.bj").alias("bj")
     )

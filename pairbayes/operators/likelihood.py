@@ -176,23 +176,26 @@ def class_moments(fx_y: DataFrame, pairs, n_features: int) -> DataFrame:
 
     Pairs are exploded in-task; partial aggregation keeps the shuffle at one
     row per (task, class, pair)."""
-    from pairbayes.operators.binning import feature_pairs
+    from pairbayes.operators.binning import explode_all_pairs
 
-    pl = list(pairs) if pairs is not None else feature_pairs(n_features)
-    f1 = F.lit([a for a, _ in pl])
-    f2 = F.lit([b for _, b in pl])
-    x = F.col("x")
-    ex = fx_y.select(
-        "y",
-        F.posexplode(F.transform(f1, lambda a, k: F.struct(x[a].alias("a"), x[f2[k]].alias("b")))).alias("pair_id", "v"),
-    )
+    if pairs is None:
+        ex = explode_all_pairs(fx_y, "x", n_features, ("y",), names=("a", "b"))
+    else:
+        pl = list(pairs)
+        f1 = F.lit([a for a, _ in pl])
+        f2 = F.lit([b for _, b in pl])
+        x = F.col("x")
+        ex = fx_y.select(
+            "y",
+            F.posexplode(F.transform(f1, lambda a, k: F.struct(x[a].alias("a"), x[f2[k]].alias("b")))).alias("pair_id", "v"),
+        ).select("y", "pair_id", F.col("v.a").alias("a"), F.col("v.b").alias("b"))
     g = ex.groupBy("y", "pair_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("v.a").alias("m1"),
-        F.avg("v.b").alias("m2"),
-        F.var_samp("v.a").alias("v11"),
-        F.covar_samp("v.a", "v.b").alias("v12"),
-        F.var_samp("v.b").alias("v22"),
+        F.avg("a").alias("m1"),
+        F.avg("b").alias("m2"),
+        F.var_samp("a").alias("v11"),
+        F.covar_samp("a", "b").alias("v12"),
+        F.var_samp("b").alias("v22"),
     )
     scale = (F.col("n") - F.lit(1.0)) / (F.col("n") - F.lit(1.0) + F.lit(1e-6))
     return g.select(

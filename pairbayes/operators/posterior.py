@@ -81,15 +81,18 @@ def gaussian_score(moments: DataFrame, fx: DataFrame, classes, pairs, n_features
 
     The moments table has C*P rows (bounded by the schema), so it is
     broadcast; rows are exploded per pair in-task and aggregated by row_id."""
-    from pairbayes.operators.binning import feature_pairs
+    from pairbayes.operators.binning import explode_all_pairs
 
-    pl = list(pairs) if pairs is not None else feature_pairs(n_features)
     C = len(classes)
-    x = F.col("x")
-    f1 = F.lit([a for a, _ in pl])
-    f2 = F.lit([b for _, b in pl])
-    ex = fx.select(*keep, F.posexplode(F.transform(f1, lambda a, k: F.struct(x[a].alias("a"), x[f2[k]].alias("b"))))
-                   .alias("pair_id", "v"))
+    if pairs is None:
+        ex = explode_all_pairs(fx, "x", n_features, tuple(keep), names=("a", "b"))
+    else:
+        pl = list(pairs)
+        x = F.col("x")
+        f1 = F.lit([a for a, _ in pl])
+        f2 = F.lit([b for _, b in pl])
+        ex = fx.select(*keep, F.posexplode(F.transform(f1, lambda a, k: F.struct(x[a].alias("a"), x[f2[k]].alias("b"))))
+                       .alias("pair_id", "v")).select(*keep, "pair_id", F.col("v.a").alias("a"), F.col("v.b").alias("b"))
     m = moments.select("y", "pair_id", "m1", "m2", (F.col("c11") + 1e-6).alias("a11"), F.col("c12").alias("a12"),
                        (F.col("c22") + 1e-6).alias("a22"))
     if weights is not None:
@@ -115,8 +118,8 @@ def gaussian_score(moments: DataFrame, fx: DataFrame, classes, pairs, n_features
     j = ex.join(F.broadcast(packed), "pair_id", "inner")
 
     def term(k):
-        d1 = F.col("v.a") - k["m1"]
-        d2 = F.col("v.b") - k["m2"]
+        d1 = F.col("a") - k["m1"]
+        d2 = F.col("b") - k["m2"]
         quad = k["q11"] * d1 * d1 + F.lit(2.0) * k["q12"] * d1 * d2 + k["q22"] * d2 * d2
         return F.lit(-0.5) * quad + k["lw"]
 
