@@ -281,3 +281,110 @@ def normalise_image(pix: DataFrame, method: str, v: str = "v") -> DataFrame:
     else:
         raise ValueError(method)
     return j.select(*pix.columns, n.alias("norm"))
+
+
+def _neighbours(pix: DataFrame, v: str, offsets) -> DataFrame:
+    """Attach the values at (y+dy, x+dx) for each offset as columns n0..nk
+    (inner equi-joins on shifted coordinates: only pixels with every
+    neighbour present remain)."""
+    out = pix.select("image_id", "y", "x", F.col(v).alias("c"))
+    for k, (dy, dx) in enumerate(offsets):
+        nb = pix.select("image_id", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col(v).alias(f"n{k}"))
+        out = out.join(nb, ["image_id", "y", "x"], "inner")
+    return out
+
+
+def morphology(shape: DataFrame, asym: DataFrame) -> DataFrame:
+    """star = clip((concentration - 1.5)/2, 0, 1), galaxy = 1 - star;
+    spiral = min(1, 2*asymmetry) when asymmetry > 0.2 else 0; elliptical = 1 - spiral."""
+    j = shape.select("image_id", "concentration").join(asym, "image_id")
+    star = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("concentration") - 1.5) / 2.0))
+    spiral = F.when(F.col("asymmetry") > 0.2, F.least(F.lit(1.0), F.col("asymmetry") * 2)).otherwise(F.lit(0.0))
+    return j.select("image_id", star.alias("star_likelihood"), (F.lit(1.0) - star).alias("galaxy_likelihood"),
+                    spiral.alias("spiral_likelihood"), (F.lit(1.0) - spiral).alias("elliptical_likelihood"))
+
+
+def seeing(pix: DataFrame, v: str = "v", size: int = 15, pixel_scale: float = 1.0) -> DataFrame:
+    """Window [peak-15, peak+15) around the first brightest pixel
+    (row-major); flux-weighted sigma in y and x; FWHM = 2.355 * mean sigma.
+    Windows with fewer than 9 pixels or no flux give 0."""
+    pk = pix.groupBy("image_id").agg(F.min_by(F.struct("y", "x"), F.struct(-F.col(v), F.col("y"), F.col("x"))).alias("pk"))
+    j = pix.join(pk, "image_id").where(
+        (F.col("y") >= F.col("pk.y") - size) & (F.col("y") < F.col("pk.y") + size)
+        & (F.col("x") >= F.col("pk.x") - size) & (F.col("x") < F.col("pk.x") + size))
+    c = j.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("t"),
+                                  (F.sum(F.col("y") * F.col(v)) / F.sum(v)).alias("yc"),
+                                  (F.sum(F.col("x") * F.col(v)) / F.sum(v)).alias("xc"))
+    k = j.join(c, "image_id").groupBy("image_id", "n", "t").agg(
+        F.sqrt(F.sum((F.col("y") - F.col("yc")) * (F.col("y") - F.col("yc")) * F.col(v)) / F.first("t")).alias("sy"),
+        F.sqrt(F.sum((F.col("x") - F.col("xc")) * (F.col("x") - F.col("xc")) * F.col(v)) / F.first("t")).alias("sx"))
+    fwhm = F.lit(FWHM_PER_SIGMA) * (F.col("sx") + F.col("sy")) / 2 * F.lit(pixel_scale)
+    return k.select("image_id", F.when((F.col("n") < 9) | (F.col("t") < STD_FLOOR), F.lit(0.0)).otherwise(fwhm).alias("seeing_fwhm"))
+
+
+def sobel_sharpness(pix: DataFrame, v: str = "v") -> DataFrame:
+    """I8: mean Sobel gradient magnitude over interior pixels (all eight
+    neighbours present); the border rule of the reference is not applied."""
+    offs = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
+    nb = _neighbours(pix, v, offs)
+    val = {o: F.col(f"n{k}") for k, o in enumerate(offs)}
+    gy = (val[(1, -1)] + 2 * val[(1, 0)] + val[(1, 1)]) - (val[(-1, -1)] + 2 * val[(-1, 0)] + val[(-1, 1)])
+    gx = (val[(-1, 1)] + 2 * val[(0, 1)] + val[(1, 1)]) - (val[(-1, -1)] + 2 * val[(0, -1)] + val[(1, -1)])
+    return nb.groupBy("image_id").agg(F.avg(F.sqrt(gx * gx + gy * gy)).alias("sharpness"), F.count(F.lit(1)).alias("n_interior"))
+
+
+def cosmic_rays(pix: DataFrame, v: str = "v", k: float = 5.0) -> DataFrame:
+    """3x3 median (of the neighbours present), diff = v - median,
+    robust std = 1.4826 * MAD(diff); pixels with |diff| > 5 robust std are
+    replaced by the median.  Returns per image the count replaced and the
+    cleaned mean."""
+    offs = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    vals = pix.select("image_id", "y", "x", F.col(v).alias("val"))
+    spread_ = vals.select("image_id", F.explode(F.array(*[F.struct((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"))
+                                                         for dy, dx in offs])).alias("t"), "val")
+    spread_ = spread_.select("image_id", F.col("t.y").alias("y"), F.col("t.x").alias("x"), "val")
+    med = spread_.groupBy("image_id", "y", "x").agg(F.percentile(F.col("val"), 0.5).alias("med"))
+    d = vals.join(med, ["image_id", "y", "x"], "inner").withColumn("diff", F.col("val") - F.col("med"))
+    m1 = d.groupBy("image_id").agg(F.percentile(F.col("diff"), 0.5).alias("md"))
+    d = d.join(m1, "image_id")
+    mad = d.groupBy("image_id").agg(F.percentile(F.abs(F.col("diff") - F.col("md")), 0.5).alias("mad"))
+    d = d.join(mad, "image_id")
+    hit = F.abs(F.col("diff")) > F.lit(k * 1.4826) * F.col("mad")
+    return d.groupBy("image_id").agg(F.sum(F.when(hit, 1).otherwise(0)).alias("n_replaced"),
+                                     F.avg(F.when(hit, F.col("med")).otherwise(F.col("val"))).alias("clean_mean"))
+
+
+def glcm(pix: DataFrame, v: str = "v", distance: int = 1, levels: int = 256) -> DataFrame:
+    """Grey-level co-occurrence (gray = floor(v*255)), symmetric, at
+    0/45/90/135 degrees and one distance; contrast, dissimilarity,
+    homogeneity, energy and correlation per angle, averaged over angles.
+    Pairs come from equi-joins on shifted coordinates; the matrix is kept
+    sparse as (image, angle, i, j, count)."""
+    g = pix.select("image_id", "y", "x", F.floor(F.col(v) * F.lit(float(levels - 1))).cast("int").alias("q"))
+    d = distance
+    offsets = {0: (0, d), 45: (-d, d), 90: (-d, 0), 135: (-d, -d)}
+    parts = []
+    for ang, (dy, dx) in offsets.items():
+        nb = g.select("image_id", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("q").alias("q2"))
+        pr = g.join(nb, ["image_id", "y", "x"]).select("image_id", F.lit(ang).alias("angle"), F.col("q").alias("i"), F.col("q2").alias("j"))
+        parts.append(pr)
+        parts.append(pr.select("image_id", "angle", F.col("j").alias("i"), F.col("i").alias("j")))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    c = u.groupBy("image_id", "angle", "i", "j").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("image_id", "angle")
+    c = c.withColumn("p", F.col("c") / F.sum("c").over(w))
+    c = c.withColumn("mi", F.sum(F.col("i") * F.col("p")).over(w)).withColumn("mj", F.sum(F.col("j") * F.col("p")).over(w))
+    diff = (F.col("i") - F.col("j")).cast("double")
+    a = c.groupBy("image_id", "angle").agg(
+        F.sum(F.col("p") * diff * diff).alias("contrast"),
+        F.sum(F.col("p") * F.abs(diff)).alias("dissimilarity"),
+        F.sum(F.col("p") / (F.lit(1.0) + diff * diff)).alias("homogeneity"),
+        F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("energy"),
+        F.sum(F.col("p") * (F.col("i") - F.col("mi")) * (F.col("j") - F.col("mj"))).alias("cov"),
+        F.sqrt(F.sum(F.col("p") * (F.col("i") - F.col("mi")) * (F.col("i") - F.col("mi")))).alias("si"),
+        F.sqrt(F.sum(F.col("p") * (F.col("j") - F.col("mj")) * (F.col("j") - F.col("mj")))).alias("sj"))
+    a = a.withColumn("correlation", F.when((F.col("si") < 1e-15) | (F.col("sj") < 1e-15), F.lit(1.0))
+                     .otherwise(F.col("cov") / (F.col("si") * F.col("sj"))))
+    return a.groupBy("image_id").agg(*[F.avg(x).alias(x) for x in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")])

@@ -167,3 +167,98 @@ c AS (SELECT image_id, y, x, avg(rx) OVER (PARTITION BY image_id, x ORDER BY y R
         count(rx) OVER (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS cy FROM r)
 SELECT image_id, y, x, round(bm, {R}) AS box_mean FROM c WHERE mcx = 3 AND cy = 3""",
     }
+
+
+def px_morphology(spark, sf):
+    # read by ~10 branches (shape moments, running flux, crop, mirror): keep once
+    p = pixel_table(spark, sf).persist()
+    s = pixels.morphology(pixels.shape_stats(p), pixels.asymmetry(p))
+    return _r(s, ["star_likelihood", "galaxy_likelihood", "spiral_likelihood", "elliptical_likelihood"])
+
+
+def px_seeing(spark, sf):
+    return _r(pixels.seeing(pixel_table(spark, sf)), ["seeing_fwhm"])
+
+
+def px_sobel(spark, sf):
+    s = pixels.sobel_sharpness(pixel_table(spark, sf))
+    return s.select("image_id", F.round("sharpness", R).alias("sharpness"), "n_interior")
+
+
+def px_cosmic_rays(spark, sf):
+    s = pixels.cosmic_rays(pixel_table(spark, sf))
+    return s.select("image_id", "n_replaced", F.round("clean_mean", R).alias("clean_mean"))
+
+
+def px_glcm(spark, sf):
+    s = pixels.glcm(pixel_table(spark, sf))
+    return _r(s, ["contrast", "dissimilarity", "homogeneity", "energy", "correlation"])
+
+
+QUERIES.update({
+    "px_morphology": px_morphology,
+    "px_seeing": px_seeing,
+    "px_sobel": px_sobel,
+    "px_cosmic_rays": px_cosmic_rays,
+    "px_glcm": px_glcm,
+})
+
+_base_oracles = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    o = _base_oracles()
+    # inner values at 12 decimals so only the final result is rounded to 6
+    shape = o["px_shape_stats"].replace(f", {R})", ", 12)")
+    asym = o["px_asymmetry"].replace(f", {R})", ", 12)")
+    o["px_morphology"] = f"""WITH s AS ({shape}), a AS ({asym}),
+j AS (SELECT s.image_id, s.concentration, a.asymmetry FROM s JOIN a ON a.image_id = s.image_id)
+SELECT image_id, round(least(1.0e0, greatest(0.0e0, (concentration - 1.5e0) / 2.0e0)), {R}) AS star_likelihood,
+  round(1.0e0 - least(1.0e0, greatest(0.0e0, (concentration - 1.5e0) / 2.0e0)), {R}) AS galaxy_likelihood,
+  round(CASE WHEN asymmetry > 0.2 THEN least(1.0e0, asymmetry * 2) ELSE 0.0e0 END, {R}) AS spiral_likelihood,
+  round(1.0e0 - CASE WHEN asymmetry > 0.2 THEN least(1.0e0, asymmetry * 2) ELSE 0.0e0 END, {R}) AS elliptical_likelihood FROM j"""
+    o["px_seeing"] = f"""WITH {PIX},
+pk AS (SELECT image_id, y AS py, x AS px FROM (SELECT image_id, y, x, row_number() OVER (PARTITION BY image_id ORDER BY v DESC, y, x) AS rn FROM pix) WHERE rn = 1),
+j AS (SELECT p.* FROM pix p JOIN pk ON pk.image_id = p.image_id WHERE p.y >= py - 15 AND p.y < py + 15 AND p.x >= px - 15 AND p.x < px + 15),
+c AS (SELECT image_id, count(*) AS n, sum(v) AS t, sum(y * v) / sum(v) AS yc, sum(x * v) / sum(v) AS xc FROM j GROUP BY image_id),
+k AS (SELECT j.image_id, any_value(c.n) AS n, any_value(c.t) AS t, sqrt(sum((y - yc) * (y - yc) * v) / any_value(c.t)) AS sy,
+        sqrt(sum((x - xc) * (x - xc) * v) / any_value(c.t)) AS sx FROM j JOIN c ON c.image_id = j.image_id GROUP BY j.image_id)
+SELECT image_id, round(CASE WHEN n < 9 OR t < 1e-8 THEN 0.0e0 ELSE 2.355e0 * (sx + sy) / 2 * 1.0e0 END, {R}) AS seeing_fwhm FROM k"""
+    nb = lambda a, dy, dx: f"JOIN pix {a} ON {a}.image_id = c.image_id AND {a}.y = c.y + ({dy}) AND {a}.x = c.x + ({dx})"
+    offs = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
+    names = {o_: f"n{k}" for k, o_ in enumerate(offs)}
+    joins = " ".join(nb(names[o_], *o_) for o_ in offs)
+    v = lambda o_: f"{names[o_]}.v"
+    gy = f"(({v((1,-1))} + 2 * {v((1,0))} + {v((1,1))}) - ({v((-1,-1))} + 2 * {v((-1,0))} + {v((-1,1))}))"
+    gx = f"(({v((-1,1))} + 2 * {v((0,1))} + {v((1,1))}) - ({v((-1,-1))} + 2 * {v((0,-1))} + {v((1,-1))}))"
+    o["px_sobel"] = f"""WITH {PIX}
+SELECT c.image_id, round(avg(sqrt({gx} * {gx} + {gy} * {gy})), {R}) AS sharpness, count(*) AS n_interior FROM pix c {joins} GROUP BY c.image_id"""
+    o["px_cosmic_rays"] = f"""WITH {PIX},
+sp AS (SELECT p.image_id, p.y - t.dy AS y, p.x - t.dx AS x, p.v AS val FROM pix p
+       CROSS JOIN (SELECT a.dy, b.dx FROM range(-1, 2) a(dy), range(-1, 2) b(dx)) t),
+med AS (SELECT image_id, y, x, quantile_cont(val, 0.5) AS med FROM sp GROUP BY image_id, y, x),
+d AS (SELECT p.image_id, p.v AS val, m.med, p.v - m.med AS diff FROM pix p JOIN med m ON m.image_id = p.image_id AND m.y = p.y AND m.x = p.x),
+m1 AS (SELECT image_id, quantile_cont(diff, 0.5) AS md FROM d GROUP BY image_id),
+d2 AS (SELECT d.*, m1.md FROM d JOIN m1 ON m1.image_id = d.image_id),
+mad AS (SELECT image_id, quantile_cont(abs(diff - md), 0.5) AS mad FROM d2 GROUP BY image_id),
+d3 AS (SELECT d2.*, mad.mad FROM d2 JOIN mad ON mad.image_id = d2.image_id)
+SELECT image_id, CAST(sum(CASE WHEN abs(diff) > 5.0e0 * 1.4826e0 * mad THEN 1 ELSE 0 END) AS BIGINT) AS n_replaced,
+  round(avg(CASE WHEN abs(diff) > 5.0e0 * 1.4826e0 * mad THEN med ELSE val END), {R}) AS clean_mean FROM d3 GROUP BY image_id"""
+    offs_g = {0: (0, 1), 45: (-1, 1), 90: (-1, 0), 135: (-1, -1)}
+    pr = " UNION ALL ".join(
+        f"SELECT a.image_id, {ang} AS angle, a.q AS i, b.q AS j FROM g a JOIN g b ON b.image_id = a.image_id AND b.y = a.y + ({dy}) AND b.x = a.x + ({dx})"
+        for ang, (dy, dx) in offs_g.items())
+    o["px_glcm"] = f"""WITH {PIX},
+g AS (SELECT image_id, y, x, CAST(floor(v * 255.0e0) AS INTEGER) AS q FROM pix),
+pr AS ({pr}),
+u AS (SELECT image_id, angle, i, j FROM pr UNION ALL SELECT image_id, angle, j, i FROM pr),
+c AS (SELECT image_id, angle, i, j, count(*) AS c FROM u GROUP BY ALL),
+p AS (SELECT *, c * 1.0e0 / sum(c) OVER (PARTITION BY image_id, angle) AS p FROM c),
+m AS (SELECT *, sum(i * p) OVER (PARTITION BY image_id, angle) AS mi, sum(j * p) OVER (PARTITION BY image_id, angle) AS mj FROM p),
+a AS (SELECT image_id, angle, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity,
+        sum(p / (1.0e0 + (i - j) * (i - j))) AS homogeneity, sqrt(sum(p * p)) AS energy,
+        sum(p * (i - mi) * (j - mj)) AS cov, sqrt(sum(p * (i - mi) * (i - mi))) AS si, sqrt(sum(p * (j - mj) * (j - mj))) AS sj
+      FROM m GROUP BY image_id, angle)
+SELECT image_id, round(avg(contrast), {R}) AS contrast, round(avg(dissimilarity), {R}) AS dissimilarity, round(avg(homogeneity), {R}) AS homogeneity,
+  round(avg(energy), {R}) AS energy, round(avg(CASE WHEN si < 1e-15 OR sj < 1e-15 THEN 1.0e0 ELSE cov / (si * sj) END), {R}) AS correlation FROM a GROUP BY image_id"""
+    return o
