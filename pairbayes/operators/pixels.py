@@ -388,3 +388,38 @@ def glcm(pix: DataFrame, v: str = "v", distance: int = 1, levels: int = 256) ->
     a = a.withColumn("correlation", F.when((F.col("si") < 1e-15) | (F.col("sj") < 1e-15), F.lit(1.0))
                      .otherwise(F.col("cov") / (F.col("si") * F.col("sj"))))
     return a.groupBy("image_id").agg(*[F.avg(x).alias(x) for x in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")])
+
+
+def land_cover(pix: DataFrame, nir: str, red: str, green: str, swir: str) -> DataFrame:
+    """Vegetation share (NDVI > 0.3), water share (NDWI > 0), urban
+    share (NDBI > 0), barren = max(0, 1 - sum), Simpson diversity
+    1 - sum of squared shares."""
+    e = F.lit(1e-8)
+    ndvi = (F.col(nir) - F.col(red)) / (F.col(nir) + F.col(red) + e)
+    ndwi = (F.col(green) - F.col(nir)) / (F.col(green) + F.col(nir) + e)
+    ndbi = (F.col(swir) - F.col(nir)) / (F.col(swir) + F.col(nir) + e)
+    sh = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    g = pix.groupBy("image_id").agg(sh(ndvi > 0.3).alias("vegetation_cover"), sh(ndwi > 0).alias("water_cover"),
+                                    sh(ndbi > 0).alias("urban_cover"))
+    g = g.withColumn("barren_cover", F.greatest(F.lit(0.0), F.lit(1.0) - F.col("vegetation_cover") - F.col("water_cover") - F.col("urban_cover")))
+    sq = lambda c: F.col(c) * F.col(c)
+    return g.withColumn("land_cover_diversity", F.lit(1.0) - (sq("vegetation_cover") + sq("water_cover") + sq("urban_cover") + sq("barren_cover")))
+
+
+def roughness(pix: DataFrame, v: str = "v", k: int = 10) -> DataFrame:
+    """I24 (re-aimed): high-pass = v - local mean over the (2k+1)^2 window
+    (separable running means over the pixels present; the reference uses a
+    21x21 Gaussian); RMS (pop std), mean |h|, peak-to-valley, skew and
+    excess kurtosis of h with the 1e-8 guard."""
+    wx = Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-k, k)
+    r = pix.select("image_id", "y", "x", v, F.sum(v).over(wx).alias("sx"), F.count(v).over(wx).alias("cx"))
+    wy = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-k, k)
+    lp = r.select("image_id", "y", "x", v, (F.sum("sx").over(wy) / F.sum("cx").over(wy)).alias("low"))
+    h = lp.select("image_id", (F.col(v) - F.col("low")).alias("h"))
+    m = h.groupBy("image_id").agg(F.avg("h").alias("mh"), F.stddev_pop("h").alias("sh"))
+    j = h.join(m, "image_id")
+    z = (F.col("h") - F.col("mh")) / (F.col("sh") + F.lit(1e-8))
+    return j.groupBy("image_id").agg(
+        F.first("sh").alias("rms_roughness"), F.avg(F.abs("h")).alias("mean_roughness"),
+        (F.max("h") - F.min("h")).alias("peak_to_valley"), F.avg(z * z * z).alias("height_skewness"),
+        (F.avg(z * z * z * z) - F.lit(3.0)).alias("height_kurtosis"))

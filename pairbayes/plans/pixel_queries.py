@@ -262,3 +262,39 @@ a AS (SELECT image_id, angle, sum(p * (i - j) * (i - j)) AS contrast, sum(p * ab
 SELECT image_id, round(avg(contrast), {R}) AS contrast, round(avg(dissimilarity), {R}) AS dissimilarity, round(avg(homogeneity), {R}) AS homogeneity,
   round(avg(energy), {R}) AS energy, round(avg(CASE WHEN si < 1e-15 OR sj < 1e-15 THEN 1.0e0 ELSE cov / (si * sj) END), {R}) AS correlation FROM a GROUP BY image_id"""
     return o
+
+
+def px_land_cover(spark, sf):
+    s = pixels.land_cover(pixel_table(spark, sf), "nir", "red", "green", "blue")
+    return _r(s, ["vegetation_cover", "water_cover", "urban_cover", "barren_cover", "land_cover_diversity"])
+
+
+def px_roughness(spark, sf):
+    s = pixels.roughness(pixel_table(spark, sf))
+    return _r(s, ["rms_roughness", "mean_roughness", "peak_to_valley", "height_skewness", "height_kurtosis"])
+
+
+QUERIES.update({"px_land_cover": px_land_cover, "px_roughness": px_roughness})
+
+_base_oracles2 = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    o = _base_oracles2()
+    o["px_land_cover"] = f"""WITH {PIX},
+g AS (SELECT image_id, avg(CASE WHEN (nir - red) / (nir + red + 1e-8) > 0.3 THEN 1.0e0 ELSE 0.0e0 END) AS veg,
+        avg(CASE WHEN (green - nir) / (green + nir + 1e-8) > 0 THEN 1.0e0 ELSE 0.0e0 END) AS wat,
+        avg(CASE WHEN (blue - nir) / (blue + nir + 1e-8) > 0 THEN 1.0e0 ELSE 0.0e0 END) AS urb FROM pix GROUP BY image_id),
+h AS (SELECT *, greatest(0.0e0, 1.0e0 - veg - wat - urb) AS bar FROM g)
+SELECT image_id, round(veg, {R}) AS vegetation_cover, round(wat, {R}) AS water_cover, round(urb, {R}) AS urban_cover,
+  round(bar, {R}) AS barren_cover, round(1.0e0 - (veg * veg + wat * wat + urb * urb + bar * bar), {R}) AS land_cover_diversity FROM h"""
+    o["px_roughness"] = f"""WITH {PIX},
+r AS (SELECT image_id, y, x, v, sum(v) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS sx,
+        count(v) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS cx FROM pix),
+lp AS (SELECT image_id, v - sum(sx) OVER (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING)
+        / sum(cx) OVER (PARTITION BY image_id, x ORDER BY y RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS h FROM r),
+m AS (SELECT image_id, avg(h) AS mh, stddev_pop(h) AS sh FROM lp GROUP BY image_id),
+z AS (SELECT lp.image_id, h, sh, (h - mh) / (sh + 1e-8) AS z FROM lp JOIN m ON m.image_id = lp.image_id)
+SELECT image_id, round(any_value(sh), {R}) AS rms_roughness, round(avg(abs(h)), {R}) AS mean_roughness, round(max(h) - min(h), {R}) AS peak_to_valley,
+  round(avg(z * z * z), {R}) AS height_skewness, round(avg(z * z * z * z) - 3.0e0, {R}) AS height_kurtosis FROM z GROUP BY image_id"""
+    return o
