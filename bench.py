@@ -79,7 +79,12 @@ def main():
 
     times["emb64_fit_score"], _ = timed(q4)
 
-    # q5: registered match queries at scale
+    # q5: fit on the 80% split, score every row, per-split evaluation
+    from pairbayes.plans import extra_queries
+
+    times["li_fit_predict"], _ = timed(lambda: extra_queries.li_fit_predict(spark, SF_DIR).collect())
+
+    # q6: registered match queries at scale
     from pairbayes.plans import match_queries
 
     times["nearest_customer"], _ = timed(lambda: match_queries.nearest_customer(spark, SF_DIR).collect())

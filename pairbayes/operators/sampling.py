@@ -54,12 +54,24 @@ def cap_per_class(df: DataFrame, label: str = "y", order: str = "row_id", share:
     ).drop("__rn", "__cap")
 
 
-def global_index(df: DataFrame, order: list[str], name: str = "index") -> DataFrame:
-    """A dense 0-based position in the global order of ``order``.
-
-    A distributed sort then ``zipWithIndex`` (one pass to count rows per
-    partition, one to number them): no single-partition window."""
-    s = df.orderBy(*order)
-    schema = s.schema.add(name, "long")
-    rdd = s.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+def global_index(df: DataFrame, order: list[str], name: str = "index", partitions: int | None = None) -> DataFrame:
+    """Dense 0-based position in the global order of ``order``, all
+    JVM-side.  Range-partition + sort within partitions, checkpoint (so the
+    sampled range bounds cannot change between the two passes), count rows
+    per partition (one row per partition to the driver), then
+    index = rows in earlier partitions + position inside the partition."""
+    from pairbayes.session import cut_lineage
+
+    spark = df.sparkSession
+    n = partitions or max(1, spark.sparkContext.defaultParallelism)
+    s = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    s = s.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
+    s = cut_lineage(s)
+    cnt = {r["__pid"]: r["c"] for r in s.groupBy("__pid").agg(F.count(F.lit(1)).alias("c")).collect()}
+    offs, acc = {}, 0
+    for pid in sorted(cnt):
+        offs[pid] = acc
+        acc += cnt[pid]
+    off_arr = F.lit([int(offs.get(i, 0)) for i in range(max(cnt) + 1 if cnt else 1)])
+    pos = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
+    return s.withColumn(name, (off_arr[F.col("__pid")] + pos).cast("long")).drop("__pid", "__mid")

@@ -297,3 +297,47 @@ UNION ALL SELECT q.image_id, NULL, NULL, round((peak - background) / (noise + 1e
         "emb_global_order": "SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS index FROM embeddings",
         "li_csv_roundtrip": """SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY l_returnflag""",
     }
+
+
+LI_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+
+
+def li_fit_predict(spark, sf):
+    """B12/B13 at table scale: lineitem measures -> return flag, B=32; rows
+    numbered by the unique key (W11), split 80/20 by a seeded hash (W10);
+    likelihood and bins from the training rows; every row scored; accuracy,
+    mean confidence (A29) and mean class accuracy per split."""
+    from pairbayes.operators.sampling import global_index, train_test_split
+    from pairbayes.plans.predict import evaluation_by_split, fit_predict
+
+    li = table(spark, sf, "lineitem").select(*LI_KEYS, F.col("l_returnflag").alias("label"),
+                                             F.array(*[F.col(c).cast("double") for c in LI_NUM]).alias("x"))
+    fx = train_test_split(global_index(li, LI_KEYS, "row_id"), "row_id", 0.2, 42)
+    _, scored = fit_predict(fx, len(LI_NUM), n_bins=32, epochs=0)
+    ev = evaluation_by_split(scored)
+    return ev.select("split", "n", *[F.round(c, R).alias(c) for c in ("accuracy", "mean_confidence", "mean_class_accuracy")])
+
+
+QUERIES["li_fit_predict"] = li_fit_predict
+
+_extra_oracles_base = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    from pairbayes.operators.sampling import split_unit_sql
+    from pairbayes.plans.oracles import hist_base
+
+    o = _extra_oracles_base()
+    src = ("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS row_id, "
+           "l_returnflag AS label, [l_quantity, l_extendedprice, l_discount, l_tax] AS e FROM lineitem")
+    train = f"{split_unit_sql('row_id')} < 0.8e0"
+    base = hist_base(src, 4, 32, fit_filter=train)
+    sc = score_ctes("s", None, B=32)
+    o["li_fit_predict"] = "WITH " + base + "," + sc + f""",
+sp AS (SELECT row_id, CASE WHEN {split_unit_sql('row_id')} < 0.8e0 THEN 'train' ELSE 'test' END AS split FROM src),
+j AS (SELECT p.*, sp.split, CASE WHEN p.pred = p.ytrue THEN 1.0e0 ELSE 0.0e0 END AS ok FROM pred_s p JOIN sp ON sp.row_id = p.row_id),
+pc AS (SELECT split, ytrue, avg(ok) AS acc_c FROM j GROUP BY split, ytrue),
+mca AS (SELECT split, avg(acc_c) AS mca FROM pc GROUP BY split)
+SELECT j.split, count(*) AS n, round(avg(ok), {R}) AS accuracy, round(avg(pmax), {R}) AS mean_confidence,
+  round(any_value(mca.mca), {R}) AS mean_class_accuracy FROM j JOIN mca ON mca.split = j.split GROUP BY j.split"""
+    return o

@@ -14,18 +14,30 @@ def D(x) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
+EMB_SRC = "SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS label, embedding AS e FROM embeddings"
+
+
 def emb_base(dims: int = EMB_DIMS, B: int = EMB_BINS) -> str:
     """CTEs: src, cls, ncls, feat, edges, bins, pairs, rowcells, counts."""
+    return hist_base(EMB_SRC, dims, B)
+
+
+def hist_base(src_sql: str, dims: int, B: int, fit_filter: str | None = None) -> str:
+    """Histogram CTEs over ``src_sql`` (row_id, label, e array).  With
+    ``fit_filter`` (a predicate on row_id) the classes, edges and counts come
+    from the rows passing it, while ``rowcells`` covers every row."""
     pad = f"greatest((mx - mn) * {D('0.01')}, {D('1e-6')})"
+    fit = f"WHERE {fit_filter}" if fit_filter else ""
+    fit_and = f"AND {fit_filter.replace('row_id', 'x.row_id')}" if fit_filter else ""
     return f"""
-src AS (SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS label, embedding AS e FROM embeddings),
+src AS ({src_sql}),
 cls AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS y
-        FROM (SELECT DISTINCT label FROM src WHERE label IS NOT NULL)),
+        FROM (SELECT DISTINCT label FROM src WHERE label IS NOT NULL {('AND ' + fit_filter) if fit_filter else ''})),
 labelled AS (SELECT s.row_id, c.y, s.e FROM src s JOIN cls c ON s.label = c.label),
-ncls AS (SELECT y, count(*) AS nc FROM labelled GROUP BY y),
+ncls AS (SELECT y, count(*) AS nc FROM labelled {fit} GROUP BY y),
 feat AS (SELECT l.row_id, l.y, CAST(t.f AS INTEGER) AS f, CAST(l.e[t.f + 1] AS DOUBLE) AS v
          FROM labelled l CROSS JOIN range(0, {dims}) t(f)),
-mm AS (SELECT f, min(v) AS mn, max(v) AS mx FROM feat WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY f),
+mm AS (SELECT f, min(v) AS mn, max(v) AS mx FROM feat x WHERE v IS NOT NULL AND NOT isnan(v) {fit_and} GROUP BY f),
 edges AS (SELECT f, mn - {pad} AS lo, mx + {pad} AS hi, ((mx + {pad}) - (mn - {pad})) / {D(B)} AS width FROM mm),
 bins AS (SELECT x.row_id, x.y, x.f,
            CASE WHEN x.v IS NULL OR isnan(x.v) THEN -1
@@ -36,7 +48,7 @@ pairs AS (SELECT CAST(a.f AS INTEGER) AS f1, CAST(b.f AS INTEGER) AS f2,
           FROM range(0, {dims}) a(f) JOIN range(0, {dims}) b(f) ON a.f < b.f),
 rowcells AS (SELECT x.row_id, x.y, p.pair_id, x.b AS bi, z.b AS bj
              FROM bins x JOIN pairs p ON x.f = p.f1 JOIN bins z ON z.row_id = x.row_id AND z.f = p.f2),
-counts AS (SELECT y, pair_id, bi, bj, count(*) AS n FROM rowcells GROUP BY y, pair_id, bi, bj)"""
+counts AS (SELECT y, pair_id, bi, bj, count(*) AS n FROM rowcells x WHERE TRUE {fit_and} GROUP BY y, pair_id, bi, bj)"""
 
 
 def score_ctes(tag: str, weights: str | None, B: int = EMB_BINS) -> str:
