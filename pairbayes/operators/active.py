@@ -35,13 +35,16 @@ def failed_margins(scored: DataFrame) -> DataFrame:
     f = scored.where(F.col("pred") != F.col("y")).withColumn(
         "margin", F.col("confidence") - F.col("posterior")[F.col("y")]
     )
-    w = Window.partitionBy("y")
-    f = f.withColumn("class_max", F.max("margin").over(w)).withColumn("class_min", F.min("margin").over(w))
+    # per-class extremes by a group-by (C rows, broadcast), not a class-wide window
+    ext = f.groupBy("y").agg(F.max("margin").alias("class_max"), F.min("margin").alias("class_min"))
+    f = f.join(F.broadcast(ext), "y")
     f = f.withColumn("strong", F.col("margin") >= F.col("class_max") - F.lit(STRONG_MARGIN)).withColumn(
         "marginal", F.col("margin") <= F.col("class_min") + F.lit(MARGINAL_MARGIN)
     )
-    rk = F.row_number().over(Window.partitionBy("y").orderBy(F.col("margin").desc(), F.col("row_id")))
-    return f.withColumn("margin_rank", rk).withColumn("mandatory", F.col("margin_rank") <= MANDATORY_PER_CLASS)
+    from pairbayes.operators.sampling import rank_within_group
+
+    r = rank_within_group(f, "y", [F.col("margin").desc(), F.col("row_id")], "margin_rank")
+    return r.withColumn("mandatory", F.col("margin_rank") <= MANDATORY_PER_CLASS)
 
 
 def _leader_walk(pairs: list[tuple[int, int]], min_div: float):
@@ -90,13 +93,12 @@ def select_samples(scored: DataFrame, features: DataFrame, pairs: list[tuple[int
     fm = failed_margins(scored)
     mandatory = fm.where("mandatory").select("row_id", "y")
     cand = fm.where(~F.col("mandatory")).select("row_id", "y").join(features.select("row_id", "x"), "row_id")
-    per_class = F.count(F.lit(1)).over(Window.partitionBy("y"))
-    n_chunks = F.greatest(F.lit(1), F.ceil(per_class / F.lit(float(chunk_rows))))
-    cand = cand.withColumn("chunk", F.pmod(F.xxhash64("row_id"), n_chunks.cast("long")).cast("int"))
+    per_class = cand.groupBy("y").agg(F.count(F.lit(1)).alias("__n"))
+    cand = cand.join(F.broadcast(per_class), "y")
+    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(float(chunk_rows))))
+    cand = cand.withColumn("chunk", F.pmod(F.xxhash64("row_id"), n_chunks.cast("long")).cast("int")).drop("__n")
     leaders = cand.groupBy("y", "chunk").applyInPandas(_leader_walk(pairs, min_divergence), "row_id long, y int")
     sel = mandatory.unionByName(leaders).distinct()
-    cap = class_sizes.select("y", F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(MAX_CLASS_ADDITION_PERCENT / 100.0))).alias("cap"))
-    w = Window.partitionBy("y").orderBy("row_id")
-    return sel.join(F.broadcast(cap), "y").withColumn("__rn", F.row_number().over(w)).where(
-        F.col("__rn") <= F.col("cap")
-    ).select("row_id", "y")
+    from pairbayes.operators.sampling import cap_per_class
+
+    return cap_per_class(sel, "y", "row_id", MAX_CLASS_ADDITION_PERCENT / 100.0, 2, sizes=class_sizes).select("row_id", "y")

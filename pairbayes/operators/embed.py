@@ -122,9 +122,12 @@ def contrastive_scores(fx_y: DataFrame, bucket_rows: int = 128, temperature: flo
     within a bucket, score_i = -ln(sum_{same class, j!=i} e^{cos/t} /
     sum_{j!=i} e^{cos/t}) for rows with a same-class partner.  The self-join
     is on the bucket key, so work is ~N*bucket_rows, never N^2."""
+    from pairbayes.operators.sampling import split_unit
+
     n = fx_y.count()
     nb = max(1, -(-n // bucket_rows))
-    b = fx_y.select("row_id", "y", "x", F.pmod(F.col("row_id"), F.lit(nb)).alias("bucket"))
+    # bucket by a hash of the id (balanced whatever the id distribution)
+    b = fx_y.select("row_id", "y", "x", F.floor(split_unit(F.col("row_id"), 7) * F.lit(nb)).cast("long").alias("bucket"))
     l = b.alias("l")
     r = b.alias("r")
     j = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.row_id") != F.col("r.row_id")))

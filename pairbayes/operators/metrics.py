@@ -121,11 +121,17 @@ def error_examples(pred: DataFrame, k: int = 5, true_col="y", pred_col="pred", o
 
 def confidence_pages(pred: DataFrame, per_page_rows: int, per_page_cols: int, top_n: int | None = None,
                      class_col="pred", conf_col="confidence", order_col="row_id") -> DataFrame:
-    """Per class rank by confidence (desc, id asc), page/row/col position."""
-    w = Window.partitionBy(class_col).orderBy(F.col(conf_col).desc(), F.col(order_col))
-    r = pred.withColumn("rank", F.row_number().over(w) - 1)
+    """Per class rank by confidence (desc, id asc), page/row/col position.
+    With ``top_n`` the window is followed by its limit (Spark plans a
+    partial per-task limit); without it the rank is computed by
+    ``rank_within_group`` so no task sorts a whole class."""
     if top_n is not None:
-        r = r.where(F.col("rank") < top_n)
+        w = Window.partitionBy(class_col).orderBy(F.col(conf_col).desc(), F.col(order_col))
+        r = pred.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n).withColumn("rank", F.col("rank") - 1)
+    else:
+        from pairbayes.operators.sampling import rank_within_group
+
+        r = rank_within_group(pred, class_col, [F.col(conf_col).desc(), F.col(order_col)], "rank").withColumn("rank", F.col("rank") - 1)
     per_page = per_page_rows * per_page_cols
     return r.withColumn("page", F.floor(F.col("rank") / per_page).cast("int")).withColumn(
         "grid_row", F.floor((F.col("rank") % per_page) / per_page_cols).cast("int")

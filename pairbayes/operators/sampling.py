@@ -44,14 +44,15 @@ def seed_rows(df: DataFrame, per_class: int = 2, label: str = "y", order: str =
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= per_class).drop("__rn")
 
 
-def cap_per_class(df: DataFrame, label: str = "y", order: str = "row_id", share: float = 0.99, floor: int = 2) -> DataFrame:
-    """Keep max(floor, int(n_class * share)) rows per class in id order."""
-    w = Window.partitionBy(label).orderBy(order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    cap = F.greatest(F.lit(floor), F.floor(n * F.lit(share)))
-    return df.withColumn("__rn", F.row_number().over(w)).withColumn("__cap", cap).where(
-        F.col("__rn") <= F.col("__cap")
-    ).drop("__rn", "__cap")
+def cap_per_class(df: DataFrame, label: str = "y", order: str = "row_id", share: float = 0.99, floor: int = 2,
+                  sizes: DataFrame | None = None) -> DataFrame:
+    """Keep max(floor, int(n_class * share)) rows per class in id order.
+    Class sizes come from a group-by (C rows, broadcast) and the rank from
+    ``rank_within_group``, so no task holds a whole class."""
+    sizes = sizes if sizes is not None else df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    cap = sizes.select(label, F.greatest(F.lit(floor), F.floor(F.col("n") * F.lit(share))).alias("__cap"))
+    r = rank_within_group(df, label, [order], "__rn")
+    return r.join(F.broadcast(cap), label).where(F.col("__rn") <= F.col("__cap")).drop("__rn", "__cap")
 
 
 def global_index(df: DataFrame, order: list[str], name: str = "index", partitions: int | None = None) -> DataFrame:
@@ -75,3 +76,29 @@ def global_index(df: DataFrame, order: list[str], name: str = "index", partition
     off_arr = F.lit([int(offs.get(i, 0)) for i in range(max(cnt) + 1 if cnt else 1)])
     pos = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
     return s.withColumn(name, (off_arr[F.col("__pid")] + pos).cast("long")).drop("__pid", "__mid")
+
+
+def rank_within_group(df: DataFrame, group: str, order: list, name: str = "rank", partitions: int | None = None) -> DataFrame:
+    """Exact 1-based rank inside each group without a per-group window.
+
+    A window partitioned by the group puts a whole group into one task; with
+    one group holding a third of all rows that task would sort a third of
+    the data.  Here rows are range-partitioned on (group, order) -- a hot
+    group spreads over many partitions -- sorted within partitions and
+    checkpointed; per (group, partition) row counts (a small table) give
+    each partition's offset inside its group, and rank = offset + position."""
+    from pairbayes.session import cut_lineage
+
+    spark = df.sparkSession
+    n = partitions or max(1, spark.sparkContext.defaultParallelism)
+    keys = [F.col(group)] + [F.col(o) if isinstance(o, str) else o for o in order]
+    s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    s = s.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
+    s = cut_lineage(s)
+    first = s.groupBy(group, "__pid").agg(F.min("__mid").alias("__first"), F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per (group, partition): at most groups x partitions rows
+    first = first.withColumn("__off", F.coalesce(F.sum("__c").over(w), F.lit(0)))
+    j = s.join(F.broadcast(first.select(group, "__pid", "__first", "__off")), [group, "__pid"])
+    return j.withColumn(name, (F.col("__off") + F.col("__mid") - F.col("__first") + 1).cast("long")).drop(
+        "__pid", "__mid", "__first", "__off")

@@ -12,6 +12,7 @@ from pairbayes.operators.metrics import nmi
 from pairbayes.plans.learner_queries import EMB_DIMS, _emb, _emb_model
 from pairbayes.operators.posterior import score
 from pairbayes.plans.oracles import emb_base, score_ctes
+from pairbayes.operators.sampling import split_unit_sql
 
 R = 6
 FULL = 64
@@ -140,7 +141,7 @@ r AS (SELECT sum(nab * 1.0e0 / n * ln(n * nab * 1.0e0 / (na * nb))) AS mi, -sum(
 SELECT round(mi, {R}) AS mi, round(h_a, {R}) AS h_a, round(h_b, {R}) AS h_b,
   round(CASE WHEN (h_a + h_b) / 2 = 0 THEN 1.0e0 ELSE mi / ((h_a + h_b) / 2) END, {R}) AS nmi FROM r""",
         "emb_contrastive": f"""WITH b AS (SELECT vec_id AS row_id, label AS y, CAST(embedding AS DOUBLE[]) AS e,
-     vec_id % CAST(ceil((SELECT count(*) FROM embeddings) / 128.0e0) AS BIGINT) AS bucket FROM embeddings),
+     CAST(floor({split_unit_sql('vec_id', 7)} * ceil((SELECT count(*) FROM embeddings) / 128.0e0)) AS BIGINT) AS bucket FROM embeddings),
 j AS (SELECT l.bucket, l.row_id, l.y AS ly, r.y AS ry,
         exp(list_sum(list_transform(list_zip(l.e, r.e), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(l.e, lambda x: x * x))) * sqrt(list_sum(list_transform(r.e, lambda x: x * x)))) / 0.5e0) AS e
       FROM b l JOIN b r ON l.bucket = r.bucket AND l.row_id <> r.row_id),

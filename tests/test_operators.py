@@ -155,3 +155,21 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["true_class", "pred_class", "n"]
     assert df.count() >= 0
+
+
+def test_rank_within_group_matches_row_number_on_skewed_groups(spark):
+    from pyspark.sql import Window
+
+    from pairbayes.operators.sampling import rank_within_group
+
+    rng = np.random.default_rng(4)
+    # one hot group holding most rows, several small ones
+    ys = [0] * 3000 + list(rng.integers(1, 6, size=600))
+    vals = rng.integers(0, 50, size=len(ys))  # many ties in the order value
+    df = spark.createDataFrame([(i, int(y), int(v)) for i, (y, v) in enumerate(zip(ys, vals))], "row_id long, y int, v int")
+    got = rank_within_group(df, "y", [F.col("v").desc(), F.col("row_id")], "rk", partitions=16)
+    w = Window.partitionBy("y").orderBy(F.col("v").desc(), F.col("row_id"))
+    exp = df.withColumn("rk", F.row_number().over(w))
+    a = sorted((r.row_id, r.rk) for r in got.select("row_id", "rk").collect())
+    b = sorted((r.row_id, r.rk) for r in exp.select("row_id", "rk").collect())
+    assert a == b
