@@ -95,7 +95,7 @@ def orders_encoded(spark, sf) -> DataFrame:
     """Codes learned on orders before 1995 applied to all orders;
     values unseen in training take the mean code."""
     o = table(spark, sf, "orders")
-    trainer = o.where(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp"))
+    trainer = o.where(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"))
     codes = encode.first_appearance_codes(trainer, ["o_orderpriority", "o_orderstatus"], "o_orderkey")
     enc = encode.apply_codes(o.select("o_orderkey", "o_orderpriority", "o_orderstatus"), codes,
                              ["o_orderpriority", "o_orderstatus"])
