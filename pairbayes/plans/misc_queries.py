@@ -67,8 +67,10 @@ def customer_coordinates(spark, sf) -> DataFrame:
     return c.select("c_custkey", ra.alias("ra"), dec.alias("dec"))
 
 
-def _photometry(spark, sf):
+def _photometry(spark, sf, pre=None):
     li = table(spark, sf, "lineitem")
+    if pre is not None:
+        li = li.where(pre)
     return li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         (F.lit(20.0) + F.col("l_quantity") / 25.0).alias("modelMag_u"),
@@ -98,8 +100,12 @@ def li_colour_shift(spark, sf) -> DataFrame:
 def li_qso_selection(spark, sf) -> DataFrame:
     """P18 + J1: photometry joined to 'spectra' (orders; class QSO = status F,
     z = totalprice/100000), 0 < z < 4, magnitude window, top 2000 by key."""
-    ph = _photometry(spark, sf).where(F.col("modelMag_u").between(20.2, 21.8))
-    sp = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"),
+    # Pushable pre-filters on the stored columns (supersets of the exact
+    # conditions, which still follow): they reach the parquet scan.
+    li_pre = F.col("l_quantity").between(5.0 - 1e-6, 45.0 + 1e-6)
+    ph = _photometry(spark, sf, li_pre).where(F.col("modelMag_u").between(20.2, 21.8))
+    orders = table(spark, sf, "orders").where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 400001.0))
+    sp = orders.select(F.col("o_orderkey").alias("l_orderkey"),
                                           F.when(F.col("o_orderstatus") == "F", "QSO").otherwise("STAR").alias("class"),
                                           (F.col("o_totalprice") / 100000.0).alias("z"))
     j = ph.join(sp, "l_orderkey", "inner").where((F.col("class") == "QSO") & (F.col("z") > 0) & (F.col("z") < 4))
