@@ -12,6 +12,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark import StorageLevel  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from pairbayes.operators.binning import class_profile, edges_from_minmax  # noqa: E402
@@ -41,6 +42,9 @@ def main():
     fx = li.select(*LI_KEY, F.col("l_returnflag").alias("label"),
                    F.array(*[F.col(c).cast("double") for c in LI_FEATURES]).alias("x"))
     fx = spread(fx, *LI_KEY)
+    # several passes read the prepared rows (profile, counts, scoring,
+    # boosting): keep them once, as the training loop does
+    fx = fx.persist(StorageLevel.MEMORY_AND_DISK)
     keep = tuple(LI_KEY) + ("y",)
     nf = len(LI_FEATURES)
 
@@ -69,15 +73,22 @@ def main():
 
     times["li_boost_epoch"], _ = timed(q3)
 
-    # q4: embeddings, all 64 dims -> 2016 pairs, B=16: fit + score + confusion
-    def q4():
-        e = feature_frame(table(spark, SF_DIR, "embeddings"), "vec_id", "label", array_col="embedding")
+    # q4: embeddings, all 64 dims -> 2016 pairs, B=16 (the published
+    # workload shape: every pair of a wide embedding): fit, then score +
+    # confusion, timed apart
+    e = feature_frame(table(spark, SF_DIR, "embeddings"), "vec_id", "label", array_col="embedding").persist(
+        StorageLevel.MEMORY_AND_DISK)
+
+    def q4_fit():
         cl, counts, mins, maxs = class_profile(e, 64)
         ey = encode_labels(e, cl)
         m = fit_histogram(ey, edges_from_minmax(mins, maxs, 16), cl, None, 64, class_counts=counts)
-        return confusion(score(m, ey)).collect()
+        materialize_table(m)
+        return m, ey
 
-    times["emb64_fit_score"], _ = timed(q4)
+    times["emb64_fit"], (m64, ey) = timed(q4_fit)
+    times["emb64_score"], _ = timed(lambda: confusion(score(m64, ey)).collect())
+    n_emb = ey.count()
 
     # q5: fit on the 80% split, score every row, per-split evaluation
     from pairbayes.plans import extra_queries
@@ -101,6 +112,10 @@ def main():
         "lineitem_rows": n_rows,
         "model_cells": cells,
         "score_rows_per_sec": round(n_rows / times["li_score_confusion"], 1),
+        "emb64_rows": n_emb,
+        "emb64_pairs": m64.n_pairs,
+        "emb64_score_row_pairs_per_sec": round(n_emb * m64.n_pairs / times["emb64_score"], 1),
+        "li_boost_epoch_sec": round(times["li_boost_epoch"], 3),
     }))
 
 

@@ -16,10 +16,8 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def confusion(pred: DataFrame, true_col: str = "y", pred_col: str = "pred", classes: DataFrame | None = None) -> DataFrame:
-    """``(true_class, pred_class, n)`` zero-filled over the class union.
-
-    The grid is built from the distinct class codes (tiny) joined to itself
-    on a constant key: C*C rows, bounded by the class count."""
+    """``(true_class, pred_class, n)`` zero-filled over the class union
+    (C*C rows, bounded by the class count)."""
     counts = _small(pred.groupBy(F.col(true_col).alias("true_class"), F.col(pred_col).alias("pred_class")).agg(
         F.count(F.lit(1)).alias("n")
     ))
@@ -27,10 +25,10 @@ def confusion(pred: DataFrame, true_col: str = "y", pred_col: str = "pred", clas
         # from the (small) counts, not from ``pred``: the scoring plan runs
         # once and its exchange is reused by both branches
         classes = counts.select(F.col("true_class").alias("c")).union(counts.select(F.col("pred_class").alias("c"))).distinct()
-    cl = classes.select(F.col(classes.columns[0]).alias("c"), F.lit(0).alias("k"))
-    grid = cl.select(F.col("c").alias("true_class"), "k").join(
-        F.broadcast(cl.select(F.col("c").alias("pred_class"), "k")), "k"
-    ).drop("k")
+    # C x C zero-fill grid from the class list (one row holding C codes,
+    # exploded twice): no join, bounded by the class count
+    cs = classes.agg(F.sort_array(F.collect_set(F.col(classes.columns[0]))).alias("cs"))
+    grid = cs.select(F.explode("cs").alias("true_class"), "cs").select("true_class", F.explode("cs").alias("pred_class"))
     return grid.join(counts, ["true_class", "pred_class"], "left").select(
         "true_class", "pred_class", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")
     )
