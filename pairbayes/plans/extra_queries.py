@@ -341,3 +341,81 @@ mca AS (SELECT split, avg(acc_c) AS mca FROM pc GROUP BY split)
 SELECT j.split, count(*) AS n, round(avg(ok), {R}) AS accuracy, round(avg(pmax), {R}) AS mean_confidence,
   round(any_value(mca.mca), {R}) AS mean_class_accuracy FROM j JOIN mca ON mca.split = j.split GROUP BY j.split"""
     return o
+
+
+def emb_overlap_rule_weights(spark, sf):
+    """One boosting epoch with the bin-overlap rule (update only cells
+    the predicted class does not occupy)."""
+    from pairbayes.plans.train import TrainLog, train
+
+    model, fx_y = _emb_model(spark, sf, EMB_BOOST_DIMS)
+    m = train(model, fx_y, epochs=1, patience=5, rule="bin_overlap", log=TrainLog())
+    return m.weights.select("y", "pair_id", "bi", "bj", F.round("w", 9).alias("w"))
+
+
+def emb_smoothed_weights(spark, sf):
+    """B17 (re-aimed): weights after one epoch, smoothed 0.7/0.3 with the
+    average over pairs sharing a feature (same class and cell)."""
+    from pairbayes.operators.boost import smooth_weights
+    from pairbayes.plans.train import TrainLog, train
+
+    model, fx_y = _emb_model(spark, sf, EMB_BOOST_DIMS)
+    m = train(model, fx_y, epochs=1, patience=5, log=TrainLog())
+    return smooth_weights(m).select("y", "pair_id", "bi", "bj", F.round("w", 9).alias("w"))
+
+
+def doc_numeric_columns(spark, sf):
+    """Text columns become numbers only when every value parses."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("string").alias("nc_text"), "lang")
+    return prep.numeric_if_possible(d, ["nc_text", "lang"])
+
+
+def emb_epoch_snapshots(spark, sf):
+    """Per-epoch (row_id, split) snapshots appended, partitioned by
+    epoch, read back; rows per epoch and split."""
+    from pairbayes.operators.sampling import train_test_split
+    from pairbayes.sources.model_store import scratch_path
+    from pairbayes.sources.sinks import append_epoch_snapshot
+
+    path = scratch_path(spark, "epochs")
+    sp = train_test_split(table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id")), "row_id", 0.2, 42)
+    for ep in range(3):
+        append_epoch_snapshot(sp, path, ep)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("epoch").cast("int").alias("epoch"), "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES.update({
+    "emb_overlap_rule_weights": emb_overlap_rule_weights,
+    "emb_smoothed_weights": emb_smoothed_weights,
+    "doc_numeric_columns": doc_numeric_columns,
+    "emb_epoch_snapshots": emb_epoch_snapshots,
+})
+
+_extra_oracles_base2 = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    from pairbayes.operators.sampling import split_unit_sql
+    from pairbayes.plans.oracles import boost_ctes
+
+    o = _extra_oracles_base2()
+    one = "WITH " + emb_base(EMB_BOOST_DIMS) + "," + score_ctes("e0", None) + "," + boost_ctes("e0", None, "pred_e0", "0.05e0")
+    overlap = one.replace("WHERE ((CAST(coalesce(k.n, 0) AS DOUBLE) + 1.0e0) / (CAST(c.nc AS DOUBLE) + CAST(256 AS DOUBLE) + 1e-8)) < 0.25e0",
+                          "WHERE k.n IS NULL")
+    assert overlap != one
+    o["emb_overlap_rule_weights"] = overlap + " SELECT y, pair_id, bi, bj, round(w, 9) AS w FROM w_e0"
+    o["emb_smoothed_weights"] = one + """,
+lp AS (SELECT pair_id, f1 AS f FROM pairs UNION ALL SELECT pair_id, f2 FROM pairs),
+adj AS (SELECT DISTINCT l.pair_id AS a, r.pair_id AS b FROM lp l JOIN lp r ON l.f = r.f AND l.pair_id < r.pair_id),
+nb AS (SELECT a AS pair_id, b AS nb FROM adj UNION ALL SELECT b, a FROM adj),
+deg AS (SELECT pair_id, count(*) AS deg FROM nb GROUP BY pair_id),
+s AS (SELECT w.y, w.pair_id, w.bi, w.bj, sum(coalesce(w2.w, 1e-6)) AS s FROM w_e0 w JOIN nb ON nb.pair_id = w.pair_id
+      LEFT JOIN w_e0 w2 ON w2.y = w.y AND w2.pair_id = nb.nb AND w2.bi = w.bi AND w2.bj = w.bj GROUP BY w.y, w.pair_id, w.bi, w.bj)
+SELECT w.y, w.pair_id, w.bi, w.bj,
+  round(0.7e0 * w.w + (1.0e0 - 0.7e0) * CASE WHEN d.deg > 0 THEN s.s / d.deg ELSE w.w END, 9) AS w
+FROM w_e0 w LEFT JOIN s ON s.y = w.y AND s.pair_id = w.pair_id AND s.bi = w.bi AND s.bj = w.bj LEFT JOIN deg d ON d.pair_id = w.pair_id"""
+    o["doc_numeric_columns"] = "SELECT doc_id, CAST(n_chars AS DOUBLE) AS nc_text, lang FROM documents"
+    o["emb_epoch_snapshots"] = f"""SELECT CAST(t.e AS INTEGER) AS epoch, CASE WHEN {split_unit_sql('vec_id')} < 0.8e0 THEN 'train' ELSE 'test' END AS split, count(*) AS n
+FROM embeddings CROSS JOIN range(0, 3) t(e) GROUP BY 1, 2"""
+    return o
