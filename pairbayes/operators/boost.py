@@ -26,7 +26,7 @@ def failed_rows(scored: DataFrame, lr: float) -> DataFrame:
     pt = F.col("posterior")[F.col("y")]
     pp = F.col("posterior")[F.col("pred")]
     return scored.where(F.col("pred") != F.col("y")).select(
-        "row_id", "y", "pred", "b", (F.lit(lr) * (F.lit(1.0) - pt / pp)).alias("adj")
+        "y", "pred", "b", (F.lit(lr) * (F.lit(1.0) - pt / pp)).alias("adj")
     )
 
 

@@ -44,9 +44,10 @@ def log_likelihoods(model: HistogramModel, fx: DataFrame, keep=("row_id", "y"),
     ex = explode_cells(binned, model.pairs, model.n_features, keep=keep2)
     j = ex.join(_model_side(model, broadcast), CELL_KEYS, "left")
     aggs = [F.sum(F.col("d")[c]).alias(f"s{c}") for c in range(C)]
-    if with_bins:
-        aggs.append(F.first("b").alias("b"))
-    g = j.groupBy(*keep).agg(*aggs)
+    # the bins are a function of the row, so grouping by them too keeps the
+    # groups and the fixed-width hash aggregate (first() of an array would
+    # force a sort-based aggregate)
+    g = j.groupBy(*keep, *(["b"] if with_bins else [])).agg(*aggs)
     base = [P * math.log(p0 * model.w0 + model.eps) for p0 in model.p0()]
     ll = F.array(*[F.coalesce(F.col(f"s{c}"), F.lit(0.0)) + F.lit(base[c]) for c in range(C)])
     return g.select(*keep, ll.alias("ll"), *(["b"] if with_bins else []))

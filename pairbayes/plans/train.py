@@ -52,7 +52,8 @@ def prepare(fx: DataFrame, n_bins: int = 128, max_combinations: int | None = Non
 
 
 def train(model: HistogramModel, train_fx: DataFrame, epochs: int = 10, patience: int = 5,
-          lr: float = LEARNING_RATE, rule: str = "threshold", log: TrainLog | None = None) -> HistogramModel:
+          lr: float = LEARNING_RATE, rule: str = "threshold", log: TrainLog | None = None,
+          keys: tuple[str, ...] = ("row_id",), n_rows: int | None = None) -> HistogramModel:
     """Full-batch epochs.
 
     Per epoch: score under fixed weights -> count failures -> patience/learning
@@ -60,12 +61,14 @@ def train(model: HistogramModel, train_fx: DataFrame, epochs: int = 10, patience
     The learning rate goes back to ``lr`` whenever the error drops by more
     than 0.001 (so the first update uses lr/2)."""
     log = log if log is not None else TrainLog()
-    n_rows = train_fx.count()
+    # ``keys`` identify a row (a composite key avoids hashing ids together);
+    # ``n_rows`` saves a counting pass when the caller knows it
+    n_rows = train_fx.count() if n_rows is None else n_rows
     best_error = float("inf")
     patience_counter = 0
     cur_lr = lr
     for epoch in range(epochs):
-        scored = score(model, train_fx, keep=("row_id", "y"), with_bins=True)
+        scored = score(model, train_fx, keep=tuple(keys) + ("y",), with_bins=True)
         failed = failed_rows(scored, 1.0).persist(StorageLevel.MEMORY_AND_DISK)
         n_err = failed.count()
         err = n_err / n_rows if n_rows else 0.0
