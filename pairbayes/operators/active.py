@@ -43,7 +43,9 @@ def failed_margins(scored: DataFrame) -> DataFrame:
     )
     from pairbayes.operators.sampling import rank_within_group
 
-    r = rank_within_group(f, "y", [F.col("margin").desc(), F.col("row_id")], "margin_rank")
+    # margins equal in exact arithmetic can differ in the last bits with the
+    # summation order: rank on the margin rounded to 9 decimals, then the id
+    r = rank_within_group(f, "y", [F.round("margin", 9).desc(), F.col("row_id")], "margin_rank")
     return r.withColumn("mandatory", F.col("margin_rank") <= MANDATORY_PER_CLASS)
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pairbayes.functions.columns import row_standardize
 from pairbayes.operators import pixels, prep, sampling, select
 from pairbayes.operators.posterior import score
-from pairbayes.plans.learner_queries import EMB_BOOST_DIMS, EMB_DIMS, ROUND, _emb, _emb_model
-from pairbayes.plans.oracles import emb_base, score_ctes, two_epoch_ctes
+from pairbayes.plans.learner_queries import BOOST_BINS, EMB_DIMS, ROUND, _boost_fx, _boost_model, _emb, _emb_model
+from pairbayes.plans.oracles import boost_base, emb_base, score_ctes, two_epoch_ctes
 from pairbayes.plans.pixel_queries import PIX, pixel_table
 from pairbayes.session import table
 
@@ -23,20 +23,20 @@ LI_CARD = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
            "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def emb_overlap_masked(spark, sf) -> DataFrame:
+def li_overlap_masked(spark, sf) -> DataFrame:
     """Posterior with cells shared by >= 2 classes zeroed."""
-    model, fx_y = _emb_model(spark, sf, EMB_BOOST_DIMS)
+    model, fx_y = _boost_model(spark, sf)
     m = replace(model, overlap_mask=True, _table=None, _table_rows=None)
     s = score(m, fx_y)
     return s.select("row_id", F.col("y").alias("true_class"), F.col("pred").alias("pred_class"),
                     F.round("confidence", ROUND).alias("confidence"))
 
 
-def emb_train_log(spark, sf) -> DataFrame:
+def li_train_log(spark, sf) -> DataFrame:
     """Per-epoch errors and the running best of a 2-epoch run."""
     from pairbayes.plans.train import TrainLog, train
 
-    model, fx_y = _emb_model(spark, sf, EMB_BOOST_DIMS)
+    model, fx_y = _boost_model(spark, sf)
     log = TrainLog()
     train(model, fx_y, epochs=2, patience=5, log=log)
     df = log.to_frame(spark)
@@ -133,7 +133,7 @@ def emb_row_standardize(spark, sf):
     """Each embedding standardised by its own mean and population std."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     s = e.select("vec_id", row_standardize(F.col("e")).alias("z"))
-    return s.select("vec_id", *[F.round(F.col("z")[i], R).alias(f"z_{i}") for i in range(8)])
+    return s.select("vec_id", *[F.round(F.col("z")[i], R).alias(f"z_{i}") for i in range(64)])
 
 
 def doc_unknown_targets(spark, sf):
@@ -168,9 +168,9 @@ def emb_sample(spark, sf):
     return sampling.seeded_sample(e, 100)
 
 
-def emb_method_comparison(spark, sf):
+def li_method_comparison(spark, sf):
     """Both weight-update rules on the 4-d model (rows-only)."""
-    model, fx_y = _emb_model(spark, sf, EMB_BOOST_DIMS)
+    model, fx_y = _boost_model(spark, sf)
     return select.compare_methods(fx_y, model, epochs=2).select("method", "accuracy", "epochs")
 
 
@@ -191,8 +191,8 @@ def li_csv_roundtrip(spark, sf):
 
 
 QUERIES = {
-    "emb_overlap_masked": emb_overlap_masked,
-    "emb_train_log": emb_train_log,
+    "li_overlap_masked": li_overlap_masked,
+    "li_train_log": li_train_log,
     "emb_selected_features": emb_selected_features,
     "emb_distribution": emb_distribution,
     "li_cardinality_summary": li_cardinality_summary,
@@ -212,7 +212,7 @@ QUERIES = {
     "px_feature_union": px_feature_union,
     "emb_global_order": emb_global_order,
     "emb_sample": emb_sample,
-    "emb_method_comparison": emb_method_comparison,
+    "li_method_comparison": li_method_comparison,
     "li_csv_roundtrip": li_csv_roundtrip,
 }
 
@@ -220,11 +220,11 @@ QUERIES = {
 def oracles() -> dict[str, str]:
     import itertools
 
-    ov_score = "WITH " + emb_base(EMB_BOOST_DIMS) + """,
+    ov_score = "WITH " + boost_base() + """,
 ov AS (SELECT pair_id, bi, bj FROM counts GROUP BY pair_id, bi, bj HAVING count(DISTINCT y) >= 2),
 ll_s AS (SELECT r.row_id, r.y AS ytrue, c.y AS cls,
    sum(CASE WHEN o.pair_id IS NOT NULL THEN ln(1e-10)
-            ELSE ln(((CAST(coalesce(k.n, 0) AS DOUBLE) + 1.0e0) / (CAST(c.nc AS DOUBLE) + 256.0e0 + 1e-8)) * 1e-6 + 1e-10) END) AS ll
+            ELSE ln(((CAST(coalesce(k.n, 0) AS DOUBLE) + 1.0e0) / (CAST(c.nc AS DOUBLE) + 1024.0e0 + 1e-8)) * 1e-6 + 1e-10) END) AS ll
    FROM rowcells r CROSS JOIN ncls c
    LEFT JOIN counts k ON k.y = c.y AND k.pair_id = r.pair_id AND k.bi = r.bi AND k.bj = r.bj
    LEFT JOIN ov o ON o.pair_id = r.pair_id AND o.bi = r.bi AND o.bj = r.bj
@@ -238,8 +238,8 @@ SELECT row_id, ytrue AS true_class, cls AS pred_class, round(p, 6) AS confidence
         f"SELECT l_orderkey % 16 AS batch, count(DISTINCT ({a}, {b})) AS d FROM lineitem GROUP BY 1" for a, b in itertools.combinations(LI_NUM, 2))
     q = lambda p: f"quantile_cont(v, {p})"
     return {
-        "emb_overlap_masked": ov_score,
-        "emb_train_log": "WITH " + two_epoch_ctes() + """,
+        "li_overlap_masked": ov_score,
+        "li_train_log": "WITH " + two_epoch_ctes() + """,
 lg AS (SELECT 0 AS epoch, (SELECT count(*) FROM pred_e0 WHERE pred <> ytrue) AS n_errors
        UNION ALL SELECT 1, (SELECT count(*) FROM pred_e1 WHERE pred <> ytrue))
 SELECT CAST(epoch AS INTEGER) AS epoch, n_errors, min(n_errors) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_errors FROM lg""",
@@ -287,7 +287,7 @@ SELECT p.image_id, p.y, p.x, round(least(1.0e0, greatest(0.0e0, (v - p1) / (p99
         "emb_row_standardize": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT vec_id, e, list_sum(e) / len(e) AS m FROM e),
 t AS (SELECT vec_id, e, m, sqrt(list_sum(list_transform(e, lambda v: (v - m) * (v - m))) / len(e)) AS sd FROM s)
-SELECT vec_id, {", ".join(f"round((e[{i + 1}] - m) / (sd + 1e-8), {R}) AS z_{i}" for i in range(8))} FROM t""",
+SELECT vec_id, {", ".join(f"round((e[{i + 1}] - m) / (sd + 1e-8), {R}) AS z_{i}" for i in range(64))} FROM t""",
         "doc_unknown_targets": "SELECT DISTINCT CAST(quality AS VARCHAR) AS label FROM labels WHERE CAST(quality AS VARCHAR) NOT IN ('0', '1')",
         "doc_labelled_semi": "SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY lang",
         "px_feature_union": f"""WITH {PIX}, q AS (SELECT image_id, quantile_cont(v, 0.1) AS background, quantile_cont(v, 0.2) AS p20, max(v) AS peak FROM pix GROUP BY image_id),
@@ -343,23 +343,23 @@ SELECT j.split, count(*) AS n, round(avg(ok), {R}) AS accuracy, round(avg(pmax),
     return o
 
 
-def emb_overlap_rule_weights(spark, sf):
+def li_overlap_rule_weights(spark, sf):
     """One boosting epoch with the bin-overlap rule (update only cells
     the predicted class does not occupy)."""
     from pairbayes.plans.train import TrainLog, train
 
-    model, fx_y = _emb_model(spark, sf, EMB_BOOST_DIMS)
+    model, fx_y = _boost_model(spark, sf)
     m = train(model, fx_y, epochs=1, patience=5, rule="bin_overlap", log=TrainLog())
     return m.weights.select("y", "pair_id", "bi", "bj", F.round("w", 9).alias("w"))
 
 
-def emb_smoothed_weights(spark, sf):
+def li_smoothed_weights(spark, sf):
     """B17 (re-aimed): weights after one epoch, smoothed 0.7/0.3 with the
     average over pairs sharing a feature (same class and cell)."""
     from pairbayes.operators.boost import smooth_weights
     from pairbayes.plans.train import TrainLog, train
 
-    model, fx_y = _emb_model(spark, sf, EMB_BOOST_DIMS)
+    model, fx_y = _boost_model(spark, sf)
     m = train(model, fx_y, epochs=1, patience=5, log=TrainLog())
     return smooth_weights(m).select("y", "pair_id", "bi", "bj", F.round("w", 9).alias("w"))
 
@@ -386,8 +386,8 @@ def emb_epoch_snapshots(spark, sf):
 
 
 QUERIES.update({
-    "emb_overlap_rule_weights": emb_overlap_rule_weights,
-    "emb_smoothed_weights": emb_smoothed_weights,
+    "li_overlap_rule_weights": li_overlap_rule_weights,
+    "li_smoothed_weights": li_smoothed_weights,
     "doc_numeric_columns": doc_numeric_columns,
     "emb_epoch_snapshots": emb_epoch_snapshots,
 })
@@ -400,12 +400,12 @@ def oracles() -> dict[str, str]:  # noqa: F811
     from pairbayes.plans.oracles import boost_ctes
 
     o = _extra_oracles_base2()
-    one = "WITH " + emb_base(EMB_BOOST_DIMS) + "," + score_ctes("e0", None) + "," + boost_ctes("e0", None, "pred_e0", "0.05e0")
-    overlap = one.replace("WHERE ((CAST(coalesce(k.n, 0) AS DOUBLE) + 1.0e0) / (CAST(c.nc AS DOUBLE) + CAST(256 AS DOUBLE) + 1e-8)) < 0.25e0",
+    one = "WITH " + boost_base() + "," + score_ctes("e0", None, BOOST_BINS) + "," + boost_ctes("e0", None, "pred_e0", "0.05e0", BOOST_BINS)
+    overlap = one.replace("WHERE ((CAST(coalesce(k.n, 0) AS DOUBLE) + 1.0e0) / (CAST(c.nc AS DOUBLE) + CAST(1024 AS DOUBLE) + 1e-8)) < 0.25e0",
                           "WHERE k.n IS NULL")
     assert overlap != one
-    o["emb_overlap_rule_weights"] = overlap + " SELECT y, pair_id, bi, bj, round(w, 9) AS w FROM w_e0"
-    o["emb_smoothed_weights"] = one + """,
+    o["li_overlap_rule_weights"] = overlap + " SELECT y, pair_id, bi, bj, round(w, 9) AS w FROM w_e0"
+    o["li_smoothed_weights"] = one + """,
 lp AS (SELECT pair_id, f1 AS f FROM pairs UNION ALL SELECT pair_id, f2 FROM pairs),
 adj AS (SELECT DISTINCT l.pair_id AS a, r.pair_id AS b FROM lp l JOIN lp r ON l.f = r.f AND l.pair_id < r.pair_id),
 nb AS (SELECT a AS pair_id, b AS nb FROM adj UNION ALL SELECT b, a FROM adj),

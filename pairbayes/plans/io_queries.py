@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from pairbayes.operators.encode import encode_labels
 from pairbayes.operators.features import feature_frame
 from pairbayes.operators.posterior import score
-from pairbayes.plans.learner_queries import EMB_BOOST_DIMS, EMB_DIMS, ROUND, _emb_model, _emb_trained
-from pairbayes.plans.oracles import emb_base, score_ctes
+from pairbayes.plans.learner_queries import BOOST_BINS, EMB_DIMS, ROUND, _boost_model, _emb_model, _emb_trained
+from pairbayes.plans.oracles import boost_base, emb_base, score_ctes
 from pairbayes.session import table
 from pairbayes.sources import sinks
 from pairbayes.sources.model_store import load_model, save_model, scratch_path
 from pairbayes.streaming.scoring import merged_counts, refresh_counts_stream, score_stream, stream_source
 
 
-def emb_model_roundtrip(spark, sf) -> DataFrame:
+def li_model_roundtrip(spark, sf) -> DataFrame:
     """Boosted model saved, loaded back, used to score: must equal the
     in-memory model's predictions."""
     model, fx_y = _emb_trained(spark, sf, 2)
@@ -31,12 +31,12 @@ def emb_model_roundtrip(spark, sf) -> DataFrame:
                     F.round("confidence", ROUND).alias("confidence"))
 
 
-def emb_prediction_sink(spark, sf) -> DataFrame:
+def li_prediction_sink(spark, sf) -> DataFrame:
     """S11 + S14: predictions written partitioned by split and correctness,
     read back; per partition counts."""
     from pairbayes.operators.sampling import train_test_split
 
-    model, fx_y = _emb_model(spark, sf, EMB_BOOST_DIMS)
+    model, fx_y = _boost_model(spark, sf)
     s = score(model, fx_y)
     s = train_test_split(s, "row_id", 0.2, 42).withColumn("correct", F.col("pred") == F.col("y"))
     path = scratch_path(spark, "pred")
@@ -51,12 +51,12 @@ def emb_feature_sink(spark, sf) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     e = e.withColumn("filename", F.concat(F.lit("vec_"), F.col("vec_id").cast("string"), F.lit(".npy"))).withColumn(
         "target", F.col("label").cast("string"))
-    f = sinks.feature_columns(e, "e", 8, keep=("target", "filename"))
+    f = sinks.feature_columns(e, "e", 64, keep=("target", "filename"))
     f = sinks.deterministic_columns(f, ["filename", "target"], "filename")
     path = scratch_path(spark, "features")
     f.write.mode("overwrite").parquet(path)
     back = spark.read.parquet(path)
-    return back.select("filename", "target", *[F.round(f"feature_{i}", ROUND).alias(f"feature_{i}") for i in range(8)])
+    return back.select("filename", "target", *[F.round(f"feature_{i}", ROUND).alias(f"feature_{i}") for i in range(64)])
 
 
 def _emb_schema():
@@ -99,8 +99,8 @@ def emb_stream_counts(spark, sf) -> DataFrame:
 
 
 QUERIES = {
-    "emb_model_roundtrip": emb_model_roundtrip,
-    "emb_prediction_sink": emb_prediction_sink,
+    "li_model_roundtrip": li_model_roundtrip,
+    "li_prediction_sink": li_prediction_sink,
     "emb_feature_sink": emb_feature_sink,
     "emb_stream_scores": emb_stream_scores,
     "emb_stream_counts": emb_stream_counts,
@@ -110,10 +110,10 @@ QUERIES = {
 def oracles(learner: dict[str, str]) -> dict[str, str]:
     from pairbayes.operators.sampling import split_unit_sql
 
-    feats = ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), {ROUND}) AS feature_{i}" for i in range(8))
+    feats = ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), {ROUND}) AS feature_{i}" for i in range(64))
     return {
-        "emb_model_roundtrip": learner["emb_boosted_predictions"],
-        "emb_prediction_sink": "WITH " + emb_base(EMB_BOOST_DIMS) + "," + score_ctes("s", None) + f"""
+        "li_model_roundtrip": learner["li_boosted_predictions"],
+        "li_prediction_sink": "WITH " + boost_base() + "," + score_ctes("s", None, BOOST_BINS) + f"""
 SELECT CASE WHEN {split_unit_sql('row_id')} < 0.8e0 THEN 'train' ELSE 'test' END AS split, pred = ytrue AS correct, count(*) AS n
 FROM pred_s GROUP BY 1, 2""",
         "emb_feature_sink": f"""SELECT 'vec_' || CAST(vec_id AS VARCHAR) || '.npy' AS filename, CAST(label AS VARCHAR) AS target, {feats} FROM embeddings""",

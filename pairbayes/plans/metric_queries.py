@@ -11,39 +11,39 @@ from pairbayes.operators.binning import feature_pairs, pairs_frame
 from pairbayes.operators.boost import pair_adjacency
 from pairbayes.operators.posterior import score
 from pairbayes.operators.sampling import split_unit_sql, train_test_split
-from pairbayes.plans.learner_queries import EMB_BOOST_DIMS, EMB_DIMS, _emb_model
-from pairbayes.plans.oracles import emb_base, score_ctes
+from pairbayes.plans.learner_queries import BOOST_BINS, EMB_DIMS, _boost_fx, _boost_model, _emb_model
+from pairbayes.plans.oracles import boost_base, emb_base, score_ctes
 
 R = 6
 
 
 def _pred(spark, sf):
-    # 4 dimensions: the model makes real errors there (8 fit every row)
-    model, fx_y = _emb_model(spark, sf, EMB_BOOST_DIMS)
+    # lineitem: the measures do not determine the flag, so there are errors
+    model, fx_y = _boost_model(spark, sf)
     return score(model, fx_y), model
 
 
-def emb_confusion_share(spark, sf) -> DataFrame:
+def li_confusion_share(spark, sf) -> DataFrame:
     """Row-normalised confusion."""
     s, _ = _pred(spark, sf)
     c = metrics.row_normalised_confusion(metrics.confusion(s))
     return c.select("true_class", "pred_class", "n", F.round("share", R).alias("share"))
 
 
-def emb_misclassified(spark, sf) -> DataFrame:
+def li_misclassified(spark, sf) -> DataFrame:
     """Per true class, counts by wrong predicted class with totals."""
     s, _ = _pred(spark, sf)
     return metrics.misclassification_breakdown(s)
 
 
-def emb_error_examples(spark, sf) -> DataFrame:
+def li_error_examples(spark, sf) -> DataFrame:
     """At most 5 failed rows per true class, lowest ids."""
     s, _ = _pred(spark, sf)
     e = metrics.error_examples(s, 5)
     return e.select("row_id", F.col("y").alias("true_class"), F.col("pred").alias("pred_class"), F.col("rank").cast("int").alias("rank"))
 
 
-def emb_confidence_pages(spark, sf) -> DataFrame:
+def li_confidence_pages(spark, sf) -> DataFrame:
     """Per predicted class, rank by confidence; page/grid position for
     4x4 pages, top 32 per class (the top-k is the feature)."""
     s, _ = _pred(spark, sf)
@@ -52,21 +52,21 @@ def emb_confidence_pages(spark, sf) -> DataFrame:
     return p.select("row_id", F.col("pred").alias("pred_class"), F.col("rank").cast("int").alias("rank"), "page", "grid_row", "grid_col")
 
 
-def emb_entropy(spark, sf) -> DataFrame:
+def li_entropy(spark, sf) -> DataFrame:
     """Max posterior and entropy per row."""
     s, _ = _pred(spark, sf)
     return s.select("row_id", F.round("confidence", R).alias("confidence"),
                     F.round(entropy(F.col("posterior")), R).alias("entropy"))
 
 
-def emb_confusion_weights(spark, sf) -> DataFrame:
+def li_confusion_weights(spark, sf) -> DataFrame:
     """1 - recall per class, scaled to sum to C."""
     s, m = _pred(spark, sf)
     w = metrics.confusion_class_weights(metrics.confusion(s), m.n_classes)
     return w.select("cls", F.round("weight", R).alias("weight"))
 
 
-def emb_low_posterior(spark, sf) -> DataFrame:
+def li_low_posterior(spark, sf) -> DataFrame:
     """P25: rows whose max posterior is below 0.9 (our reading of the
     anomaly threshold setting)."""
     s, _ = _pred(spark, sf)
@@ -78,7 +78,7 @@ def emb_pair_adjacency(spark, sf) -> DataFrame:
     return pair_adjacency(pairs_frame(spark, feature_pairs(EMB_DIMS)))
 
 
-def emb_split_report(spark, sf) -> DataFrame:
+def li_split_report(spark, sf) -> DataFrame:
     """W10 + J7/J8: seeded split attached by id; per split accuracy; the test
     set is derived as all rows minus train rows (anti join)."""
     s, _ = _pred(spark, sf)
@@ -92,58 +92,58 @@ def emb_split_report(spark, sf) -> DataFrame:
 
 
 QUERIES = {
-    "emb_confusion_share": emb_confusion_share,
-    "emb_misclassified": emb_misclassified,
-    "emb_error_examples": emb_error_examples,
-    "emb_confidence_pages": emb_confidence_pages,
-    "emb_entropy": emb_entropy,
-    "emb_confusion_weights": emb_confusion_weights,
-    "emb_low_posterior": emb_low_posterior,
+    "li_confusion_share": li_confusion_share,
+    "li_misclassified": li_misclassified,
+    "li_error_examples": li_error_examples,
+    "li_confidence_pages": li_confidence_pages,
+    "li_entropy": li_entropy,
+    "li_confusion_weights": li_confusion_weights,
+    "li_low_posterior": li_low_posterior,
     "emb_pair_adjacency": emb_pair_adjacency,
-    "emb_split_report": emb_split_report,
+    "li_split_report": li_split_report,
 }
 
 
 def oracles() -> dict[str, str]:
-    base = "WITH " + emb_base(EMB_BOOST_DIMS) + "," + score_ctes("s", None)
+    base = "WITH " + boost_base() + "," + score_ctes("s", None, BOOST_BINS)
     conf = """,
 cl AS (SELECT DISTINCT ytrue AS c FROM pred_s UNION SELECT DISTINCT pred FROM pred_s),
 cnt AS (SELECT ytrue, pred, count(*) AS n FROM pred_s GROUP BY ytrue, pred),
 cm AS (SELECT a.c AS true_class, b.c AS pred_class, coalesce(cnt.n, 0) AS n FROM cl a CROSS JOIN cl b LEFT JOIN cnt ON cnt.ytrue = a.c AND cnt.pred = b.c)"""
     return {
-        "emb_confusion_share": base + conf + f"""
+        "li_confusion_share": base + conf + f"""
 SELECT true_class, pred_class, n, round(CASE WHEN sum(n) OVER (PARTITION BY true_class) > 0 THEN n * 1.0e0 / sum(n) OVER (PARTITION BY true_class) ELSE 0.0e0 END, {R}) AS share FROM cm""",
-        "emb_misclassified": base + """,
+        "li_misclassified": base + """,
 g AS (SELECT ytrue AS true_class, pred AS pred_class, count(*) AS n FROM pred_s GROUP BY ytrue, pred),
 t AS (SELECT *, sum(n) OVER (PARTITION BY true_class) AS total, sum(CASE WHEN true_class = pred_class THEN n ELSE 0 END) OVER (PARTITION BY true_class) AS correct FROM g)
 SELECT true_class, pred_class, n, CAST(total AS BIGINT) AS total, CAST(correct AS BIGINT) AS correct FROM t WHERE true_class <> pred_class""",
-        "emb_error_examples": base + """
+        "li_error_examples": base + """
 SELECT row_id, true_class, pred_class, CAST(rank AS INTEGER) AS rank FROM (SELECT row_id, ytrue AS true_class, pred AS pred_class,
   row_number() OVER (PARTITION BY ytrue ORDER BY row_id) AS rank FROM pred_s WHERE pred <> ytrue) WHERE rank <= 5""",
-        "emb_confidence_pages": base + """,
+        "li_confidence_pages": base + """,
 r AS (SELECT row_id, pred AS pred_class, CAST(row_number() OVER (PARTITION BY pred ORDER BY round(pmax, 9) DESC, row_id) - 1 AS INTEGER) AS rank FROM pred_s)
 SELECT row_id, pred_class, rank, CAST(floor(rank / 16) AS INTEGER) AS page, CAST(floor((rank % 16) / 4) AS INTEGER) AS grid_row,
   CAST(rank % 4 AS INTEGER) AS grid_col FROM r WHERE rank < 32""",
-        "emb_entropy": base + f""",
+        "li_entropy": base + f""",
 h AS (SELECT row_id, -sum(p * ln(p + 1e-10)) AS entropy, max(p) AS confidence FROM post_s GROUP BY row_id)
 SELECT row_id, round(confidence, {R}) AS confidence, round(entropy, {R}) AS entropy FROM h""",
-        "emb_confusion_weights": base + conf + f""",
+        "li_confusion_weights": base + conf + f""",
 g AS (SELECT true_class, sum(n) AS tot, sum(CASE WHEN true_class = pred_class THEN n ELSE 0 END) AS tp FROM cm GROUP BY true_class),
 w AS (SELECT true_class, 1.0e0 - tp * 1.0e0 / CASE WHEN tot = 0 THEN 1 ELSE tot END AS w FROM g)
 SELECT true_class AS cls, round(CASE WHEN sum(w) OVER () > 0 THEN w * (SELECT count(*) FROM ncls) / sum(w) OVER () ELSE 1.0e0 END, {R}) AS weight FROM w""",
-        "emb_low_posterior": base + """
+        "li_low_posterior": base + """
 SELECT row_id, ytrue AS true_class, pred AS pred_class FROM pred_s WHERE pmax < 0.9e0""",
         "emb_pair_adjacency": "WITH " + emb_base() + """,
 lp AS (SELECT pair_id, f1 AS f FROM pairs UNION ALL SELECT pair_id, f2 FROM pairs)
 SELECT DISTINCT l.pair_id AS a, r.pair_id AS b FROM lp l JOIN lp r ON l.f = r.f AND l.pair_id < r.pair_id""",
-        "emb_split_report": base + f""",
+        "li_split_report": base + f""",
 sp AS (SELECT row_id, CASE WHEN {split_unit_sql('row_id')} < 0.8e0 THEN 'train' ELSE 'test' END AS split FROM pred_s)
 SELECT split, count(*) AS n, round(avg(CASE WHEN p.pred = p.ytrue THEN 1.0e0 ELSE 0.0e0 END), {R}) AS accuracy
 FROM pred_s p JOIN sp ON sp.row_id = p.row_id GROUP BY split""",
     }
 
 
-def emb_failed_margins(spark, sf) -> DataFrame:
+def li_failed_margins(spark, sf) -> DataFrame:
     """Margins of failed rows, mandatory top-2 per class."""
     from pairbayes.operators.active import failed_margins
 
@@ -153,33 +153,33 @@ def emb_failed_margins(spark, sf) -> DataFrame:
                     F.col("margin_rank").cast("int").alias("margin_rank"), "mandatory")
 
 
-def emb_active_selection(spark, sf) -> DataFrame:
+def li_active_selection(spark, sf) -> DataFrame:
     """One selection round over every failed row (rows-only check)."""
     from pairbayes.operators.active import select_samples
     from pairbayes.operators.binning import feature_pairs as fp
 
-    model, fx_y = _emb_model(spark, sf, EMB_BOOST_DIMS)
+    model, fx_y = _boost_model(spark, sf)
     s = score(model, fx_y)
     sizes = s.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    return select_samples(s, fx_y, fp(EMB_BOOST_DIMS), sizes)
+    return select_samples(s, fx_y, fp(4), sizes)
 
 
-def emb_adaptive_rounds(spark, sf) -> DataFrame:
+def li_adaptive_rounds(spark, sf) -> DataFrame:
     """Adaptive training rounds from two seed rows per class; the round
     log (rows-only check)."""
     from pairbayes.operators.features import feature_frame
     from pairbayes.plans.train import adaptive_fit
     from pairbayes.session import table
 
-    fx = feature_frame(table(spark, sf, "embeddings"), "vec_id", "label", array_col="embedding", n_dims=EMB_BOOST_DIMS)
-    _, _, log = adaptive_fit(fx, n_bins=16, epochs=2, rounds=3, patience=2)
+    fx = _boost_fx(spark, sf)
+    _, _, log = adaptive_fit(fx, n_bins=BOOST_BINS, epochs=2, rounds=3, patience=2)
     return log
 
 
 QUERIES.update({
-    "emb_failed_margins": emb_failed_margins,
-    "emb_active_selection": emb_active_selection,
-    "emb_adaptive_rounds": emb_adaptive_rounds,
+    "li_failed_margins": li_failed_margins,
+    "li_active_selection": li_active_selection,
+    "li_adaptive_rounds": li_adaptive_rounds,
 })
 
 _base_oracles = oracles
@@ -187,8 +187,8 @@ _base_oracles = oracles
 
 def oracles() -> dict[str, str]:  # noqa: F811
     o = _base_oracles()
-    o["emb_failed_margins"] = "WITH " + emb_base(EMB_BOOST_DIMS) + "," + score_ctes("s", None) + f""",
+    o["li_failed_margins"] = "WITH " + boost_base() + "," + score_ctes("s", None, BOOST_BINS) + f""",
 f AS (SELECT row_id, ytrue AS true_class, pmax - ptrue AS margin FROM pred_s WHERE pred <> ytrue),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY true_class ORDER BY margin DESC, row_id) AS INTEGER) AS margin_rank FROM f)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY true_class ORDER BY round(margin, 9) DESC, row_id) AS INTEGER) AS margin_rank FROM f)
 SELECT row_id, true_class, round(margin, {R}) AS margin, margin_rank, margin_rank <= 2 AS mandatory FROM r"""
     return o

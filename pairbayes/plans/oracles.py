@@ -7,7 +7,7 @@ table), where the Spark plan uses the sparse correction form.
 
 from __future__ import annotations
 
-from pairbayes.plans.learner_queries import EMB_BINS, EMB_BOOST_DIMS, EMB_DIMS, ROUND
+from pairbayes.plans.learner_queries import BOOST_BINS, EMB_BINS, EMB_DIMS, ROUND
 
 
 def D(x) -> str:
@@ -15,6 +15,13 @@ def D(x) -> str:
 
 
 EMB_SRC = "SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS label, embedding AS e FROM embeddings"
+LI_SRC = ("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS row_id, "
+          "l_returnflag AS label, [l_quantity, l_extendedprice, l_discount, l_tax] AS e FROM lineitem")
+
+
+def boost_base() -> str:
+    """Histogram CTEs of the lineitem model used by the boosting queries."""
+    return hist_base(LI_SRC, 4, BOOST_BINS)
 
 
 def emb_base(dims: int = EMB_DIMS, B: int = EMB_BINS) -> str:
@@ -94,15 +101,16 @@ w_{tag} AS (SELECT coalesce(a.y, b.y) AS y, coalesce(a.pair_id, b.pair_id) AS pa
 def two_epoch_ctes() -> str:
     """Score W0 -> update (lr 0.05) -> score W1 -> update (lr by the
     improvement rule) -> W2."""
-    s = emb_base(EMB_BOOST_DIMS) + "," + score_ctes("e0", None) + "," + boost_ctes("e0", None, "pred_e0", "0.05e0")
-    s += "," + score_ctes("e1", "w_e0")
+    B = BOOST_BINS
+    s = boost_base() + "," + score_ctes("e0", None, B) + "," + boost_ctes("e0", None, "pred_e0", "0.05e0", B)
+    s += "," + score_ctes("e1", "w_e0", B)
     s += """,
 err AS (SELECT (SELECT count(*) FROM pred_e0 WHERE pred <> ytrue) AS n0,
                (SELECT count(*) FROM pred_e1 WHERE pred <> ytrue) AS n1,
                (SELECT count(*) FROM pred_e0) AS n)"""
     lr2 = ("(SELECT CASE WHEN n1 * 1.0e0 / n <= n0 * 1.0e0 / n AND (n0 * 1.0e0 / n - n1 * 1.0e0 / n) > 0.001e0 "
            "THEN 0.05e0 ELSE 0.025e0 END FROM err)")
-    s += "," + boost_ctes("e1", "w_e0", "pred_e1", lr2)
+    s += "," + boost_ctes("e1", "w_e0", "pred_e1", lr2, B)
     return s
 
 
@@ -128,9 +136,9 @@ cl AS (SELECT DISTINCT ytrue AS c FROM pred_s UNION SELECT DISTINCT pred FROM pr
 cnt AS (SELECT ytrue, pred, count(*) AS n FROM pred_s GROUP BY ytrue, pred)
 SELECT a.c AS true_class, b.c AS pred_class, coalesce(cnt.n, 0) AS n
 FROM cl a CROSS JOIN cl b LEFT JOIN cnt ON cnt.ytrue = a.c AND cnt.pred = b.c""",
-        "emb_boost_weights": "WITH " + two_epoch_ctes() + """
+        "li_boost_weights": "WITH " + two_epoch_ctes() + """
 SELECT y, pair_id, bi, bj, round(w, 9) AS w FROM w_e1""",
-        "emb_boosted_predictions": "WITH " + two_epoch_ctes() + "," + score_ctes("e2", "w_e1") + f"""
+        "li_boosted_predictions": "WITH " + two_epoch_ctes() + "," + score_ctes("e2", "w_e1", BOOST_BINS) + f"""
 SELECT row_id, ytrue AS true_class, pred AS pred_class, round(pmax, {r}) AS confidence FROM pred_e2""",
         "emb_class_report": base + "," + score_ctes("s", None) + f""",
 t AS (SELECT ytrue AS cls, count(*) AS support, sum(CASE WHEN pred = ytrue THEN 1 ELSE 0 END) AS tp FROM pred_s GROUP BY ytrue),
@@ -146,7 +154,7 @@ pv AS (SELECT a.y, p.pair_id, a.v AS a, b.v AS b FROM feat a JOIN pairs p ON a.f
 g AS (SELECT y, pair_id, count(*) AS n, avg(a) AS m1, avg(b) AS m2, var_samp(a) AS v11, covar_samp(a, b) AS v12, var_samp(b) AS v22 FROM pv GROUP BY y, pair_id)
 SELECT y, pair_id, n, round(m1, {r}) AS m1, round(m2, {r}) AS m2,
   round(coalesce(v11 * ((n - 1.0e0) / (n - 1.0e0 + 1e-6)), 0.0e0) + 1e-6, {r}) AS c11,
-  round(coalesce(v12 * ((n - 1.0e0) / (n - 1.0e0 + 1e-6)), 0.0e0), {r}) AS c12,
+  round(coalesce(v12 * ((n - 1.0e0) / (n - 1.0e0 + 1e-6)), 0.0e0), {r}) + 0.0e0 AS c12,
   round(coalesce(v22 * ((n - 1.0e0) / (n - 1.0e0 + 1e-6)), 0.0e0) + 1e-6, {r}) AS c22 FROM g""",
     }
     rep_body = out["emb_class_report"].split("\nSELECT cls, support, tp, predicted,")[0]

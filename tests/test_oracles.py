@@ -9,7 +9,7 @@ import pytest
 
 from tests.conftest import SF01
 
-FAST = ["emb_cell_counts", "emb_posterior", "emb_boosted_predictions", "li_cardinality_drop", "part_first_codes",
+FAST = ["emb_cell_counts", "emb_posterior", "li_boosted_predictions", "li_cardinality_drop", "part_first_codes",
         "spec_vote", "nearest_customer", "emb_class_separation", "px_shape_stats", "page_catalogue", "li_colours"]
 
 
@@ -46,8 +46,8 @@ def test_every_query_has_oracle_or_is_rows_only():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     rows_only = set(q) - set(o)
-    assert rows_only <= {"emb_kmeans", "emb_pca", "emb_active_selection", "emb_adaptive_rounds", "px_noise",
-                         "emb_selected_features", "emb_sample", "emb_method_comparison"}
+    assert rows_only <= {"emb_kmeans", "emb_pca", "li_active_selection", "li_adaptive_rounds", "px_noise",
+                         "emb_selected_features", "emb_sample", "li_method_comparison"}
 
 
 @pytest.mark.parametrize("name", _names())
