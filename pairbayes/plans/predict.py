@@ -41,10 +41,14 @@ def predict_new(model: HistogramModel, fx: DataFrame, keep=("row_id",)) -> DataF
 
 
 def evaluation_by_split(scored: DataFrame, split_col: str = "split") -> DataFrame:
-    """Accuracy, mean confidence (A29) and mean class accuracy per split."""
-    per_class = scored.groupBy(split_col, "y").agg(F.avg(F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)).alias("acc_c"))
-    mca = per_class.groupBy(split_col).agg(F.avg("acc_c").alias("mean_class_accuracy"))
-    g = scored.groupBy(split_col).agg(F.count(F.lit(1)).alias("n"),
-                                      F.avg(F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)).alias("accuracy"),
-                                      F.avg("confidence").alias("mean_confidence"))
-    return g.join(mca, split_col)
+    """Accuracy, mean confidence (A29) and mean class accuracy per split,
+    from ONE aggregation of the scores (per split and class), so the
+    scoring plan runs once."""
+    from pairbayes.operators.metrics import _small
+
+    ok = F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)
+    cnt = _small(scored.groupBy(split_col, "y").agg(F.count(F.lit(1)).alias("n"), F.sum(ok).alias("c"),
+                                                    F.sum("confidence").alias("sc")))
+    return cnt.groupBy(split_col).agg(
+        F.sum("n").alias("n"), (F.sum("c") / F.sum("n")).alias("accuracy"),
+        (F.sum("sc") / F.sum("n")).alias("mean_confidence"), F.avg(F.col("c") / F.col("n")).alias("mean_class_accuracy"))
