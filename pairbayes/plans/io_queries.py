@@ -65,8 +65,12 @@ def _emb_schema():
 
 def emb_stream_scores(spark, sf) -> DataFrame:
     """ST1: the embeddings file read as a stream and scored per micro-batch
-    with the frozen model; equals batch scoring."""
-    model, _ = _emb_model(spark, sf)
+    with a model saved to and loaded from the model store; equals batch
+    scoring."""
+    fitted, _ = _emb_model(spark, sf)
+    base = scratch_path(spark, "stream-model")
+    save_model(fitted, base)
+    model, _, _ = load_model(spark, base)
     classes = list(model.classes)
 
     def to_features(df):
