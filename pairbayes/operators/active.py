@@ -86,7 +86,7 @@ def _leader_walk(pairs: list[tuple[int, int]], min_div: float):
 
 
 def select_samples(scored: DataFrame, features: DataFrame, pairs: list[tuple[int, int]], class_sizes: DataFrame,
-                   min_divergence: float = MIN_DIVERGENCE, chunk_rows: int = 4096) -> DataFrame:
+                   min_divergence: float = MIN_DIVERGENCE, chunk_rows: int = 2048) -> DataFrame:
     """``(row_id, y)`` rows to add to the training set.
 
     ``scored``: (row_id, y, posterior, pred, confidence) of candidate rows;

@@ -114,7 +114,7 @@ def fit(fx: DataFrame, n_bins: int = 128, epochs: int = 10, patience: int = 5,
 
 def adaptive_fit(fx: DataFrame, n_bins: int = 128, epochs: int = 5, rounds: int = 10, patience: int = 3,
                  min_gain: float = 1e-4, likelihood_from_all: bool = False, max_combinations: int | None = None,
-                 chunk_rows: int = 4096):
+                 chunk_rows: int = 2048):
     """Seed two rows per class -> fit -> boost -> score every row ->
     add selected failures of the not-yet-training rows -> repeat, until no
     row is added or ``patience`` rounds pass without an accuracy gain.
