@@ -423,3 +423,16 @@ def roughness(pix: DataFrame, v: str = "v", k: int = 10) -> DataFrame:
         F.first("sh").alias("rms_roughness"), F.avg(F.abs("h")).alias("mean_roughness"),
         (F.max("h") - F.min("h")).alias("peak_to_valley"), F.avg(z * z * z).alias("height_skewness"),
         (F.avg(z * z * z * z) - F.lit(3.0)).alias("height_kurtosis"))
+
+
+def image_quality(pix: DataFrame, v: str = "v") -> DataFrame:
+    """image_quality = 0.5*focus_score + 0.3*min(1, snr/10) +
+    0.2*robust contrast, pass when > 0.5 (images without interior pixels
+    have focus 0)."""
+    c = robust_contrasts(pix, v).select("image_id", "robust_contrast")
+    s = tail_snr(pix, v).select("image_id", "snr")
+    f = laplacian_stats(pix, v).select("image_id", "focus_score")
+    j = c.join(s, "image_id", "left").join(f, "image_id", "left")
+    q = (F.lit(0.5) * F.coalesce("focus_score", F.lit(0.0)) + F.lit(0.3) * F.least(F.lit(1.0), F.coalesce("snr", F.lit(0.0)) / 10.0)
+         + F.lit(0.2) * F.col("robust_contrast"))
+    return j.select("image_id", q.alias("image_quality"), F.when(q > 0.5, 1.0).otherwise(0.0).alias("passed"))

@@ -419,3 +419,29 @@ FROM w_e0 w LEFT JOIN s ON s.y = w.y AND s.pair_id = w.pair_id AND s.bi = w.bi A
     o["emb_epoch_snapshots"] = f"""SELECT CAST(t.e AS INTEGER) AS epoch, CASE WHEN {split_unit_sql('vec_id')} < 0.8e0 THEN 'train' ELSE 'test' END AS split, count(*) AS n
 FROM embeddings CROSS JOIN range(0, 3) t(e) GROUP BY 1, 2"""
     return o
+
+
+def px_image_quality(spark, sf):
+    """Composite image quality from focus, tail SNR and contrast."""
+    s = pixels.image_quality(pixel_table(spark, sf).persist())
+    return s.select("image_id", F.round("image_quality", R).alias("image_quality"), "passed")
+
+
+QUERIES["px_image_quality"] = px_image_quality
+
+_extra_oracles_base3 = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    o = _extra_oracles_base3()
+    from pairbayes.plans.pixel_queries import oracles as pix_oracles
+
+    po = pix_oracles()
+    lap = po["px_laplacian"].replace(f", {R})", ", 12)")
+    snr = o["px_tail_snr"].replace(", 3)", ", 12)")
+    con = o["px_robust_contrast"].replace(f", {R})", ", 12)")
+    o["px_image_quality"] = f"""WITH c AS ({con}), s AS ({snr}), f AS ({lap}),
+j AS (SELECT c.image_id, 0.5e0 * coalesce(f.focus_score, 0.0e0) + 0.3e0 * least(1.0e0, coalesce(s.snr, 0.0e0) / 10.0e0)
+        + 0.2e0 * c.robust_contrast AS q FROM c LEFT JOIN s ON s.image_id = c.image_id LEFT JOIN f ON f.image_id = c.image_id)
+SELECT image_id, round(q, {R}) AS image_quality, CASE WHEN q > 0.5 THEN 1.0e0 ELSE 0.0e0 END AS passed FROM j"""
+    return o
