@@ -436,3 +436,16 @@ def image_quality(pix: DataFrame, v: str = "v") -> DataFrame:
     q = (F.lit(0.5) * F.coalesce("focus_score", F.lit(0.0)) + F.lit(0.3) * F.least(F.lit(1.0), F.coalesce("snr", F.lit(0.0)) / 10.0)
          + F.lit(0.2) * F.col("robust_contrast"))
     return j.select("image_id", q.alias("image_quality"), F.when(q > 0.5, 1.0).otherwise(0.0).alias("passed"))
+
+
+def dominant(df: DataFrame, score_cols, label_col: str = "dominant", threshold: float | None = None) -> DataFrame:
+    """The name of the largest score column (ties -> the first listed),
+    and optionally pass = largest score > threshold."""
+    top = F.greatest(*[F.col(c) for c in score_cols])
+    expr = None
+    for c in score_cols:
+        expr = F.when(F.col(c) == top, F.lit(c)) if expr is None else expr.when(F.col(c) == top, F.lit(c))
+    out = df.withColumn(label_col, expr)
+    if threshold is not None:
+        out = out.withColumn("passed", top > F.lit(threshold))
+    return out

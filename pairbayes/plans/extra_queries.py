@@ -445,3 +445,29 @@ j AS (SELECT c.image_id, 0.5e0 * coalesce(f.focus_score, 0.0e0) + 0.3e0 * least(
         + 0.2e0 * c.robust_contrast AS q FROM c LEFT JOIN s ON s.image_id = c.image_id LEFT JOIN f ON f.image_id = c.image_id)
 SELECT image_id, round(q, {R}) AS image_quality, CASE WHEN q > 0.5 THEN 1.0e0 ELSE 0.0e0 END AS passed FROM j"""
     return o
+
+
+def px_dominant_cover(spark, sf):
+    """Dominant land-cover class per image (ties -> first listed) and
+    pass when its share exceeds 0.5."""
+    lc = pixels.land_cover(pixel_table(spark, sf), "nir", "red", "green", "blue")
+    cols = ["vegetation_cover", "water_cover", "urban_cover", "barren_cover"]
+    return pixels.dominant(lc, cols, "dominant", 0.5).select("image_id", "dominant", "passed")
+
+
+QUERIES["px_dominant_cover"] = px_dominant_cover
+
+_extra_oracles_base4 = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    from pairbayes.plans.pixel_queries import oracles as pix_oracles
+
+    o = _extra_oracles_base4()
+    lc = pix_oracles()["px_land_cover"].replace(f", {R})", ", 12)")
+    top = "greatest(vegetation_cover, water_cover, urban_cover, barren_cover)"
+    o["px_dominant_cover"] = f"""WITH lc AS ({lc})
+SELECT image_id, CASE WHEN vegetation_cover = {top} THEN 'vegetation_cover' WHEN water_cover = {top} THEN 'water_cover'
+  WHEN urban_cover = {top} THEN 'urban_cover' WHEN barren_cover = {top} THEN 'barren_cover' END AS dominant,
+  {top} > 0.5 AS passed FROM lc"""
+    return o
