@@ -471,3 +471,27 @@ SELECT image_id, CASE WHEN vegetation_cover = {top} THEN 'vegetation_cover' WHEN
   WHEN urban_cover = {top} THEN 'urban_cover' WHEN barren_cover = {top} THEN 'barren_cover' END AS dominant,
   {top} > 0.5 AS passed FROM lc"""
     return o
+
+
+def li_configured_columns(spark, sf):
+    """S2 + S3 + P27: configured columns (a '#' name excluded) checked
+    against the file, the target resolved, required features put first in
+    training order."""
+    from pairbayes.sources.sinks import check_columns, select_configured
+
+    li = table(spark, sf, "lineitem")
+    cfg = ["l_quantity", "#l_tax", "l_discount", "l_returnflag"]
+    target = check_columns(li, cfg, "l_returnflag")
+    sel = select_configured(li, cfg)
+    return select.require_features(sel, ["l_discount", "l_quantity"]).select("l_discount", "l_quantity", target)
+
+
+QUERIES["li_configured_columns"] = li_configured_columns
+
+_extra_oracles_base5 = oracles
+
+
+def oracles() -> dict[str, str]:  # noqa: F811
+    o = _extra_oracles_base5()
+    o["li_configured_columns"] = "SELECT l_discount, l_quantity, l_returnflag FROM lineitem"
+    return o
