@@ -124,3 +124,37 @@ FROM pred_s GROUP BY 1, 2""",
         "emb_stream_scores": learner["emb_posterior"],
         "emb_stream_counts": "WITH " + emb_base() + " SELECT y, pair_id, bi, bj, n FROM counts",
     }
+
+
+def events_stream_vote(spark, sf) -> DataFrame:
+    """Events read as a file stream with an explicit schema; additive vote
+    counts per micro-batch (foreachBatch), merged, then each user's majority
+    event type (ties -> the type met first): equals the batch vote."""
+    from pyspark.sql import Window
+
+    from pairbayes.streaming.scoring import vote_counts_stream
+
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    src = stream_source(spark, sf, "events.parquet", schema)
+    sink = scratch_path(spark, "stream-votes")
+    q = vote_counts_stream(src, "user_id", "event_type", "event_id", sink, scratch_path(spark, "stream-ckpt"))
+    q.awaitTermination()
+    c = spark.read.parquet(sink).groupBy("user_id", "event_type").agg(F.sum("n").alias("votes"), F.min("first").alias("first"))
+    w = Window.partitionBy("user_id").orderBy(F.col("votes").desc(), F.col("first"))
+    r = c.withColumn("rn", F.row_number().over(w)).withColumn("total", F.sum("votes").over(Window.partitionBy("user_id")))
+    return r.where("rn = 1").select("user_id", F.col("event_type").alias("winner"), F.col("total").cast("long").alias("total"),
+                                    F.col("votes").cast("long").alias("winner_votes"),
+                                    F.round(F.col("votes") / F.col("total"), 6).alias("winner_share"))
+
+
+QUERIES["events_stream_vote"] = events_stream_vote
+
+_io_oracles_base = oracles
+
+
+def oracles(learner: dict[str, str]) -> dict[str, str]:  # noqa: F811
+    from pairbayes.plans.match_queries import oracles as match_oracles
+
+    o = _io_oracles_base(learner)
+    o["events_stream_vote"] = match_oracles()["events_vote"]
+    return o

@@ -45,3 +45,15 @@ def refresh_counts_stream(stream: DataFrame, model: HistogramModel, to_features,
 
 def merged_counts(spark: SparkSession, sink: str) -> DataFrame:
     return spark.read.parquet(sink).groupBy("y", "pair_id", "bi", "bj").agg(F.sum("n").alias("n"))
+
+
+def vote_counts_stream(stream: DataFrame, group: str, vote: str, order: str, sink: str, checkpoint: str):
+    """Additive vote counts from a stream: per micro-batch (group, vote, n,
+    first order key), written idempotently by batch id.  Counts add and the
+    first key is a min, so merging the batches gives the batch answer."""
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        c = df.groupBy(group, vote).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+        c.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
