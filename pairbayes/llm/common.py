@@ -39,13 +39,11 @@ def lower_ascii(col: Column) -> Column:
 
 def word_array(col: Column) -> Column:
     """Words of a text as an array (JVM side); null and blank texts give an empty array."""
-    body = F.trim(F.coalesce(col, F.lit("")), F.lit(SPACES))
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, "[\\x20\\x09-\\x0D]+"))
+    return F.array_remove(F.split(F.trim(F.coalesce(col, F.lit("")), F.lit(SPACES)), "[\\x20\\x09-\\x0D]+"), "")
 
 
 def word_count(col: Column) -> Column:
-    body = F.trim(F.coalesce(col, F.lit("")), F.lit(SPACES))
-    return F.when(body == "", F.lit(0)).otherwise(F.size(F.split(body, "[\\x20\\x09-\\x0D]+"))).cast("long")
+    return F.size(word_array(col)).cast("long")
 
 
 def crc_of_id(col: Column) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairbayes.llm.common import lower_ascii, word_array
+from pairbayes.llm.common import word_array
 
 SHINGLE, FRACTION = 5, 0.125
 
@@ -28,11 +28,14 @@ def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
     return F.when(F.size(words) >= size, at).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
 
 
-def kept(hashes: Column, fraction: float = FRACTION) -> Column:
-    """The sketch: sorted distinct hashes below the threshold, or else the smallest hash."""
+def below(hashes: Column, fraction: float = FRACTION) -> Column:
     limit = int(-(2**63) + fraction * 2**64)
-    low = F.filter(hashes, lambda h: h < F.lit(limit))
-    return F.when((F.size(low) == 0) & (F.size(hashes) > 0), F.array(F.array_min(hashes))).otherwise(F.array_sort(F.array_distinct(low)))
+    return F.filter(hashes, lambda h: h < F.lit(limit))
+
+
+def kept(hashes: Column, low: Column) -> Column:
+    """The sketch: sorted distinct hashes below the threshold (``low``), or else the smallest hash."""
+    return F.when((F.size(low) == 0) & (F.size(hashes) > 0), F.array(F.array_min(hashes))).otherwise(F.sort_array(F.array_distinct(low)))
 
 
 def merged(one: Column, other: Column) -> Column:
@@ -53,11 +56,13 @@ def containment(one: Column, other: Column) -> Column:
 
 def sketched(df: DataFrame, text_cols: dict[str, str], size: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
     """Add the sketch of each text column: ``text_cols`` maps it to the new column's name."""
-    words = {c: f"_w_{i}" for i, c in enumerate(text_cols)}
-    out = df.withColumns({w: word_array(lower_ascii(F.col(c))) for c, w in words.items()})
-    out = out.withColumns({f"_h{w}": shingle_hashes(F.col(w), size) for w in words.values()})
-    out = out.withColumns({text_cols[c]: kept(F.col(f"_h{w}"), fraction) for c, w in words.items()})
-    return out.drop(*words.values(), *[f"_h{w}" for w in words.values()])
+    # one projection a step, so that each array is built once
+    out, at = df, {c: f"_{i}" for i, c in enumerate(text_cols)}
+    out = out.withColumns({f"_w{i}": word_array(F.lower(c)) for c, i in at.items()})
+    out = out.withColumns({f"_h{i}": shingle_hashes(F.col(f"_w{i}"), size) for i in at.values()})
+    out = out.withColumns({f"_l{i}": below(F.col(f"_h{i}"), fraction) for i in at.values()})
+    out = out.withColumns({text_cols[c]: kept(F.col(f"_h{i}"), F.col(f"_l{i}")) for c, i in at.items()})
+    return out.drop(*[f"_{k}{i}" for k in "whl" for i in at.values()])
 
 
 def with_next(df: DataFrame, prepare=lambda d: d, carry: tuple[str, ...] = ("text",), id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 2048) -> DataFrame:
