@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbayes.llm.common import word_count
+from pairbayes.llm.common import crc_of_id
 from pairbayes.session import table
 
 
@@ -13,6 +13,68 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text", "lang", "source", "n_chars")))
 
 
+def remainder(column: str, by: int):
+    return F.pmod(crc_of_id(F.col(column)), F.lit(by))
+
+
+def op1_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learnt from labels outside the held-out fifth."""
+    from pairbayes.llm import quality as Q
+
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    net = Q.fit(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
+    held = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    return Q.classify(docs, net).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op2_bloom_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under the quantised word-pair model and its base."""
+    from pairbayes.llm import bloom_lm as L
+
+    train = F.coalesce(remainder("doc_id", 7) != 2, F.lit(True))
+    scored = L.score(documents(spark, sf_dir, "doc_id", "text"), train)
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base pattern spans, and all spans with the field's.
+
+    The counts and the digest are those of the base patterns; ``n_spans`` counts all."""
+    from pairbayes.llm import pii_crf as P
+
+    found = P.find(documents(spark, sf_dir, "doc_id", "text"))
+    line = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kinds = F.transform("base", lambda s: s["kind"])
+    same = lambda k: lambda x: x == k
+    n = [F.size(F.filter(kinds, same(k))).cast("long").alias(f"n_{k}") for k in P.KINDS]
+    return found.select("doc_id", *n, F.sha2(line("base").cast("binary"), 256).alias("base_sha256"), line("found").alias("spans"), F.size("found").alias("n_spans"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document as a file of the tree source/lang/range/id, own or inherited."""
+    from pairbayes.llm import license_scan as L
+
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang", "source")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 256), F.concat(F.col("doc_id"), F.lit(".txt")))
+    scanned = L.scan(docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")).drop("text")
+    return L.inherit(scanned).select("doc_id", "path", "own_license", "own_score", "license_file", "license", "inherited_from")
+
+
+def op5_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: three-word shingles, similarity 0.85 or more."""
+    from pairbayes.llm.hyperminhash import near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose id is divisible by 20, by inner product."""
+    from pairbayes.llm.perm_index import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, its edited text and the next document's."""
     from pairbayes.llm import sketch as S
@@ -63,5 +125,5 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
-QUERIES = {f.__name__: f for f in (op7_threshold_sketch, op8_two_pass_shuffle, op9_curve_packing, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_random_index_quality, op2_bloom_language_model, op3_crf_personal_data, op4_license_scan, op5_hyperminhash_dedup, op6_permutation_index, op7_threshold_sketch, op8_two_pass_shuffle, op9_curve_packing, op10_source_mix)}
 ORACLES: dict[str, str] = {}
