@@ -14,7 +14,9 @@ table gives no pieces.  Extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +31,26 @@ DIMS, BITS = 4, 15
 IDS_PER_TASK = 1 << 21
 
 
+#: Signs (no apostrophe) at a word's end after a letter or digit: pieces of their own for the tokeniser.
+TAIL = re.compile(rb"(?<=[a-z0-9])[!-&(-/:-@\[-`{-~]+(?=[\x09-\x0D\x20]|\Z)")
+
+
+def bare_words(text: bytes | None) -> list[bytes]:
+    """Words of a text as the tokeniser sees them: lower-cased, signs at their ends parted off.
+    Texts that may spell a special token stay as they are."""
+    if not text:
+        return []
+    return text.split() if b"<|" in text else TAIL.sub(rb" \g<0>", text.lower()).split()
+
+
 class WordCodes:
     """Token ids of words, each distinct word encoded once.
 
-    The tokeniser drops white space and never joins across it, so a text's ids
-    are its words' ids put together.  The table starts anew at ``limit`` words."""
+    The tokeniser drops white space, lower-cases, and never joins letters with
+    signs, so a text's ids are its words' ids put together.  Words not seen
+    before are encoded many at a time.  The table starts anew at ``limit`` words."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,38 +59,49 @@ class WordCodes:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.used, self.n = 0, 0
+        self.used = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start, self.len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def keep(self, words: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
+        n = len(self.index)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(words) > len(self.start):
+            self.start, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.len))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + len(words)], self.len[n : n + len(words)] = self.used + np.cumsum(lens) - lens, lens
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        self.used += len(ids)
+
     def learn(self, words: list[bytes]) -> None:
-        if self.n + len(words) > self.limit and self.n:
-            raise OverflowError
-        for e, w in zip(self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), words, strict=True):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if self.n == len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.len = np.concatenate([self.len, np.zeros_like(self.len)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[self.n], self.len[self.n] = self.used, len(ids)
-            self.index[w] = self.n
-            self.used, self.n = self.used + len(ids), self.n + 1
-
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters go together: each is one piece, so the pieces' numbers tell them
+        apart; a group whose count is off, and the other words, are encoded one by one."""
+        text = [w.decode("utf-8", "replace") for w in words]
+        alpha = [i for i, t in enumerate(text) if t.isalpha()]
+        alone = [i for i, t in enumerate(text) if not t.isalpha()]
+        groups = [alpha[a : a + 256] for a in range(0, len(alpha), 256)]
+        for group, e in zip(groups, self.tok.encode_batch([" ".join(text[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            which = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
+            if len(which) and which.min() == 0 and which.max() == len(group) - 1:
+                self.keep([words[i] for i in group], np.array(e.ids, np.uint32), np.bincount(which, minlength=len(group)))
+            else:
+                alone += group
+        ids = [e.ids for e in self.tok.encode_batch_fast([text[i] for i in alone], add_special_tokens=False)]
+        self.keep([words[i] for i in alone], np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def encode(self, texts: list[bytes | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ``end_id`` after each, and the count of each text."""
-        split = [t.split() if t else [] for t in texts]
-        seen = self.index
-        fresh = list({w for words in split for w in words if w not in seen})
-        try:
-            self.learn(fresh)
-        except OverflowError:
+        split = [bare_words(t) for t in texts]
+        words = list(chain.from_iterable(split))
+        if len(self.index) > self.limit:
             self.clear()
-            self.learn(list({w for words in split for w in words}))
-        seen = self.index
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(at < 0).tolist()
+        if fresh:
+            self.learn(list(dict.fromkeys(words[i] for i in fresh)))
+            at[fresh] = [self.index[words[i]] for i in fresh]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((seen[w] for words in split for w in words), np.int64, int(counts.sum()))
         lens = self.len[at]
         ends = np.cumsum(lens)
         ids = self.flat[np.repeat(self.start[at] - (ends - lens), lens) + np.arange(int(lens.sum()))]
