@@ -65,7 +65,7 @@ def sketched(df: DataFrame, text_cols: dict[str, str], size: int = SHINGLE, frac
     return out.drop(*[f"_{k}{i}" for k in "whl" for i in at.values()])
 
 
-def with_next(df: DataFrame, prepare=lambda d: d, carry: tuple[str, ...] = ("text",), id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 2048) -> DataFrame:
+def with_next(df: DataFrame, prepare=lambda d: d, carry: tuple[str, ...] = ("text",), id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 2048, most_buckets: int = 200_000) -> DataFrame:
     """``prepare(df)`` with ``next_<c>`` for each column of ``carry``: its value in the row
     that follows in descending id order, in the first row after the last.  Nulls come
     last, equal ids by a hash of their texts.
@@ -73,8 +73,10 @@ def with_next(df: DataFrame, prepare=lambda d: d, carry: tuple[str, ...] = ("tex
     Ids are dealt into ranges of about ``rows_per_bucket`` rows, so the rows are
     shuffled once and no task orders the whole table; the last row of a range
     takes the first row of the next range, which is found through ids alone and
-    prepared apart."""
+    prepared apart.  There are at most ``most_buckets`` ranges (larger ones beyond
+    that), so the list of their first ids is bounded and may be broadcast."""
     lo, hi, n = df.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
+    rows_per_bucket = max(rows_per_bucket, -(-n // most_buckets))
     width = max(1.0, (float(hi) - float(lo) + 1) * rows_per_bucket / n) if n else 1.0
     bucket = F.coalesce(F.floor((F.col(id_col) - F.lit(lo if n else 0)) / F.lit(width)), F.lit(-1)).cast("long")
     rows = df.withColumns({"_b": bucket, "_h": F.xxhash64(text_col), "_i": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))})
@@ -85,6 +87,6 @@ def with_next(df: DataFrame, prepare=lambda d: d, carry: tuple[str, ...] = ("tex
     down = Window.orderBy(F.col("_b").desc())
     first = F.first("top").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ahead = tops.select(F.col("_b").alias("_at"), F.coalesce(F.lead("top").over(down), first).alias("top")).select("_at", "top.*")
-    firsts = prepare(rows.join(ahead, ["_i", "_h"])).groupBy("_at").agg(F.first(own).alias("_f"))
+    firsts = prepare(rows.join(F.broadcast(ahead), ["_i", "_h"])).groupBy("_at").agg(F.first(own).alias("_f"))
     out = led.join(firsts, led["_b"] == firsts["_at"], "left").withColumn("_n", F.coalesce("_t", "_f"))
     return out.withColumns({f"next_{c}": F.col(f"_n.{c}") for c in carry}).drop("_b", "_h", "_i", "_t", "_f", "_n", "_at")
