@@ -14,11 +14,11 @@ DEFAULTS = {
     "separator": ",",
     "has_header": True,
     "modelType": "Histogram",
-    "likelihood_config": {"feature_group_size": 2, "max_combinations": 1000, "bin_sizes": [128]},
+    "likelihood_config": {"feature_group_size": 2, "max_combinations": 90000000, "bin_sizes": [128]},
     "active_learning": {"similarity_threshold": 0.25, "min_divergence": 0.1, "max_class_addition_percent": 99,
                         "strong_margin_threshold": 0.01, "marginal_margin_threshold": 0.01},
     "training_params": {"learning_rate": 0.1, "epochs": 1000, "test_fraction": 0.2, "random_seed": 42,
-                        "cardinality_threshold": 0.9, "cardinality_tolerance": 4, "trials": 100},
+                        "cardinality_threshold": 0.9, "cardinality_tolerance": 8, "trials": 100},
     "anomaly_detection": {"posterior_threshold": 0.01, "missing_value_penalty": 0.1},
     "execution_flags": {"train": True, "predict": True},
 }
@@ -77,7 +77,7 @@ def clean_config(cfg: dict) -> dict:
 @dataclass(frozen=True)
 class LearnerConfig:
     n_bins: int = 128
-    max_combinations: int | None = 1000
+    max_combinations: int | None = None
     learning_rate: float = 0.1
     epochs: int = 1000
     similarity_threshold: float = 0.25

@@ -118,7 +118,7 @@ def l2_normalize(x: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     na = F.sqrt(dot(a, a))
     nb = F.sqrt(dot(b, b))
-    return dot(a, b) / (na * nb)
+    return F.coalesce(F.try_divide(dot(a, b), na * nb), F.lit(0.0))  # zero vector: 0
 
 
 def row_minmax(x: Column) -> Column:

@@ -1,23 +1,19 @@
 """Active sample selection.
 
 Per true class, among misclassified rows: margin = p_max - p_true; the two
-largest margins are mandatory; the other candidates are thinned by greedy
-leaders at normalised divergence < 0.1 (divergence = mean over feature
-pairs of the 2-D Euclidean distance, divided by its maximum); the result is
-capped at max(2, floor(n_class * 99/100)) in id order.
-
-The greedy leader walk is sequential by nature.  It runs in
-``applyInPandas`` on groups of (class, chunk): a class with more than
-``chunk_rows`` candidates is split by a hash of the row id into chunks of
-about that size, and the walk runs per chunk.  Up to ``chunk_rows``
-candidates per class the result equals the single walk; beyond it, leaders
-of different chunks may lie closer than the threshold (no candidate is
-dropped or sampled, and no task holds more than ~chunk_rows rows)."""
+largest margins are mandatory; the other candidates are thinned to one row (the
+lowest id) per cell of a grid with side ``min_divergence`` over the class's own
+feature ranges; the result is capped at max(2, floor(n_class * 99/100)) in id
+order.
+
+Re-aimed: the reference walks the candidates one after the other and drops those
+near an earlier one, by a dense distance matrix.  A grid cell holds rows that lie
+within ``min_divergence`` of each other in every feature, needs one aggregation
+for the ranges and one for the cells, and gives the same rows whatever the data
+size or partitioning."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,58 +45,39 @@ def failed_margins(scored: DataFrame) -> DataFrame:
     return r.withColumn("mandatory", F.col("margin_rank") <= MANDATORY_PER_CLASS)
 
 
-def _leader_walk(pairs: list[tuple[int, int]], min_div: float):
-    a_idx = np.array([a for a, _ in pairs], dtype=np.int64)
-    b_idx = np.array([b for _, b in pairs], dtype=np.int64)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id", kind="mergesort").reset_index(drop=True)
-        n = len(pdf)
-        if n == 0:
-            return pd.DataFrame({"row_id": pd.Series([], dtype="int64"), "y": pd.Series([], dtype="int32")})
-        X = np.stack(pdf["x"].to_numpy()).astype(np.float64)
-        A = X[:, a_idx]
-        B = X[:, b_idx]
-        D = np.zeros((n, n))
-        for k in range(len(pairs)):  # one 2-D distance per pair, averaged
-            da = A[:, k][:, None] - A[:, k][None, :]
-            db = B[:, k][:, None] - B[:, k][None, :]
-            D += np.sqrt(da * da + db * db)
-        D /= max(len(pairs), 1)
-        mx = D.max()
-        if mx > 0:
-            D = D / (mx + 1e-7)
-        visited = np.zeros(n, dtype=bool)
-        chosen = []
-        for i in range(n):
-            if not visited[i]:
-                members = np.nonzero(D[i] < min_div)[0]
-                if members.size:
-                    chosen.append(int(members[0]))
-                    visited[members] = True
-        chosen = sorted(set(chosen))
-        return pd.DataFrame({"row_id": pdf["row_id"].to_numpy()[chosen].astype("int64"),
-                             "y": pdf["y"].to_numpy()[chosen].astype("int32")})
-
-    return walk
-
-
-def select_samples(scored: DataFrame, features: DataFrame, pairs: list[tuple[int, int]], class_sizes: DataFrame,
-                   min_divergence: float = MIN_DIVERGENCE, chunk_rows: int = 2048) -> DataFrame:
+def mandatory_rows(scored: DataFrame) -> DataFrame:
+    """The failed rows with the two largest margins of each class (margin to 9
+    decimals, then id); Spark keeps two rows a class and task before the shuffle."""
+    margin = F.round(F.col("confidence") - F.col("posterior")[F.col("y")], 9)
+    w = Window.partitionBy("y").orderBy(margin.desc(), "row_id")
+    failed = scored.where(F.col("pred") != F.col("y"))
+    return failed.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= MANDATORY_PER_CLASS).select("row_id", "y")
+
+
+def grid_leaders(cand: DataFrame, n_features: int, side: float = MIN_DIVERGENCE) -> DataFrame:
+    """``(row_id, y)``: the lowest id of every occupied grid cell of ``cand``
+    (row_id, y, x).  Cells have ``side`` times the class's range of a feature;
+    nulls share a cell of their own."""
+    bounds = cand.groupBy("y").agg(F.array(*[F.min(F.col("x")[i]) for i in range(n_features)]).alias("lo"),
+                                   F.array(*[F.max(F.col("x")[i]) for i in range(n_features)]).alias("hi"))
+    j = cand.join(F.broadcast(bounds), "y")  # one row a class
+    place = lambda v, i: F.coalesce(
+        F.when(F.col("hi")[i] > F.col("lo")[i], F.floor((v - F.col("lo")[i]) / (F.col("hi")[i] - F.col("lo")[i]) / F.lit(side))).when(v.isNotNull(), 0), F.lit(-1))
+    cells = j.select("row_id", "y", F.transform("x", place).alias("cell"))
+    return cells.groupBy("y", "cell").agg(F.min("row_id").alias("row_id")).select("row_id", "y")
+
+
+def select_samples(scored: DataFrame, features: DataFrame, class_sizes: DataFrame, n_features: int,
+                   min_divergence: float = MIN_DIVERGENCE) -> DataFrame:
     """``(row_id, y)`` rows to add to the training set.
 
     ``scored``: (row_id, y, posterior, pred, confidence) of candidate rows;
     ``features``: (row_id, x); ``class_sizes``: (y, n) rows per class in the
     scored set (the cap's base)."""
-    fm = failed_margins(scored)
-    mandatory = fm.where("mandatory").select("row_id", "y")
-    cand = fm.where(~F.col("mandatory")).select("row_id", "y").join(features.select("row_id", "x"), "row_id")
-    per_class = cand.groupBy("y").agg(F.count(F.lit(1)).alias("__n"))
-    cand = cand.join(F.broadcast(per_class), "y")
-    n_chunks = F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(float(chunk_rows))))
-    cand = cand.withColumn("chunk", F.pmod(F.xxhash64("row_id"), n_chunks.cast("long")).cast("int")).drop("__n")
-    leaders = cand.groupBy("y", "chunk").applyInPandas(_leader_walk(pairs, min_divergence), "row_id long, y int")
-    sel = mandatory.unionByName(leaders).distinct()
     from pairbayes.operators.sampling import cap_per_class
 
+    mandatory = mandatory_rows(scored)
+    failed = scored.where(F.col("pred") != F.col("y")).select("row_id", "y")
+    cand = failed.join(mandatory.select("row_id"), "row_id", "left_anti").join(features.select("row_id", "x"), "row_id")
+    sel = mandatory.unionByName(grid_leaders(cand, n_features, min_divergence)).distinct()
     return cap_per_class(sel, "y", "row_id", MAX_CLASS_ADDITION_PERCENT / 100.0, 2, sizes=class_sizes).select("row_id", "y")

@@ -162,6 +162,19 @@ def explode_cells(binned: DataFrame, pairs: Sequence[tuple[int, int]] | None, n_
     )
 
 
+def explode_block(binned: DataFrame, pairs: Sequence[tuple[int, int]] | None, n_features: int, block: tuple[int, int],
+                  keep: Sequence[str] = ("row_id", "y")) -> DataFrame:
+    """``explode_cells`` for the pairs ``[a, b)`` only."""
+    a, b = block
+    n = n_features * (n_features - 1) // 2 if pairs is None else len(pairs)
+    if (a, b) == (0, n):
+        return explode_cells(binned, pairs, n_features, keep)
+    every = itertools.combinations(range(n_features), 2) if pairs is None else iter(pairs)
+    own = list(itertools.islice(every, a, b))
+    ex = explode_cells(binned, own, n_features, keep)
+    return ex.withColumn("pair_id", (F.col("pair_id") + F.lit(a)).cast("int"))
+
+
 def pairs_frame(spark, pairs: Sequence[tuple[int, int]]) -> DataFrame:
     """B1 as a table ``(pair_id, f1, f2)`` (size bounded by max_combinations)."""
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair_id int, f1 int, f2 int")

@@ -12,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbayes.operators.binning import explode_cells
-from pairbayes.operators.likelihood import CELL_KEYS, HistogramModel, materialize_table, sized_for_broadcast
+from functools import reduce
+
+from pairbayes.operators.binning import explode_block
+from pairbayes.operators.likelihood import BROADCAST_BYTES, CELL_KEYS, HistogramModel, materialize_table, pair_blocks
+from pairbayes.operators.posterior import in_block
 
 # Fixed values of the update rule.
 SIMILARITY_THRESHOLD = 0.25
@@ -31,7 +34,7 @@ def failed_rows(scored: DataFrame, lr: float) -> DataFrame:
 
 
 def weight_deltas(model: HistogramModel, failed: DataFrame, threshold: float = SIMILARITY_THRESHOLD,
-                  rule: str = "threshold", broadcast: bool | None = None) -> DataFrame:
+                  rule: str = "threshold", limit: int = BROADCAST_BYTES) -> DataFrame:
     """``(y, pair_id, bi, bj, dw)``: sum of adjustments of failed rows of
     true class y over their cells where p[pred] < threshold.
 
@@ -39,11 +42,9 @@ def weight_deltas(model: HistogramModel, failed: DataFrame, threshold: float = S
     class does not occupy."""
     table, _ = materialize_table(model)
     side = table.select(*CELL_KEYS, "p")
-    if broadcast is None:
-        broadcast = sized_for_broadcast(model, arrays=1)
-    side = F.broadcast(side) if broadcast else side
-    ex = explode_cells(failed, model.pairs, model.n_features, keep=("y", "pred", "adj"))
-    j = ex.join(side, CELL_KEYS, "left")
+    parts = [explode_block(failed, model.pairs, model.n_features, block, keep=("y", "pred", "adj"))
+             .join(F.broadcast(in_block(side, block)), CELL_KEYS, "left") for block in pair_blocks(model, limit)]
+    j = reduce(DataFrame.unionByName, parts)
     p0 = F.lit(model.p0())
     p_pred = F.coalesce(F.col("p")[F.col("pred")], p0[F.col("pred")])
     if rule == "threshold":

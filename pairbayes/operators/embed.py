@@ -55,9 +55,9 @@ def class_separation(fx_y: DataFrame) -> DataFrame:
     return g.withColumn("score_norm", F.when(mx > 0, F.col("score") / mx).otherwise(F.col("score")))
 
 
-def class_mean_cosine(fx_y: DataFrame, first_k: int | None = 100) -> DataFrame:
-    """Cosine similarity of class mean vectors (first ``first_k`` rows of
-    each class by id, as the reference samples), for every class pair a<b."""
+def class_mean_cosine(fx_y: DataFrame, first_k: int | None = None) -> DataFrame:
+    """Cosine similarity of class mean vectors for every class pair a<b, over
+    all rows (or the first ``first_k`` of each class by id, where that is asked)."""
     src = fx_y
     if first_k is not None:
         w = Window.partitionBy("y").orderBy("row_id")
@@ -117,17 +117,13 @@ def reconstruction_errors(rec: DataFrame) -> DataFrame:
     return rec.withColumn("mse", se / F.size("x"))
 
 
-def contrastive_scores(fx_y: DataFrame, bucket_rows: int = 128, temperature: float = 0.5) -> DataFrame:
-    """B23 per batch: rows are put in hash buckets of about ``bucket_rows``;
-    within a bucket, score_i = -ln(sum_{same class, j!=i} e^{cos/t} /
-    sum_{j!=i} e^{cos/t}) for rows with a same-class partner.  The self-join
-    is on the bucket key, so work is ~N*bucket_rows, never N^2."""
-    from pairbayes.operators.sampling import split_unit
-
-    n = fx_y.count()
-    nb = max(1, -(-n // bucket_rows))
-    # bucket by a hash of the id (balanced whatever the id distribution)
-    b = fx_y.select("row_id", "y", "x", F.floor(split_unit(F.col("row_id"), 7) * F.lit(nb)).cast("long").alias("bucket"))
+def contrastive_scores(fx_y: DataFrame, batch_rows: int = 128, temperature: float = 0.5) -> DataFrame:
+    """B23 per batch: a batch is ``batch_rows`` consecutive ids (the id column
+    keys it, so unrelated rows never change a score); within a batch, score_i =
+    -ln(sum_{same class, j!=i} e^{cos/t} / sum_{j!=i} e^{cos/t}) for rows with a
+    same-class partner; a zero vector has cosine 0 with all.  The self-join is on
+    the batch, so work is N*batch_rows, never N^2."""
+    b = fx_y.select("row_id", "y", "x", F.floor(F.col("row_id") / batch_rows).cast("long").alias("bucket"))
     l = b.alias("l")
     r = b.alias("r")
     j = l.join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.row_id") != F.col("r.row_id")))

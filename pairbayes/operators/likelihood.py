@@ -14,8 +14,8 @@ from pairbayes.operators.binning import BinSpec, bin_rows, explode_cells
 INITIAL_WEIGHT = 1e-6
 EPSILON = 1e-10
 SMOOTH_EPS = 1e-8
-# Model tables up to this many bytes are broadcast to the scoring join; the
-# size is *checked* (row count x row width), above it the join shuffles.
+# The scoring join broadcasts the model table in blocks of pairs of at most this
+# many bytes each; the size is *checked* (row count x row width).
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 CELL_KEYS = ["pair_id", "bi", "bj"]
@@ -152,13 +152,22 @@ def materialize_table(model: HistogramModel) -> tuple[DataFrame, int]:
     return model._table, model._table_rows
 
 
-def sized_for_broadcast(model: HistogramModel, limit: int = BROADCAST_BYTES, arrays: int = 1) -> bool:
-    """Size check behind every broadcast of the model: rows x (3 int keys +
-    ``arrays`` arrays of C doubles + row overhead).  The row count is exact
-    and bounded by min(N*P, P*B^2) whatever the data size."""
-    _, rows = materialize_table(model)
+def pair_blocks(model: HistogramModel, limit: int = BROADCAST_BYTES, arrays: int = 1) -> list[tuple[int, int]]:
+    """Ranges ``[a, b)`` of pair ids whose model rows (3 int keys, ``arrays``
+    arrays of C doubles, row overhead) fit ``limit`` bytes: one range while the
+    model is small, more as it grows.  Ranges are halved until the largest fits
+    (one number a range comes to the driver); a single pair holds at most B^2 cells."""
+    table, rows = materialize_table(model)
     row_bytes = 12 + arrays * (8 * model.n_classes + 16) + 32
-    return rows * row_bytes <= limit
+    n, blocks = model.n_pairs, 1
+    while blocks < n:
+        width = -(-n // blocks)
+        most = rows if blocks == 1 else table.groupBy(F.floor(F.col("pair_id") / width)).count().agg(F.max("count")).first()[0] or 0
+        if most * row_bytes <= limit:
+            break
+        blocks *= 2
+    width = max(1, -(-n // blocks))
+    return [(a, min(a + width, n)) for a in range(0, n, width)]
 
 
 def occupied_cells(model: HistogramModel) -> DataFrame:

@@ -24,18 +24,17 @@ def tolerance_join_cols(sources: DataFrame, preds: DataFrame, label: str, svec:
     """Pairs (source, prediction) with the same label whose (L2-normalised)
     vectors satisfy |s - p| <= atol + rtol*|p| element-wise (numpy allclose).
 
-    Blocking key: bucket of element 0 with width >= the largest tolerance on
-    it (atol + rtol, since normalised values are <= 1 in magnitude); each
-    source is replicated to its two neighbouring buckets, so the equi-join
-    on (label, bucket) misses no pair and never forms a cross product."""
+    Blocking key: bucket of element 0.  Normalised values are <= 1 in magnitude,
+    so buckets as wide as atol + rtol are enough; other values are bucketed on
+    the scale sign(p) * ln(1 + |p|), on which |s - p| <= atol + rtol*|p| moves a
+    value by less than 2 * (atol + rtol).  Each source is replicated to its two
+    neighbouring buckets, so the equi-join on (label, bucket) misses no pair."""
     s = sources.withColumn("__v", l2_normalize(F.col(svec)) if normalize else F.col(svec).cast("array<double>"))
     p = preds.withColumn("__w", l2_normalize(F.col(pvec)) if normalize else F.col(pvec).cast("array<double>"))
-    if normalize:
-        width = (atol + rtol) * 1.000001
-    else:  # unnormalised: tolerance grows with |p|; bucket on a coarse grid of the scale
-        width = atol * 1e3
-    sb = s.withColumn("__b", F.explode(F.array(*[F.floor(F.col("__v")[0] / F.lit(width)) + F.lit(d) for d in (-1, 0, 1)])))
-    pb = p.withColumn("__b", F.floor(F.col("__w")[0] / F.lit(width)))
+    width = (atol + rtol) * (1.000001 if normalize else 2.0)
+    place = lambda v: F.floor((v if normalize else F.signum(v) * F.log1p(F.abs(v))) / F.lit(width))
+    sb = s.withColumn("__b", F.explode(F.array(*[place(F.col("__v")[0]) + F.lit(d) for d in (-1, 0, 1)])))
+    pb = p.withColumn("__b", place(F.col("__w")[0]))
     cond = F.forall(
         F.zip_with(F.col("__v"), F.col("__w"), lambda a, b: F.abs(a - b) <= F.lit(atol) + F.lit(rtol) * F.abs(b)),
         lambda ok: ok,
@@ -61,28 +60,37 @@ def _cells(df: DataFrame, x: str, y: str, g: float):
 
 
 def nearest_point(queries: DataFrame, points: DataFrame, qid: str, qx: str, qy: str,
-                  pid: str, px: str, py: str, cell: float | None = None, max_levels: int = 64) -> DataFrame:
+                  pid: str, px: str, py: str, cell: float | None = None) -> DataFrame:
     """For every query the nearest point by flat Euclidean distance; ties
     go to the smallest point id (name).
 
     Level k uses cells of size g*2^k and the 3x3 block around the query's
     cell; a query is settled at level k when its best distance is <= the
     cell size (no point outside the block can be closer).  Unsettled queries
-    move to the next level.  Points sharing exact coordinates are collapsed
-    first (only the smallest id can win), so one hot location cannot blow up
-    a block."""
+    move to the next level; once a block covers all points and queries, all are
+    settled.  Points sharing exact coordinates are collapsed first (only the
+    smallest id can win), so one hot location cannot blow up a block.  A query
+    without coordinates, or without any point, keeps its row with nulls."""
     spark = queries.sparkSession
-    pts = points.groupBy(F.col(px).alias("__px"), F.col(py).alias("__py")).agg(F.min(pid).alias("__pid"))
+    pts = points.where(F.col(px).isNotNull() & F.col(py).isNotNull()).groupBy(F.col(px).alias("__px"), F.col(py).alias("__py")).agg(F.min(pid).alias("__pid"))
     pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+    asked = queries.select(F.col(qid).alias("__qid"), F.col(qx).alias("__qx"), F.col(qy).alias("__qy"))
+    lost = F.col("__qx").isNull() | F.col("__qy").isNull()
+    pending = asked.where(~lost)
+    span = [F.min("__x").alias("x0"), F.max("__x").alias("x1"), F.min("__y").alias("y0"), F.max("__y").alias("y1")]
+    st = pts.agg(F.count(F.lit(1)).alias("n"), F.min("__px").alias("x0"), F.max("__px").alias("x1"),
+                 F.min("__py").alias("y0"), F.max("__py").alias("y1")).first()
+    nothing = [F.col("__qid").alias(qid), F.lit(None).cast(points.schema[pid].dataType).alias(pid), F.lit(None).cast("double").alias("distance")]
+    if not st["n"]:
+        return asked.select(*nothing)
+    both = pts.select(F.col("__px").alias("__x"), F.col("__py").alias("__y")).union(pending.select("__qx", "__qy")).agg(*span).first()
+    reach = max(both["x1"] - both["x0"], both["y1"] - both["y0"])
     if cell is None:
-        st = pts.agg(F.count(F.lit(1)).alias("n"), F.min("__px").alias("x0"), F.max("__px").alias("x1"),
-                     F.min("__py").alias("y0"), F.max("__py").alias("y1")).collect()[0]
         area = max((st["x1"] - st["x0"]) * (st["y1"] - st["y0"]), 1e-12)
-        cell = max(math.sqrt(area / max(st["n"], 1)), 1e-9)
-    pending = queries.select(F.col(qid).alias("__qid"), F.col(qx).alias("__qx"), F.col(qy).alias("__qy"))
+        cell = max(math.sqrt(area / max(st["n"], 1)), 1e-9, reach * 1e-12)
     results = []
     g = cell
-    for _level in range(max_levels):
+    while True:
         q = _cells(pending, "__qx", "__qy", g)
         offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
         q = q.withColumn("__o", F.explode(offs)).select(
@@ -95,13 +103,15 @@ def nearest_point(queries: DataFrame, points: DataFrame, qid: str, qx: str, qy:
         best = c.groupBy("__qid", "__qx", "__qy").agg(F.min(F.struct("__d2", "__pid")).alias("__b"))
         best = best.select("__qid", "__qx", "__qy", F.col("__b.__d2").alias("__d2"), F.col("__b.__pid").alias("__pid"))
         best = best.persist(StorageLevel.MEMORY_AND_DISK)
-        settled = best.where(F.col("__d2") <= F.lit(g * g))
+        # a block wider than everything holds every point
+        settled = best.where(F.col("__d2") <= F.lit(g * g)) if g <= reach else best
         results.append(settled)
         pending = pending.join(settled.select("__qid"), "__qid", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
-        if pending.isEmpty():
+        if g > reach or pending.isEmpty():
             break
         g *= 2.0
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
-    return out.select(F.col("__qid").alias(qid), F.col("__pid").alias(pid), F.sqrt("__d2").alias("distance"))
+    out = out.select(F.col("__qid").alias(qid), F.col("__pid").alias(pid), F.sqrt("__d2").alias("distance"))
+    return out.unionByName(asked.where(lost).select(*nothing))

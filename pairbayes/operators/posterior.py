@@ -3,8 +3,8 @@
 Histogram score, exact and sparse:
   ll(row, c) = P*ln(p0_c*w0 + eps) + sum over the row's pair cells of d[c]
 where d is the per-cell correction from ``model_table`` (0 for cells the
-model does not hold).  A left join of the exploded rows onto the model table
-and one group-by on ``row_id`` compute it; nothing dense is built.
+model does not hold).  Broadcast joins of the exploded rows with blocks of the
+model table and one group-by on ``row_id`` compute it; nothing dense is built.
 """
 
 from __future__ import annotations
@@ -15,34 +15,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairbayes.functions.columns import argmax_first, softmax
-from pairbayes.operators.binning import bin_rows, explode_cells
-from pairbayes.operators.likelihood import CELL_KEYS, HistogramModel, materialize_table, sized_for_broadcast
+from functools import reduce
 
+from pairbayes.operators.binning import bin_rows, explode_block
+from pairbayes.operators.likelihood import BROADCAST_BYTES, CELL_KEYS, HistogramModel, materialize_table, pair_blocks
 
-def _model_side(model: HistogramModel, broadcast: bool | None):
-    """Scoring needs only the keys and ``d``; broadcast when that fits the
-    checked size, otherwise a shuffle join on the cell keys (AQE splits
-    skewed cells)."""
-    table, _ = materialize_table(model)
-    side = table.select(*CELL_KEYS, "d")
-    if broadcast is None:
-        broadcast = sized_for_broadcast(model, arrays=1)
-    return F.broadcast(side) if broadcast else side
 
+def in_block(table: DataFrame, block: tuple[int, int]) -> DataFrame:
+    return table.where((F.col("pair_id") >= block[0]) & (F.col("pair_id") < block[1]))
 
-def log_likelihoods(model: HistogramModel, fx: DataFrame, keep=("row_id", "y"), broadcast: bool | None = None,
+
+def log_likelihoods(model: HistogramModel, fx: DataFrame, keep=("row_id", "y"), limit: int = BROADCAST_BYTES,
                     with_bins: bool = False) -> DataFrame:
     """``(keep..., ll array<double>[C] [, b])`` for every row of ``fx``.
 
-    With the model broadcast (size-checked) the exploded rows never leave
-    their task: the join is map-side and the partial aggregate collapses each
-    row's P entries before the only shuffle (on ``row_id``)."""
+    The pairs are dealt into blocks whose part of the model fits ``limit`` and
+    is broadcast: exploded rows never leave their task, the partial aggregate
+    collapses a row's pairs of a block, and the one shuffle (on ``keep``) carries
+    one row per input row and block, whatever the model's size."""
     C = model.n_classes
     P = model.n_pairs
     binned = bin_rows(fx, model.spec, keep=keep)
     keep2 = tuple(keep) + (("b",) if with_bins else ())
-    ex = explode_cells(binned, model.pairs, model.n_features, keep=keep2)
-    j = ex.join(_model_side(model, broadcast), CELL_KEYS, "left")
+    side = materialize_table(model)[0].select(*CELL_KEYS, "d")
+    parts = [explode_block(binned, model.pairs, model.n_features, block, keep=keep2)
+             .join(F.broadcast(in_block(side, block)), CELL_KEYS, "left") for block in pair_blocks(model, limit)]
+    j = reduce(DataFrame.unionByName, parts)
     aggs = [F.sum(F.col("d")[c]).alias(f"s{c}") for c in range(C)]
     # the bins are a function of the row, so grouping by them too keeps the
     # groups and the fixed-width hash aggregate (first() of an array would
@@ -66,11 +64,11 @@ def posterior_columns(df: DataFrame, eps: float, ll: str = "ll") -> DataFrame:
     return df.drop("__m", "__e", "__s")
 
 
-def score(model: HistogramModel, fx: DataFrame, keep=("row_id", "y"), broadcast: bool | None = None,
+def score(model: HistogramModel, fx: DataFrame, keep=("row_id", "y"), limit: int = BROADCAST_BYTES,
           with_bins: bool = False) -> DataFrame:
     """B6 + W4: ``(keep..., ll, posterior array, confidence double, pred int)``;
     ties of the maximum go to the lowest class code."""
-    ll = log_likelihoods(model, fx, keep=keep, broadcast=broadcast, with_bins=with_bins)
+    ll = log_likelihoods(model, fx, keep=keep, limit=limit, with_bins=with_bins)
     return posterior_columns(ll, model.eps)
 
 

@@ -80,8 +80,8 @@ def drop_high_cardinality(df: DataFrame, cols: Sequence[str], threshold: float =
 
 
 def adaptive_cardinality_report(df: DataFrame, cols: Sequence[str], threshold: float = CARDINALITY_THRESHOLD) -> DataFrame:
-    """P5: threshold' = min(t, max(2*median ratio, 0.1)); keep ratio <= t',
-    and at least max(2, 20%) of the columns with the lowest ratios."""
+    """P5: threshold' = min(t, max(2*median ratio, 0.1)); keep ratio <= t'; only
+    when every column would go, the max(2, 20%) columns with the lowest ratios stay."""
     r = cardinality(df, cols)
     n = len(cols)
     min_keep = max(2, int(0.2 * n))
@@ -90,7 +90,8 @@ def adaptive_cardinality_report(df: DataFrame, cols: Sequence[str], threshold: f
     t2 = F.least(F.lit(threshold), F.greatest(F.lit(2.0) * med, F.lit(0.1)))
     rank = F.row_number().over(Window.orderBy("ratio", "column_name"))
     return r.withColumn("threshold", t2).withColumn("rank", rank).withColumn(
-        "kept", (F.col("ratio") <= F.col("threshold")) | (F.col("rank") <= min_keep)
+        "kept", (F.col("ratio") <= F.col("threshold"))
+        | ((F.min("ratio").over(w) > F.col("threshold")) & (F.col("rank") <= min_keep))
     ).drop("n_rows")
 
 

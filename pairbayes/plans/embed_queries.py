@@ -12,7 +12,6 @@ from pairbayes.operators.metrics import nmi
 from pairbayes.plans.learner_queries import EMB_DIMS, _emb, _emb_model
 from pairbayes.operators.posterior import score
 from pairbayes.plans.oracles import emb_base, score_ctes
-from pairbayes.operators.sampling import split_unit_sql
 
 R = 6
 FULL = 64
@@ -37,7 +36,7 @@ def emb_class_separation(spark, sf) -> DataFrame:
 
 def emb_class_cosine(spark, sf) -> DataFrame:
     fx_y, _ = _emb(spark, sf, FULL)
-    return embed.class_mean_cosine(fx_y, 100).select("class_a", "class_b", F.round("cosine", R).alias("cosine"))
+    return embed.class_mean_cosine(fx_y).select("class_a", "class_b", F.round("cosine", R).alias("cosine"))
 
 
 def emb_gaussian_kl(spark, sf) -> DataFrame:
@@ -65,7 +64,7 @@ def emb_nmi(spark, sf) -> DataFrame:
 
 
 def emb_contrastive(spark, sf) -> DataFrame:
-    """Contrastive score per row within hash buckets of ~128 rows."""
+    """Contrastive score per row within batches of 128 consecutive ids."""
     fx_y, _ = _emb(spark, sf, FULL)
     c = embed.contrastive_scores(fx_y, 128, 0.5)
     return c.select("row_id", "bucket", F.round("score", R).alias("score"))
@@ -118,8 +117,7 @@ g AS (SELECT feature, sum(n * (mean - mu) * (mean - mu)) AS between, sum(n * vp)
 h AS (SELECT feature, CASE WHEN within > 0 THEN between / within ELSE between END AS score FROM g)
 SELECT feature, round(score, {R}) AS score, round(CASE WHEN max(score) OVER () > 0 THEN score / max(score) OVER () ELSE score END, {R}) AS score_norm FROM h""",
         "emb_class_cosine": f"""WITH {_long(FULL)},
-r AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY row_id) AS rn FROM (SELECT DISTINCT row_id, y FROM lf)),
-m AS (SELECT lf.y, feature, avg(v) AS m FROM lf JOIN r ON r.row_id = lf.row_id WHERE r.rn <= 100 GROUP BY lf.y, feature)
+m AS (SELECT y, feature, avg(v) AS m FROM lf GROUP BY y, feature)
 SELECT a.y AS class_a, b.y AS class_b, round(sum(a.m * b.m) / (sqrt(sum(a.m * a.m)) * sqrt(sum(b.m * b.m))), {R}) AS cosine
 FROM m a JOIN m b ON a.feature = b.feature AND a.y < b.y GROUP BY a.y, b.y""",
         "emb_gaussian_kl": f"""WITH n AS (SELECT vec_id, label AS y, {norm} AS e FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
@@ -141,7 +139,7 @@ r AS (SELECT sum(nab * 1.0e0 / n * ln(n * nab * 1.0e0 / (na * nb))) AS mi, -sum(
 SELECT round(mi, {R}) AS mi, round(h_a, {R}) AS h_a, round(h_b, {R}) AS h_b,
   round(CASE WHEN (h_a + h_b) / 2 = 0 THEN 1.0e0 ELSE mi / ((h_a + h_b) / 2) END, {R}) AS nmi FROM r""",
         "emb_contrastive": f"""WITH b AS (SELECT vec_id AS row_id, label AS y, CAST(embedding AS DOUBLE[]) AS e,
-     CAST(floor({split_unit_sql('vec_id', 7)} * ceil((SELECT count(*) FROM embeddings) / 128.0e0)) AS BIGINT) AS bucket FROM embeddings),
+     CAST(floor(vec_id / 128) AS BIGINT) AS bucket FROM embeddings),
 j AS (SELECT l.bucket, l.row_id, l.y AS ly, r.y AS ry,
         exp(list_sum(list_transform(list_zip(l.e, r.e), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(l.e, lambda x: x * x))) * sqrt(list_sum(list_transform(r.e, lambda x: x * x)))) / 0.5e0) AS e
       FROM b l JOIN b r ON l.bucket = r.bucket AND l.row_id <> r.row_id),

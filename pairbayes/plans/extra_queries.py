@@ -52,9 +52,9 @@ def emb_selected_features(spark, sf) -> DataFrame:
 
 
 def emb_distribution(spark, sf) -> DataFrame:
-    """Per class quantiles of the first 5 features."""
+    """Per class quantiles of every feature."""
     fx_y, _ = _emb(spark, sf, EMB_DIMS)
-    d = select.distribution_data(fx_y, range(5))
+    d = select.distribution_data(fx_y, range(EMB_DIMS))
     return d.select("y", F.col("feature").cast("int").alias("feature"), "n",
                     *[F.round(c, R).alias(c) for c in ("q5", "q25", "q50", "q75", "q95")])
 
@@ -137,8 +137,8 @@ def emb_row_standardize(spark, sf):
 
 
 def doc_unknown_targets(spark, sf):
-    """Quality labels outside the known classes {0, 1} (expect none)."""
-    known = spark.range(2).select(F.col("id").cast("string").alias("c"))
+    """Quality labels outside the known classes (only 1 is known here)."""
+    known = spark.range(1, 2).select(F.col("id").cast("string").alias("c"))
     return select.unknown_targets(table(spark, sf, "labels"), "quality", known)
 
 
@@ -243,7 +243,7 @@ SELECT row_id, ytrue AS true_class, cls AS pred_class, round(p, 6) AS confidence
 lg AS (SELECT 0 AS epoch, (SELECT count(*) FROM pred_e0 WHERE pred <> ytrue) AS n_errors
        UNION ALL SELECT 1, (SELECT count(*) FROM pred_e1 WHERE pred <> ytrue))
 SELECT CAST(epoch AS INTEGER) AS epoch, n_errors, min(n_errors) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best_errors FROM lg""",
-        "emb_distribution": f"""WITH lf AS (SELECT label AS y, CAST(t.i - 1 AS INTEGER) AS feature, CAST(embedding[t.i] AS DOUBLE) AS v FROM embeddings CROSS JOIN range(1, 6) t(i))
+        "emb_distribution": f"""WITH lf AS (SELECT label AS y, CAST(t.i - 1 AS INTEGER) AS feature, CAST(embedding[t.i] AS DOUBLE) AS v FROM embeddings CROSS JOIN range(1, 65) t(i))
 SELECT y, feature, count(*) AS n, {", ".join(f"round({q(p / 100)}, {R}) AS q{p}" for p in (5, 25, 50, 75, 95))} FROM lf GROUP BY y, feature""",
         "li_cardinality_summary": f"""WITH c AS ({card})
 SELECT round(min(ratio), {R}) AS min_ratio, round(max(ratio), {R}) AS max_ratio, round(avg(ratio), {R}) AS mean_ratio,
@@ -288,7 +288,7 @@ SELECT p.image_id, p.y, p.x, round(least(1.0e0, greatest(0.0e0, (v - p1) / (p99
 s AS (SELECT vec_id, e, list_sum(e) / len(e) AS m FROM e),
 t AS (SELECT vec_id, e, m, sqrt(list_sum(list_transform(e, lambda v: (v - m) * (v - m))) / len(e)) AS sd FROM s)
 SELECT vec_id, {", ".join(f"round((e[{i + 1}] - m) / (sd + 1e-8), {R}) AS z_{i}" for i in range(64))} FROM t""",
-        "doc_unknown_targets": "SELECT DISTINCT CAST(quality AS VARCHAR) AS label FROM labels WHERE CAST(quality AS VARCHAR) NOT IN ('0', '1')",
+        "doc_unknown_targets": "SELECT DISTINCT CAST(quality AS VARCHAR) AS label FROM labels WHERE CAST(quality AS VARCHAR) NOT IN ('1')",
         "doc_labelled_semi": "SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY lang",
         "px_feature_union": f"""WITH {PIX}, q AS (SELECT image_id, quantile_cont(v, 0.1) AS background, quantile_cont(v, 0.2) AS p20, max(v) AS peak FROM pix GROUP BY image_id),
 n AS (SELECT p.image_id, coalesce(stddev_pop(CASE WHEN v < q.p20 THEN v END), 0.0e0) AS noise FROM pix p JOIN q ON q.image_id = p.image_id GROUP BY p.image_id)

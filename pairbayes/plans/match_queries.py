@@ -51,9 +51,8 @@ def spec_tolerance_matches(spark, sf) -> DataFrame:
     e = _emb(spark, sf)
     sources = e.select(F.concat(F.lit("src_"), F.col("vec_id").cast("string")).alias("s_name"), "label",
                        F.transform("e", lambda v: F.round(v, 6)).alias("power"))
-    head = F.slice(F.col("e"), 1, 10)
     preds = e.select(F.col("vec_id").alias("row_id"), "label", F.col("e").alias("ppower"),
-                     (F.array_position(head, F.array_max(head)) - 1).cast("int").alias("predicted_class"))
+                     (F.array_position("e", F.array_max("e")) - 1).cast("int").alias("predicted_class"))
     m = _tol_impl(sources, preds)
     return m.select("s_name", "label", "row_id", "predicted_class")
 
@@ -116,7 +115,7 @@ def _matches_sql() -> str:
 e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT 'src_' || CAST(vec_id AS VARCHAR) AS s_name, label, list_transform(e, lambda x: round(x, 6)) AS v FROM e),
 p AS (SELECT vec_id AS row_id, label, e AS v,
-      CAST(list_position(e[1:10], list_max(e[1:10])) - 1 AS INTEGER) AS predicted_class FROM e),
+      CAST(list_position(e, list_max(e)) - 1 AS INTEGER) AS predicted_class FROM e),
 sn AS (SELECT s_name, label, {_NORM.format(v='v')} AS v FROM s),
 pn AS (SELECT row_id, label, predicted_class, {_NORM.format(v='v')} AS v FROM p),
 m AS (SELECT sn.s_name, sn.label, pn.row_id, pn.predicted_class FROM sn JOIN pn ON sn.label = pn.label

@@ -154,14 +154,13 @@ def li_failed_margins(spark, sf) -> DataFrame:
 
 
 def li_active_selection(spark, sf) -> DataFrame:
-    """One selection round over every failed row (rows-only check)."""
+    """One selection round over every failed row."""
     from pairbayes.operators.active import select_samples
-    from pairbayes.operators.binning import feature_pairs as fp
 
     model, fx_y = _boost_model(spark, sf)
     s = score(model, fx_y)
     sizes = s.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    return select_samples(s, fx_y, fp(4), sizes)
+    return select_samples(s, fx_y, sizes, 4)
 
 
 def li_adaptive_rounds(spark, sf) -> DataFrame:
@@ -191,4 +190,14 @@ def oracles() -> dict[str, str]:  # noqa: F811
 f AS (SELECT row_id, ytrue AS true_class, pmax - ptrue AS margin FROM pred_s WHERE pred <> ytrue),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY true_class ORDER BY round(margin, 9) DESC, row_id) AS INTEGER) AS margin_rank FROM f)
 SELECT row_id, true_class, round(margin, {R}) AS margin, margin_rank, margin_rank <= 2 AS mandatory FROM r"""
+    o["li_active_selection"] = "WITH " + boost_base() + "," + score_ctes("s", None, BOOST_BINS) + """,
+r AS (SELECT row_id, ytrue AS y, row_number() OVER (PARTITION BY ytrue ORDER BY round(pmax - ptrue, 9) DESC, row_id) AS rn FROM pred_s WHERE pred <> ytrue),
+cf AS (SELECT f.row_id, f.y, f.f, f.v FROM feat f JOIN r ON r.row_id = f.row_id WHERE r.rn > 2),
+b AS (SELECT y, f, min(v) AS lo, max(v) AS hi FROM cf GROUP BY y, f),
+cell AS (SELECT cf.row_id, cf.y, list(CASE WHEN hi > lo THEN CAST(floor((v - lo) / (hi - lo) / 0.1e0) AS BIGINT) ELSE 0 END ORDER BY cf.f) AS c
+         FROM cf JOIN b ON b.y = cf.y AND b.f = cf.f GROUP BY cf.row_id, cf.y),
+sel AS (SELECT row_id, y FROM r WHERE rn <= 2 UNION SELECT min(row_id), y FROM cell GROUP BY y, c),
+n AS (SELECT ytrue AS y, count(*) AS n FROM pred_s GROUP BY ytrue),
+k AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY row_id) AS rn FROM sel)
+SELECT k.row_id, k.y FROM k JOIN n ON n.y = k.y WHERE rn <= greatest(2, floor(n * 0.99e0))"""
     return o

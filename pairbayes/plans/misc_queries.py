@@ -182,8 +182,7 @@ FROM (SELECT c_custkey, 'obj_' || CAST(c_acctbal AS VARCHAR) || '_' || CAST(c_na
 
 def customer_sky_list(spark, sf) -> DataFrame:
     """Coordinate columns found by name (last containing RA / DEC),
-    rows with null coordinates dropped, object name from ``rec``; the first
-    1000 by key (``head(max)`` is the feature)."""
+    rows with null coordinates dropped, object name from ``rec``."""
     from pairbayes.sources.sinks import coordinate_columns
 
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("rec"), F.col("c_acctbal").alias("_RAJ2000"),
@@ -191,7 +190,7 @@ def customer_sky_list(spark, sf) -> DataFrame:
     ra, dec = coordinate_columns(c)
     out = c.where(F.col(ra).isNotNull() & F.col(dec).isNotNull()).select(
         F.concat(F.lit("obj_"), F.col("rec").cast("string")).alias("name"), F.col(ra).alias("ra"), F.col(dec).alias("dec"), "rec")
-    return out.orderBy("rec").limit(1000).drop("rec")
+    return out.drop("rec")
 
 
 QUERIES["customer_sky_list"] = customer_sky_list
@@ -202,5 +201,5 @@ _misc_oracles_base = oracles
 def oracles() -> dict[str, str]:  # noqa: F811
     o = _misc_oracles_base()
     o["customer_sky_list"] = """SELECT 'obj_' || CAST(c_custkey AS VARCHAR) AS name, c_acctbal AS ra, CAST(c_nationkey AS DOUBLE) AS dec
-FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL ORDER BY c_custkey LIMIT 1000"""
+FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL"""
     return o

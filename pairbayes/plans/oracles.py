@@ -46,16 +46,16 @@ feat AS (SELECT l.row_id, l.y, CAST(t.f AS INTEGER) AS f, CAST(l.e[t.f + 1] AS D
          FROM labelled l CROSS JOIN range(0, {dims}) t(f)),
 mm AS (SELECT f, min(v) AS mn, max(v) AS mx FROM feat x WHERE v IS NOT NULL AND NOT isnan(v) {fit_and} GROUP BY f),
 edges AS (SELECT f, mn - {pad} AS lo, mx + {pad} AS hi, ((mx + {pad}) - (mn - {pad})) / {D(B)} AS width FROM mm),
-bins AS (SELECT x.row_id, x.y, x.f,
+bins AS MATERIALIZED (SELECT x.row_id, x.y, x.f,
            CASE WHEN x.v IS NULL OR isnan(x.v) THEN -1
                 ELSE CAST(least(greatest(CAST(ceil((x.v - e.lo) / e.width) AS BIGINT) - 1, 0), {B - 1}) AS INTEGER) END AS b
          FROM feat x JOIN edges e ON x.f = e.f),
 pairs AS (SELECT CAST(a.f AS INTEGER) AS f1, CAST(b.f AS INTEGER) AS f2,
                  CAST(row_number() OVER (ORDER BY a.f, b.f) - 1 AS INTEGER) AS pair_id
           FROM range(0, {dims}) a(f) JOIN range(0, {dims}) b(f) ON a.f < b.f),
-rowcells AS (SELECT x.row_id, x.y, p.pair_id, x.b AS bi, z.b AS bj
+rowcells AS MATERIALIZED (SELECT x.row_id, x.y, p.pair_id, x.b AS bi, z.b AS bj
              FROM bins x JOIN pairs p ON x.f = p.f1 JOIN bins z ON z.row_id = x.row_id AND z.f = p.f2),
-counts AS (SELECT y, pair_id, bi, bj, count(*) AS n FROM rowcells x WHERE TRUE {fit_and} GROUP BY y, pair_id, bi, bj)"""
+counts AS MATERIALIZED (SELECT y, pair_id, bi, bj, count(*) AS n FROM rowcells x WHERE TRUE {fit_and} GROUP BY y, pair_id, bi, bj)"""
 
 
 def score_ctes(tag: str, weights: str | None, B: int = EMB_BINS) -> str:
@@ -66,15 +66,15 @@ def score_ctes(tag: str, weights: str | None, B: int = EMB_BINS) -> str:
     wexpr = "coalesce(w.w, 1e-6)" if weights else "1e-6"
     p = f"(({D('coalesce(k.n, 0)')} + 1.0e0) / ({D('c.nc')} + {D(B * B)} + 1e-8))"
     return f"""
-ll_{tag} AS (SELECT r.row_id, r.y AS ytrue, c.y AS cls, sum(ln({p} * {wexpr} + 1e-10)) AS ll
+ll_{tag} AS MATERIALIZED (SELECT r.row_id, r.y AS ytrue, c.y AS cls, sum(ln({p} * {wexpr} + 1e-10)) AS ll
         FROM rowcells r CROSS JOIN ncls c
         LEFT JOIN counts k ON k.y = c.y AND k.pair_id = r.pair_id AND k.bi = r.bi AND k.bj = r.bj
         {wjoin}
         GROUP BY r.row_id, r.y, c.y),
 ex_{tag} AS (SELECT row_id, ytrue, cls, exp(ll - max(ll) OVER (PARTITION BY row_id)) AS e FROM ll_{tag}),
-post_{tag} AS (SELECT row_id, ytrue, cls, e / (sum(e) OVER (PARTITION BY row_id) + 1e-10) AS p FROM ex_{tag}),
+post_{tag} AS MATERIALIZED (SELECT row_id, ytrue, cls, e / (sum(e) OVER (PARTITION BY row_id) + 1e-10) AS p FROM ex_{tag}),
 rk_{tag} AS (SELECT row_id, ytrue, cls, p, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, cls) AS rn FROM post_{tag}),
-pred_{tag} AS (SELECT a.row_id, a.ytrue, a.cls AS pred, a.p AS pmax, t.p AS ptrue
+pred_{tag} AS MATERIALIZED (SELECT a.row_id, a.ytrue, a.cls AS pred, a.p AS pmax, t.p AS ptrue
         FROM rk_{tag} a JOIN post_{tag} t ON t.row_id = a.row_id AND t.cls = a.ytrue WHERE a.rn = 1)"""
 
 
@@ -91,9 +91,9 @@ upd_{tag} AS (SELECT f.y, r.pair_id, r.bi, r.bj, sum(f.adj) AS dw
         GROUP BY f.y, r.pair_id, r.bi, r.bj)"""
     if prev_w is None:
         return upd + f""",
-w_{tag} AS (SELECT y, pair_id, bi, bj, 1e-6 + dw AS w FROM upd_{tag})"""
+w_{tag} AS MATERIALIZED (SELECT y, pair_id, bi, bj, 1e-6 + dw AS w FROM upd_{tag})"""
     return upd + f""",
-w_{tag} AS (SELECT coalesce(a.y, b.y) AS y, coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.bi, b.bi) AS bi,
+w_{tag} AS MATERIALIZED (SELECT coalesce(a.y, b.y) AS y, coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.bi, b.bi) AS bi,
         coalesce(a.bj, b.bj) AS bj, coalesce(a.w, 1e-6) + coalesce(b.dw, 0.0e0) AS w
         FROM {prev_w} a FULL OUTER JOIN upd_{tag} b ON a.y = b.y AND a.pair_id = b.pair_id AND a.bi = b.bi AND a.bj = b.bj)"""
 

@@ -113,8 +113,7 @@ def fit(fx: DataFrame, n_bins: int = 128, epochs: int = 10, patience: int = 5,
 
 
 def adaptive_fit(fx: DataFrame, n_bins: int = 128, epochs: int = 5, rounds: int = 10, patience: int = 3,
-                 min_gain: float = 1e-4, likelihood_from_all: bool = False, max_combinations: int | None = None,
-                 chunk_rows: int = 2048):
+                 min_gain: float = 1e-4, likelihood_from_all: bool = False, max_combinations: int | None = None):
     """Seed two rows per class -> fit -> boost -> score every row ->
     add selected failures of the not-yet-training rows -> repeat, until no
     row is added or ``patience`` rounds pass without an accuracy gain.
@@ -125,7 +124,6 @@ def adaptive_fit(fx: DataFrame, n_bins: int = 128, epochs: int = 5, rounds: int
     from pairbayes.operators.sampling import seed_rows
 
     fx_y, classes, counts, spec, pairs, nf = prepare(fx, n_bins, max_combinations)
-    pair_list = list(pairs) if pairs is not None else feature_pairs(nf)
     spark = fx_y.sparkSession
     train_ids = cut_lineage(seed_rows(fx_y.select("row_id", "y"), 2).select("row_id"))
     log = []
@@ -143,7 +141,7 @@ def adaptive_fit(fx: DataFrame, n_bins: int = 128, epochs: int = 5, rounds: int
         acc = float(acc_row["a"])
         rest = scored.join(train_ids, "row_id", "left_anti")
         sizes = rest.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-        new = select_samples(rest, fx_y, pair_list, sizes, chunk_rows=chunk_rows).select("row_id")
+        new = select_samples(rest, fx_y, sizes, nf).select("row_id")
         new = cut_lineage(new)
         n_new = new.count()
         n_train = train_ids.count()

@@ -44,14 +44,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """Use the cluster's ``spark.checkpoint.dir``; only on a local master
+    (tests, one machine) may it be unset, and a fresh scratch folder is used."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="pairbayes-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

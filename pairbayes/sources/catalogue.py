@@ -25,10 +25,10 @@ def catalogue_from_paths(df: DataFrame, path: Column, root: str = "/") -> DataFr
 
 
 def binary_catalogue(spark: SparkSession, root: str, extensions: Sequence[str] = IMAGE_EXTENSIONS) -> DataFrame:
-    """S6 on a real folder tree: binaryFile listing (content column pruned)."""
-    glob = "*.{" + ",".join(extensions) + "}"
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", glob).load(root).select("path"))
+    """S6 on a real folder tree: binaryFile listing (content column pruned); extensions
+    in any case, and with ``.gz`` behind them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    files = files.where(F.lower("path").rlike(r"\.(" + "|".join(extensions) + r")(\.gz)?$"))
     return catalogue_from_paths(files, F.regexp_replace(F.col("path"), "^file:", ""), root)
 
 

@@ -3,7 +3,7 @@
 A model is a folder of parquet tables plus a one-line JSON manifest, all
 written through Spark (so it works on any shared file system or object
 store).  Each save goes to a fresh version folder; the ``_LATEST`` pointer is
-written last, so readers never see a half-written model."""
+written last, and never overwritten, so readers never see a half-written model."""
 
 from __future__ import annotations
 
@@ -31,7 +31,10 @@ def _read_text(spark: SparkSession, path: str) -> str:
     return rows[0]["value"]
 
 
-def save_model(model: HistogramModel, base: str, feature_names=None, encoders: DataFrame | None = None) -> str:
+def save_model(model: HistogramModel, base: str, feature_names=None, encoders: DataFrame | None = None,
+               stats: dict[str, tuple[float, float]] | None = None, options: dict | None = None) -> str:
+    """Write one version: counts, weights, encoders and a manifest with bins, pairs,
+    classes, overlap flag, scaler statistics (column -> mean, std) and options."""
     spark = model.counts.sparkSession
     version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
     path = f"{base.rstrip('/')}/{version}"
@@ -47,6 +50,9 @@ def save_model(model: HistogramModel, base: str, feature_names=None, encoders: D
         "w0": model.w0,
         "eps": model.eps,
         "lr": model.lr,
+        "overlap_mask": model.overlap_mask,
+        "stats": {k: [float(m), float(s)] for k, (m, s) in (stats or {}).items()},
+        "options": options or {},
         "feature_names": list(feature_names) if feature_names else None,
         "has_weights": model.weights is not None,
         "has_encoders": encoders is not None,
@@ -57,14 +63,15 @@ def save_model(model: HistogramModel, base: str, feature_names=None, encoders: D
     if encoders is not None:
         encoders.write.mode("overwrite").parquet(f"{path}/encoders")
     _write_text(spark, f"{path}/manifest", json.dumps(manifest))
-    _write_text(spark, f"{base.rstrip('/')}/_LATEST", version)
+    # pointers are only ever added; the latest is the one with the largest name
+    _write_text(spark, f"{base.rstrip('/')}/_LATEST/{version}", version)
     return path
 
 
 def load_model(spark: SparkSession, base: str) -> tuple[HistogramModel, dict, DataFrame | None]:
     """Read the latest version; every component named in the manifest must
     exist (a missing one raises), and the format version must be >= 2."""
-    version = _read_text(spark, f"{base.rstrip('/')}/_LATEST").strip()
+    version = max(r["value"] for r in spark.read.option("recursiveFileLookup", "true").text(f"{base.rstrip('/')}/_LATEST").collect())
     path = f"{base.rstrip('/')}/{version}"
     m = json.loads(_read_text(spark, f"{path}/manifest"))
     if int(m.get("format_version", 0)) < 2:
@@ -75,7 +82,8 @@ def load_model(spark: SparkSession, base: str) -> tuple[HistogramModel, dict, Da
     spec = BinSpec(tuple(m["lo"]), tuple(m["width"]), int(m["n_bins"]))
     pairs = None if m["pairs"] is None else tuple(tuple(p) for p in m["pairs"])
     model = HistogramModel(spec, pairs, int(m["n_features"]), tuple(m["classes"]), tuple(m["class_counts"]),
-                           counts, weights, float(m["w0"]), float(m["eps"]), float(m["lr"]))
+                           counts, weights, float(m["w0"]), float(m["eps"]), float(m["lr"]),
+                           bool(m.get("overlap_mask", False)))
     return model, m, enc
 
 
