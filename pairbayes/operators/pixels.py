@@ -51,16 +51,17 @@ def astro_stats(pix: DataFrame, v: str = "v") -> DataFrame:
 
 def shape_stats(pix: DataFrame, v: str = "v") -> DataFrame:
     """I3 + I4: flux centroid, second moments, ellipticity, FWHM, position
-    angle; concentration r80/r20 from the running flux share (W13)."""
+    angle; concentration r80/r20 from the running flux share (W13).  An image
+    without flux has no centroid or angle and zeros elsewhere."""
     tot = pix.groupBy("image_id").agg(F.sum(v).alias("flux"), (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     c = pix.groupBy("image_id").agg(
-        (F.sum(F.col("x") * F.col(v)) / F.sum(v)).alias("xc"), (F.sum(F.col("y") * F.col(v)) / F.sum(v)).alias("yc"))
+        F.try_divide(F.sum(F.col("x") * F.col(v)), F.sum(v)).alias("xc"), F.try_divide(F.sum(F.col("y") * F.col(v)), F.sum(v)).alias("yc"))
     j = pix.join(c, "image_id")
     dx = F.col("x") - F.col("xc")
     dy = F.col("y") - F.col("yc")
     m = j.groupBy("image_id").agg(
-        (F.sum(dx * dx * F.col(v)) / F.sum(v)).alias("mxx"), (F.sum(dy * dy * F.col(v)) / F.sum(v)).alias("myy"),
-        (F.sum(dx * dy * F.col(v)) / F.sum(v)).alias("mxy"))
+        F.try_divide(F.sum(dx * dx * F.col(v)), F.sum(v)).alias("mxx"), F.try_divide(F.sum(dy * dy * F.col(v)), F.sum(v)).alias("myy"),
+        F.try_divide(F.sum(dx * dy * F.col(v)), F.sum(v)).alias("mxy"))
     # running flux, brightest first; n(p) = pixels whose running sum < p% of total
     w = Window.partitionBy("image_id").orderBy(F.col(v).desc(), "y", "x").rowsBetween(Window.unboundedPreceding, 0)
     r = pix.select("image_id", F.sum(v).over(w).alias("cum")).join(tot.select("image_id", "flux"), "image_id")
@@ -90,11 +91,11 @@ def asymmetry(pix: DataFrame, v: str = "v") -> DataFrame:
     degrees; sum|c - rot| / (sum c + 1e-8).  The rotation is an equi-join of
     the crop with itself on mirrored coordinates (full outer: absent = 0)."""
     c = pix.groupBy("image_id").agg(
-        F.floor(F.sum(F.col("x") * F.col(v)) / F.sum(v)).cast("int").alias("cx"),
-        F.floor(F.sum(F.col("y") * F.col(v)) / F.sum(v)).cast("int").alias("cy"),
+        F.floor(F.try_divide(F.sum(F.col("x") * F.col(v)), F.sum(v))).cast("int").alias("cx"),
+        F.floor(F.try_divide(F.sum(F.col("y") * F.col(v)), F.sum(v))).cast("int").alias("cy"), F.sum(v).alias("flux"),
         (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     box = c.select(
-        "image_id",
+        "image_id", "flux",
         F.greatest(F.lit(0), F.col("cy") - F.floor(F.col("h") / 4)).cast("int").alias("y0"),
         F.least(F.col("h"), F.col("cy") + F.floor(F.col("h") / 4)).cast("int").alias("y1"),
         F.greatest(F.lit(0), F.col("cx") - F.floor(F.col("w") / 4)).cast("int").alias("x0"),
@@ -109,7 +110,8 @@ def asymmetry(pix: DataFrame, v: str = "v") -> DataFrame:
         F.sum(F.abs(F.coalesce("va", F.lit(0.0)) - F.coalesce("vb", F.lit(0.0)))).alias("d"),
         F.sum(F.coalesce("va", F.lit(0.0))).alias("s"))
     out = box.join(g, "image_id", "left")
-    return out.select("image_id", F.coalesce(F.col("d") / (F.col("s") + F.lit(STD_FLOOR)), F.lit(0.0)).alias("asymmetry"))
+    share = F.coalesce(F.try_divide("d", F.col("s") + F.lit(STD_FLOOR)), F.lit(0.0))
+    return out.select("image_id", F.when(F.col("flux") < F.lit(STD_FLOOR), 0.0).otherwise(share).alias("asymmetry"))
 
 
 def vegetation_indices(pix: DataFrame, nir: str, red: str, green: str, blue: str) -> DataFrame:
@@ -158,17 +160,32 @@ def focus_stats(pix: DataFrame, v: str = "v") -> DataFrame:
                     (F.abs(F.col("mdx") - F.col("mdy")) / (F.col("mdx") + F.col("mdy") + F.lit(STD_FLOOR))).alias("motion"))
 
 
+def around(pix: DataFrame, v: str = "v", mirror: bool = False) -> DataFrame:
+    """The 3x3 neighbourhood of every pixel as ``up``, ``mid`` and ``down``, structs
+    of ``w``, ``c`` and ``e``: two windows (along a row, then along a column), no
+    join.  Beyond the border the border pixel is repeated (a a b c), or with
+    ``mirror`` the pixel on the other side is taken (b a b c)."""
+    def beside(value, along, w):
+        before = F.when(F.lag(along).over(w) == F.col(along) - 1, F.lag(value).over(w))
+        after = F.when(F.lead(along).over(w) == F.col(along) + 1, F.lead(value).over(w))
+        here = F.col(value)
+        return (F.coalesce(before, after, here), here, F.coalesce(after, before, here)) if mirror else (
+            F.coalesce(before, here), here, F.coalesce(after, here))
+
+    w, c, e = beside(v, "x", Window.partitionBy("image_id", "y").orderBy("x"))
+    rows = pix.select("image_id", "y", "x", F.struct(w.alias("w"), c.alias("c"), e.alias("e")).alias("row"))
+    up, mid, down = beside("row", "y", Window.partitionBy("image_id", "x").orderBy("y"))
+    return rows.select("image_id", "y", "x", up.alias("up"), mid.alias("mid"), down.alias("down"))
+
+
 def laplacian_stats(pix: DataFrame, v: str = "v") -> DataFrame:
-    """4-neighbour Laplacian on interior pixels (all four neighbours
-    present) via equi-joins on shifted coordinates; variance, focus score
-    min(1, var/500) and blur flag."""
-    base = pix.select("image_id", "y", "x", F.col(v).alias("c"))
-    out = base
-    for name, dy, dx in (("n", -1, 0), ("s", 1, 0), ("w", 0, -1), ("e", 0, 1)):
-        nb = pix.select("image_id", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col(v).alias(name))
-        out = out.join(nb, ["image_id", "y", "x"], "inner")
-    lap = F.col("n") + F.col("s") + F.col("w") + F.col("e") - F.lit(4.0) * F.col("c")
-    g = out.groupBy("image_id").agg(F.var_pop(lap).alias("laplacian_variance"), F.count(F.lit(1)).alias("n_interior"))
+    """4-neighbour Laplacian of the 8-bit gray values (v * 255, truncated,
+    modulo 256), mirrored at the border; variance, focus score min(1, var/500),
+    blur flag."""
+    gray = pix.withColumn("__g", F.pmod((F.col(v) * F.lit(255.0)).cast("long"), F.lit(256)).cast("double"))
+    a = around(gray, "__g", mirror=True)
+    lap = F.col("up.c") + F.col("down.c") + F.col("mid.w") + F.col("mid.e") - F.lit(4.0) * F.col("mid.c")
+    g = a.groupBy("image_id").agg(F.var_pop(lap).alias("laplacian_variance"), F.count(F.lit(1)).alias("n_pixels"))
     fs = F.least(F.lit(1.0), F.col("laplacian_variance") / F.lit(500.0))
     return g.withColumn("focus_score", fs).withColumn("is_out_of_focus", F.when(fs < 0.3, 1.0).otherwise(0.0))
 
@@ -222,33 +239,38 @@ def robust_contrasts(pix: DataFrame, v: str = "v") -> DataFrame:
 
 
 def tail_snr(pix: DataFrame, v: str = "v") -> DataFrame:
-    """SNR = mean above p90 / (pop std below p10 + 1e-8); CNR =
-    (mean above p90 - mean below p10) / (that std + 1e-8)."""
-    q = pix.groupBy("image_id").agg(F.percentile(F.col(v), 0.9).alias("p90"), F.percentile(F.col(v), 0.1).alias("p10"))
+    """SNR = mean above p90 / (pop std below p10 + 1e-8) and CNR = (p95 - p5)
+    over the same noise; an empty tail falls back to the whole image's mean or std."""
+    q = pix.groupBy("image_id").agg(*[F.percentile(F.col(v), p / 100).alias(f"p{p}") for p in (90, 10, 95, 5)],
+                                    F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
     j = pix.join(q, "image_id")
-    g = j.groupBy("image_id").agg(
+    g = j.groupBy("image_id", "mean", "std", "p95", "p5").agg(
         F.avg(F.when(F.col(v) > F.col("p90"), F.col(v))).alias("sig"),
-        F.avg(F.when(F.col(v) < F.col("p10"), F.col(v))).alias("bg"),
         F.stddev_pop(F.when(F.col(v) < F.col("p10"), F.col(v))).alias("noise"))
-    n = F.coalesce(F.col("noise"), F.lit(0.0)) + F.lit(1e-8)
-    return g.select("image_id", (F.coalesce("sig", F.lit(0.0)) / n).alias("snr"),
-                    ((F.coalesce("sig", F.lit(0.0)) - F.coalesce("bg", F.lit(0.0))) / n).alias("cnr"))
-
-
-def bright_heterogeneity(pix: DataFrame, v: str = "v", bins: int = 20) -> DataFrame:
-    """std/mean of pixels above p85, and the entropy of a 20-bin
-    histogram of all pixels (density form: p_k = count_k / n)."""
-    q = pix.groupBy("image_id").agg(F.percentile(F.col(v), 0.85).alias("p85"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-    j = pix.join(q, "image_id")
-    het = j.where(F.col(v) > F.col("p85")).groupBy("image_id").agg(
-        (F.stddev_pop(v) / (F.avg(v) + F.lit(1e-8))).alias("bright_heterogeneity"))
-    w = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    k = F.when(w == 0, F.lit(0)).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(v) - F.col("lo")) / w))).cast("int")
-    h = j.groupBy("image_id", k.alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    h = h.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("image_id")))
-    ent = h.groupBy("image_id").agg((-F.sum(F.col("p") * F.ln(F.col("p") + F.lit(1e-10)))).alias("histogram_entropy"))
-    return q.select("image_id").join(het, "image_id", "left").join(ent, "image_id", "left").withColumn(
-        "bright_heterogeneity", F.coalesce("bright_heterogeneity", F.lit(0.0)))
+    n = F.coalesce("noise", "std") + F.lit(1e-8)
+    return g.select("image_id", (F.coalesce("sig", "mean") / n).alias("snr"), ((F.col("p95") - F.col("p5")) / n).alias("cnr"))
+
+
+def bright_heterogeneity(pix: DataFrame, v: str = "v", bins: int = 20, least: int = 100) -> DataFrame:
+    """std/mean of the pixels above p85, and the entropy -sum(d ln(d + 1e-10))
+    of their density histogram (``bins`` equal bins from their min to their max,
+    d = count / (n * width)), only over more than ``least`` of them, else 0."""
+    q = pix.groupBy("image_id").agg(F.percentile(F.col(v), 0.85).alias("p85"))
+    bright = pix.join(q, "image_id").where(F.col(v) > F.col("p85")).select("image_id", F.col(v).alias("v"))
+    het = bright.groupBy("image_id").agg(
+        (F.stddev_pop("v") / (F.avg("v") + F.lit(1e-8))).alias("bright_heterogeneity"),
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+    flat = F.col("mn") == F.col("mx")  # one value: a range of 1 around it
+    het = het.withColumns({"lo": F.when(flat, F.col("mn") - 0.5).otherwise(F.col("mn")), "hi": F.when(flat, F.col("mx") + 0.5).otherwise(F.col("mx"))})
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    j = bright.join(het.where(F.col("n") > least).select("image_id", "n", "lo", "hi"), "image_id")
+    k = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / width)).cast("int")
+    h = j.groupBy("image_id", "n", "lo", "hi", k.alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    d = F.col("c") / (F.col("n") * width)
+    ent = h.groupBy("image_id").agg((-F.sum(d * F.ln(d + F.lit(1e-10)))).alias("entropy"))
+    out = q.select("image_id").join(het.select("image_id", "bright_heterogeneity"), "image_id", "left").join(ent, "image_id", "left")
+    return out.select("image_id", F.coalesce("bright_heterogeneity", F.lit(0.0)).alias("bright_heterogeneity"),
+                      F.coalesce("entropy", F.lit(0.0)).alias("histogram_entropy"))
 
 
 def scene_flags(pix: DataFrame, v: str, red: str, green: str, blue: str) -> DataFrame:
@@ -260,38 +282,29 @@ def scene_flags(pix: DataFrame, v: str, red: str, green: str, blue: str) -> Data
 
 
 def normalise_image(pix: DataFrame, method: str, v: str = "v") -> DataFrame:
-    """Percent (p1..p99 -> 0..1, clipped), asinh, min-max, zscale
-    (median +- 2.5 std, clipped) per image."""
-    if method == "asinh":
-        return pix.withColumn("norm", F.asinh(F.col(v)))
+    """I12 per image, clipped to 0..1: percent (p1..p99), minmax, asinh (of the
+    difference from the median, then min..max), zscale (the middle value +- a
+    quarter of the range, over all pixels; re-aimed: not a sample of 1000)."""
     s = pix.groupBy("image_id").agg(
         F.percentile(F.col(v), 0.01).alias("p1"), F.percentile(F.col(v), 0.99).alias("p99"),
-        F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(F.col(v), 0.5).alias("med"), F.stddev_pop(v).alias("sd"))
-    j = pix.join(s, "image_id")
-    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    e = F.lit(1e-8)
+        F.min(v).alias("lo"), F.max(v).alias("hi"), F.percentile(F.col(v), 0.5).alias("med"))
+    e, x = F.lit(1e-8), F.col(v)
     if method == "percent":
-        n = clip((F.col(v) - F.col("p1")) / (F.col("p99") - F.col("p1") + e))
+        lo, hi = F.col("p1"), F.col("p99")
     elif method == "minmax":
-        n = (F.col(v) - F.col("lo")) / (F.col("hi") - F.col("lo") + e)
+        lo, hi = F.col("lo"), F.col("hi")
+    elif method == "asinh":  # monotone: the extremes stay the extremes
+        x, lo, hi = (F.asinh(c - F.col("med")) for c in (x, F.col("lo"), F.col("hi")))
     elif method == "zscale":
-        lo = F.col("med") - F.lit(2.5) * F.col("sd")
-        hi = F.col("med") + F.lit(2.5) * F.col("sd")
-        n = clip((F.col(v) - lo) / (hi - lo + e))
+        w = Window.partitionBy("image_id").orderBy(v, "y", "x")
+        mid = pix.select("image_id", F.col(v).alias("mid"), F.row_number().over(w).alias("rn"), F.count(v).over(Window.partitionBy("image_id")).alias("n"))
+        s = s.join(mid.where(F.col("rn") == F.floor(F.col("n") / 2) + 1).select("image_id", "mid"), "image_id")
+        half = F.lit(0.25) * (F.col("hi") - F.col("lo"))
+        lo, hi = F.col("mid") - half, F.col("mid") + half
     else:
         raise ValueError(method)
-    return j.select(*pix.columns, n.alias("norm"))
-
-
-def _neighbours(pix: DataFrame, v: str, offsets) -> DataFrame:
-    """Attach the values at (y+dy, x+dx) for each offset as columns n0..nk
-    (inner equi-joins on shifted coordinates: only pixels with every
-    neighbour present remain)."""
-    out = pix.select("image_id", "y", "x", F.col(v).alias("c"))
-    for k, (dy, dx) in enumerate(offsets):
-        nb = pix.select("image_id", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col(v).alias(f"n{k}"))
-        out = out.join(nb, ["image_id", "y", "x"], "inner")
-    return out
+    n = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - lo) / (hi - lo + e)))
+    return pix.join(s, "image_id").select(*[pix[c] for c in pix.columns], n.alias("norm"))
 
 
 def morphology(shape: DataFrame, asym: DataFrame) -> DataFrame:
@@ -313,45 +326,41 @@ def seeing(pix: DataFrame, v: str = "v", size: int = 15, pixel_scale: float = 1.
         (F.col("y") >= F.col("pk.y") - size) & (F.col("y") < F.col("pk.y") + size)
         & (F.col("x") >= F.col("pk.x") - size) & (F.col("x") < F.col("pk.x") + size))
     c = j.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("t"),
-                                  (F.sum(F.col("y") * F.col(v)) / F.sum(v)).alias("yc"),
-                                  (F.sum(F.col("x") * F.col(v)) / F.sum(v)).alias("xc"))
+                                  F.try_divide(F.sum(F.col("y") * F.col(v)), F.sum(v)).alias("yc"),
+                                  F.try_divide(F.sum(F.col("x") * F.col(v)), F.sum(v)).alias("xc"))
     k = j.join(c, "image_id").groupBy("image_id", "n", "t").agg(
-        F.sqrt(F.sum((F.col("y") - F.col("yc")) * (F.col("y") - F.col("yc")) * F.col(v)) / F.first("t")).alias("sy"),
-        F.sqrt(F.sum((F.col("x") - F.col("xc")) * (F.col("x") - F.col("xc")) * F.col(v)) / F.first("t")).alias("sx"))
+        F.sqrt(F.try_divide(F.sum((F.col("y") - F.col("yc")) * (F.col("y") - F.col("yc")) * F.col(v)), F.first("t"))).alias("sy"),
+        F.sqrt(F.try_divide(F.sum((F.col("x") - F.col("xc")) * (F.col("x") - F.col("xc")) * F.col(v)), F.first("t"))).alias("sx"))
     fwhm = F.lit(FWHM_PER_SIGMA) * (F.col("sx") + F.col("sy")) / 2 * F.lit(pixel_scale)
     return k.select("image_id", F.when((F.col("n") < 9) | (F.col("t") < STD_FLOOR), F.lit(0.0)).otherwise(fwhm).alias("seeing_fwhm"))
 
 
+def _sobel(pix: DataFrame, v: str) -> DataFrame:
+    """Sobel gradients along y and x of every pixel, the border pixel repeated beyond the border."""
+    row = lambda r: F.col(f"{r}.w") + 2 * F.col(f"{r}.c") + F.col(f"{r}.e")
+    col = lambda c: F.col(f"up.{c}") + 2 * F.col(f"mid.{c}") + F.col(f"down.{c}")
+    return around(pix, v).select("image_id", "y", "x", (row("down") - row("up")).alias("gy"), (col("e") - col("w")).alias("gx"))
+
+
 def sobel_sharpness(pix: DataFrame, v: str = "v") -> DataFrame:
-    """I8: mean Sobel gradient magnitude over interior pixels (all eight
-    neighbours present); the border rule of the reference is not applied."""
-    offs = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
-    nb = _neighbours(pix, v, offs)
-    val = {o: F.col(f"n{k}") for k, o in enumerate(offs)}
-    gy = (val[(1, -1)] + 2 * val[(1, 0)] + val[(1, 1)]) - (val[(-1, -1)] + 2 * val[(-1, 0)] + val[(-1, 1)])
-    gx = (val[(-1, 1)] + 2 * val[(0, 1)] + val[(1, 1)]) - (val[(-1, -1)] + 2 * val[(0, -1)] + val[(1, -1)])
-    return nb.groupBy("image_id").agg(F.avg(F.sqrt(gx * gx + gy * gy)).alias("sharpness"), F.count(F.lit(1)).alias("n_interior"))
+    """I8: mean Sobel gradient magnitude over all pixels."""
+    return _sobel(pix, v).groupBy("image_id").agg(
+        F.avg(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).alias("sharpness"), F.count(F.lit(1)).alias("n_pixels"))
 
 
 def cosmic_rays(pix: DataFrame, v: str = "v", k: float = 5.0) -> DataFrame:
-    """3x3 median (of the neighbours present), diff = v - median,
-    robust std = 1.4826 * MAD(diff); pixels with |diff| > 5 robust std are
-    replaced by the median.  Returns per image the count replaced and the
-    cleaned mean."""
-    offs = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    vals = pix.select("image_id", "y", "x", F.col(v).alias("val"))
-    spread_ = vals.select("image_id", F.explode(F.array(*[F.struct((F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"))
-                                                         for dy, dx in offs])).alias("t"), "val")
-    spread_ = spread_.select("image_id", F.col("t.y").alias("y"), F.col("t.x").alias("x"), "val")
-    med = spread_.groupBy("image_id", "y", "x").agg(F.percentile(F.col("val"), 0.5).alias("med"))
-    d = vals.join(med, ["image_id", "y", "x"], "inner").withColumn("diff", F.col("val") - F.col("med"))
-    m1 = d.groupBy("image_id").agg(F.percentile(F.col("diff"), 0.5).alias("md"))
-    d = d.join(m1, "image_id")
+    """3x3 median (the border pixel repeated beyond the border), diff = v -
+    median, robust std = 1.4826 * MAD(diff); pixels with |diff| > 5 robust std are
+    replaced by the median.  Returns per image the count replaced and the cleaned
+    mean."""
+    nine = F.array(*[F.col(f"{r}.{c}") for r in ("up", "mid", "down") for c in ("w", "c", "e")])
+    d = around(pix, v).select("image_id", F.col("mid.c").alias("val"), F.element_at(F.array_sort(nine), 5).alias("med"))
+    d = d.withColumn("diff", F.col("val") - F.col("med"))
+    d = d.join(d.groupBy("image_id").agg(F.percentile(F.col("diff"), 0.5).alias("md")), "image_id")
     mad = d.groupBy("image_id").agg(F.percentile(F.abs(F.col("diff") - F.col("md")), 0.5).alias("mad"))
-    d = d.join(mad, "image_id")
     hit = F.abs(F.col("diff")) > F.lit(k * 1.4826) * F.col("mad")
-    return d.groupBy("image_id").agg(F.sum(F.when(hit, 1).otherwise(0)).alias("n_replaced"),
-                                     F.avg(F.when(hit, F.col("med")).otherwise(F.col("val"))).alias("clean_mean"))
+    return d.join(mad, "image_id").groupBy("image_id").agg(F.sum(F.when(hit, 1).otherwise(0)).alias("n_replaced"),
+                                                           F.avg(F.when(hit, F.col("med")).otherwise(F.col("val"))).alias("clean_mean"))
 
 
 def glcm(pix: DataFrame, v: str = "v", distance: int = 1, levels: int = 256) -> DataFrame:
@@ -425,17 +434,67 @@ def roughness(pix: DataFrame, v: str = "v", k: int = 10) -> DataFrame:
         (F.avg(z * z * z * z) - F.lit(3.0)).alias("height_kurtosis"))
 
 
+def local_moments(pix: DataFrame, size: int, v: str = "v") -> DataFrame:
+    """Mean and variance of the ``size`` x ``size`` box around every pixel, by two
+    separable running sums over the pixels present (re-aimed at the border, where
+    the reference repeats pixels)."""
+    k = size // 2
+    wx = Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-k, k)
+    wy = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-k, k)
+    sq = F.col(v) * F.col(v)
+    r = pix.select("image_id", "y", "x", v, F.sum(v).over(wx).alias("s1"), F.sum(sq).over(wx).alias("s2"), F.count(v).over(wx).alias("n"))
+    n = F.sum("n").over(wy)
+    m = r.select("image_id", "y", "x", v, (F.sum("s1").over(wy) / n).alias("local_mean"), (F.sum("s2").over(wy) / n).alias("local_square"))
+    return m.withColumn("local_var", F.greatest(F.lit(0.0), F.col("local_square") - F.col("local_mean") * F.col("local_mean"))).drop("local_square")
+
+
+def local_texture(pix: DataFrame, v: str = "v") -> DataFrame:
+    """I16 family: local contrast std(v - mean11), noise level std(v - mean5),
+    uniformity 1 - std/mean of the local means and of the local stds over 21
+    pixels, urban texture = mean of the local variances (11) above their p90."""
+    m11, m5, m21 = (local_moments(pix, s, v) for s in (11, 5, 21))
+    a = m11.groupBy("image_id").agg(F.stddev_pop(F.col(v) - F.col("local_mean")).alias("local_contrast"), F.percentile(F.col("local_var"), 0.9).alias("p90"))
+    top = m11.select("image_id", "local_var").join(a.select("image_id", "p90"), "image_id").where(F.col("local_var") > F.col("p90"))
+    top = top.groupBy("image_id").agg(F.avg("local_var").alias("urban_texture"))
+    b = m5.groupBy("image_id").agg(F.stddev_pop(F.col(v) - F.col("local_mean")).alias("noise_level"))
+    e, sd = F.lit(1e-8), F.sqrt("local_var")
+    c = m21.groupBy("image_id").agg((F.lit(1.0) - F.stddev_pop("local_mean") / (F.avg("local_mean") + e)).alias("intensity_uniformity"),
+                                    (F.lit(1.0) - F.stddev_pop(sd) / (F.avg(sd) + e)).alias("texture_uniformity"))
+    out = a.drop("p90").join(b, "image_id").join(c, "image_id").join(top, "image_id", "left")
+    return out.withColumn("overall_uniformity", (F.col("intensity_uniformity") + F.col("texture_uniformity")) / 2)
+
+
+def chlorophyll(pix: DataFrame, nir: str, red: str, green: str) -> DataFrame:
+    """Green chlorophyll index nir/green - 1 and its mean clipped to 0..10, the
+    simple green/red index, the normalised difference and its percentage form, the
+    share of green above 0.3.  Pixels where a ratio has no denominator are left out
+    of that mean."""
+    g, r = F.col(green), F.col(red)
+    gci = F.try_divide(F.col(nir), g) - F.lit(1.0)
+    simple = g / (r + F.lit(1e-8))
+    return pix.groupBy("image_id").agg(
+        F.avg(gci).alias("gci_mean"), F.avg(F.when(gci.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), gci)))).alias("chlorophyll_estimate"),
+        F.avg(simple).alias("chlorophyll_index"), F.avg((g - r) / (g + r + F.lit(1e-8))).alias("chlorophyll_ndvi"),
+        F.avg(F.try_divide(g - r, g + r) * 100).alias("cci_estimate"),
+        F.avg(F.when(g > 0.3, 1.0).otherwise(0.0)).alias("green_percentage"), F.stddev_pop(simple).alias("chlorophyll_variability"))
+
+
 def image_quality(pix: DataFrame, v: str = "v") -> DataFrame:
-    """image_quality = 0.5*focus_score + 0.3*min(1, snr/10) +
-    0.2*robust contrast, pass when > 0.5 (images without interior pixels
-    have focus 0)."""
-    c = robust_contrasts(pix, v).select("image_id", "robust_contrast")
-    s = tail_snr(pix, v).select("image_id", "snr")
-    f = laplacian_stats(pix, v).select("image_id", "focus_score")
-    j = c.join(s, "image_id", "left").join(f, "image_id", "left")
-    q = (F.lit(0.5) * F.coalesce("focus_score", F.lit(0.0)) + F.lit(0.3) * F.least(F.lit(1.0), F.coalesce("snr", F.lit(0.0)) / 10.0)
-         + F.lit(0.2) * F.col("robust_contrast"))
-    return j.select("image_id", q.alias("image_quality"), F.when(q > 0.5, 1.0).otherwise(0.0).alias("passed"))
+    """I25, four composites: ``image_quality`` = 0.5*focus + 0.3*min(1, snr/10) +
+    0.2*robust contrast (pass above 0.5); with sharp = min(1, var/1000/500) of the
+    Laplacian, ``diagnostic`` = (snr/10 + cnr/20 + sharp)/3, ``scene`` = (uniformity +
+    1 - dark share + sharp)/3, ``surveillance`` = 0.3*mean + 0.3*std + 0.4*sharp."""
+    c = robust_contrasts(pix, v).select("image_id", "robust_contrast", "uniformity", "dark_share", "rms_contrast")
+    s = tail_snr(pix, v)
+    f = laplacian_stats(pix, v).select("image_id", "focus_score", "laplacian_variance")
+    m = pix.groupBy("image_id").agg(F.avg(v).alias("mean"))
+    j = c.join(s, "image_id").join(f, "image_id").join(m, "image_id")
+    sharp = F.least(F.lit(1.0), F.col("laplacian_variance") / F.lit(1000.0) / F.lit(500.0))
+    q = F.lit(0.5) * F.col("focus_score") + F.lit(0.3) * F.least(F.lit(1.0), F.col("snr") / 10.0) + F.lit(0.2) * F.col("robust_contrast")
+    return j.select("image_id", q.alias("image_quality"), F.when(q > 0.5, 1.0).otherwise(0.0).alias("passed"),
+                    ((F.col("snr") / 10.0 + F.col("cnr") / 20.0 + sharp) / 3.0).alias("diagnostic"),
+                    ((F.col("uniformity") + (F.lit(1.0) - F.col("dark_share")) + sharp) / 3.0).alias("scene"),
+                    (F.col("mean") * 0.3 + F.col("rms_contrast") * 0.3 + sharp * 0.4).alias("surveillance"))
 
 
 def dominant(df: DataFrame, score_cols, label_col: str = "dominant", threshold: float | None = None) -> DataFrame:

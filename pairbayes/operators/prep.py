@@ -52,14 +52,22 @@ def round_features(df: DataFrame, cols: Sequence[str], decimals: int = ROUND_DEC
 
 
 def cardinality(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """Distinct count and distinct/rows ratio per column, one aggregation.
-    ``approx=True`` uses HyperLogLog (no shuffle of values at scale)."""
-    cnt = F.approx_count_distinct if approx else F.countDistinct
-    aggs = [F.count(F.lit(1)).alias("__n")] + [cnt(F.col(c)).alias(c) for c in cols]
-    row = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS BIGINT)" for c in cols)
-    long = row.selectExpr("__n AS n_rows", f"stack({len(cols)}, {stack}) AS (column_name, n_distinct)")
-    return long.withColumn("ratio", F.col("n_distinct") / F.col("n_rows"))
+    """Distinct count and distinct/rows ratio per column in one scan.  Exact: the
+    values of a row go out as (column, value) pairs, are made distinct (per task
+    before the shuffle), and are counted by column.  ``approx=True`` uses
+    HyperLogLog (no shuffle of values at scale)."""
+    if approx:
+        aggs = [F.count(F.lit(1)).alias("__n")] + [F.approx_count_distinct(F.col(c)).alias(c) for c in cols]
+        stack = ", ".join(f"'{c}', CAST(`{c}` AS BIGINT)" for c in cols)
+        long = df.agg(*aggs).selectExpr("__n AS n_rows", f"stack({len(cols)}, {stack}) AS (column_name, n_distinct)")
+    else:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
+        pairs = df.select(F.explode(F.array_append(pairs, F.struct(F.lit("").alias("column_name"), F.lit(None).cast("string").alias("value")))).alias("p"))
+        n = pairs.groupBy("p.column_name", "p.value").agg(F.count(F.lit(1)).alias("n"))
+        n = n.groupBy("column_name").agg(F.count("value").alias("n_distinct"), F.sum("n").alias("n_rows"))
+        names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")  # an empty table has no pairs
+        long = names.join(n, "column_name", "left").select("column_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
+    return long.withColumn("ratio", F.try_divide("n_distinct", "n_rows"))
 
 
 def high_cardinality_report(df: DataFrame, cols: Sequence[str], threshold: float = CARDINALITY_THRESHOLD,
@@ -129,18 +137,12 @@ def zscore(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None, s
 
 
 def channel_stats(pixels: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """Per channel mean, sample std, min, max, count over all pixels."""
-    parts = [
-        pixels.agg(
-            F.lit(c).alias("channel"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-            F.min(c).alias("min"), F.max(c).alias("max"), F.count(c).alias("n"),
-        )
-        for c in channels
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Per channel mean, sample std, min, max, count over all pixels, in one scan."""
+    names = ("mean", "std", "min", "max", "n")
+    fns = (F.avg, F.stddev_samp, F.min, F.max, F.count)
+    row = pixels.agg(*[f(c).alias(f"{c}_{k}") for c in channels for k, f in zip(names, fns)])
+    stack = ", ".join(f"'{c}', " + ", ".join(f"`{c}_{k}`" for k in names) for c in channels)
+    return row.selectExpr(f"stack({len(channels)}, {stack}) AS (channel, {', '.join(names)})")
 
 
 def normalise(df: DataFrame, cols: Sequence[str], stats: dict[str, tuple[float, float]], eps: float = STD_FLOOR) -> DataFrame:

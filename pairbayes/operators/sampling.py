@@ -35,7 +35,7 @@ def train_test_split(df: DataFrame, row_id: str = "row_id", test_share: float =
 
 def seeded_sample(df: DataFrame, n: int, row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """N rows ordered by a seeded hash (the limit *is* the feature here)."""
-    return df.orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), F.col(row_id)).limit(n)
+    return df.orderBy(split_unit(F.col(row_id), seed), F.col(row_id)).limit(n)
 
 
 def seed_rows(df: DataFrame, per_class: int = 2, label: str = "y", order: str = "row_id") -> DataFrame:

@@ -9,48 +9,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairbayes.operators.embed import class_separation, feature_correlation, label_correlation
+from pairbayes.session import cut_lineage
 
 # Fixed values of the selection rule.
 UPPER_THRESHOLD = 0.85
 LOWER_THRESHOLD = 0.01
 MIN_FEATURES = 8
-MAX_FEATURES = 50
-
-
-def select_features(fx_y: DataFrame, n_classes: int) -> list[int]:
-    """Signed Pearson correlation with the label (blended 0.7/0.3 with
-    the class-separation score above 10 classes); keep >= 0.85, else the top
-    8; drop a feature correlated > 0.01 with a kept one of >= score; at most
-    50; index order.  Spark computes every statistic; the walk runs over at
-    most F scalars and F^2 correlations on the driver."""
-    lc = {r["feature"]: r["corr"] for r in label_correlation(fx_y).collect()}
-    score = {k: (v if v is not None else 0.0) for k, v in lc.items()}
-    if n_classes > 10:
-        sep = {r["feature"]: r["score_norm"] for r in class_separation(fx_y).collect()}
-        score = {k: 0.7 * score[k] + 0.3 * sep.get(k, 0.0) for k in score}
-    order = sorted(score, key=lambda k: (-score[k], k))
-    chosen = [k for k in order if score[k] >= UPPER_THRESHOLD]
-    if len(chosen) < MIN_FEATURES:
-        chosen = order[:MIN_FEATURES]
-    chosen = sorted(chosen)
-    pairs = list(itertools.combinations(chosen, 2))
-    cc = {}
-    if pairs:
-        for r in feature_correlation(fx_y, pairs).collect():
-            cc[(r["f1"], r["f2"])] = r["corr"] if r["corr"] is not None else 0.0
-    kept: list[int] = []
-    for i in chosen:
-        ok = True
-        for j in kept:
-            c = cc.get((min(i, j), max(i, j)), 0.0)
-            if c > LOWER_THRESHOLD and score[i] <= score[j]:
-                ok = False
-                break
-        if ok:
-            kept.append(i)
-            if len(kept) >= MAX_FEATURES:
-                break
-    return sorted(kept)
+
+
+def feature_scores(fx_y: DataFrame, n_classes: int) -> DataFrame:
+    """``(feature, score)``: signed correlation with the label, blended 0.7 / 0.3
+    with the class separation where there are more than 10 classes."""
+    s = label_correlation(fx_y).select("feature", F.coalesce("corr", F.lit(0.0)).alias("score"))
+    if n_classes <= 10:
+        return s
+    sep = class_separation(fx_y).select("feature", "score_norm")
+    return s.join(sep, "feature", "left").select("feature", (0.7 * F.col("score") + 0.3 * F.coalesce("score_norm", F.lit(0.0))).alias("score"))
+
+
+def select_features(fx_y: DataFrame, n_classes: int) -> DataFrame:
+    """``(feature, score)`` of the features that stay.
+
+    Candidates score 0.85 or more; if fewer than 8 do, the best 8 are taken.  A
+    candidate is blocked by one of smaller index, no smaller score and a
+    correlation with it above 0.01, if that one stays.  Stated as tables: the
+    candidates, and who may block whom.  In every round a candidate all of whose
+    possible blockers are out stays, and one with a blocker that stays is out;
+    the first undecided index is always decided, so rounds end."""
+    scores = cut_lineage(feature_scores(fx_y, n_classes))
+    best = scores.orderBy(F.col("score").desc(), "feature").limit(MIN_FEATURES)
+    strong = scores.where(F.col("score") >= UPPER_THRESHOLD)
+    cand = strong if strong.limit(MIN_FEATURES).count() == MIN_FEATURES else best
+    cand = cut_lineage(cand)
+    names = sorted(r["feature"] for r in cand.select("feature").collect())  # at most F
+    pairs = list(itertools.combinations(names, 2))
+    if not pairs:
+        return cand
+    a, b = cand.toDF("f1", "s1"), cand.toDF("f2", "s2")
+    blocks = feature_correlation(fx_y, pairs).where(F.col("corr") > LOWER_THRESHOLD).join(a, "f1").join(b, "f2")
+    blocks = cut_lineage(blocks.where("s2 <= s1").select(F.col("f1").alias("by"), F.col("f2").alias("feature")))
+    state = cand.withColumn("stays", F.lit(None).cast("boolean"))
+    while True:
+        seen = blocks.join(state.select(F.col("feature").alias("by"), F.col("stays").alias("by_stays")), "by")
+        seen = seen.groupBy("feature").agg(F.max(F.col("by_stays").cast("int")).alias("some_stays"), F.count(F.when(F.col("by_stays").isNull(), 1)).alias("open"))
+        now = F.when(F.col("some_stays") == 1, False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        state = cut_lineage(state.join(seen, "feature", "left").select("feature", "score", now.alias("stays")))
+        if state.where("stays is null").isEmpty():
+            return state.where("stays").drop("stays")
 
 
 def distribution_data(fx_y: DataFrame, features, ps=(0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:

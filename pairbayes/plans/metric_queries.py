@@ -74,8 +74,13 @@ def li_low_posterior(spark, sf) -> DataFrame:
 
 
 def emb_pair_adjacency(spark, sf) -> DataFrame:
-    """Feature pairs sharing a feature (a < b)."""
-    return pair_adjacency(pairs_frame(spark, feature_pairs(EMB_DIMS)))
+    """Occupied pairs of the lineitem model that share a feature (a < b), with the
+    cells they hold together."""
+    model, _ = _boost_model(spark, sf)
+    held = model.counts.groupBy("pair_id").agg(F.count(F.lit(1)).alias("cells"))
+    pairs = pairs_frame(spark, feature_pairs(4)).join(held, "pair_id", "left_semi")
+    a, b = held.toDF("a", "cells_a"), held.toDF("b", "cells_b")
+    return pair_adjacency(pairs).join(a, "a").join(b, "b").select("a", "b", (F.col("cells_a") + F.col("cells_b")).alias("cells"))
 
 
 def li_split_report(spark, sf) -> DataFrame:
@@ -133,9 +138,11 @@ w AS (SELECT true_class, 1.0e0 - tp * 1.0e0 / CASE WHEN tot = 0 THEN 1 ELSE tot
 SELECT true_class AS cls, round(CASE WHEN sum(w) OVER () > 0 THEN w * (SELECT count(*) FROM ncls) / sum(w) OVER () ELSE 1.0e0 END, {R}) AS weight FROM w""",
         "li_low_posterior": base + """
 SELECT row_id, ytrue AS true_class, pred AS pred_class FROM pred_s WHERE pmax < 0.9e0""",
-        "emb_pair_adjacency": "WITH " + emb_base() + """,
-lp AS (SELECT pair_id, f1 AS f FROM pairs UNION ALL SELECT pair_id, f2 FROM pairs)
-SELECT DISTINCT l.pair_id AS a, r.pair_id AS b FROM lp l JOIN lp r ON l.f = r.f AND l.pair_id < r.pair_id""",
+        "emb_pair_adjacency": "WITH " + boost_base() + """,
+lp AS (SELECT pair_id, f1 AS f FROM pairs UNION ALL SELECT pair_id, f2 FROM pairs),
+h AS (SELECT pair_id, count(*) AS cells FROM counts GROUP BY pair_id),
+ad AS (SELECT DISTINCT l.pair_id AS a, r.pair_id AS b FROM lp l JOIN lp r ON l.f = r.f AND l.pair_id < r.pair_id)
+SELECT a, b, ha.cells + hb.cells AS cells FROM ad JOIN h ha ON ha.pair_id = a JOIN h hb ON hb.pair_id = b""",
         "li_split_report": base + f""",
 sp AS (SELECT row_id, CASE WHEN {split_unit_sql('row_id')} < 0.8e0 THEN 'train' ELSE 'test' END AS split FROM pred_s)
 SELECT split, count(*) AS n, round(avg(CASE WHEN p.pred = p.ytrue THEN 1.0e0 ELSE 0.0e0 END), {R}) AS accuracy

@@ -36,10 +36,11 @@ def page_class_index(spark, sf) -> DataFrame:
 
 
 def page_class_validation(spark, sf) -> DataFrame:
-    """Class map of https pages vs all pages; differing rows."""
+    """The class map saved before the folder 'en' came, vs that of all pages; differing rows."""
     p, c = _pages_catalogue(spark, sf)
-    https = catalogue.catalogue_from_paths(p.where(F.col("url").startswith("https")), F.col("path"), "/")
-    return catalogue.validate_class_map(catalogue.class_index_map(https), catalogue.class_index_map(c))
+    saved = catalogue.catalogue_from_paths(p.where(~F.col("path").startswith("/en/")), F.col("path"), "/")
+    bad = catalogue.validate_class_map(catalogue.class_index_map(saved), catalogue.class_index_map(c))
+    return bad.select("class", *[F.coalesce(i, F.lit(-1)).alias(i) for i in ("saved_index", "current_index")])  # -1: absent
 
 
 def page_merged_splits(spark, sf) -> DataFrame:
@@ -153,9 +154,9 @@ def oracles() -> dict[str, str]:
         "page_catalogue": f"WITH {_CAT} SELECT path, class, filename FROM cat",
         "page_class_index": f"WITH {_CAT} SELECT class, CAST(row_number() OVER (ORDER BY class) - 1 AS INTEGER) AS class_index FROM (SELECT DISTINCT class FROM cat)",
         "page_class_validation": f"""WITH {_CAT},
-s AS (SELECT class, CAST(row_number() OVER (ORDER BY class) - 1 AS INTEGER) AS ci FROM (SELECT DISTINCT class FROM cat WHERE url LIKE 'https%')),
+s AS (SELECT class, CAST(row_number() OVER (ORDER BY class) - 1 AS INTEGER) AS ci FROM (SELECT DISTINCT class FROM cat WHERE path NOT LIKE '/en/%')),
 c2 AS (SELECT class, CAST(row_number() OVER (ORDER BY class) - 1 AS INTEGER) AS ci FROM (SELECT DISTINCT class FROM cat))
-SELECT coalesce(s.class, c2.class) AS class, s.ci AS saved_index, c2.ci AS current_index FROM s FULL OUTER JOIN c2 ON s.class = c2.class
+SELECT coalesce(s.class, c2.class) AS class, coalesce(s.ci, -1) AS saved_index, coalesce(c2.ci, -1) AS current_index FROM s FULL OUTER JOIN c2 ON s.class = c2.class
 WHERE s.class IS NULL OR c2.class IS NULL OR s.ci <> c2.ci""",
         "page_merged_splits": f"""WITH {_CAT},
 u AS (SELECT path, class, filename, CASE WHEN url LIKE 'https%' THEN 'test' ELSE 'train' END AS split, CASE WHEN url LIKE 'https%' THEN 1 ELSE 0 END AS o FROM cat),

@@ -59,7 +59,7 @@ def px_focus(spark, sf):
 
 def px_laplacian(spark, sf):
     s = pixels.laplacian_stats(pixel_table(spark, sf))
-    return s.select("image_id", F.round("laplacian_variance", R).alias("laplacian_variance"), "n_interior",
+    return s.select("image_id", F.round("laplacian_variance", R).alias("laplacian_variance"), "n_pixels",
                     F.round("focus_score", R).alias("focus_score"), "is_out_of_focus")
 
 
@@ -85,6 +85,20 @@ PIX = """pix AS (SELECT l_suppkey AS image_id, l_linenumber - 1 AS y,
   FROM lineitem)"""
 
 
+def around_sql(value: str, mirror: bool = False) -> str:
+    """CTEs up to ``nine`` (image_id, m, n, s: structs of w, c, e) by joins on shifted
+    coordinates: the rule of the image library, written apart from the Spark windows."""
+    other = "b.v, " if mirror else ""
+    back = "a.v, " if mirror else ""
+    return f"""px AS MATERIALIZED (SELECT image_id, y, x, {value} AS v FROM pix),
+rw AS MATERIALIZED (SELECT p.image_id, p.y, p.x, struct_pack(w := coalesce(a.v, {other}p.v), c := p.v, e := coalesce(b.v, {back}p.v)) AS r FROM px p
+  LEFT JOIN px a ON a.image_id = p.image_id AND a.y = p.y AND a.x = p.x - 1
+  LEFT JOIN px b ON b.image_id = p.image_id AND b.y = p.y AND b.x = p.x + 1),
+nine AS MATERIALIZED (SELECT p.image_id, p.y, p.x, p.r AS m, coalesce(a.r, {other.replace('.v', '.r')}p.r) AS n, coalesce(b.r, {back.replace('.v', '.r')}p.r) AS s FROM rw p
+  LEFT JOIN rw a ON a.image_id = p.image_id AND a.x = p.x AND a.y = p.y - 1
+  LEFT JOIN rw b ON b.image_id = p.image_id AND b.x = p.x AND b.y = p.y + 1)"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "px_basic_stats": f"""WITH {PIX},
@@ -150,14 +164,10 @@ gy AS (SELECT a.image_id, a.y, a.x, CASE WHEN d.v IS NOT NULL AND u.v IS NOT NUL
 g AS (SELECT gx.image_id, avg(sqrt(gx * gx + gy * gy)) AS gf, avg(abs(gx)) AS mdx, avg(abs(gy)) AS mdy
       FROM gx JOIN gy ON gy.image_id = gx.image_id AND gy.y = gx.y AND gy.x = gx.x GROUP BY gx.image_id)
 SELECT image_id, round(gf, {R}) AS gradient_focus, round(abs(mdx - mdy) / (mdx + mdy + 1e-8), {R}) AS motion FROM g""",
-        "px_laplacian": f"""WITH {PIX},
-l AS (SELECT c.image_id, n.v + s.v + w.v + e.v - 4.0e0 * c.v AS lap FROM pix c
-      JOIN pix n ON n.image_id = c.image_id AND n.y = c.y - 1 AND n.x = c.x
-      JOIN pix s ON s.image_id = c.image_id AND s.y = c.y + 1 AND s.x = c.x
-      JOIN pix w ON w.image_id = c.image_id AND w.y = c.y AND w.x = c.x - 1
-      JOIN pix e ON e.image_id = c.image_id AND e.y = c.y AND e.x = c.x + 1),
-g AS (SELECT image_id, var_pop(lap) AS lv, count(*) AS n_interior FROM l GROUP BY image_id)
-SELECT image_id, round(lv, {R}) AS laplacian_variance, n_interior, round(least(1.0e0, lv / 500.0e0), {R}) AS focus_score,
+        "px_laplacian": f"""WITH {PIX}, {around_sql("CAST(CAST(trunc(v * 255.0e0) AS BIGINT) % 256 AS DOUBLE)", True)},
+l AS (SELECT image_id, n.c + s.c + m.w + m.e - 4.0e0 * m.c AS lap FROM nine),
+g AS (SELECT image_id, var_pop(lap) AS lv, count(*) AS n_pixels FROM l GROUP BY image_id)
+SELECT image_id, round(lv, {R}) AS laplacian_variance, n_pixels, round(least(1.0e0, lv / 500.0e0), {R}) AS focus_score,
   CASE WHEN least(1.0e0, lv / 500.0e0) < 0.3 THEN 1.0e0 ELSE 0.0e0 END AS is_out_of_focus FROM g""",
         "px_box_mean": f"""WITH {PIX},
 r AS (SELECT image_id, y, x, avg(v) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS rx,
@@ -182,7 +192,7 @@ def px_seeing(spark, sf):
 
 def px_sobel(spark, sf):
     s = pixels.sobel_sharpness(pixel_table(spark, sf))
-    return s.select("image_id", F.round("sharpness", R).alias("sharpness"), "n_interior")
+    return s.select("image_id", F.round("sharpness", R).alias("sharpness"), "n_pixels")
 
 
 def px_cosmic_rays(spark, sf):
@@ -224,22 +234,14 @@ c AS (SELECT image_id, count(*) AS n, sum(v) AS t, sum(y * v) / sum(v) AS yc, su
 k AS (SELECT j.image_id, any_value(c.n) AS n, any_value(c.t) AS t, sqrt(sum((y - yc) * (y - yc) * v) / any_value(c.t)) AS sy,
         sqrt(sum((x - xc) * (x - xc) * v) / any_value(c.t)) AS sx FROM j JOIN c ON c.image_id = j.image_id GROUP BY j.image_id)
 SELECT image_id, round(CASE WHEN n < 9 OR t < 1e-8 THEN 0.0e0 ELSE 2.355e0 * (sx + sy) / 2 * 1.0e0 END, {R}) AS seeing_fwhm FROM k"""
-    nb = lambda a, dy, dx: f"JOIN pix {a} ON {a}.image_id = c.image_id AND {a}.y = c.y + ({dy}) AND {a}.x = c.x + ({dx})"
-    offs = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
-    names = {o_: f"n{k}" for k, o_ in enumerate(offs)}
-    joins = " ".join(nb(names[o_], *o_) for o_ in offs)
-    v = lambda o_: f"{names[o_]}.v"
-    gy = f"(({v((1,-1))} + 2 * {v((1,0))} + {v((1,1))}) - ({v((-1,-1))} + 2 * {v((-1,0))} + {v((-1,1))}))"
-    gx = f"(({v((-1,1))} + 2 * {v((0,1))} + {v((1,1))}) - ({v((-1,-1))} + 2 * {v((0,-1))} + {v((1,-1))}))"
-    o["px_sobel"] = f"""WITH {PIX}
-SELECT c.image_id, round(avg(sqrt({gx} * {gx} + {gy} * {gy})), {R}) AS sharpness, count(*) AS n_interior FROM pix c {joins} GROUP BY c.image_id"""
-    o["px_cosmic_rays"] = f"""WITH {PIX},
-sp AS (SELECT p.image_id, p.y - t.dy AS y, p.x - t.dx AS x, p.v AS val FROM pix p
-       CROSS JOIN (SELECT a.dy, b.dx FROM range(-1, 2) a(dy), range(-1, 2) b(dx)) t),
-med AS (SELECT image_id, y, x, quantile_cont(val, 0.5) AS med FROM sp GROUP BY image_id, y, x),
-d AS (SELECT p.image_id, p.v AS val, m.med, p.v - m.med AS diff FROM pix p JOIN med m ON m.image_id = p.image_id AND m.y = p.y AND m.x = p.x),
-m1 AS (SELECT image_id, quantile_cont(diff, 0.5) AS md FROM d GROUP BY image_id),
-d2 AS (SELECT d.*, m1.md FROM d JOIN m1 ON m1.image_id = d.image_id),
+    gy = "((s.w + 2 * s.c + s.e) - (n.w + 2 * n.c + n.e))"
+    gx = "((n.e + 2 * m.e + s.e) - (n.w + 2 * m.w + s.w))"
+    o["px_sobel"] = f"""WITH {PIX}, {around_sql("v")}
+SELECT image_id, round(avg(sqrt({gx} * {gx} + {gy} * {gy})), {R}) AS sharpness, count(*) AS n_pixels FROM nine GROUP BY image_id"""
+    o["px_cosmic_rays"] = f"""WITH {PIX}, {around_sql("v")},
+d AS (SELECT image_id, m.c AS val, list_sort([n.w, n.c, n.e, m.w, m.c, m.e, s.w, s.c, s.e])[5] AS med FROM nine),
+m1 AS (SELECT image_id, quantile_cont(val - med, 0.5) AS md FROM d GROUP BY image_id),
+d2 AS (SELECT d.*, val - med AS diff, m1.md FROM d JOIN m1 ON m1.image_id = d.image_id),
 mad AS (SELECT image_id, quantile_cont(abs(diff - md), 0.5) AS mad FROM d2 GROUP BY image_id),
 d3 AS (SELECT d2.*, mad.mad FROM d2 JOIN mad ON mad.image_id = d2.image_id)
 SELECT image_id, CAST(sum(CASE WHEN abs(diff) > 5.0e0 * 1.4826e0 * mad THEN 1 ELSE 0 END) AS BIGINT) AS n_replaced,

@@ -16,7 +16,8 @@ from pairbayes.plans.train import TrainLog, train
 def fit_predict(fx: DataFrame, n_features: int, n_bins: int = 128, epochs: int = 0, split_col: str = "split",
                 log: TrainLog | None = None) -> tuple[HistogramModel, DataFrame]:
     """Classes, bins and counts from the 'train' rows only; boost on
-    them; score every row (train and test).  ``fx``: (row_id, label, x, split)."""
+    them; score every row, unlabelled ones and unknown labels too (``y`` null).
+    ``fx``: (row_id, label, x, split)."""
     tr = fx.where(F.col(split_col) == "train")
     classes, counts, mins, maxs = class_profile(tr, n_features)
     spec = edges_from_minmax(mins, maxs, n_bins)
@@ -25,7 +26,7 @@ def fit_predict(fx: DataFrame, n_features: int, n_bins: int = 128, epochs: int =
     if epochs > 0:
         model = train(model, tr_y, epochs=epochs, log=log)
     all_y = encode_labels(fx, classes)
-    scored = score(model, all_y.where(F.col("y").isNotNull()), keep=("row_id", "y", split_col))
+    scored = score(model, all_y, keep=("row_id", "y", split_col))
     return model, scored
 
 
@@ -43,11 +44,11 @@ def predict_new(model: HistogramModel, fx: DataFrame, keep=("row_id",)) -> DataF
 def evaluation_by_split(scored: DataFrame, split_col: str = "split") -> DataFrame:
     """Accuracy, mean confidence (A29) and mean class accuracy per split,
     from ONE aggregation of the scores (per split and class), so the
-    scoring plan runs once."""
+    scoring plan runs once.  Rows without a known label are left out of it."""
     from pairbayes.operators.metrics import _small
 
     ok = F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)
-    cnt = _small(scored.groupBy(split_col, "y").agg(F.count(F.lit(1)).alias("n"), F.sum(ok).alias("c"),
+    cnt = _small(scored.where(F.col("y").isNotNull()).groupBy(split_col, "y").agg(F.count(F.lit(1)).alias("n"), F.sum(ok).alias("c"),
                                                     F.sum("confidence").alias("sc")))
     return cnt.groupBy(split_col).agg(
         F.sum("n").alias("n"), (F.sum("c") / F.sum("n")).alias("accuracy"),
