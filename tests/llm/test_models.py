@@ -162,7 +162,7 @@ def test_licences(spark):
     apache = "Licensed under the Apache License, Version 2.0."
     files = [
         ("a/LICENSE", "Released under the MIT License."), ("a/b/x.txt", "nothing here"), ("a/b/LICENSE.md", "filler " * 40 + "\n" + apache),
-        ("a/b/c/y.txt", "text\n" + apache.upper() + "\nmore " * 50), ("a/b/c/z.txt", "free words of the work"), ("d/e.txt", "the version is new"), ("top.txt", None),
+        ("a/b/c/y.txt", "text\n" + apache.upper() + "\nmore " * 90), ("a/b/c/z.txt", "free words of the work"), ("d/e.txt", "the version is new"), ("top.txt", None),
         (None, apache), ("a/b/x.txt", "nothing here"), ("a/empty", ""), ("d/long.txt", "pad " * 300 + apache + " pad" * 300),
     ]
     df = spark.createDataFrame(files, "path string, text string").withColumn("license_id", F.lit(1))
