@@ -29,7 +29,7 @@ def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
 
 
 def below(hashes: Column, fraction: float = FRACTION) -> Column:
-    limit = int(-(2**63) + fraction * 2**64)
+    limit = min(int(-(2**63) + fraction * 2**64), 2**63 - 1)
     return F.filter(hashes, lambda h: h < F.lit(limit))
 
 
