@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairbayes.functions.columns import l2_normalize
+from pairbayes.session import cut_lineage
 
 # Fixed tolerances of the spectrum match (numpy allclose defaults, atol 1e-5).
 ATOL = 1e-5
@@ -73,7 +73,7 @@ def nearest_point(queries: DataFrame, points: DataFrame, qid: str, qx: str, qy:
     without coordinates, or without any point, keeps its row with nulls."""
     spark = queries.sparkSession
     pts = points.where(F.col(px).isNotNull() & F.col(py).isNotNull()).groupBy(F.col(px).alias("__px"), F.col(py).alias("__py")).agg(F.min(pid).alias("__pid"))
-    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+    pts = cut_lineage(pts)
     asked = queries.select(F.col(qid).alias("__qid"), F.col(qx).alias("__qx"), F.col(qy).alias("__qy"))
     lost = F.col("__qx").isNull() | F.col("__qy").isNull()
     pending = asked.where(~lost)
@@ -101,15 +101,15 @@ def nearest_point(queries: DataFrame, points: DataFrame, qid: str, qx: str, qy:
         d2 = (F.col("__px") - F.col("__qx")) * (F.col("__px") - F.col("__qx")) + (F.col("__py") - F.col("__qy")) * (F.col("__py") - F.col("__qy"))
         c = c.withColumn("__d2", d2)
         best = c.groupBy("__qid", "__qx", "__qy").agg(F.min(F.struct("__d2", "__pid")).alias("__b"))
-        best = best.select("__qid", "__qx", "__qy", F.col("__b.__d2").alias("__d2"), F.col("__b.__pid").alias("__pid"))
-        best = best.persist(StorageLevel.MEMORY_AND_DISK)
+        # a written level: the plan does not grow with the number of levels
+        best = cut_lineage(best.select("__qid", "__qx", "__qy", F.col("__b.__d2").alias("__d2"), F.col("__b.__pid").alias("__pid")))
         # a block wider than everything holds every point
         settled = best.where(F.col("__d2") <= F.lit(g * g)) if g <= reach else best
         results.append(settled)
-        pending = pending.join(settled.select("__qid"), "__qid", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+        pending = cut_lineage(pending.join(settled.select("__qid"), "__qid", "left_anti"))
         if g > reach or pending.isEmpty():
             break
-        g *= 2.0
+        g *= 8.0 if settled.isEmpty() else 2.0  # far from every point: grow faster
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)

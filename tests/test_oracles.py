@@ -3,6 +3,7 @@ after rounding).  A fast subset by default; PAIRBAYES_FULL_ORACLE=1 runs all."""
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -10,7 +11,8 @@ import pytest
 from tests.conftest import SF01
 
 FAST = ["emb_cell_counts", "emb_posterior", "li_boosted_predictions", "li_cardinality_drop", "part_first_codes",
-        "spec_vote", "nearest_customer", "emb_class_separation", "px_shape_stats", "page_catalogue", "li_colours"]
+        "spec_vote", "nearest_customer", "emb_class_separation", "px_shape_stats", "page_catalogue", "li_colours",
+        "li_active_selection", "li_predict_new", "px_laplacian", "px_tail_snr", "px_heterogeneity", "emb_selected_features"]
 
 
 def _names():
@@ -45,9 +47,9 @@ def test_every_query_has_oracle_or_is_rows_only():
 
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    rows_only = set(q) - set(o)
-    assert rows_only <= {"emb_kmeans", "emb_pca", "li_active_selection", "li_adaptive_rounds", "px_noise",
-                         "emb_selected_features", "emb_sample", "li_method_comparison"}
+    # numbered operators and the pipeline have tests of their own, where they are installed
+    rows_only = {n for n in set(q) - set(o) if not re.match(r"op\d+_|pipeline$", n)}
+    assert rows_only <= {"emb_kmeans", "emb_pca", "li_adaptive_rounds", "px_noise", "li_method_comparison"}
 
 
 @pytest.mark.parametrize("name", _names())
