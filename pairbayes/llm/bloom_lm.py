@@ -12,9 +12,9 @@ the pairs it holds.  Parts are broadcast together as long as they stay below
 scoring the pairs of its own parts, and the rounds' sums are added.  So nothing
 is pruned and no broadcast grows with the corpus.
 
-Word counts are exact.  Documents are dealt into blocks; each block asks for
-the counts of its own distinct words by a join, so the vocabulary is never held
-in one place either.
+Word counts are exact (words are told apart by 64-bit hashes).  Documents are
+dealt into blocks; each block asks for the counts of its own distinct words by a
+join, so the vocabulary is never held in one place either.
 
 The probability of a word after another is (pairs + mu * p(word)) / (count of
 the first + mu), with the add-one unigram p(word) = (c + 1) / (N + V + 1) below
@@ -30,6 +30,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbayes.llm.common import mix64, stash, text_stats, words_of
+from pairbayes.llm.common import mix64, pieces_of, stash, text_stats, words_of
 
 #: Stands for the end of a text; no word is empty.
 END = b""
@@ -46,6 +47,43 @@ BASE, PROBES, BITS_PER_ENTRY = 1.6, 4, 11
 MAX_BROADCAST = 128 << 20
 
 
+def signed(hashes: np.ndarray) -> np.ndarray:
+    return hashes.view(np.int64)
+
+
+def raw_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
+
+
+def text_pieces(texts: list[bytes | None], limit: int = 1 << 21) -> Iterator[list[list[bytes]]]:
+    """The words of the texts, of about ``limit`` bytes of them at a time."""
+    for a, b in pieces_of(np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts)), limit):
+        yield [words_of(t) for t in texts[a:b]]
+
+
+def with_ends(words: np.ndarray, counts: np.ndarray, end) -> np.ndarray:
+    """The texts' words in a row with ``end`` before the first text and after each."""
+    return np.r_[words.dtype.type(end), np.insert(words, np.cumsum(counts), end)]
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys as their differences, byte plane by byte plane (the upper ones compress away)."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    return counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked_counts(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def word_hashes(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
@@ -148,14 +186,15 @@ def filter_parts(texts: DataFrame, shift: int) -> DataFrame:
             k, n = np.unique(np.concatenate(keys), return_counts=True)
             part = part_of(k, shift)
             at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            ends = np.r_[at[1:], len(k)]
-            return pa.RecordBatch.from_arrays([pa.array(part[at], pa.int64()), pa.array([k[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()), pa.array([n[a:b].astype("<u4").tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], names=["part", "pairs", "counts"])
+            spans = list(zip(at, np.r_[at[1:], len(k)], strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(part[at], pa.int64()), pa.array([packed(k[a:b]) for a, b in spans], pa.binary()), pa.array([packed_counts(n[a:b]) for a, b in spans], pa.binary())], names=["part", "pairs", "counts"])
 
         kept, n = [], 0
-        end = word_hashes([END])
+        end = word_hashes([END])[0]
         for batch in batches:
-            for t in batch.column(0).cast(pa.binary()):
-                h = np.r_[end, word_hashes(words_of(t.as_buffer().to_pybytes() if t.is_valid else None)), end]
+            for words in text_pieces(raw_texts(batch.column(0))):
+                counts = np.fromiter(map(len, words), np.int64, len(words))
+                h = with_ends(np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(counts.sum())), counts, end)
                 kept.append(pair_keys(h[:-1], h[1:]))
                 n += len(h) - 1
                 if n >= CHUNK_PAIRS:
@@ -165,32 +204,29 @@ def filter_parts(texts: DataFrame, shift: int) -> DataFrame:
             yield told(kept)
 
     def build(key: tuple[pa.Scalar, ...], blocks: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(blocks.column("pairs").to_pylist()), "<u8")
-        counts = np.frombuffer(b"".join(blocks.column("counts").to_pylist()), "<u4").astype(np.int64)
+        keys = np.concatenate([unpacked(b) for b in blocks.column("pairs").to_pylist()])
+        counts = np.concatenate([unpacked_counts(b) for b in blocks.column("counts").to_pylist()])
         return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([build_part(*summed(keys, counts))], pa.binary())})
 
     return texts.mapInArrow(count, "part long, pairs binary, counts binary").groupBy("part").applyInArrow(build, "part long, bits binary")
 
 
 def block_words(blocks: DataFrame) -> DataFrame:
-    """(block, word, n): each block's distinct words, n times in its training rows."""
+    """(block, word, n): hashes of each block's distinct words, n times in its training rows."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         seen: Counter = Counter()
-        rest: set[bytes] = set()
-        for t, train in zip(table.column("text").cast(pa.binary()), table.column("train").to_pylist(), strict=True):
-            words = words_of(t.as_buffer().to_pybytes() if t.is_valid else None)
-            if train:
-                seen.update(words)
-                seen[END] += 1
-            else:
-                rest.update(words)
-                rest.add(END)
-        words = [*seen, *(rest - seen.keys())]
-        n = [*seen.values(), *[0] * (len(words) - len(seen))]
-        return pa.table({"block": pa.array([key[0].as_py()] * len(words), pa.int64()), "word": pa.array(words, pa.binary()), "n": pa.array(n, pa.int64())})
-
-    return blocks.groupBy("block").applyInArrow(run, "block long, word binary, n long")
+        rest: set[bytes] = {END}
+        train = table.column("train").to_pylist()
+        for t, learns in zip(raw_texts(table.column("text")), train, strict=True):
+            (seen if learns else rest).update(words_of(t))
+        seen[END] += sum(train)
+        rest -= seen.keys()
+        n = np.r_[np.fromiter(seen.values(), np.int64, len(seen)), np.zeros(len(rest), np.int64)]
+        words = signed(word_hashes([*seen, *rest]))
+        return pa.table({"block": pa.array(np.full(len(n), key[0].as_py()), pa.int64()), "word": pa.array(words, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return blocks.groupBy("block").applyInArrow(run, "block long, word long, n long")
 
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", mu: float = 200.0, max_broadcast: int = MAX_BROADCAST, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -237,22 +273,39 @@ def scored_blocks(rows: DataFrame, given: DataFrame, told, total: int, distinct:
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, counts: pa.Table) -> pa.Table:
         lm: Filter = told.value
         worth = level_values(64)
-        words = counts.column("word").to_pylist()
-        index = {w: i for i, w in enumerate(words)}
-        c = counts.column("c").to_numpy().astype(float)
-        h, p = word_hashes(words), (c + 1) / (total + distinct + 1)
-        log_p, end = np.log10(p), index.get(END)
-        docs = docs.sort_by([("id", "ascending"), ("text", "ascending")]) if docs.num_rows > 1 else docs
-        res = np.zeros((docs.num_rows, 4))
-        for i, t in enumerate(docs.column("text").cast(pa.binary())):
-            at = np.fromiter(map(index.__getitem__, words_of(t.as_buffer().to_pybytes() if t.is_valid else None)), np.int64)
-            at = np.r_[end, at, end]
-            a, b = at[:-1], at[1:]
-            pairs = pair_keys(h[a], h[b])
+        asked = counts.column("word").to_numpy()
+        order = np.argsort(asked)
+        asked, given = asked[order], counts.column("c").to_numpy()[order].astype(float)
+        index: dict[bytes, int] = {END: 0}  # words of this block as they come, their hashes and counts
+        h = word_hashes([END])
+        c = given[np.searchsorted(asked, signed(h))]
+        if docs.num_rows > 1:
+            docs = docs.sort_by([("id", "ascending"), ("text", "ascending")])
+        res = []
+        for words in text_pieces(raw_texts(docs.column("text"))):
+            flat = list(chain.from_iterable(words))
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            at = np.fromiter(map(index.get, flat, repeat(-1)), np.int64, len(flat))
+            new = np.flatnonzero(at < 0).tolist()
+            if new:
+                fresh = list(dict.fromkeys(flat[i] for i in new))
+                index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
+                at[new] = [index[flat[i]] for i in new]
+                more = word_hashes(fresh)
+                h, c = np.r_[h, more], np.r_[c, given[np.searchsorted(asked, signed(more))]]
+            tokens = with_ends(at, sizes, 0)
+            a, b = tokens[:-1], tokens[1:]
+            starts = np.cumsum(sizes + 1) - (sizes + 1)
+            # each different pair is looked up once
+            pairs, back = np.unique(pair_keys(h[a], h[b]), return_inverse=True)
             mine = lm.holds(pairs)
-            a, b, pairs = a[mine], b[mine], pairs[mine]
-            n = np.minimum(worth[lm.read(pairs)], c[a])
-            res[i] = len(at) - 1, (c[at[1:]] > 0).sum(), log_p[at[1:]].sum(), np.log10((n + mu * p[b]) / (c[a] + mu)).sum()
+            level = np.zeros(len(pairs), np.int64)
+            level[mine] = lm.read(pairs[mine])
+            p = (c + 1) / (total + distinct + 1)
+            n = np.minimum(worth[level][back], c[a])
+            term = np.where(mine[back], np.log10((n + mu * p[b]) / (c[a] + mu)), 0.0)
+            res.append(np.c_[sizes + 1, np.add.reduceat(c[b] > 0, starts, dtype=float), np.add.reduceat(np.log10(p)[b], starts), np.add.reduceat(term, starts)])
+        res = np.concatenate(res) if res else np.zeros((0, 4))
         n = docs.num_rows
         return pa.table({"block": pa.array([key[0].as_py()] * n, pa.int64()), "place": pa.array(np.arange(n), pa.int64()), "id": docs.column("id"), "train": docs.column("train"), "n_tokens": pa.array(res[:, 0].astype(np.int64)), "n_known": pa.array(res[:, 1].astype(np.int64)), "base_score": pa.array(res[:, 2]), "score": pa.array(res[:, 3])})
 
