@@ -25,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairbayes.llm.common import stash
+
 THRESHOLD, COVER, LONG, WINDOW = 0.55, 0.1, 48, 24
 
 #: Templates: statements in headers and first sentences of licence files (fixed values).
@@ -115,10 +117,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     idf, vectors = weights(templates, counts, counts.get("", 0))
     need = anchors(vectors, threshold)
     rarest = math.log(counts.get("", 0) + 1) + 1
-    lower = F.lower(body)
-    maybe = F.lit(False)
-    for t in need:
-        maybe |= lower.contains(t)
+    maybe = F.lower(body).rlike("(?<![a-z0-9])(?:" + "|".join(need) + ")(?![a-z0-9])")
     holds = F.filter(passages(body), lambda p: F.arrays_overlap(p, F.array(*[F.lit(t) for t in need])))
     rows = files.withColumn("_p", F.when(maybe, holds).otherwise(F.array().cast("array<array<string>>")))
     rows = rows.withColumn("_s", F.transform("_p", lambda p: matched(p, idf, vectors, rarest)))
@@ -134,7 +133,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
 def inherit(scanned: DataFrame, path_col: str = "path") -> DataFrame:
     """Add ``license`` and ``inherited_from``: a file's own, or that of the nearest directory above."""
     parts = F.split(F.col(path_col), "/")
-    rows = scanned.withColumn("_dir", F.concat_ws("/", F.slice(parts, 1, F.size(parts) - 1)))
+    # the scan is read by three branches: written once, without the texts
+    rows = stash(scanned).withColumn("_dir", F.concat_ws("/", F.slice(parts, 1, F.size(parts) - 1)))
     rows = rows.withColumn("_dir", F.when(F.col(path_col).isNotNull(), F.col("_dir")))
     held = rows.where("license_file and _dir is not null")
     held = held.groupBy(F.col("_dir").alias("above")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("license"), F.col(path_col).alias("from"))).alias("best"))
