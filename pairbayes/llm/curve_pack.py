@@ -24,15 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbayes.llm.common import mix64, pieces_of, stash
+from pairbayes.llm.common import give_back, mix64, pieces_of, slices, stash
 
 DIMS, BITS = 4, 15
 #: Token ids in one range partition; a partition is what one task sorts and packs.
 IDS_PER_TASK = 1 << 21
 
 
-#: Signs (no apostrophe) at a word's end after a letter or digit: pieces of their own for the tokeniser.
-TAIL = re.compile(rb"(?<=[a-z0-9])[!-&(-/:-@\[-`{-~]+(?=[\x09-\x0D\x20]|\Z)")
+#: Signs (no apostrophe) at a word's end after a letter (ASCII or Latin-1) or digit: pieces of
+#: their own for the tokeniser.
+TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?:(?<=[a-z0-9][!-~])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][!-~]))[!-&(-/:-@\[-`{-~]*(?=[\x09-\x0D\x20]|\Z)")
 
 
 def bare_words(text: bytes | None) -> list[bytes]:
@@ -50,7 +51,7 @@ class WordCodes:
     signs, so a text's ids are its words' ids put together.  Words not seen
     before are encoded many at a time.  The table starts anew at ``limit`` words."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -104,7 +105,7 @@ class WordCodes:
         counts = np.fromiter(map(len, split), np.int64, len(split))
         lens = self.len[at]
         ends = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.start[at] - (ends - lens), lens) + np.arange(int(lens.sum()))]
+        ids = self.flat[np.repeat((self.start[at] - (ends - lens)).astype(np.int32), lens) + np.arange(int(lens.sum()), dtype=np.int32)]
         upto = np.concatenate([[0], ends])[np.cumsum(counts)] if len(counts) else np.zeros(0, np.int64)
         n = np.diff(upto, prepend=0) + 1
         return np.insert(ids, upto, np.uint32(end_id)), n
@@ -114,7 +115,7 @@ _CODES: dict[str, WordCodes] = {}
 
 
 def word_codes(path: str) -> WordCodes:
-    """The worker's own table of word codes, kept from task to task."""
+    """The worker's own tokeniser, kept from task to task; its table is emptied after each."""
     if path not in _CODES:
         _CODES[path] = WordCodes(path)
     return _CODES[path]
@@ -174,13 +175,15 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = word_codes(tokenizer_path)
         table = projection(hashed)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in pieces_of(np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))):
                 ids, n = codes.encode(texts[a:b], end_id)
                 raw, upto = ids.astype("<u4"), np.cumsum(n)
                 out = [raw[e - k : e].tobytes() for e, k in zip(upto.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary()), pa.array(n, pa.int64()), pa.array(curve_keys(ids, n, table), pa.int64())], names=["id", "ids", "n_ids", "curve_key"])
+        codes.clear()  # a worker lives on for other stages: it keeps no table
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -243,6 +246,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from cut_stretch(batches, TaskContext.get().partitionId(), length)
+        give_back()
 
     kind = table.schema["id"].dataType.simpleString()
     return ranged.mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairbayes.llm.common import mix64, stash, words_of
+from pairbayes.llm.common import give_back, mix64, slices, stash, words_of
 from pairbayes.llm.components import connected_components, stars
 
 REGISTERS, MANTISSA, ROWS, BANDS = 128, 10, 5, 25
@@ -110,7 +110,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in batch.column(1).cast(pa.binary())]
             some = [s for s in sets if len(s)]
             regs = iter(registers(some)) if some else iter(())
@@ -165,6 +165,7 @@ def in_batches(cells: Iterator[list[tuple[int, int]]], limit: int = 20_000) -> I
             yield edge_batch(out)
             out = []
     yield edge_batch(out)
+    give_back()
 
 
 def likely_edges(reps: DataFrame, least: float) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairbayes.llm.common import mix64, word_count
+from pairbayes.llm.common import mix64, slices, word_count
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 MAX_SOURCES, ROWS_PER_BUCKET, BLOCK = 100_000, 2000, 256
@@ -152,7 +152,7 @@ def mix(docs: DataFrame, n_shards: int = 16, seed: int = 5, source_col: str = "s
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, ends, width, n_shards, seed = told_all.value
         orders = [Order(p["n"], p["seed"]) if p["n"] else None for p in plan]
-        for batch in batches:
+        for batch in slices(batches, 4000):
             k, lo, size = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_k", "_lo", "size"))
             found = [_taken(plan[s], orders[s], ends[:, s], s, lo[k == s], size[k == s], width, seed) for s in np.unique(k)]
             rows_at = [np.flatnonzero(k == s) for s in np.unique(k)]
@@ -207,7 +207,7 @@ def mixed_rows(mixed: DataFrame, text_col: str = "text", chars_col: str | None =
     text_at, pieces_at = names.index(text_col), names.index("pieces")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at, texts, which = [], [], 0
             for text, pieces in zip(batch.column(text_at).to_pylist(), batch.column(pieces_at).to_pylist(), strict=True):
                 runs: list[list[int]] = []

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from pairbayes.llm.common import slices
+
 KINDS = ("email", "ip", "card", "phone")
 REACH = 2
 
@@ -314,14 +316,12 @@ def find(docs: DataFrame, text_col: str = "text", field: Field | None = None) ->
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                texts = part.column(at).to_pylist()
-                got = all_spans(texts, told.value)
-                rows = [[[{"start": s, "end": e, "kind": k} for s, e, k in spans] for spans in g] for g in got]
-                clean = [None if t is None else masked(t, g[1]) if g[1] else t for t, g in zip(texts, got, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind), pa.array(clean, pa.string())], names=[*batch.schema.names, "base", "found", "masked"])
+        for part in slices(batches, 512):
+            texts = part.column(at).to_pylist()
+            got = all_spans(texts, told.value)
+            rows = [[[{"start": s, "end": e, "kind": k} for s, e, k in spans] for spans in g] for g in got]
+            clean = [None if t is None else masked(t, g[1]) if g[1] else t for t, g in zip(texts, got, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind), pa.array(clean, pa.string())], names=[*part.schema.names, "base", "found", "masked"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, base {SPANS}, found {SPANS}, masked string")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbayes.llm.common import mix64, pieces_of, stash
+from pairbayes.llm.common import give_back, mix64, pieces_of, slices, stash
 
 ROWS, DIMS, NONZERO, WINDOW = 1 << 15, 48, 4, 2
 PER_CLASS, HIDDEN, EPOCHS, SEED = 3000, 24, 60, 13
@@ -35,9 +35,9 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
 class Codes(dict):
-    """Row of a token in the table, remembered; emptied when it grows past ``limit``."""
+    """Row of a token in the table, remembered; emptied when it grows past ``limit`` and after a task."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, token: str) -> int:
         if len(self) > self.limit:
@@ -49,6 +49,12 @@ class Codes(dict):
 _CODES = Codes()
 
 
+def forget_codes() -> None:
+    """A worker lives on for other stages: it keeps no table."""
+    _CODES.clear()
+    give_back()
+
+
 def token_rows(text: str | None) -> np.ndarray:
     """Table rows of a text's tokens: runs of letters, of digits, of other signs."""
     tokens = TOKEN.findall(text) if text else []
@@ -82,6 +88,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
                 order = np.argsort(rows, kind="stable")
                 at = np.flatnonzero(np.diff(rows[order], prepend=-1))
                 total[rows[order[at]]] += np.add.reduceat(around[order], at, axis=0)
+        forget_codes()
         used = np.flatnonzero(total.any(axis=1))
         for a in range(0, len(used), 4096):
             part = used[a : a + 4096]
@@ -211,12 +218,13 @@ def classify(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             col = batch.column(at)
             sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in col.cast(pa.binary())], np.int64)
             for a, b in pieces_of(sizes):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(told.value.scores(col.slice(a, b - a).to_pylist()))], names=[*batch.schema.names, "score"])
+        forget_codes()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, score double")
