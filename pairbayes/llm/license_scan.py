@@ -80,9 +80,10 @@ def anchors(vectors: list[tuple[str, dict[str, float]]], threshold: float) -> li
 
 
 def passages(text: Column) -> Column:
-    """Term arrays of the lines; a long line as windows that overlap by half."""
+    """Term arrays of the lines; a long line as windows that overlap by half, the last ending at its last term."""
     lines = F.transform(F.split(text, "[\\n\\r]+"), terms_of)
-    starts = lambda t: F.sequence(F.lit(1), F.greatest(F.size(t) - WINDOW, F.lit(1)), F.lit(WINDOW // 2))
+    last = lambda t: F.size(t) - (WINDOW - 1)
+    starts = lambda t: F.array_append(F.sequence(F.lit(1), F.greatest(last(t) - 1, F.lit(1)), F.lit(WINDOW // 2)), last(t))
     cut = F.transform(lines, lambda t: F.when(F.size(t) > LONG, F.transform(starts(t), lambda i: F.slice(t, i, WINDOW))).otherwise(F.array(t)))
     return F.flatten(cut)
 

@@ -203,6 +203,17 @@ def test_licence_scores_against_brute_force(spark):
             assert got[r["path"]][0] is None
 
 
+def test_long_lines_are_scanned_to_their_end(spark):
+    sizes = [48, 49, 59, 60, 61, 72, 73, 108, 120, 121]
+    lines = spark.createDataFrame([(n, " ".join(f"t{i}" for i in range(n))) for n in sizes], "n int, text string")
+    for r in lines.select("n", license_scan.passages(F.col("text")).alias("p")).collect():
+        assert {t for p in r["p"] for t in p} == {f"t{i}" for i in range(r["n"])}
+        assert all(len(p) == (license_scan.WINDOW if r["n"] > license_scan.LONG else r["n"]) for p in r["p"])
+    apache = "Licensed under the Apache License, Version 2.0."
+    files = spark.createDataFrame([(str(n), "pad " * n + apache) for n in (52, 60, 100, 112)], "path string, text string")
+    assert [r["own_license"] for r in license_scan.scan(files).collect()] == ["Apache-2.0"] * 4
+
+
 # ---------------------------------------------------------------- near copies
 
 
