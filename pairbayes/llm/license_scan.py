@@ -1,12 +1,19 @@
 """Licence scan, with DataFrame functions only.
 
-Every text is cut into passages (its lines; lines over ``LONG`` terms into
-overlapping windows).  A passage's sparse TF-IDF vector is compared by cosine
-with templates of licence headers and files.  Inverse document frequencies of
-the templates' terms are counted over all files; a term that no template has
-weighs as the rarest.  A passage can only reach the threshold if it holds one of
-a template's heaviest terms (those without which the rest of the template's norm
-falls short of it), so texts without any such term are passed over exactly.
+Every text is cut into passages: its lines (lines over ``LONG`` terms as
+overlapping windows), and wherever a key of a template stands, the stretch of the
+template's own length that has the key in the template's place, across line ends,
+so that a statement inside prose is compared without the words around it.  A
+passage's sparse TF-IDF vector is compared by cosine with the templates whose key
+it holds.  Inverse document frequencies of the templates' terms are counted over
+all files and end at a share of 1 in ``RARE`` files; a term that no template has
+weighs as the template's terms do (their root mean square).  So shares, not the
+number of files, settle a score.
+
+The key of a template is the term that names its licence (``KEYS``), without which
+a statement is no evidence of it.  A template without such a term has as keys its
+heaviest terms, those without which the rest of its norm falls short of the
+threshold.  Texts without any key are passed over exactly.
 
 A file is a licence file by its name, or if the matched passage is at least
 ``COVER`` of its terms.  A file without a licence of its own takes that of the
@@ -27,7 +34,7 @@ from pyspark.sql import functions as F
 
 from pairbayes.llm.common import stash
 
-THRESHOLD, COVER, LONG, WINDOW = 0.55, 0.1, 48, 24
+THRESHOLD, COVER, LONG, WINDOW, RARE = 0.55, 0.1, 48, 24, 1000
 
 #: Templates: statements in headers and first sentences of licence files (fixed values).
 TEMPLATES = (
@@ -43,6 +50,8 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: Terms that name a licence: the first of them that a template has is its key.
+KEYS = ("mit", "apache", "gnu", "nc", "noncommercial", "cc", "mozilla")
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
 
@@ -56,7 +65,7 @@ def _terms(text: str) -> list[str]:
 
 def weights(templates, frequency: dict[str, int], n: int) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]]]:
     """Inverse frequencies of the templates' terms, and each template's unit vector."""
-    idf = {t: math.log((n + 1) / (frequency.get(t, 0) + 1)) + 1 for _, text in templates for t in _terms(text)}
+    idf = {t: min(math.log((n + 1) / (frequency.get(t, 0) + 1)), math.log(RARE)) + 1 for _, text in templates for t in _terms(text)}
     out = []
     for name, text in templates:
         words = _terms(text)
@@ -66,17 +75,20 @@ def weights(templates, frequency: dict[str, int], n: int) -> tuple[dict[str, flo
     return idf, out
 
 
-def anchors(vectors: list[tuple[str, dict[str, float]]], threshold: float) -> list[str]:
-    """Terms of which a passage must hold one: a template's heaviest, until the rest weighs below the threshold."""
-    out: set[str] = set()
-    for _, v in vectors:
-        rest = 1.0
-        for t, w in sorted(v.items(), key=lambda x: (-x[1], x[0])):
-            if rest < threshold**2:
-                break
-            out.add(t)
-            rest -= w * w
-    return sorted(out)
+def anchors(vector: dict[str, float], threshold: float) -> list[str]:
+    """A template's heaviest terms, until the rest weighs below the threshold: a match must hold one."""
+    out, rest = [], 1.0
+    for t, w in sorted(vector.items(), key=lambda x: (-x[1], x[0])):
+        if rest < threshold**2:
+            break
+        out.append(t)
+        rest -= w * w
+    return out
+
+
+def keys_of(vector: dict[str, float], threshold: float) -> list[str]:
+    """Terms of which a passage must hold one to be compared with a template."""
+    return [k for k in KEYS if k in vector][:1] or anchors(vector, threshold)
 
 
 def passages(text: Column) -> Column:
@@ -88,25 +100,39 @@ def passages(text: Column) -> Column:
     return F.flatten(cut)
 
 
-def matched(passage: Column, idf: dict[str, float], vectors: list, rarest: float) -> Column:
-    """(score, name, terms) of a passage's best template."""
-    vocabulary = sorted(idf)
-    have = F.array_intersect(passage, F.array(*[F.lit(t) for t in vocabulary]))
-    table = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, idf[t])])
-    weighed = F.transform(have, lambda t: F.struct(t.alias("t"), ((1 + F.log(F.size(F.filter(passage, lambda x: x == t)).cast("double"))) * F.element_at(table, t)).alias("w")))
-    others = F.size(F.array_distinct(passage)) - F.size(have)
-    norm = F.sqrt(F.aggregate(weighed, F.lit(0.0), lambda s, x: s + x["w"] * x["w"]) + others * rarest**2)
-
-    def dot_with(v: dict[str, float]) -> Column:
-        unit = F.create_map(*[F.lit(x) for t, w in v.items() for x in (t, w)])
-        return F.aggregate(weighed, F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at(unit, x["t"]), F.lit(0.0)))
-
-    best = []
-    for name, v in vectors:
-        dot = dot_with(v)
-        best.append(F.struct(F.coalesce(F.try_divide(dot, norm), F.lit(0.0)).alias("score"), F.lit(name).alias("name"), F.size(passage).alias("terms")))
-    # largest score, then first name
-    return F.array_sort(F.array(*best), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))[0]
+def candidates(text: Column, templates, keys: list[list[str]]) -> Column:
+    """(k, p): the template k and a passage p to compare with it."""
+    words = [_terms(t) for _, t in templates]
+    field = lambda *v: F.struct(*[F.lit(x).alias(n) for n, x in zip(("key", "k", "back", "size"), v, strict=True)])
+    places = F.array(*[field(t, k, i, len(w)) for k, w in enumerate(words) for i, t in enumerate(w) if t in keys[k]])
+    holders = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, ts)).alias("keys")) for k, ts in enumerate(keys)])
+    need = F.array(*[F.lit(t) for t in sorted({t for ts in keys for t in ts})])
+    pair = lambda k, p: F.struct(k.alias("k"), p.alias("p"))
+    lines = F.filter(passages(text), lambda p: F.arrays_overlap(p, need))
+    whole = F.transform(lines, lambda p: F.transform(F.filter(holders, lambda h: F.arrays_overlap(p, h["keys"])), lambda h: pair(h["k"], p)))
+    # an array of one, so that the terms of a text are made once
+    start = lambda t, i, e: F.greatest(F.least(i - e["back"], F.size(t) - e["size"]) + 1, F.lit(1))
+    around = lambda t, x: F.transform(F.filter(places, lambda e: e["key"] == x["t"]), lambda e: pair(e["k"], F.slice(t, start(t, x["i"], e), e["size"])))
+    found = lambda t: F.filter(F.transform(t, lambda x, i: F.struct(x.alias("t"), i.alias("i"))), lambda x: F.array_contains(need, x["t"]))
+    near = F.flatten(F.transform(F.array(terms_of(text)), lambda t: F.flatten(F.transform(found(t), lambda x: around(t, x)))))
+    return F.array_distinct(F.concat(F.flatten(whole), near))
+
+
+def matched(found: Column, idf: dict[str, float], vectors: list) -> Column:
+    """(score, name, terms) of a candidate."""
+    table = F.create_map(*[F.lit(x) for t in sorted(idf) for x in (t, idf[t])])
+    units = F.array(*[F.create_map(*[F.lit(x) for t, w in v.items() for x in (t, w)]) for _, v in vectors])
+    others = F.array(*[F.lit(math.sqrt(sum(idf[t] ** 2 for t in v) / len(v))) for _, v in vectors])
+    at = lambda values: F.element_at(values, found["k"] + 1)
+    times = lambda t: F.size(F.filter(found["p"], lambda x: x == t)).cast("double")
+    weight = lambda t: F.coalesce((1 + F.log(times(t))) * F.try_element_at(table, t), at(others))
+    weighed = F.transform(F.array_distinct(found["p"]), lambda t: F.struct(weight(t).alias("w"), F.coalesce(F.try_element_at(at(units), t), F.lit(0.0)).alias("u")))
+    sums = F.aggregate(
+        weighed, F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("square")),
+        lambda s, x: F.struct((s["dot"] + x["w"] * x["u"]).alias("dot"), (s["square"] + x["w"] * x["w"]).alias("square")),
+        lambda s: F.coalesce(F.round(F.try_divide(s["dot"], F.sqrt(s["square"])), 9), F.lit(0.0)),
+    )
+    return F.struct(sums.alias("score"), at(F.array(*[F.lit(name) for name, _ in vectors])).alias("name"), F.size(found["p"]).alias("terms"))
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -116,12 +142,10 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     present = files.select(F.explode(F.array_append(F.array_intersect(terms_of(body), F.array(*[F.lit(t) for t in vocabulary])), F.lit(""))).alias("term"))
     counts = {r["term"]: r["count"] for r in present.groupBy("term").count().collect()}  # at most the vocabulary
     idf, vectors = weights(templates, counts, counts.get("", 0))
-    need = anchors(vectors, threshold)
-    rarest = math.log(counts.get("", 0) + 1) + 1
-    maybe = F.lower(body).rlike("(?<![a-z0-9])(?:" + "|".join(need) + ")(?![a-z0-9])")
-    holds = F.filter(passages(body), lambda p: F.arrays_overlap(p, F.array(*[F.lit(t) for t in need])))
-    rows = files.withColumn("_p", F.when(maybe, holds).otherwise(F.array().cast("array<array<string>>")))
-    rows = rows.withColumn("_s", F.transform("_p", lambda p: matched(p, idf, vectors, rarest)))
+    keys = [keys_of(v, threshold) for _, v in vectors]
+    maybe = F.lower(body).rlike("(?<![a-z0-9])(?:" + "|".join(sorted({t for ts in keys for t in ts})) + ")(?![a-z0-9])")
+    rows = files.withColumn("_p", F.when(maybe, candidates(body, templates, keys)).otherwise(F.array().cast("array<struct<k:int,p:array<string>>>")))
+    rows = rows.withColumn("_s", F.transform("_p", lambda c: matched(c, idf, vectors)))
     best = F.aggregate("_s", F.struct(F.lit(0.0).alias("score"), F.lit("").alias("name"), F.lit(0).alias("terms")), lambda a, b: F.when(b["score"] > a["score"], b).when((b["score"] == a["score"]) & (b["name"] < a["name"]), b).otherwise(a))
     rows = rows.withColumn("_b", F.when(F.size("_s") > 0, best))
     sure = F.col("_b.score") >= threshold

@@ -214,6 +214,22 @@ def test_long_lines_are_scanned_to_their_end(spark):
     assert [r["own_license"] for r in license_scan.scan(files).collect()] == ["Apache-2.0"] * 4
 
 
+@pytest.mark.parametrize("times", [1, 200])
+def test_licence_statements_inside_prose(spark, times):
+    said = [
+        ("MIT", "Copyright 2020 Jane Doe. Released under the MIT License. All other words differ"), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+        ("GPL-3.0", "This work is licensed under the GNU\n# General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+        (None, "Released under the Foo License."), (None, "we met under the mit roof"),
+    ]
+    rng = np.random.default_rng(3)
+    varied = lambda k: " ".join(f"x{i}" for i in rng.integers(0, 10**6, k))
+    files = [(f"{i}/{a}/{b}", f"{varied(a)} {text} {varied(b)}") for i, (_, text) in enumerate(said) for a, b in [(0, 18), (1, 2), (9, 9), (18, 0), (70, 70)]]
+    files += [(f"other/{i}", varied(20)) for i in range(300)]
+    df = spark.createDataFrame(files, "path string, text string").crossJoin(spark.range(times)).drop("id")
+    got = license_scan.scan(df).where("path not like 'other%' or own_license is not null").groupBy("path", "own_license").count().collect()
+    assert {(r["path"], r["own_license"], r["count"]) for r in got} == {(p, said[int(p[0])][0], times) for p, _ in files[: 5 * len(said)]}
+
+
 # ---------------------------------------------------------------- near copies
 
 
