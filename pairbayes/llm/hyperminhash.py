@@ -19,6 +19,8 @@ deviations below 0.85.
 Null, empty and blank texts have no shingles and link with nothing.  Rows with
 equal ids are one id with several texts: each row gets its own text's group.  A
 group's id is its smallest id that is not null; a group without any has none.
+Kept is the first of a group by (id, nulls last, then text hash), with its exact
+repetitions, and every row without shingles.
 """
 
 from __future__ import annotations
@@ -254,9 +256,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stash(seen.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("rep"), F.min("id").alias("low"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers")))
     clusters = stash(connected_components(likely_edges(reps, percent / 100 - ESTIMATE_SLACK)))
     links = connected_components(confirmed_edges(docs, reps, clusters, id_col, text_col, shingle, percent))
-    lows = reps.select("node", "low").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    groups = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = lows.join(groups, "root").select("node", "component_id")
+    lows = reps.select("node", "low", "rep").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = lows.groupBy("root").agg(F.min("low").alias("component_id"), F.min("rep").alias("first"))
+    named = lows.join(groups, "root").select("node", "component_id", "first")
     out = seen.drop("registers").join(named, "node", "left")
     group = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select("id", "text_hash", "n_shingles", group.alias("component_id"), F.col("id").eqNullSafe(group).alias("kept"))
+    kept = F.col("node").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    return out.select("id", "text_hash", "n_shingles", group.alias("component_id"), kept.alias("kept"))

@@ -284,6 +284,17 @@ def test_large_group_of_near_copies(spark, monkeypatch, block):
     assert Counter((r["id"], r["n_shingles"], r["component_id"]) for r in got) == brute_groups([tuple(r) for r in df.collect()], 3, 85)
 
 
+def test_one_of_a_group_without_ids_is_kept(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join([*words, end]), "en", "a", 1) for end in ("x", "y", "z", "z")] + [(None, "", "en", "a", 0), (7, "other words stand here for once", "en", "a", 1)]
+    rows += [(None, "v " + " ".join(words[::-1]), "en", "a", 1), (3, "u " + " ".join(words[::-1]), "en", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, df, "").collect()
+    assert sorted((r["doc_id"] or 0, bool(r["text"])) for r in kept) == [(0, False), (0, True), (3, True), (7, True)]
+
+
 def test_estimates_follow_similarity():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.85, 0.95):
