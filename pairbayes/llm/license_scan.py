@@ -36,7 +36,10 @@ from pairbayes.llm.common import stash
 
 THRESHOLD, COVER, LONG, WINDOW, RARE = 0.55, 0.1, 48, 24, 1000
 
-#: Templates: statements in headers and first sentences of licence files (fixed values).
+SPDX = ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "ISC", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+_FREE = "is free software: you can redistribute it and/or modify it under the terms of the GNU"
+_LATER = "as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+#: Templates: SPDX lines, statements in headers and first sentences of licence files (fixed values).
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -49,9 +52,34 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", "This project is licensed under the terms of the MIT License."),
+    ("MIT", "MIT License Copyright (c)"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", f"This program {_FREE} General Public License {_LATER.format(3)}"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", f"This program {_FREE} General Public License {_LATER.format(2)}"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    *(("LGPL-2.1", f"This {what} {_FREE} Lesser General Public License {_LATER.format(2.1)}") for what in ("library", "program")),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    *(("LGPL-3.0", f"This {what} {_FREE} Lesser General Public License {_LATER.format(3)}") for what in ("library", "program")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", f"This program {_FREE} Affero General Public License {_LATER.format(3)}"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "ISC License Copyright (c)"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in SPDX),
 )
 #: Terms that name a licence: the first of them that a template has is its key.
-KEYS = ("mit", "apache", "gnu", "nc", "noncommercial", "cc", "mozilla")
+KEYS = ("mit", "apache", "affero", "agpl", "lesser", "lgpl", "gnu", "gpl", "nc", "noncommercial", "sa", "sharealike", "cc", "commons", "mozilla", "mpl", "isc", "bsd", "unencumbered", "unlicense")
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
 

@@ -230,6 +230,17 @@ def test_licence_statements_inside_prose(spark, times):
     assert {(r["path"], r["own_license"], r["count"]) for r in got} == {(p, said[int(p[0])][0], times) for p, _ in files[: 5 * len(said)]}
 
 
+def test_common_licences_are_known(spark):
+    said = [(name, f"# SPDX-License-Identifier: {name}\nimport os") for name in license_scan.SPDX] + list(license_scan.TEMPLATES)
+    gnu = "you can redistribute it and/or modify it under the terms of the GNU {} as\n# published by the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\nimport os"
+    for name, kind, version in [("GPL-2.0", "General Public License", 2), ("GPL-3.0", "General Public License", 3), ("LGPL-2.1", "Lesser General Public License", 2.1), ("LGPL-3.0", "Lesser General Public License", 3), ("AGPL-3.0", "Affero General Public License", 3)]:
+        said.append((name, "# This program is free software: " + gnu.format(kind, version)))
+    said.append((None, "a plain text without any statement"))
+    files = spark.createDataFrame([(str(i), text) for i, (_, text) in enumerate(said)], "path string, text string")
+    got = {r["path"]: r["own_license"] for r in license_scan.scan(files).collect()}
+    assert [got[str(i)] for i in range(len(said))] == [name for name, _ in said]
+
+
 # ---------------------------------------------------------------- near copies
 
 
