@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbayes.llm.common import crc_of_id
+from pairbayes.llm.common import crc_of_id, word_array
 from pairbayes.session import table
 
 
@@ -125,5 +125,37 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_random_index_quality, op2_bloom_language_model, op3_crf_personal_data, op4_license_scan, op5_hyperminhash_dedup, op6_permutation_index, op7_threshold_sketch, op8_two_pass_shuffle, op9_curve_packing, op10_source_mix)}
+def repeating(docs: DataFrame) -> DataFrame:
+    """``docs`` with every text whose id hashes to a multiple of ten made periodic from a place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w, n = F.col("w"), F.size("w").cast("long")
+    g = F.floor(h / 10)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    cycle = F.slice(w, (a + 1).cast("int"), p.cast("int"))
+    times = F.ceil((n - a) / p).cast("int")
+    edited = F.concat(F.slice(w, F.lit(1), a.cast("int")), F.slice(F.flatten(F.array_repeat(cycle, times)), F.lit(1), (n - a).cast("int")))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    rows = docs.withColumn("w", F.when(chosen, word_array(F.col("text"))))
+    return rows.withColumn("text", F.when(chosen & (F.size("w") > 0), F.array_join(edited, " ")).otherwise(F.col("text"))).drop("w")
+
+
+def op12_baier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, the longest of them, and digests of all runs
+    and of the text without their repeats."""
+    from pairbayes.llm.runs import find_runs
+
+    found = find_runs(repeating(documents(spark, sf_dir, "doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("brief"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    rows = found.withColumn("longest", longest)
+    start, length, period = -F.col("longest.back"), F.col("longest.length"), -F.col("longest.brief")
+    return rows.select(
+        "record.doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_random_index_quality, op2_bloom_language_model, op3_crf_personal_data, op4_license_scan, op5_hyperminhash_dedup, op6_permutation_index, op7_threshold_sketch, op8_two_pass_shuffle, op9_curve_packing, op10_source_mix, op12_baier_runs)}
 ORACLES: dict[str, str] = {}
