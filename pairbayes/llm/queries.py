@@ -125,6 +125,14 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
+def op11_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all embeddings: cosine 0.9 or more."""
+    from pairbayes.llm.tile_dedup import near_vectors
+
+    found = near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def repeating(docs: DataFrame) -> DataFrame:
     """``docs`` with every text whose id hashes to a multiple of ten made periodic from a place on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -157,5 +165,5 @@ def op12_baier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_random_index_quality, op2_bloom_language_model, op3_crf_personal_data, op4_license_scan, op5_hyperminhash_dedup, op6_permutation_index, op7_threshold_sketch, op8_two_pass_shuffle, op9_curve_packing, op10_source_mix, op12_baier_runs)}
+QUERIES = {f.__name__: f for f in (op1_random_index_quality, op2_bloom_language_model, op3_crf_personal_data, op4_license_scan, op5_hyperminhash_dedup, op6_permutation_index, op7_threshold_sketch, op8_two_pass_shuffle, op9_curve_packing, op10_source_mix, op11_int8_tiles, op12_baier_runs)}
 ORACLES: dict[str, str] = {}
