@@ -165,5 +165,16 @@ def op12_baier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_random_index_quality, op2_bloom_language_model, op3_crf_personal_data, op4_license_scan, op5_hyperminhash_dedup, op6_permutation_index, op7_threshold_sketch, op8_two_pass_shuffle, op9_curve_packing, op10_source_mix, op11_int8_tiles, op12_baier_runs)}
+def op13_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every embedding whose id is divisible by 100."""
+    from pairbayes.llm.cover_tree import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(good).select("vec_id", label.alias("label"), whole.alias("embedding"))
+    return hard_negatives(rows, lambda i: i % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_random_index_quality, op2_bloom_language_model, op3_crf_personal_data, op4_license_scan, op5_hyperminhash_dedup, op6_permutation_index, op7_threshold_sketch, op8_two_pass_shuffle, op9_curve_packing, op10_source_mix, op11_int8_tiles, op12_baier_runs, op13_cover_tree_negatives)}
 ORACLES: dict[str, str] = {}

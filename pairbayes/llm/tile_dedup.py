@@ -56,10 +56,13 @@ def usable(vector) -> F.Column:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; the largest component is divided out first, so no square leaves the range."""
+    """Rows scaled to length one (rows of zeros stay); the largest component is divided out first, so
+    no square leaves the range."""
     x = x.astype(float)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    most = np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.where(most > 0, most, 1)
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(length > 0, length, 1)
 
 
 def quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,19 +160,20 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     return grouped.select(F.monotonically_increasing_id().alias("node"), "vector", "copies", "least_id")
 
 
-def write_tiles(nodes: DataFrame, groups: int, kind: str, seed: int) -> DataFrame:
-    """The nodes as written tiles, near ones together; a task's rows are one group."""
-    spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64(F.lit(seed), "vector")).limit(PIVOTS).select("vector").collect()
+def with_pivot(rows: DataFrame, seed: int = 23) -> DataFrame:
+    """``rows`` with ``near``, the number of the nearest of at most ``PIVOTS`` sampled directions, and
+    ``dims``, the length of ``vector``.  It orders rows so that near ones are close; results do not depend on it."""
+    spark = rows.sparkSession
+    sample = rows.orderBy(F.xxhash64(F.lit(seed), "vector")).limit(PIVOTS).select("vector").collect()
     pivots: dict[int, np.ndarray] = {}
     for d in {len(r["vector"]) for r in sample}:
         pivots[d] = unit(np.array([r["vector"] for r in sample if len(r["vector"]) == d], float))
     told = spark.sparkContext.broadcast(pivots)
+    at_vector = rows.columns.index("vector")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = np.zeros(batch.num_rows, np.int32)
-            col = batch.column(batch.schema.get_field_index("vector"))
+            near, col = np.zeros(batch.num_rows, np.int32), batch.column(at_vector)
             dims = np.diff(col.offsets.to_numpy())
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
@@ -178,6 +182,12 @@ def write_tiles(nodes: DataFrame, groups: int, kind: str, seed: int) -> DataFram
                     near[at] = (unit(x) @ told.value[int(d)].T).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near), pa.array(dims.astype(np.int32))], names=[*batch.schema.names, "near", "dims"])
 
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(place, f"{fields}, near int, dims int")
+
+
+def write_tiles(nodes: DataFrame, groups: int, kind: str, seed: int) -> DataFrame:
+    """The nodes as written tiles, near ones together; a task's rows are one group."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, wide = TaskContext.get().partitionId(), [], 0
         kinds = pa.schema([("grp", pa.int64()), ("dims", pa.int32()), ("n", pa.int32()), ("centre", pa.binary()), ("angle", pa.float64()), *[(c, pa.binary()) for c in ("nodes", "codes", "scales", "errors", "copies", "exact")]])
@@ -205,8 +215,7 @@ def write_tiles(nodes: DataFrame, groups: int, kind: str, seed: int) -> DataFram
             yield out()
         give_back()
 
-    schema = f"node long, vector {nodes.schema['vector'].dataType.simpleString()}, copies long, near int, dims int"
-    placed = nodes.select("node", "vector", "copies").mapInArrow(place, schema)
+    placed = with_pivot(nodes.select("node", "vector", "copies"), seed)
     ordered = placed.repartitionByRange(groups, "dims", "near", F.xxhash64("vector")).sortWithinPartitions("dims", "near", F.xxhash64("vector"))
     return stash(ordered.mapInArrow(pack, TILE_ROW))
 
