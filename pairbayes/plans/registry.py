@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def all_queries() -> dict:
     from pairbayes.plans import (embed_queries, extra_queries, io_queries, learner_queries, match_queries, metric_queries,
-                                 misc_queries, pixel_queries, prep_queries)
+                                 misc_queries, name_queries, pixel_queries, prep_queries)
 
     q = {}
     q.update(learner_queries.QUERIES)
@@ -17,12 +17,13 @@ def all_queries() -> dict:
     q.update(pixel_queries.QUERIES)
     q.update(misc_queries.QUERIES)
     q.update(extra_queries.QUERIES)
+    q.update(name_queries.QUERIES)
     return q
 
 
 def all_oracles() -> dict:
     from pairbayes.plans import (embed_queries, extra_queries, io_queries, match_queries, metric_queries, misc_queries,
-                                 oracles, pixel_queries, prep_queries)
+                                 name_queries, oracles, pixel_queries, prep_queries)
 
     o = {}
     o.update(oracles.learner_oracles())
@@ -34,4 +35,5 @@ def all_oracles() -> dict:
     o.update(pixel_queries.oracles())
     o.update(misc_queries.oracles())
     o.update(extra_queries.oracles())
+    o.update(name_queries.oracles())
     return o
