@@ -67,13 +67,14 @@ def edges_from_minmax(mins: Sequence[float], maxs: Sequence[float], n_bins: int)
 
 def feature_minmax(fx: DataFrame, n_features: int) -> tuple[list[float], list[float]]:
     """A3: one aggregation pass (no shuffle beyond the final single row)."""
-    aggs = []
-    for i in range(n_features):
-        v = F.col("x")[i]
-        v = F.when(~F.isnan(v), v)
-        aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
-    row = fx.agg(*aggs).collect()[0]
-    return [row[f"mn{i}"] for i in range(n_features)], [row[f"mx{i}"] for i in range(n_features)]
+    row = fx.agg(*_extremes(n_features)).collect()[0]
+    return list(row["mins"]), list(row["maxs"])
+
+
+def _extremes(n_features: int) -> list:
+    """Smallest and largest number of every feature, as two arrays."""
+    each = lambda f: ", ".join(f"{f}(CASE WHEN NOT isnan(x[{i}]) THEN x[{i}] END)" for i in range(n_features))
+    return [F.expr(f"array({each(f)})").alias(name) for f, name in (("min", "mins"), ("max", "maxs"))]
 
 
 def fit_bins(fx: DataFrame, n_features: int, n_bins: int = DEFAULT_BINS) -> BinSpec:
@@ -81,20 +82,21 @@ def fit_bins(fx: DataFrame, n_features: int, n_bins: int = DEFAULT_BINS) -> BinS
     return edges_from_minmax(mins, maxs, n_bins)
 
 
+def double_sql(v: float) -> str:
+    """SQL literal with every digit of a double."""
+    return f"{float(v)!r}D"
+
+
 def bin_expr(spec: BinSpec, x: str = "x"):
     """Right-closed bins clamped to 0..B-1; null/NaN -> -1 (missing bin)."""
     B = spec.n_bins
     if spec.n_features <= CODEGEN_MAX_FEATURES:
-        xc = F.col(x)
-        out = []
-        for i in range(spec.n_features):
-            v = xc[i]
-            b = F.greatest(F.lit(0), F.least(F.lit(B - 1), F.ceil((v - F.lit(float(spec.lo[i]))) / F.lit(float(spec.width[i]))) - F.lit(1)))
-            out.append(F.when(v.isNull() | F.isnan(v), F.lit(-1)).otherwise(b).cast("int"))
-        return F.array(*out)
+        # one SQL text: thousands of column calls would take longer than the job
+        each = [f"CAST(CASE WHEN `{x}`[{i}] IS NULL OR isnan(`{x}`[{i}]) THEN -1 ELSE greatest(0, least({B - 1}, ceil((`{x}`[{i}] - {double_sql(lo)}) / {double_sql(w)}) - 1)) END AS INT)"
+                for i, (lo, w) in enumerate(zip(spec.lo, spec.width))]
+        return F.expr(f"array({', '.join(each)})")
     lo_arr = F.lit([float(v) for v in spec.lo])
     w_arr = F.lit([float(v) for v in spec.width])
-    B = spec.n_bins
     return F.transform(
         F.col(x),
         lambda v, i: F.when(v.isNull() | F.isnan(v), F.lit(-1)).otherwise(
@@ -199,19 +201,15 @@ def class_profile(fx: DataFrame, n_features: int, label: str = "label"):
     """One pass for everything the driver needs before fitting: sorted class
     list, rows per class and per-feature min/max.  Returns at most C rows of
     2F scalars (bounded by the schema and the class count)."""
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i in range(n_features):
-        v = F.col("x")[i]
-        v = F.when(~F.isnan(v), v)
-        aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
+    aggs = [F.count(F.lit(1)).alias("__n"), *_extremes(n_features)]
     rows = fx.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("__l")).agg(*aggs).collect()
     rows = sorted(rows, key=lambda r: r["__l"])
     classes = [r["__l"] for r in rows]
     counts = [int(r["__n"]) for r in rows]
     mins, maxs = [], []
     for i in range(n_features):
-        lo = [r[f"mn{i}"] for r in rows if r[f"mn{i}"] is not None]
-        hi = [r[f"mx{i}"] for r in rows if r[f"mx{i}"] is not None]
+        lo = [r["mins"][i] for r in rows if r["mins"][i] is not None]
+        hi = [r["maxs"][i] for r in rows if r["maxs"][i] is not None]
         mins.append(min(lo) if lo else None)
         maxs.append(max(hi) if hi else None)
     return classes, counts, mins, maxs

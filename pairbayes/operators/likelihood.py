@@ -8,7 +8,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbayes.operators.binning import BinSpec, bin_rows, explode_cells
+from pairbayes.operators.binning import BinSpec, double_sql
+from pairbayes.operators.dense import dense_counts
 
 # Fixed values of the classifier.
 INITIAL_WEIGHT = 1e-6
@@ -40,6 +41,7 @@ class HistogramModel:
     eps: float = EPSILON
     lr: float = 0.1
     overlap_mask: bool = False
+    cells: DataFrame | None = None  # (pair_id, bi, bj, ns): the counts with all classes of a cell in one row
     _table: DataFrame | None = field(default=None, repr=False)
     _table_rows: int | None = field(default=None, repr=False)
 
@@ -65,12 +67,14 @@ class HistogramModel:
         return replace(self, weights=weights, _table=None, _table_rows=None)
 
 
-def fit_counts(fx_y: DataFrame, spec: BinSpec, pairs, n_features: int) -> DataFrame:
-    """A4: ``groupBy(y, pair_id, bi, bj).count()``; map-side partial aggregation
-    bounds the shuffle by the number of distinct cells per task."""
-    binned = bin_rows(fx_y, spec, keep=("y",))
-    ex = explode_cells(binned, pairs, n_features, keep=("y",))
-    return ex.groupBy("y", *CELL_KEYS).agg(F.count(F.lit(1)).alias("n"))
+def fit_counts(fx_y: DataFrame, spec: BinSpec, pairs, n_features: int, n_classes: int, n_rows: int = 0) -> DataFrame:
+    """A4: counts ``(y, pair_id, bi, bj, n)`` of the occupied cells, from dense blocks."""
+    return _by_class(*dense_counts(fx_y, spec, pairs, n_features, n_classes, n_rows))
+
+
+def _by_class(cells: DataFrame, whole: bool) -> DataFrame:
+    each = cells.select(*CELL_KEYS, F.posexplode("ns").alias("y", "n")).where("n > 0").select("y", *CELL_KEYS, "n")
+    return each if whole else each.groupBy("y", *CELL_KEYS).agg(F.sum("n").alias("n"))
 
 
 def fit_histogram(fx_y: DataFrame, spec: BinSpec, classes: Sequence[str], pairs=None,
@@ -82,11 +86,14 @@ def fit_histogram(fx_y: DataFrame, spec: BinSpec, classes: Sequence[str], pairs=
         totals = {r["y"]: r["n"] for r in fx_y.groupBy("y").count().withColumnRenamed("count", "n").collect()}
         class_counts = [int(totals.get(c, 0)) for c in range(len(classes))]
     class_counts = tuple(int(n) for n in class_counts)
-    counts = fit_counts(fx_y, spec, pairs, nf)
-    if persist:
+    cells, whole = dense_counts(fx_y, spec, pairs, nf, len(classes), sum(class_counts))
+    if persist and whole:
+        cells = cells.persist()
+    counts = _by_class(cells, whole)
+    if persist and not whole:
         counts = counts.persist()
     return HistogramModel(spec, None if pairs is None else tuple(pairs), nf, tuple(classes), class_counts,
-                          counts, None, w0, eps)
+                          counts, None, w0, eps, cells=cells if whole else None)
 
 
 def probabilities(model: HistogramModel) -> DataFrame:
@@ -107,6 +114,9 @@ def model_table(model: HistogramModel) -> DataFrame:
         return model._table
     C = model.n_classes
     p0 = F.lit(model.p0())
+    if _from_cells(model):
+        model._table = _table_of_cells(model)
+        return model._table
     e = probabilities(model).select("y", *CELL_KEYS, "p")
     if model.weights is not None:
         e = e.join(model.weights.select("y", *CELL_KEYS, "w"), ["y", *CELL_KEYS], "full_outer")
@@ -139,6 +149,22 @@ def model_table(model: HistogramModel) -> DataFrame:
     return t
 
 
+def _from_cells(model: HistogramModel) -> bool:
+    """True where the table is a projection of the kept cells, which needs no copy of its own."""
+    return model.cells is not None and model.weights is None and not model.overlap_mask
+
+
+def _table_of_cells(model: HistogramModel) -> DataFrame:
+    """The same table where every cell is one row and no weight was updated: no shuffle."""
+    lit, B2, p, d = double_sql, float(model.B * model.B), [], []
+    for c, (total, p0) in enumerate(zip(model.class_counts, model.p0())):
+        own = f"(ns[{c}] + 1D) / {lit(float(total) + B2 + SMOOTH_EPS)}"
+        base = f"ln({lit(p0)} * {lit(model.w0)} + {lit(model.eps)})"
+        p.append(f"CASE WHEN ns[{c}] > 0 THEN {own} ELSE {lit(p0)} END")
+        d.append(f"CASE WHEN ns[{c}] > 0 THEN ln({own} * {lit(model.w0)} + {lit(model.eps)}) - {base} ELSE 0D END")
+    return model.cells.select(*CELL_KEYS, F.expr(f"array({', '.join(p)})").alias("p"), F.expr(f"array({', '.join(d)})").alias("d"))
+
+
 def materialize_table(model: HistogramModel) -> tuple[DataFrame, int]:
     """Persist the model table and count its rows (the count is the size
     check for broadcasting).  Its lineage is short: persisted counts plus the
@@ -146,7 +172,9 @@ def materialize_table(model: HistogramModel) -> tuple[DataFrame, int]:
     from pyspark import StorageLevel
 
     if model._table_rows is None:
-        t = model_table(model).persist(StorageLevel.MEMORY_AND_DISK)
+        t = model_table(model)
+        if t.storageLevel == StorageLevel.NONE and not _from_cells(model):
+            t = t.persist(StorageLevel.MEMORY_AND_DISK)
         model._table = t
         model._table_rows = t.count()
     return model._table, model._table_rows

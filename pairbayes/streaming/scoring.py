@@ -37,7 +37,7 @@ def refresh_counts_stream(stream: DataFrame, model: HistogramModel, to_features,
     pairs; totals are the sum over batches (counts are additive)."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        c = fit_counts(to_features(df), model.spec, model.pairs, model.n_features)
+        c = fit_counts(to_features(df), model.spec, model.pairs, model.n_features, model.n_classes)
         c.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
