@@ -1,24 +1,22 @@
 """Active sample selection.
 
 Per true class, among misclassified rows: margin = p_max - p_true; the two
-largest margins are mandatory; the other candidates are thinned to one row (the
-lowest id) per cell of a grid with side ``min_divergence`` over the class's own
-feature ranges; the result is capped at max(2, floor(n_class * 99/100)) in id
-order.
+largest margins are mandatory; the other candidates are thinned to greedy
+leaders at ``min_divergence`` (``operators/leaders.py``); the result is capped
+at max(2, floor(n_class * 99/100)) in id order.
 
-Re-aimed: the reference walks the candidates one after the other and drops those
-near an earlier one, by a dense distance matrix.  A grid cell holds rows that lie
-within ``min_divergence`` of each other in every feature, needs one aggregation
-for the ranges and one for the cells, and gives the same rows whatever the data
-size or partitioning."""
+``thinning="grid"`` keeps one row, the lowest id, per cell of a grid with side
+``min_divergence`` over the class's own feature ranges instead: one aggregation
+for the ranges and one for the cells, for classes with very many leaders."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairbayes.operators.leaders import MIN_DIVERGENCE, leaders
+
 # Fixed values of the selection rule.
-MIN_DIVERGENCE = 0.1
 MANDATORY_PER_CLASS = 2
 MAX_CLASS_ADDITION_PERCENT = 99
 STRONG_MARGIN = 0.01
@@ -68,7 +66,7 @@ def grid_leaders(cand: DataFrame, n_features: int, side: float = MIN_DIVERGENCE)
 
 
 def select_samples(scored: DataFrame, features: DataFrame, class_sizes: DataFrame, n_features: int,
-                   min_divergence: float = MIN_DIVERGENCE) -> DataFrame:
+                   min_divergence: float = MIN_DIVERGENCE, thinning: str = "leaders", pairs=None) -> DataFrame:
     """``(row_id, y)`` rows to add to the training set.
 
     ``scored``: (row_id, y, posterior, pred, confidence) of candidate rows;
@@ -79,5 +77,9 @@ def select_samples(scored: DataFrame, features: DataFrame, class_sizes: DataFram
     mandatory = mandatory_rows(scored)
     failed = scored.where(F.col("pred") != F.col("y")).select("row_id", "y")
     cand = failed.join(mandatory.select("row_id"), "row_id", "left_anti").join(features.select("row_id", "x"), "row_id")
-    sel = mandatory.unionByName(grid_leaders(cand, n_features, min_divergence)).distinct()
+    if thinning == "grid":
+        thin = grid_leaders(cand, n_features, min_divergence)
+    else:
+        thin = leaders(cand, n_features, min_divergence, pairs).select("row_id", "y")
+    sel = mandatory.select("row_id", F.col("y").cast("int").alias("y")).unionByName(thin.select("row_id", F.col("y").cast("int").alias("y"))).distinct()
     return cap_per_class(sel, "y", "row_id", MAX_CLASS_ADDITION_PERCENT / 100.0, 2, sizes=class_sizes).select("row_id", "y")

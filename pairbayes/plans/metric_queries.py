@@ -182,7 +182,23 @@ def li_adaptive_rounds(spark, sf) -> DataFrame:
     return log
 
 
+def part_divergent_rows(spark, sf) -> DataFrame:
+    """J10 + B9's walk: the parts of a brand that stand apart in size, price and name length, and its diameter."""
+    from pairbayes.operators.encode import encode_labels
+    from pairbayes.operators.leaders import diameters, leaders
+    from pairbayes.session import table
+
+    p = table(spark, sf, "part")
+    brands = [r[0] for r in p.select("p_brand").distinct().orderBy("p_brand").collect()]
+    x = F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 50, F.length("p_name").cast("double"))
+    rows = encode_labels(p.select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("label"), x.alias("x")), brands).select("row_id", "y", "x")
+    wide = diameters(rows, 3)
+    size = spark.createDataFrame([(y, brands[y], d) for y, d in wide.items()], "y int, p_brand string, diameter double")
+    return leaders(rows, 3).join(size, "y").select("p_brand", "leader", "row_id", F.round("diameter", R).alias("diameter"))
+
+
 QUERIES.update({
+    "part_divergent_rows": part_divergent_rows,
     "li_failed_margins": li_failed_margins,
     "li_active_selection": li_active_selection,
     "li_adaptive_rounds": li_adaptive_rounds,
@@ -191,19 +207,44 @@ QUERIES.update({
 _base_oracles = oracles
 
 
+def greedy_sql(rows: str, n: int) -> str:
+    """CTEs down to ``chosen`` (row_id, y, leader) of ``rows`` (row_id, y, e): all pairs for the
+    diameter, then one leader a class and step."""
+    pairs = [(i, j) for i in range(1, n + 1) for j in range(i + 1, n + 1)]
+    d = lambda a, b: "(" + " + ".join(f"sqrt(({a}[{i}] - {b}[{i}]) * ({a}[{i}] - {b}[{i}]) + ({a}[{j}] - {b}[{j}]) * ({a}[{j}] - {b}[{j}]))" for i, j in pairs) + f") / {len(pairs)}.0e0"
+    return f"""pts AS MATERIALIZED (SELECT DISTINCT y, e FROM {rows}),
+mid AS (SELECT y, list(m ORDER BY f) AS c FROM (SELECT y, f, avg(e[f]) AS m FROM pts, range(1, {n + 1}) t(f) GROUP BY y, f) GROUP BY y),
+out AS MATERIALIZED (SELECT p.y, p.e, {d('p.e', 'm.c')} AS r FROM pts p JOIN mid m USING (y)),
+edge AS (SELECT y, arg_max(e, r) AS a, max(r) AS rmax FROM out GROUP BY y),
+low AS (SELECT o.y, max({d('o.e', 'g.a')}) AS d0, max(g.rmax) AS rmax FROM out o JOIN edge g USING (y) GROUP BY o.y),
+far AS MATERIALIZED (SELECT o.y, o.e FROM out o JOIN low USING (y) WHERE o.r >= (d0 - rmax) * 0.999999e0),
+wide AS (SELECT a.y, max({d('a.e', 'b.e')}) AS d FROM far a JOIN far b USING (y) GROUP BY a.y),
+lim AS MATERIALIZED (SELECT y, CASE WHEN d > 0 THEN 0.1e0 * (d + 1e-7 * {len(pairs)}) ELSE 1e300 END AS eps FROM wide),
+walk(row_id, y, e, lead, le) AS (
+  SELECT row_id, y, e, min(row_id) OVER (PARTITION BY y), arg_min(e, row_id) OVER (PARTITION BY y) FROM {rows}
+  UNION ALL
+  SELECT row_id, y, e, min(row_id) OVER (PARTITION BY y), arg_min(e, row_id) OVER (PARTITION BY y)
+  FROM (SELECT w.row_id, w.y, w.e FROM walk w JOIN lim USING (y) WHERE {d('w.e', 'w.le')} >= lim.eps)),
+lead AS (SELECT DISTINCT y, lead, le FROM walk),
+chosen AS (SELECT min(c.row_id) AS row_id, c.y, l.lead AS leader FROM lead l JOIN {rows} c USING (y) JOIN lim USING (y)
+           WHERE {d('c.e', 'l.le')} < lim.eps GROUP BY c.y, l.lead)"""
+
+
 def oracles() -> dict[str, str]:  # noqa: F811
     o = _base_oracles()
     o["li_failed_margins"] = "WITH " + boost_base() + "," + score_ctes("s", None, BOOST_BINS) + f""",
 f AS (SELECT row_id, ytrue AS true_class, pmax - ptrue AS margin FROM pred_s WHERE pred <> ytrue),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY true_class ORDER BY round(margin, 9) DESC, row_id) AS INTEGER) AS margin_rank FROM f)
 SELECT row_id, true_class, round(margin, {R}) AS margin, margin_rank, margin_rank <= 2 AS mandatory FROM r"""
-    o["li_active_selection"] = "WITH " + boost_base() + "," + score_ctes("s", None, BOOST_BINS) + """,
+    o["part_divergent_rows"] = f"""WITH RECURSIVE cand AS MATERIALIZED (SELECT p_partkey AS row_id, p_brand AS y,
+  [CAST(p_size AS DOUBLE), p_retailprice / 50, CAST(length(p_name) AS DOUBLE)] AS e FROM part),
+{greedy_sql("cand", 3)}
+SELECT c.y AS p_brand, leader, row_id, round(w.d, {R}) AS diameter FROM chosen c JOIN wide w USING (y)"""
+    o["li_active_selection"] = "WITH RECURSIVE " + boost_base() + "," + score_ctes("s", None, BOOST_BINS) + """,
 r AS (SELECT row_id, ytrue AS y, row_number() OVER (PARTITION BY ytrue ORDER BY round(pmax - ptrue, 9) DESC, row_id) AS rn FROM pred_s WHERE pred <> ytrue),
-cf AS (SELECT f.row_id, f.y, f.f, f.v FROM feat f JOIN r ON r.row_id = f.row_id WHERE r.rn > 2),
-b AS (SELECT y, f, min(v) AS lo, max(v) AS hi FROM cf GROUP BY y, f),
-cell AS (SELECT cf.row_id, cf.y, list(CASE WHEN hi > lo THEN CAST(floor((v - lo) / (hi - lo) / 0.1e0) AS BIGINT) ELSE 0 END ORDER BY cf.f) AS c
-         FROM cf JOIN b ON b.y = cf.y AND b.f = cf.f GROUP BY cf.row_id, cf.y),
-sel AS (SELECT row_id, y FROM r WHERE rn <= 2 UNION SELECT min(row_id), y FROM cell GROUP BY y, c),
+cand AS MATERIALIZED (SELECT s.row_id, r.y, s.e FROM src s JOIN r ON r.row_id = s.row_id WHERE r.rn > 2),
+""" + greedy_sql("cand", 4) + """,
+sel AS (SELECT row_id, y FROM r WHERE rn <= 2 UNION SELECT row_id, y FROM chosen),
 n AS (SELECT ytrue AS y, count(*) AS n FROM pred_s GROUP BY ytrue),
 k AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY row_id) AS rn FROM sel)
 SELECT k.row_id, k.y FROM k JOIN n ON n.y = k.y WHERE rn <= greatest(2, floor(n * 0.99e0))"""
