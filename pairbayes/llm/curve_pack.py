@@ -49,28 +49,40 @@ class WordCodes:
 
     The tokeniser drops white space, lower-cases, and never joins letters with
     signs, so a text's ids are its words' ids put together.  Words not seen
-    before are encoded many at a time.  The table starts anew at ``limit`` words."""
+    before are encoded many at a time.  At ``limit`` words, and after a task, the
+    table is cut to the ``kept`` words that were met most often since the last cut."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 300_000, kept: int = 80_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.limit = Tokenizer.from_file(path), limit
+        self.tok, self.limit, self.kept = Tokenizer.from_file(path), limit, kept
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.used = 0
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.start, self.len = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.len, self.hits = (np.zeros(1 << 16, np.int64) for _ in range(3))
+
+    def cut(self) -> None:
+        """Keep the most frequent words; what is kept has to be met again to stay."""
+        words, hits = list(self.index), self.hits[: len(self.index)]
+        stay = np.argsort(-hits, kind="stable")[: self.kept]
+        stay = np.sort(stay[hits[stay] > 1])
+        start, lens, flat = self.start[stay], self.len[stay], self.flat
+        self.clear()
+        ids = flat[np.repeat(start - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))]
+        self.keep([words[i] for i in stay.tolist()], ids, lens)
 
     def keep(self, words: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
         n = len(self.index)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(words) > len(self.start):
-            self.start, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.len))
+            self.start, self.len, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.len, self.hits))
         self.flat[self.used : self.used + len(ids)] = ids
+        self.hits[n : n + len(words)] = 0
         self.start[n : n + len(words)], self.len[n : n + len(words)] = self.used + np.cumsum(lens) - lens, lens
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
         self.used += len(ids)
@@ -82,12 +94,17 @@ class WordCodes:
         alpha = [i for i, t in enumerate(text) if t.isalpha()]
         alone = [i for i, t in enumerate(text) if not t.isalpha()]
         groups = [alpha[a : a + 256] for a in range(0, len(alpha), 256)]
+        whole, parts, sizes = [], [], []
         for group, e in zip(groups, self.tok.encode_batch([" ".join(text[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
             which = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
             if len(which) and which.min() == 0 and which.max() == len(group) - 1:
-                self.keep([words[i] for i in group], np.array(e.ids, np.uint32), np.bincount(which, minlength=len(group)))
+                whole += group
+                parts.append(np.array(e.ids, np.uint32))
+                sizes.append(np.bincount(which, minlength=len(group)))
             else:
                 alone += group
+        if whole:
+            self.keep([words[i] for i in whole], np.concatenate(parts), np.concatenate(sizes))
         ids = [e.ids for e in self.tok.encode_batch_fast([text[i] for i in alone], add_special_tokens=False)]
         self.keep([words[i] for i in alone], np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
 
@@ -96,12 +113,13 @@ class WordCodes:
         split = [bare_words(t) for t in texts]
         words = list(chain.from_iterable(split))
         if len(self.index) > self.limit:
-            self.clear()
+            self.cut()
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         fresh = np.flatnonzero(at < 0).tolist()
         if fresh:
             self.learn(list(dict.fromkeys(words[i] for i in fresh)))
             at[fresh] = [self.index[words[i]] for i in fresh]
+        self.hits[: len(self.index)] += np.bincount(at, minlength=len(self.index))
         counts = np.fromiter(map(len, split), np.int64, len(split))
         lens = self.len[at]
         ends = np.cumsum(lens)
@@ -115,7 +133,7 @@ _CODES: dict[str, WordCodes] = {}
 
 
 def word_codes(path: str) -> WordCodes:
-    """The worker's own tokeniser, kept from task to task; its table is emptied after each."""
+    """The worker's own tokeniser, kept from task to task; its table is cut after each."""
     if path not in _CODES:
         _CODES[path] = WordCodes(path)
     return _CODES[path]
@@ -160,10 +178,12 @@ def curve_keys(ids: np.ndarray, n: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Hilbert key of each document from its ids (one after another, ``n`` each)."""
     starts = np.cumsum(n) - n
     slots = ids.astype(np.int64) % len(table)
-    owner = np.repeat(np.arange(len(n)), n)
-    pair, times = np.unique(owner * len(table) + slots, return_counts=True)
-    doc = pair // len(table)
-    norm = np.sqrt(np.bincount(doc, times.astype(float) ** 2, len(n)))
+    seen, norm = np.zeros(len(table), np.int64), np.empty(len(n))
+    for i, (a, k) in enumerate(zip(starts.tolist(), n.tolist(), strict=True)):
+        own = slots[a : a + k]
+        np.add.at(seen, own, 1)
+        norm[i] = np.sqrt(seen[own].sum())  # each id adds its slot's count: the sum of squares
+        seen[own] = 0
     z = np.add.reduceat(table[slots], starts, axis=0) / norm[:, None]
     cells = 1 / (1 + np.exp(-1.702 * z.astype(float)))
     return hilbert_key(np.minimum((cells * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
@@ -182,7 +202,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
                 raw, upto = ids.astype("<u4"), np.cumsum(n)
                 out = [raw[e - k : e].tobytes() for e, k in zip(upto.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary()), pa.array(n, pa.int64()), pa.array(curve_keys(ids, n, table), pa.int64())], names=["id", "ids", "n_ids", "curve_key"])
-        codes.clear()  # a worker lives on for other stages: it keeps no table
+        codes.cut()  # a worker lives on for other stages: it keeps a small table only
         give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
