@@ -1,17 +1,16 @@
 """Matching and voting.
 
 No operator here builds an unrestricted cross product: tolerance matches are
-an equi-join on (label, coordinate bucket), nearest-point search walks a
-hierarchy of grids with a 3x3 block per level."""
+an equi-join on (label, coordinate bucket), nearest-point search walks an
+adaptive quadtree."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairbayes.functions.columns import l2_normalize
+from pairbayes.operators import quadtree
 from pairbayes.session import cut_lineage
 
 # Fixed tolerances of the spectrum match (numpy allclose defaults, atol 1e-5).
@@ -55,63 +54,22 @@ def majority_vote(matches: DataFrame, group: str, vote: str, order: str) -> Data
     )
 
 
-def _cells(df: DataFrame, x: str, y: str, g: float):
-    return df.withColumn("__cx", F.floor(F.col(x) / F.lit(g))).withColumn("__cy", F.floor(F.col(y) / F.lit(g)))
-
-
 def nearest_point(queries: DataFrame, points: DataFrame, qid: str, qx: str, qy: str,
-                  pid: str, px: str, py: str, cell: float | None = None) -> DataFrame:
+                  pid: str, px: str, py: str, cell: float | None = None, leaf: int = quadtree.LEAF) -> DataFrame:
     """For every query the nearest point by flat Euclidean distance; ties
     go to the smallest point id (name).
 
-    Level k uses cells of size g*2^k and the 3x3 block around the query's
-    cell; a query is settled at level k when its best distance is <= the
-    cell size (no point outside the block can be closer).  Unsettled queries
-    move to the next level; once a block covers all points and queries, all are
-    settled.  Points sharing exact coordinates are collapsed first (only the
-    smallest id can win), so one hot location cannot blow up a block.  A query
-    without coordinates, or without any point, keeps its row with nulls."""
-    spark = queries.sparkSession
-    pts = points.where(F.col(px).isNotNull() & F.col(py).isNotNull()).groupBy(F.col(px).alias("__px"), F.col(py).alias("__py")).agg(F.min(pid).alias("__pid"))
+    Points in one place are one point (only the smallest id can win) and equal
+    queries are searched once; the search walks down an adaptive quadtree
+    (``operators/quadtree.py``).  Points without finite coordinates take no
+    part; a query without them, or without any point, keeps its row with nulls.
+    ``cell`` is accepted from earlier callers: the tree sizes its cells itself."""
+    pts = points.where(quadtree.finite(px) & quadtree.finite(py)).groupBy(F.col(px).cast("double").alias("px"), F.col(py).cast("double").alias("py")).agg(F.min(pid).alias("pid"))
     pts = cut_lineage(pts)
-    asked = queries.select(F.col(qid).alias("__qid"), F.col(qx).alias("__qx"), F.col(qy).alias("__qy"))
-    lost = F.col("__qx").isNull() | F.col("__qy").isNull()
-    pending = asked.where(~lost)
-    span = [F.min("__x").alias("x0"), F.max("__x").alias("x1"), F.min("__y").alias("y0"), F.max("__y").alias("y1")]
-    st = pts.agg(F.count(F.lit(1)).alias("n"), F.min("__px").alias("x0"), F.max("__px").alias("x1"),
-                 F.min("__py").alias("y0"), F.max("__py").alias("y1")).first()
-    nothing = [F.col("__qid").alias(qid), F.lit(None).cast(points.schema[pid].dataType).alias(pid), F.lit(None).cast("double").alias("distance")]
-    if not st["n"]:
-        return asked.select(*nothing)
-    both = pts.select(F.col("__px").alias("__x"), F.col("__py").alias("__y")).union(pending.select("__qx", "__qy")).agg(*span).first()
-    reach = max(both["x1"] - both["x0"], both["y1"] - both["y0"])
-    if cell is None:
-        area = max((st["x1"] - st["x0"]) * (st["y1"] - st["y0"]), 1e-12)
-        cell = max(math.sqrt(area / max(st["n"], 1)), 1e-9, reach * 1e-12)
-    results = []
-    g = cell
-    while True:
-        q = _cells(pending, "__qx", "__qy", g)
-        offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-        q = q.withColumn("__o", F.explode(offs)).select(
-            "__qid", "__qx", "__qy", (F.col("__cx") + F.col("__o.dx")).alias("__cx"), (F.col("__cy") + F.col("__o.dy")).alias("__cy")
-        )
-        p = _cells(pts, "__px", "__py", g)
-        c = q.join(p, ["__cx", "__cy"], "inner")
-        d2 = (F.col("__px") - F.col("__qx")) * (F.col("__px") - F.col("__qx")) + (F.col("__py") - F.col("__qy")) * (F.col("__py") - F.col("__qy"))
-        c = c.withColumn("__d2", d2)
-        best = c.groupBy("__qid", "__qx", "__qy").agg(F.min(F.struct("__d2", "__pid")).alias("__b"))
-        # a written level: the plan does not grow with the number of levels
-        best = cut_lineage(best.select("__qid", "__qx", "__qy", F.col("__b.__d2").alias("__d2"), F.col("__b.__pid").alias("__pid")))
-        # a block wider than everything holds every point
-        settled = best.where(F.col("__d2") <= F.lit(g * g)) if g <= reach else best
-        results.append(settled)
-        pending = cut_lineage(pending.join(settled.select("__qid"), "__qid", "left_anti"))
-        if g > reach or pending.isEmpty():
-            break
-        g *= 8.0 if settled.isEmpty() else 2.0  # far from every point: grow faster
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    out = out.select(F.col("__qid").alias(qid), F.col("__pid").alias(pid), F.sqrt("__d2").alias("distance"))
-    return out.unionByName(asked.where(lost).select(*nothing))
+    asked = queries.select(F.col(qid).alias("__qid"), F.col(qx).cast("double").alias("qx"), F.col(qy).cast("double").alias("qy"))
+    if pts.isEmpty():
+        none = F.lit(None).cast(points.schema[pid].dataType)
+        return asked.select(F.col("__qid").alias(qid), none.alias(pid), F.lit(None).cast("double").alias("distance"))
+    places = cut_lineage(asked.where(quadtree.finite("qx") & quadtree.finite("qy")).select("qx", "qy").distinct())
+    found = quadtree.search(places, *quadtree.build(pts, leaf))
+    return asked.join(found, ["qx", "qy"], "left").select(F.col("__qid").alias(qid), F.col("pid").alias(pid), F.sqrt("d2").alias("distance"))
