@@ -44,9 +44,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mix the sources to their target weights; each run of words taken is a row."""
+    """Mix the sources to their target weights: each run of words that a shard takes is a row, and
+    the rows stand shard after shard, each in its own order."""
     mixed = mixing.mix(docs.select(*COLUMNS))
-    return mixing.mixed_rows(mixed, chars_col="n_chars").select(*COLUMNS)
+    return mixing.in_shard_order(mixing.mixed_rows(mixed, chars_col="n_chars")).select("record.*").select(*COLUMNS)
 
 
 def pack_neighbours(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

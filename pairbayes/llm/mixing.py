@@ -8,7 +8,8 @@ shards by a binary tree: at every node the blocks going left are drawn from the
 sources' remaining quotas by a multivariate hypergeometric law, so each shard
 has its exact number of blocks and, in mean, the mix of the whole.  Shards take
 disjoint stretches of each source's drawn order, and a shard is put in a seeded
-order of its own.
+order of its own.  What is taken is what the tree deals: a block belongs to the mix
+if its turn lies within its source's quotas.
 
 Rows of a source are spread over buckets by a hash, and places on the line are
 sums within a bucket on top of the sums of the buckets before it, so a source
@@ -17,21 +18,27 @@ a source; more than ``MAX_SOURCES`` raise an error.
 
 A null source is a source (last in order); null and blank texts have no words
 and take none.  Repeated rows are rows of their own.  An empty table gives none.
+The columns of the input come back in the struct ``record``, so no name can clash.
+Blocks are ``block`` words long; above ``MOST_BLOCKS`` blocks in the whole mix they
+grow in proportion (at 256 words beyond 100 billion words), because the draws count
+blocks exactly only below a billion.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pairbayes.llm.common import mix64, slices, word_count
+from pairbayes.llm.common import mix64, slices, stash, word_count
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
-MAX_SOURCES, ROWS_PER_BUCKET, BLOCK = 100_000, 2000, 256
+MAX_SOURCES, ROWS_PER_BUCKET, BLOCK, MOST_BLOCKS = 100_000, 2000, 256, 400_000_000
 PIECES = "array<struct<copy:int,start:long,words:long,shard:int,place:long>>"
 
 
@@ -117,43 +124,45 @@ def shard_quotas(counts: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
     return quotas
 
 
-def mix(docs: DataFrame, n_shards: int = 16, seed: int = 5, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, n_buckets: int | None = None) -> DataFrame:
-    """Rows of ``docs`` with ``size``, ``source_size``, ``target`` and ``pieces``: the blocks
-    of the row that the mix takes (copy, first word, words, shard, place in the shard)."""
-    identity = [F.col(f"`{c}`") for c in (id_col, text_col)]
-    rows = docs.withColumns({"size": word_count(F.col(text_col)), "_h": F.xxhash64(F.lit(seed), *identity)})
+def mix(docs: DataFrame, n_shards: int = 16, seed: int = 5, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", block: int = BLOCK, n_buckets: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """One row for each row of ``docs``: ``record`` (its columns, or those in ``carry``), ``size``,
+    ``source_size``, ``target`` and ``pieces``: the blocks of the row that the mix takes (copy, first
+    word, words, shard, place in the shard).  The records are shuffled once."""
+    spark = docs.sparkSession
+    own = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]
+    row_id, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
     if n_buckets is None:
         n_buckets = max(1, -(-docs.count() // ROWS_PER_BUCKET))
-    rows = rows.withColumn("_b", F.pmod("_h", F.lit(n_buckets)).cast("int"))
+    rows = docs.select(F.struct(*own).alias("record"), row_id.alias("id"), source.alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), row_id, text).alias("h"))
+    rows = rows.withColumn("bucket", F.pmod("h", F.lit(n_buckets)).cast("int"))
 
-    sums = rows.groupBy(source_col, "_b").agg(F.sum("size").alias("n"))
-    totals = sums.groupBy(source_col).agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
+    sums = stash(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")))  # sources x buckets rows
+    totals = sums.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
     totals.sort(key=lambda r: (r[0] is None, str(r[0] or "").encode()))
     names, sizes = [r[0] for r in totals], [int(r[1]) for r in totals]
     goal = targets(sizes)
-    width = max(block, -(-int(SHARE * sum(sizes)) // 400_000_000))
+    width = max(block, -(-int(SHARE * sum(sizes)) // MOST_BLOCKS))
     plan = [drawn_blocks(s, min(round(t), int(CAP * s)), width, seed + 97 * i) for i, (s, t) in enumerate(zip(sizes, goal, strict=True))]
     quotas = shard_quotas(np.array([p["rounds"] * p["n"] + p["first"] for p in plan], np.int64), n_shards, seed)
     ends = np.cumsum(quotas, axis=0)
 
-    spark = docs.sparkSession
-    told = spark.createDataFrame([(i, n, s, t) for i, (n, s, t) in enumerate(zip(names, sizes, goal, strict=True))], f"_k int, _s {rows.schema[source_col].dataType.simpleString()}, source_size long, target double")
-    before = Window.partitionBy(source_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(F.col(source_col).alias("_s"), F.col("_b").alias("_at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    bases = bases.join(told.withColumnRenamed("_s", "_s2"), F.col("_s").eqNullSafe(F.col("_s2"))).drop("_s2")
-    within = Window.partitionBy(source_col, "_b").orderBy("_h", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(bases, placed[source_col].eqNullSafe(bases["_s"]) & (placed["_b"] == bases["_at"]))
-    placed = placed.withColumn("_lo", F.col("_base") + F.col("_in")).drop("_s", "_at", "_base", "_in", "_h", "_b")
+    # plain numbers as keys: the window and the join deal the records out once, by the same columns
+    told = F.broadcast(spark.createDataFrame([(i, n, s, t) for i, (n, s, t) in enumerate(zip(names, sizes, goal, strict=True))], f"k int, name {rows.schema['source'].dataType.simpleString()}, source_size long, target double"))
+    numbered = rows.join(told, rows["source"].eqNullSafe(told["name"])).drop("source", "name")
+    before = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.join(told, sums["source"].eqNullSafe(told["name"])).select("k", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("k", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = numbered.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(bases, ["k", "bucket"])
+    placed = placed.select("record", "size", "source_size", "target", "k", (F.col("base") + F.col("inside")).alias("lo"))
     told_all = spark.sparkContext.broadcast((plan, ends, width, n_shards, seed))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, ends, width, n_shards, seed = told_all.value
         orders = [Order(p["n"], p["seed"]) if p["n"] else None for p in plan]
         for batch in slices(batches, 4000):
-            k, lo, size = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_k", "_lo", "size"))
+            k, lo, size = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (4, 5, 1))
             found = [_taken(plan[s], orders[s], ends[:, s], s, lo[k == s], size[k == s], width, seed) for s in np.unique(k)]
             rows_at = [np.flatnonzero(k == s) for s in np.unique(k)]
             doc = np.concatenate([r[f[0]] for r, f in zip(rows_at, found, strict=True)])
@@ -162,11 +171,10 @@ def mix(docs: DataFrame, n_shards: int = 16, seed: int = 5, source_col: str = "s
             offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(k)))])
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             parts = pa.StructArray.from_arrays([pa.array(c[by], t) for c, t in zip(cols, kinds, strict=True)], ["copy", "start", "words", "shard", "place"])
-            keep = [i for i, n in enumerate(batch.schema.names) if n not in ("_k", "_lo")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)], names=[*[batch.schema.names[i] for i in keep], "pieces"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), parts)], names=["record", "size", "source_size", "target", "pieces"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema.fields if f.name not in ("_k", "_lo"))
-    return placed.mapInArrow(take, f"{fields}, pieces {PIECES}")
+    kinds = placed.select("record", "size", "source_size", "target").schema
+    return placed.mapInArrow(take, StructType([*kinds.fields, *StructType.fromDDL(f"pieces {PIECES}").fields]))
 
 
 def _taken(plan: dict, order, ends: np.ndarray, source: int, lo: np.ndarray, size: np.ndarray, width: int, seed: int) -> tuple:
@@ -180,7 +188,7 @@ def _taken(plan: dict, order, ends: np.ndarray, source: int, lo: np.ndarray, siz
     out = []
     for copy in range(plan["rounds"] + 1):
         last = copy == plan["rounds"]
-        on = rank < plan["first"] if last else np.ones(len(row), bool)
+        on = copy * plan["n"] + rank < (ends[-1] if len(ends) else 0)  # its turn is dealt to a shard
         r, b = row[on], block[on]
         stop = (b + 1) * width
         if last:
@@ -198,34 +206,49 @@ def _taken(plan: dict, order, ends: np.ndarray, source: int, lo: np.ndarray, siz
 
 
 def mixed_rows(mixed: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
-    """One row for every run of words that the mix takes from a row's copy, with those
-    words as its text (white space inside kept); the columns of ``mixed`` go along."""
-    import re
-
+    """One row for every run of words that one shard takes from a copy of a row: ``shard``, ``place``
+    and the record, with those words as its text (white space inside kept)."""
     word = re.compile(r"[^\x20\x09-\x0D]+")
-    names, kinds = mixed.columns, mixed.schema
-    text_at, pieces_at = names.index(text_col), names.index("pieces")
+    kind = mixed.schema["record"].dataType
+    names = kind.names
+    text_at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            at, texts, which = [], [], 0
-            for text, pieces in zip(batch.column(text_at).to_pylist(), batch.column(pieces_at).to_pylist(), strict=True):
+            record = batch.column(0)
+            at, texts, shards, places, which = [], [], [], [], 0
+            for text, pieces in zip(record.field(text_at).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 runs: list[list[int]] = []
                 for p in pieces or []:
-                    if runs and runs[-1][0] == p["copy"] and runs[-1][2] == p["start"]:
+                    if runs and runs[-1][0] == p["copy"] and runs[-1][2] == p["start"] and runs[-1][3] == p["shard"]:
                         runs[-1][2] += p["words"]
                     else:
-                        runs.append([p["copy"], p["start"], p["start"] + p["words"]])
+                        runs.append([p["copy"], p["start"], p["start"] + p["words"], p["shard"], p["place"]])
                 spans = [m.span() for m in word.finditer(text)] if runs else []
-                for _, a, b in runs:
+                for _, a, b, shard, place in runs:
                     whole = a == 0 and b == len(spans)
                     texts.append(text if whole else text[spans[a][0] : spans[b - 1][1]])
                     at.append(which)
+                    shards.append(shard)
+                    places.append(place)
                 which += 1
-            cols = [batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(names))]
+            took = pa.array(at, pa.int64())
+            cols = [record.field(i).take(took) for i in range(len(names))]
             cols[text_at] = pa.array(texts, pa.string())
             if chars_col:
-                cols[names.index(chars_col)] = pa.array([len(t) for t in texts], batch.column(names.index(chars_col)).type)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols[names.index(chars_col)] = pa.array([len(t) for t in texts], record.field(names.index(chars_col)).type)
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(places, pa.int64()), pa.StructArray.from_arrays(cols, names)], names=["shard", "place", "record"])
+
+    made = StructType([*StructType.fromDDL("shard int, place long").fields, mixed.schema["record"]])
+    return mixed.select("record", "pieces").mapInArrow(cut, made)
+
+
+def in_shard_order(rows: DataFrame) -> DataFrame:
+    """``mixed_rows`` sorted by (shard, place) over the whole table: a range sort, so a shard may
+    take several tasks and files, one after another."""
+    return rows.orderBy("shard", "place", F.xxhash64("record"))
+
 
-    return mixed.mapInArrow(cut, kinds)
+def write_shards(rows: DataFrame, path: str) -> None:
+    """Writes ``mixed_rows`` as one folder a shard (``shard=N``), in the shard's order."""
+    in_shard_order(rows).select("shard", "place", "record.*").write.partitionBy("shard").parquet(path)

@@ -120,9 +120,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' target weights."""
     from pairbayes.llm.mixing import mix
 
-    mixed = mix(documents(spark, sf_dir, "doc_id", "text", "source"))
+    mixed = mix(documents(spark, sf_dir, "doc_id", "text", "source"), carry=["doc_id", "source"])
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda total, p: total + p["words"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    shards = F.size(F.array_distinct(F.transform("pieces", lambda p: p["shard"])))
+    return mixed.select("record.doc_id", "size", "source_size", "target", taken.alias("taken"), "record.source", F.size("pieces").alias("n_pieces"), shards.alias("n_shards"))
 
 
 def op11_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

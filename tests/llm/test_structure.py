@@ -1,6 +1,7 @@
 """Packing, sharding, mixing and sketches against brute force."""
 
 import zlib
+from fractions import Fraction
 from collections import defaultdict
 
 import numpy as np
@@ -93,27 +94,50 @@ def test_shards_written(docs, tmp_path):
 
 @pytest.mark.parametrize("name", ["docs", "edge", "none"])
 def test_mix_meets_targets(request, name):
-    df = request.getfixturevalue(name).withColumn("pieces", F.lit("clash")).select("doc_id", "text", "source", "lang", "n_chars")
+    clash = ["pieces", "size", "target", "source_size", "record", "k", "h", "id", "bucket", "lo", "base"]
+    df = request.getfixturevalue(name).withColumns({c: F.lit("clash") for c in clash})
     rows = mixing.mix(df, n_shards=4, block=16, n_buckets=3).collect()
-    assert len(rows) == df.count()
-    sizes, taken, targets = defaultdict(int), defaultdict(int), {}
+    assert len(rows) == df.count() and all(r["record"][c] == "clash" for r in rows for c in clash)
+    sizes, taken, got_targets = defaultdict(int), defaultdict(int), {}
     for r in rows:
-        words = len((r["text"] or "").encode().split())
+        words = len((r["record"]["text"] or "").encode().split())
         got = sum(p["words"] for p in r["pieces"])
         assert r["size"] == words and got <= 2 * words
         spans = sorted((p["copy"], p["start"], p["start"] + p["words"]) for p in r["pieces"])
         assert all(a[0] < b[0] or a[2] <= b[1] for a, b in zip(spans, spans[1:], strict=False))
         assert all(0 <= a < b <= words for _, a, b in spans)
-        sizes[r["source"]] += words
-        taken[r["source"]] += got
-        targets[r["source"]] = r["target"]
+        source = r["record"]["source"]
+        sizes[source] += words
+        taken[source] += got
+        got_targets[source] = r["target"]
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    want = mixing.targets([sizes[s] for s in order])
+    want = targets_by_hand([sizes[s] for s in order])
     for s, t in zip(order, want, strict=True):
-        assert targets[s] == pytest.approx(t) and t <= 2 * sizes[s] + 1e-6
+        assert got_targets[s] == pytest.approx(float(t)) and t <= 2 * sizes[s]
         assert abs(taken[s] - t) <= 1
     if sum(sizes.values()):
-        assert sum(want) == pytest.approx(1.5 * sum(sizes.values()))
+        assert sum(want) == Fraction(3, 2) * sum(sizes.values())
+    # what the shards hold is what the tree deals
+    blocks = defaultdict(set)
+    for r in rows:
+        for p in r["pieces"]:
+            blocks[p["shard"]].add((r["record"]["source"], p["copy"], p["place"]))
+    held = [len(blocks[k]) for k in range(4)]
+    assert max(held) - min(held) <= 2 or sum(held) < 8
+
+
+def targets_by_hand(sizes):
+    """Water filling in exact fractions: raise one level until a source is full, then share the rest again."""
+    total, full = Fraction(3, 2) * sum(sizes), set()
+    weights = [Fraction((5, 2, 1)[i % 3]) for i in range(len(sizes))]
+    while True:
+        rest = total - sum(2 * sizes[i] for i in full)
+        free = [i for i in range(len(sizes)) if i not in full]
+        share = {i: rest * weights[i] / sum(weights[j] for j in free) for i in free}
+        over = {i for i in free if share[i] > 2 * sizes[i]}
+        if not over:
+            return [Fraction(2 * sizes[i]) if i in full else share[i] for i in range(len(sizes))]
+        full |= over
 
 
 def test_splitting_tree_is_exact():
@@ -123,12 +147,30 @@ def test_splitting_tree_is_exact():
     assert (q == mixing.shard_quotas(counts, 6, seed=2)).all()
 
 
-def test_mixed_rows_hold_the_words(docs):
+def test_mixed_rows_hold_the_words(spark, docs, tmp_path):
     mixed = mixing.mix(docs.select("doc_id", "text", "lang", "source", "n_chars"), n_shards=3, block=16)
     want = mixed.agg(F.sum(F.aggregate("pieces", F.lit(0).cast("long"), lambda s, p: s + p["words"]))).first()[0]
-    rows = mixing.mixed_rows(mixed, chars_col="n_chars").collect()
-    assert sum(len(r["text"].encode().split()) for r in rows) == want
-    assert all(r["n_chars"] == len(r["text"]) for r in rows)
+    cut = mixing.mixed_rows(mixed, chars_col="n_chars")
+    rows = mixing.in_shard_order(cut).collect()
+    assert sum(len(r["record"]["text"].encode().split()) for r in rows) == want
+    assert all(r["record"]["n_chars"] == len(r["record"]["text"]) for r in rows)
+    assert [(r["shard"], r["place"]) for r in rows] == sorted((r["shard"], r["place"]) for r in rows)
+    pieces = {(r["record"]["doc_id"], p["shard"], p["place"]) for r in mixed.collect() for p in r["pieces"]}
+    assert {(r["record"]["doc_id"], r["shard"], r["place"]) for r in rows} <= pieces
+    mixing.write_shards(cut, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert {r["shard"] for r in back.select("shard").distinct().collect()} == {0, 1, 2} and back.count() == len(rows)
+
+
+def test_texts_are_shuffled_once(spark, docs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sent = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(sent) <= 3  # the records, the sums and their places
 
 
 @pytest.mark.parametrize("name", ["docs", "edge", "none"])
