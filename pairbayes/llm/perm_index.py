@@ -19,7 +19,9 @@ order and stay in id order, so ties go to the smaller id.
 
 Vectors that are null, empty, zero, hold null or non-finite components or differ
 in length from the pivots', and rows without an id, take no part; rows with the
-query's own id are not its candidates.  Fewer rows give fewer neighbours.
+query's own id are not its candidates.  Fewer rows give fewer neighbours.  A repeated
+row (same id and vector) counts once; an id with several vectors asks with each, and
+is a candidate with each.
 """
 
 from __future__ import annotations
@@ -62,6 +64,7 @@ def search_cell(vectors: pa.Table, queries: pa.Table, n_pivots: int, dims: int,
     posted = np.zeros((n_pivots, len(ids)), np.uint8)
     posted[perm.T, np.arange(len(ids))[None, :]] = weight[:, None]
     most = max(LEAST, k, -(-int(len(ids) * SHARE * 100) // 100)) + 1
+    keys = queries.column("key").to_numpy()
     who, q, q_perm = queries.column("id").to_numpy(), matrix(queries.column("vector"), dims), np.frombuffer(b"".join(queries.column("perm").to_pylist()), "<u2").reshape(queries.num_rows, -1)
     least, out = np.zeros(len(ids), np.uint8), []
     for i in range(len(who)):
@@ -77,13 +80,13 @@ def search_cell(vectors: pa.Table, queries: pa.Table, n_pivots: int, dims: int,
         out.append((ids[found[best]], exact[best]))
     n = [len(a) for a, _ in out]
     cat = lambda j, t: np.concatenate([o[j] for o in out]) if out else np.zeros(0, t)
-    return pa.table({"query_id": pa.array(np.repeat(who, n), pa.int64()), "vec_id": pa.array(cat(0, np.int64), pa.int64()), "score": pa.array(cat(1, float), pa.float64())})
+    return pa.table({"key": pa.array(np.repeat(keys, n), pa.int64()), "query_id": pa.array(np.repeat(who, n), pa.int64()), "vec_id": pa.array(cat(0, np.int64), pa.int64()), "score": pa.array(cat(1, float), pa.float64())})
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 17) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of every row where ``is_query`` holds."""
     spark = vectors.sparkSession
-    rows = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asks")))
+    rows = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asks"))).dropDuplicates(["id", "vector"])
     found = rows.withColumn("d", F.size("vector"))
     # distinct vectors first by hash; copies of one vector are one pivot
     sample = found.groupBy("vector").agg(F.min("d").alias("d")).orderBy(F.xxhash64(F.lit(seed), "vector")).limit(PIVOTS).collect()
@@ -118,12 +121,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     spot = lambda n, s: F.pmod(F.xxhash64(F.lit(s), "id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     held = index.where("asks is not null").select("id", "vector", "perm", spot(n_vb, 1).alias("vb"), every(n_qb).alias("qb"))
-    asked = index.where("asks is null").select("id", "vector", "perm", every(n_vb).alias("vb"), spot(n_qb, 2).alias("qb"))
+    asked = index.where("asks is null").select(F.xxhash64("id", "vector").alias("key"), "id", "vector", "perm", every(n_vb).alias("vb"), spot(n_qb, 2).alias("qb"))
     n_pivots = len(pivots)
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         return search_cell(left, right, n_pivots, dims, k)
 
-    best = held.groupBy("vb", "qb").cogroup(asked.groupBy("vb", "qb")).applyInArrow(cell, "query_id long, vec_id long, score double")
-    ranked = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
+    best = held.groupBy("vb", "qb").cogroup(asked.groupBy("vb", "qb")).applyInArrow(cell, "key long, query_id long, vec_id long, score double")
+    ranked = best.groupBy("key", "query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
     return ranked.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.minus")).alias("score"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pairbayes.llm.common import give_back, mix64, pieces_of, slices, stash
 
 ROWS, DIMS, NONZERO, WINDOW = 1 << 15, 48, 4, 2
-PER_CLASS, HIDDEN, EPOCHS, SEED = 3000, 24, 60, 13
+PER_CLASS, HIDDEN, EPOCHS, SEED, LEAST_HELD = 3000, 24, 60, 13, 5
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -177,7 +177,10 @@ def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, seed: int = SEED) -> Network:
-    """Fit on a sample of at most ``per_class`` rows of each label; ``labels`` holds training rows only."""
+    """Fit on a sample of at most ``per_class`` rows of each label; ``labels`` holds training rows only.
+
+    A fifth of each label is held back for calibration.  A label with fewer than ``LEAST_HELD`` rows
+    keeps all for training, and then all rows calibrate."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("y"))
     shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     zeros, ones = shares.get(0, 0), shares.get(1, 0)
@@ -202,12 +205,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([g[1] for g in got], float)
     held = np.zeros(len(y), bool)
     for label in (0, 1):
-        held[np.flatnonzero(y == label)[::5]] = True
+        own = np.flatnonzero(y == label)
+        if len(own) >= LEAST_HELD:
+            held[own[::5]] = True
     mean, scale = x[~held].mean(axis=0), x[~held].std(axis=0) + 1e-3
     z = np.clip((x - mean) / scale, -8, 8)
     even = np.where(y == 1, 0.5 / max(y[~held].mean(), 1e-9), 0.5 / max(1 - y[~held].mean(), 1e-9))
     net = Network(prior, vectors, mean.astype(np.float32), scale.astype(np.float32), train_layers(z[~held], y[~held], even[~held], seed))
     natural = np.where(y == 1, ones / (y == 1).sum(), zeros / (y == 0).sum())
+    if len(set(y[held])) < 2:  # too few rows of a class to hold any back
+        held[:] = True
     net.slope, net.offset = calibrate(net.logits(x[held]), y[held], natural[held] / natural[held].mean())
     return net
 
