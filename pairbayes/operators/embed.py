@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairbayes.functions.columns import cosine, l2_normalize
+from pairbayes.operators.gram import component_scores, correlations, principal_components, wanted_pairs
 
 
 def long_form(fx: DataFrame, keep=("row_id", "y"), x: str = "x") -> DataFrame:
@@ -22,13 +23,14 @@ def label_correlation(fx_y: DataFrame) -> DataFrame:
     return lf.groupBy("feature").agg(F.corr("v", F.col("y").cast("double")).alias("corr"))
 
 
-def feature_correlation(fx: DataFrame, pairs) -> DataFrame:
-    """Pearson correlation for the given feature pairs (pairs exploded in-task)."""
-    f1 = F.lit([a for a, _ in pairs])
-    f2 = F.lit([b for _, b in pairs])
-    x = F.col("x")
-    ex = fx.select(F.posexplode(F.transform(f1, lambda a, k: F.struct(a.alias("f1"), f2[k].alias("f2"), x[a].alias("a"), x[f2[k]].alias("b")))).alias("pair_id", "s"))
-    return ex.groupBy(F.col("s.f1").alias("f1"), F.col("s.f2").alias("f2")).agg(F.corr("s.a", "s.b").alias("corr"))
+def feature_correlation(fx: DataFrame, pairs=None, n_features: int | None = None) -> DataFrame:
+    """(f1, f2, corr), the Pearson correlation of the given feature pairs (all, if none are given)."""
+    from pairbayes.operators.features import n_features_of
+
+    every = correlations(fx, n_features or n_features_of(fx))
+    if pairs is not None:
+        every = wanted_pairs(every, pairs, 0)
+    return every.select(F.col("i").alias("f1"), F.col("j").alias("f2"), "corr")
 
 
 def class_feature_stats(fx_y: DataFrame) -> DataFrame:
@@ -70,7 +72,8 @@ def class_mean_cosine(fx_y: DataFrame, first_k: int | None = None) -> DataFrame:
         F.sum(F.col("ma") * F.col("mb")).alias("dot"), F.sum(F.col("ma") * F.col("ma")).alias("na"),
         F.sum(F.col("mb") * F.col("mb")).alias("nb"),
     )
-    return g.select("class_a", "class_b", (F.col("dot") / (F.sqrt("na") * F.sqrt("nb"))).alias("cosine"))
+    # a class whose mean is zero has cosine 0 with all
+    return g.select("class_a", "class_b", F.coalesce(F.try_divide(F.col("dot"), F.sqrt("na") * F.sqrt("nb")), F.lit(0.0)).alias("cosine"))
 
 
 def gaussian_kl(fx_y: DataFrame, eps: float = 1e-6) -> DataFrame:
@@ -93,7 +96,7 @@ def class_means_matrix(fx_y: DataFrame, n_classes: int, n_features: int) -> list
     rows = class_feature_stats(fx_y).select("y", "feature", "mean").collect()
     M = [[0.0] * n_features for _ in range(n_classes)]
     for r in rows:
-        M[r["y"]][r["feature"]] = float(r["mean"])
+        M[r["y"]][r["feature"]] = float(r["mean"] or 0.0)  # a class with only nulls in a feature
     return M
 
 
@@ -114,7 +117,7 @@ def reconstruct(scored: DataFrame, means: list[list[float]], post: str = "poster
 def reconstruction_errors(rec: DataFrame) -> DataFrame:
     """Per-row MSE between x and x_hat."""
     se = F.aggregate(F.zip_with("x", "x_hat", lambda a, b: (a - b) * (a - b)), F.lit(0.0).cast("double"), lambda s, v: s + v)
-    return rec.withColumn("mse", se / F.size("x"))
+    return rec.withColumn("mse", F.try_divide(se, F.size("x")))  # null for an empty vector
 
 
 def contrastive_scores(fx_y: DataFrame, batch_rows: int = 128, temperature: float = 0.5) -> DataFrame:
@@ -178,22 +181,16 @@ def soft_assignment(fx: DataFrame, centres: list[list[float]], tau: float = 1.0)
     return q.withColumn("p", F.transform(p, lambda v: v / tot))
 
 
-def pca_scores(fx: DataFrame, k: int = 2) -> DataFrame:
-    """Standardise (population std), PCA via pyspark.ml, each score
-    column min-max scaled to [-1, 1]."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = fx.select("row_id", array_to_vector("x").alias("features"))
-    sc = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="z").fit(v)
-    z = sc.transform(v)
-    pca = PCA(k=k, inputCol="z", outputCol="pc").fit(z)
-    s = pca.transform(z).select("row_id", vector_to_array("pc").alias("pc"))
-    cols = [F.col("pc")[i].alias(f"pc{i + 1}") for i in range(k)]
-    s = s.select("row_id", *cols)
-    b = s.agg(*[F.min(f"pc{i + 1}").alias(f"lo{i}") for i in range(k)], *[F.max(f"pc{i + 1}").alias(f"hi{i}") for i in range(k)]).collect()[0]
+def pca_scores(fx: DataFrame, k: int = 2, n_features: int | None = None) -> DataFrame:
+    """(row_id, pc1.., ev1..): scores on the principal components of the standardised features,
+    each scaled to [-1, 1], and the components' shares of the variance."""
+    from pairbayes.operators.features import n_features_of
+
+    model = principal_components(fx, n_features or n_features_of(fx), k)
+    s = component_scores(fx, model)
+    b = s.agg(*[f(F.col("pc")[i]).alias(f"{n}{i}") for i in range(k) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    scaled = []
     for i in range(k):
-        lo, hi = b[f"lo{i}"], b[f"hi{i}"]
-        rng = (hi - lo) or 1.0
-        s = s.withColumn(f"pc{i + 1}", F.lit(2.0) * (F.col(f"pc{i + 1}") - F.lit(lo)) / F.lit(rng) - F.lit(1.0))
-    return s.withColumn("explained_variance", F.lit([float(v) for v in pca.explainedVariance.toArray()]))
+        lo, hi = b[f"lo{i}"] or 0.0, b[f"hi{i}"] or 0.0
+        scaled.append((F.lit(2.0) * (F.col("pc")[i] - F.lit(lo)) / F.lit((hi - lo) or 1.0) - F.lit(1.0)).alias(f"pc{i + 1}"))
+    return s.select("row_id", *scaled, *[F.lit(float(v)).alias(f"ev{i + 1}") for i, v in enumerate(model.variance)])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairbayes.operators.binning import BinSpec, double_sql
 from pairbayes.operators.dense import dense_counts
+from pairbayes.operators.gram import pair_covariances, wanted_pairs
 
 # Fixed values of the classifier.
 INITIAL_WEIGHT = 1e-6
@@ -211,37 +212,21 @@ def class_moments(fx_y: DataFrame, pairs, n_features: int) -> DataFrame:
     """Per (class, pair) mean and covariance with the reference's
     regularisation: cov = S/(n-1+1e-6) + 1e-6 on the diagonal.
 
-    Pairs are exploded in-task; partial aggregation keeps the shuffle at one
-    row per (task, class, pair)."""
-    from pairbayes.operators.binning import explode_all_pairs
-
-    if pairs is None:
-        ex = explode_all_pairs(fx_y, "x", n_features, ("y",), names=("a", "b"))
-    else:
-        pl = list(pairs)
-        f1 = F.lit([a for a, _ in pl])
-        f2 = F.lit([b for _, b in pl])
-        x = F.col("x")
-        ex = fx_y.select(
-            "y",
-            F.posexplode(F.transform(f1, lambda a, k: F.struct(x[a].alias("a"), x[f2[k]].alias("b")))).alias("pair_id", "v"),
-        ).select("y", "pair_id", F.col("v.a").alias("a"), F.col("v.b").alias("b"))
-    g = ex.groupBy("y", "pair_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("a").alias("m1"),
-        F.avg("b").alias("m2"),
-        F.var_samp("a").alias("v11"),
-        F.covar_samp("a", "b").alias("v12"),
-        F.var_samp("b").alias("v22"),
-    )
-    scale = (F.col("n") - F.lit(1.0)) / (F.col("n") - F.lit(1.0) + F.lit(1e-6))
+    One pass of blocked Gram sums (``operators/gram.py``); what is shuffled is
+    one row per (task, class, pair)."""
+    rows, single, both = pair_covariances(fx_y, n_features)
+    both = wanted_pairs(both, pairs, n_features)
+    one = lambda i, m, v: single.select("y", F.col("i").alias(i), F.col("mean").alias(m), F.when(F.col("n") > 1, F.col("s2") / (F.col("n") - 1)).alias(v))
+    g = both.join(rows, "y").join(one("i", "m1", "v11"), ["y", "i"]).join(one("j", "m2", "v22"), ["y", "j"])
+    scale = (F.col("rows") - F.lit(1.0)) / (F.col("rows") - F.lit(1.0) + F.lit(1e-6))
+    v12 = F.when(F.col("n") > 1, F.col("c") / (F.col("n") - 1))
     return g.select(
         "y",
-        F.col("pair_id").cast("int").alias("pair_id"),
-        "n",
+        "pair_id",
+        F.col("rows").alias("n"),
         "m1",
         "m2",
         (F.coalesce(F.col("v11") * scale, F.lit(0.0)) + F.lit(1e-6)).alias("c11"),
-        F.coalesce(F.col("v12") * scale, F.lit(0.0)).alias("c12"),
+        F.coalesce(v12 * scale, F.lit(0.0)).alias("c12"),
         (F.coalesce(F.col("v22") * scale, F.lit(0.0)) + F.lit(1e-6)).alias("c22"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairbayes.functions.columns import MISSING_SENTINEL
+from pairbayes.operators.quantiles import wide_quantiles
 
 # Fixed values of the preparation rules.
 CARDINALITY_THRESHOLD = 0.9
@@ -201,13 +202,24 @@ def inverse_frequency_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, col: str, ps: Sequence[float], by: Sequence[str] = (), approx: bool = False) -> DataFrame:
-    """Exact linear-interpolation percentiles (numpy default), or
-    ``percentile_approx`` at scale."""
+    """Exact linear-interpolation percentiles (numpy default) by counting in narrowing ranges,
+    or ``percentile_approx``."""
     if approx:
         agg = [F.percentile_approx(col, p, 10000).alias(f"p{int(round(p * 100))}") for p in ps]
-    else:
-        agg = [F.percentile(F.col(col), p).alias(f"p{int(round(p * 100))}") for p in ps]
-    return df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
+        return df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
+    return wide_quantiles(df, by, col, ps, "p")
+
+
+def pair_cardinality(df: DataFrame, group: str, n_features: int) -> DataFrame:
+    """(group, cardinality), the sum over the pairs of ``x`` of their distinct values in each group.
+
+    One scan: a row gives one row a pair, equal ones meet in one aggregation.  A pair with a null in it
+    does not count."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("x")[i].alias("a"), F.col("x")[j].alias("b"))
+                      for i in range(n_features) for j in range(i + 1, n_features)])
+    each = df.select(group, F.explode(pairs).alias("p")).where("p.a IS NOT NULL AND p.b IS NOT NULL").distinct()
+    counted = each.groupBy(group).agg(F.count(F.lit(1)).alias("cardinality"))
+    return df.select(group).distinct().join(counted, group, "left").select(group, F.coalesce("cardinality", F.lit(0)).alias("cardinality"))
 
 
 def cardinality_threshold_report(card: DataFrame, threshold: float = CARDINALITY_THRESHOLD) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairbayes.operators.embed import class_separation, feature_correlation, label_correlation
+from pairbayes.operators.quantiles import wide_quantiles
 from pairbayes.session import cut_lineage
 
 # Fixed values of the selection rule.
@@ -62,8 +63,9 @@ def distribution_data(fx_y: DataFrame, features, ps=(0.05, 0.25, 0.5, 0.75, 0.95
     """Per class and feature the quantiles behind the distribution plots."""
     x = F.col("x")
     lf = fx_y.select("y", F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), x[i].alias("v")) for i in features])).alias("s"))
-    return lf.groupBy("y", F.col("s.feature").alias("feature")).agg(
-        *[F.percentile(F.col("s.v"), p).alias(f"q{int(round(p * 100))}") for p in ps], F.count(F.lit(1)).alias("n"))
+    lf = lf.select("y", F.col("s.feature").alias("feature"), F.col("s.v").alias("v"))
+    rows = lf.groupBy("y", "feature").agg(F.count(F.lit(1)).alias("n"))
+    return wide_quantiles(lf, ["y", "feature"], "v", ps, "q").join(rows, ["y", "feature"], "right")
 
 
 def unknown_targets(df: DataFrame, label: str, classes: DataFrame) -> DataFrame:

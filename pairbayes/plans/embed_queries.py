@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from pairbayes.operators.metrics import nmi
 from pairbayes.plans.learner_queries import EMB_DIMS, _emb, _emb_model
 from pairbayes.operators.posterior import score
 from pairbayes.plans.oracles import emb_base, score_ctes
+from pairbayes.session import cut_lineage
 
 R = 6
 FULL = 64
@@ -24,8 +23,7 @@ def emb_label_corr(spark, sf) -> DataFrame:
 
 def emb_feature_corr(spark, sf) -> DataFrame:
     fx_y, _ = _emb(spark, sf, EMB_DIMS)
-    pairs = list(itertools.combinations(range(EMB_DIMS), 2))
-    return embed.feature_correlation(fx_y, pairs).select("f1", "f2", F.round("corr", R).alias("corr"))
+    return embed.feature_correlation(fx_y, None, EMB_DIMS).select("f1", "f2", F.round("corr", R).alias("corr"))
 
 
 def emb_class_separation(spark, sf) -> DataFrame:
@@ -56,6 +54,31 @@ def emb_reconstruction(spark, sf) -> DataFrame:
                                                         F.count(F.lit(1)).alias("n"))
 
 
+def _inverted(spark, sf) -> DataFrame:
+    """Rows with their features, posterior and the features that the learned inverse gives back."""
+    from pairbayes.operators import inverse
+
+    model, fx_y = _emb_model(spark, sf)
+    s = cut_lineage(score(model, fx_y).select("row_id", "posterior").join(fx_y.select("row_id", "x"), "row_id"))
+    return inverse.invert(s, inverse.fit_inverse(s, model.n_classes, EMB_DIMS))
+
+
+def emb_inverse_losses(spark, sf) -> DataFrame:
+    """The three loss terms of the learned inverse and their sum."""
+    from pairbayes.operators.inverse import losses
+
+    # the divergence is large and its system's inverse is a long sum: four decimals
+    return losses(_inverted(spark, sf)).select(*[F.round(c, 4).alias(c) for c in ("mse", "corr", "kl", "total")])
+
+
+def emb_inverse_errors(spark, sf) -> DataFrame:
+    """Squared error per feature, and over all rows (feature -1)."""
+    from pairbayes.operators.inverse import feature_errors
+
+    e = feature_errors(_inverted(spark, sf))
+    return e.select("feature", "n", F.round("mse", R).alias("mse"), F.round("std", R).alias("std"))
+
+
 def emb_nmi(spark, sf) -> DataFrame:
     """NMI between labels and histogram predictions."""
     model, fx_y = _emb_model(spark, sf)
@@ -80,9 +103,18 @@ def emb_kmeans(spark, sf) -> DataFrame:
 
 
 def emb_pca(spark, sf) -> DataFrame:
-    """2 principal components scaled to [-1, 1]; rows-only."""
+    """Scores on 2 principal components scaled to [-1, 1], with their shares of the variance."""
+    fx_y, _ = _emb(spark, sf, FULL)
+    p = embed.pca_scores(fx_y, 2, FULL)
+    return p.select("row_id", *[F.round(c, 5).alias(c) for c in ("pc1", "pc2", "ev1", "ev2")])
+
+
+def emb_pca_loadings(spark, sf) -> DataFrame:
+    """Loadings of the 2 components."""
+    from pairbayes.operators.gram import principal_components
+
     fx_y, _ = _emb(spark, sf, FULL)
-    return embed.pca_scores(fx_y, 2)
+    return principal_components(fx_y, FULL, 2).frame(spark).select("component", "feature", F.round("loading", 5).alias("loading"))
 
 
 QUERIES = {
@@ -92,10 +124,13 @@ QUERIES = {
     "emb_class_cosine": emb_class_cosine,
     "emb_gaussian_kl": emb_gaussian_kl,
     "emb_reconstruction": emb_reconstruction,
+    "emb_inverse_losses": emb_inverse_losses,
+    "emb_inverse_errors": emb_inverse_errors,
     "emb_nmi": emb_nmi,
     "emb_contrastive": emb_contrastive,
     "emb_kmeans": emb_kmeans,
     "emb_pca": emb_pca,
+    "emb_pca_loadings": emb_pca_loadings,
 }
 
 
@@ -104,9 +139,63 @@ def _long(dims: int) -> str:
        FROM embeddings CROSS JOIN range(1, {dims + 1}) t(i))"""
 
 
+def _pca_sql() -> str:
+    """CTEs down to comp (component, v, ev): the correlation matrix squared 16 times, by trace, gives
+    the first eigenvector; taken off the matrix, the second."""
+    square = lambda n: (f"{n}(k, p) AS (SELECT 0, m FROM {n}0 UNION ALL SELECT k + 1, list_transform(q, lambda r: list_transform(r, lambda x: x / t)) "
+                        "FROM (SELECT k, q, list_sum(list_transform(range(1, len(q) + 1), lambda i: q[i][i])) AS t FROM "
+                        f"(SELECT k, list_transform(p, lambda r: list_transform(p, lambda c: list_dot_product(r, c))) AS q FROM {n} WHERE k < 16)))")
+    first = lambda n, name: (f"{name} AS (SELECT list_transform(r, lambda x: x / s) AS v FROM (SELECT r, sqrt(list_dot_product(r, r)) * CASE WHEN "
+                             "list_max(r) >= -list_min(r) THEN 1 ELSE -1 END AS s FROM (SELECT unnest(p) AS r FROM " f"{n} WHERE k = 16) ORDER BY list_dot_product(r, r) DESC LIMIT 1))")
+    return f"""{_long(FULL)},
+st AS (SELECT feature, avg(v) AS m, stddev_pop(v) AS s FROM lf GROUP BY feature),
+z AS (SELECT row_id, list((v - m) / s ORDER BY feature) AS z FROM lf JOIN st USING (feature) GROUP BY row_id),
+co AS (SELECT a.feature AS i, b.feature AS j, corr(a.v, b.v) AS c FROM lf a JOIN lf b ON a.row_id = b.row_id GROUP BY a.feature, b.feature),
+a0 AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM co GROUP BY i)),
+{square('a')}, {first('a', 'v1')},
+l1 AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS lam FROM v1, a0),
+b0 AS MATERIALIZED (SELECT list_transform(range(1, {FULL + 1}), lambda i: list_transform(range(1, {FULL + 1}), lambda j: m[i][j] - lam * v[i] * v[j])) AS m FROM l1, a0),
+{square('b')}, {first('b', 'v2')},
+l2 AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS lam FROM v2, a0),
+comp AS (SELECT 0 AS component, v, lam / {FULL} AS ev FROM l1 UNION ALL SELECT 1, v, lam / {FULL} FROM l2)"""
+
+
+def _inverse_sql() -> str:
+    """CTEs down to xh (row_id, f, v, xh): normal equations, their inverse by Newton steps on lists."""
+    return emb_base() + "," + score_ctes("s", None) + f""",
+zz AS (SELECT row_id, 0 AS k, 1.0e0 AS z FROM pred_s UNION ALL SELECT row_id, cls + 1, p FROM post_s),
+am AS (SELECT a.k AS i, b.k AS j, sum(a.z * b.z) + CASE WHEN a.k = b.k AND a.k > 0 THEN 1 ELSE 0 END AS s FROM zz a JOIN zz b ON a.row_id = b.row_id GROUP BY a.k, b.k),
+aa AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM am GROUP BY i)),
+inv(t, x) AS (SELECT 0, list_transform(m, lambda r: list_transform(r, lambda v: v / (n * n))) FROM (SELECT m, list_max(list_transform(m, lambda r: list_sum(list_transform(r, lambda v: abs(v))))) AS n FROM aa)
+  UNION ALL SELECT t + 1, list_transform(x, lambda r, i: list_transform(y, lambda c, j: 2 * r[j] - list_dot_product(r, c)))
+  FROM (SELECT t, x, list_transform(x, lambda c: list_transform(m, lambda r: list_dot_product(r, c))) AS y FROM inv, aa WHERE t < 40)),
+bm AS (SELECT k, f, sum(z * v) AS s FROM zz JOIN feat USING (row_id) GROUP BY k, f),
+bl AS (SELECT f, list(s ORDER BY k) AS b FROM bm GROUP BY f),
+w AS MATERIALIZED (SELECT f, list_transform(x, lambda r: list_dot_product(r, b)) AS w FROM bl, inv WHERE t = 40),
+zl AS (SELECT row_id, list(z ORDER BY k) AS z FROM zz GROUP BY row_id),
+xh AS MATERIALIZED (SELECT x.row_id, x.f, x.v, list_dot_product(z, w.w) AS xh FROM feat x JOIN zl ON zl.row_id = x.row_id JOIN w ON w.f = x.f)"""
+
+
 def oracles() -> dict[str, str]:
     norm = "list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y))))"
     return {
+        "emb_inverse_errors": f"""WITH RECURSIVE {_inverse_sql()}, pr AS (SELECT row_id, avg((v - xh) * (v - xh)) AS mse FROM xh GROUP BY row_id)
+SELECT f AS feature, count(*) AS n, round(avg((v - xh) * (v - xh)), {R}) AS mse, CAST(NULL AS DOUBLE) AS std FROM xh GROUP BY f
+UNION ALL SELECT -1, count(*), round(avg(mse), {R}), round(stddev_samp(mse), {R}) FROM pr""",
+        "emb_inverse_losses": f"""WITH RECURSIVE {_inverse_sql()},
+sc AS (SELECT f, min(v) AS lo, CASE WHEN max(v) > min(v) THEN max(v) - min(v) ELSE 1 END AS g FROM xh GROUP BY f),
+s AS (SELECT row_id, f, (v - lo) / g AS a, (xh - lo) / g AS b FROM xh JOIN sc USING (f)),
+st AS (SELECT f, avg(a) AS ma, avg(b) AS mb, stddev_samp(a) + 1e-8 AS sa, stddev_samp(b) + 1e-8 AS sb FROM s GROUP BY f),
+r AS (SELECT row_id, avg((a - b) * (a - b)) AS mse, -sum((a - ma) * (b - mb)) / (sqrt(sum((a - ma) * (a - ma))) * sqrt(sum((b - mb) * (b - mb))) + 1e-8) AS corr FROM s JOIN st USING (f) GROUP BY row_id),
+k AS (SELECT avg(ln(sb / sa) + (sa * sa + (ma - mb) * (ma - mb)) / (2 * sb * sb) - 0.5e0) AS kl FROM st),
+t AS (SELECT avg(mse) AS mse, avg(corr) AS corr, any_value(kl) AS kl FROM r, k)
+SELECT round(mse, 4) AS mse, round(corr, 4) AS corr, round(kl, 4) AS kl, round(mse + 0.1e0 * corr + 0.01e0 * kl, 4) AS total FROM t""",
+        "emb_pca_loadings": f"WITH RECURSIVE {_pca_sql()} SELECT CAST(component AS INTEGER) AS component, CAST(t.f - 1 AS INTEGER) AS feature, round(v[t.f], 5) AS loading FROM comp CROSS JOIN range(1, {FULL + 1}) t(f)",
+        "emb_pca": f"""WITH RECURSIVE {_pca_sql()},
+s AS (SELECT row_id, component, list_dot_product(z, v) AS pc, ev FROM z, comp),
+w AS (SELECT row_id, component, ev, 2 * (pc - min(pc) OVER (PARTITION BY component)) / (max(pc) OVER (PARTITION BY component) - min(pc) OVER (PARTITION BY component)) - 1 AS pc FROM s)
+SELECT a.row_id, round(a.pc, 5) AS pc1, round(b.pc, 5) AS pc2, round(a.ev, 5) AS ev1, round(b.ev, 5) AS ev2
+FROM w a JOIN w b ON a.row_id = b.row_id AND a.component = 0 AND b.component = 1""",
         "emb_label_corr": f"WITH {_long(FULL)} SELECT feature, round(corr(v, CAST(y AS DOUBLE)), {R}) AS corr FROM lf GROUP BY feature",
         "emb_feature_corr": f"""WITH {_long(EMB_DIMS)}
 SELECT a.feature AS f1, b.feature AS f2, round(corr(a.v, b.v), {R}) AS corr FROM lf a JOIN lf b ON a.row_id = b.row_id AND a.feature < b.feature GROUP BY a.feature, b.feature""",

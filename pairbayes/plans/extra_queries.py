@@ -68,16 +68,8 @@ def li_cardinality_summary(spark, sf) -> DataFrame:
 def li_row_cardinality(spark, sf) -> DataFrame:
     """Per batch (order key mod 16) the sum over feature pairs of the
     distinct (f1, f2) value combinations."""
-    li = table(spark, sf, "lineitem").withColumn("batch", F.pmod(F.col("l_orderkey"), F.lit(16)))
-    import itertools
-
-    parts = []
-    for a, b in itertools.combinations(LI_NUM, 2):
-        parts.append(li.groupBy("batch").agg(F.countDistinct(a, b).alias("d")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("batch").agg(F.sum("d").alias("cardinality"))
+    li = table(spark, sf, "lineitem").select(F.pmod(F.col("l_orderkey"), F.lit(16)).alias("batch"), F.array(*[F.col(c).cast("double") for c in LI_NUM]).alias("x"))
+    return prep.pair_cardinality(li, "batch", len(LI_NUM))
 
 
 def px_dataset_stats(spark, sf):

@@ -12,7 +12,7 @@ from pairbayes.operators.encode import encode_labels
 from pairbayes.operators.features import feature_frame
 from pairbayes.operators.posterior import score
 from pairbayes.plans.learner_queries import BOOST_BINS, EMB_DIMS, ROUND, _boost_model, _emb_model, _emb_trained
-from pairbayes.plans.oracles import boost_base, emb_base, score_ctes
+from pairbayes.plans.oracles import boost_base, emb_base, hist_base, score_ctes
 from pairbayes.session import table
 from pairbayes.sources import sinks
 from pairbayes.sources.model_store import load_model, save_model, scratch_path
@@ -102,7 +102,60 @@ def emb_stream_counts(spark, sf) -> DataFrame:
     return merged_counts(spark, sink).select("y", "pair_id", "bi", "bj", F.col("n").cast("long").alias("n"))
 
 
+def emb_stream_versions(spark, sf) -> DataFrame:
+    """ST2: running counts of a stream of several files, a version a micro-batch; the last version
+    equals the batch histogram."""
+    from pairbayes.streaming.state import counts_at, running_counts_stream
+
+    model, _ = _emb_model(spark, sf)
+    folder = scratch_path(spark, "stream-files")
+    table(spark, sf, "embeddings").repartition(3, "vec_id").write.parquet(folder)
+    src = stream_source(spark, folder, "*.parquet", _emb_schema(), max_files=1)
+    fx = feature_frame(src, "vec_id", "label", array_col="embedding", n_dims=EMB_DIMS, balance=False)
+    sink = scratch_path(spark, "stream-versions")
+    running_counts_stream(encode_labels(fx, list(model.classes)), model, sink, scratch_path(spark, "stream-ckpt")).awaitTermination()
+    return counts_at(spark, sink)
+
+
+ORDER_FEATURES = ["o_totalprice", "o_orderpriority"]
+ORDER_BINS = 16
+
+
+def _orders_saved(spark, sf, base: str) -> tuple:
+    """Status of orders learnt from those before September 1999; codes of the priorities are stored with the model."""
+    from pairbayes.operators.encode import first_appearance_codes
+    from pairbayes.plans.predict import coded_features, fit_save
+
+    o = table(spark, sf, "orders")
+    early = F.col("o_orderdate") < F.lit("1999-09-01").cast("timestamp_ntz")
+    codes = first_appearance_codes(o.where(early), ["o_orderpriority"], "o_orderkey")
+    fx = coded_features(o, ORDER_FEATURES, codes).select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("label"), "x", F.when(early, "train").otherwise("test").alias("split"))
+    return fit_save(fx, len(ORDER_FEATURES), base, ORDER_BINS, encoders=codes, feature_names=ORDER_FEATURES)
+
+
+def orders_stored_model(spark, sf) -> DataFrame:
+    """S16 + B12 + B13: the model and its category codes saved, read back, and applied to the raw orders."""
+    from pairbayes.plans.predict import predict_stored
+
+    base = scratch_path(spark, "orders-model")
+    _orders_saved(spark, sf, base)
+    p = predict_stored(spark, base, table(spark, sf, "orders"), "o_orderkey")
+    return p.select("row_id", "predicted_class", F.round("prediction_confidence", ROUND).alias("confidence"))
+
+
+def orders_save_if_better(spark, sf) -> DataFrame:
+    """A second, equal fit is not stored again."""
+    base = scratch_path(spark, "orders-model")
+    runs = [_orders_saved(spark, sf, base)[2] for _ in range(2)]
+    rows = [(i, round(r["measure"], ROUND), r["saved"]) for i, r in enumerate(runs)]
+    return spark.createDataFrame(rows, "run int, measure double, saved boolean")
+
+
 QUERIES = {
+    "orders_stored_model": orders_stored_model,
+    "orders_save_if_better": orders_save_if_better,
+    "emb_stream_versions": emb_stream_versions,
     "li_model_roundtrip": li_model_roundtrip,
     "li_prediction_sink": li_prediction_sink,
     "emb_feature_sink": emb_feature_sink,
@@ -114,6 +167,12 @@ QUERIES = {
 def oracles(learner: dict[str, str]) -> dict[str, str]:
     from pairbayes.operators.sampling import split_unit_sql
 
+    early = "o_orderdate < TIMESTAMP '1999-09-01'"
+    orders = (f"codes AS (SELECT o_orderpriority AS value, row_number() OVER (ORDER BY min(o_orderkey), o_orderpriority) - 1 AS code FROM orders WHERE {early} "
+              "AND o_orderpriority IS NOT NULL GROUP BY o_orderpriority), "
+              + hist_base("SELECT o_orderkey AS row_id, o_orderstatus AS label, [o_totalprice, coalesce(CAST(code AS DOUBLE), (SELECT avg(code) FROM codes))] AS e "
+                          "FROM orders LEFT JOIN codes ON value = o_orderpriority", 2, ORDER_BINS, f"row_id IN (SELECT o_orderkey FROM orders WHERE {early})")
+              + "," + score_ctes("s", None, ORDER_BINS))
     feats = ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), {ROUND}) AS feature_{i}" for i in range(64))
     return {
         "li_model_roundtrip": learner["li_boosted_predictions"],
@@ -122,6 +181,10 @@ SELECT CASE WHEN {split_unit_sql('row_id')} < 0.8e0 THEN 'train' ELSE 'test' END
 FROM pred_s GROUP BY 1, 2""",
         "emb_feature_sink": f"""SELECT 'vec_' || CAST(vec_id AS VARCHAR) || '.npy' AS filename, CAST(label AS VARCHAR) AS target, {feats} FROM embeddings""",
         "emb_stream_scores": learner["emb_posterior"],
+        "orders_stored_model": f"WITH {orders} SELECT row_id, c.label AS predicted_class, round(pmax, {ROUND}) AS confidence FROM pred_s p JOIN cls c ON c.y = p.pred",
+        "orders_save_if_better": f"""WITH {orders}, a AS (SELECT avg(acc) AS m FROM (SELECT avg(CASE WHEN pred = ytrue THEN 1.0e0 ELSE 0.0e0 END) AS acc FROM pred_s GROUP BY ytrue))
+SELECT CAST(run AS INTEGER) AS run, round(m, {ROUND}) AS measure, run = 0 AS saved FROM a CROSS JOIN range(0, 2) t(run)""",
+        "emb_stream_versions": "WITH " + emb_base() + " SELECT y, pair_id, bi, bj, n FROM counts",
         "emb_stream_counts": "WITH " + emb_base() + " SELECT y, pair_id, bi, bj, n FROM counts",
     }
 

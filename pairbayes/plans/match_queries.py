@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairbayes.functions.columns import row_minmax
-from pairbayes.operators.match import majority_vote, nearest_point, tolerance_join_cols
+from pairbayes.operators.match import majority_vote, nearest_point, tolerance_join_cols, tolerance_vote
 from pairbayes.operators.metrics import binary_metrics
 from pairbayes.session import table
 from pairbayes.sources.spectra import mean_std_by_position, parse_spectrum, spectrum_text, to_columns
@@ -47,29 +47,26 @@ def spec_mean_std(spark, sf) -> DataFrame:
 
 def spec_tolerance_matches(spark, sf) -> DataFrame:
     """(source, prediction row) pairs within tolerance, same label."""
-    # both sides carry "power"; the join keeps them apart by dropping before join
-    e = _emb(spark, sf)
-    sources = e.select(F.concat(F.lit("src_"), F.col("vec_id").cast("string")).alias("s_name"), "label",
-                       F.transform("e", lambda v: F.round(v, 6)).alias("power"))
-    preds = e.select(F.col("vec_id").alias("row_id"), "label", F.col("e").alias("ppower"),
-                     (F.array_position("e", F.array_max("e")) - 1).cast("int").alias("predicted_class"))
-    m = _tol_impl(sources, preds)
+    m = tolerance_join_cols(*_spectra(spark, sf), "label", "__sv", "__pv")
     return m.select("s_name", "label", "row_id", "predicted_class")
 
 
-def _tol_impl(sources, preds):
-    s = sources.withColumnRenamed("power", "__sv")
-    p = preds.withColumnRenamed("ppower", "__pv")
-    return tolerance_join_cols(s, p, "label", "__sv", "__pv").drop("__sv", "__pv")
+def _spectra(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Sources (rounded spectra) and predictions; each side's vector has a name of its own."""
+    e = _emb(spark, sf)
+    sources = e.select(F.concat(F.lit("src_"), F.col("vec_id").cast("string")).alias("s_name"), "label",
+                       F.transform("e", lambda v: F.round(v, 6)).alias("__sv"))
+    preds = e.select(F.col("vec_id").alias("row_id"), "label", F.col("e").alias("__pv"),
+                     (F.array_position("e", F.array_max("e")) - 1).cast("int").alias("predicted_class"))
+    return sources, preds
 
 
 def spec_vote(spark, sf) -> DataFrame:
     """J3 + A14: majority predicted class per source over its matches."""
-    m = spec_tolerance_matches(spark, sf)
-    v = majority_vote(m, "s_name", "predicted_class", "row_id")
-    lab = m.groupBy("s_name").agg(F.first("label").alias("true_label"))
-    return v.join(lab, "s_name").select("s_name", "true_label", "winner", "total", "winner_votes",
-                                        F.round("winner_share", R).alias("winner_share"))
+    sources, preds = _spectra(spark, sf)
+    v = tolerance_vote(sources, preds, "label", "__sv", "__pv", "s_name", "predicted_class", "row_id")
+    return v.join(sources.select("s_name", F.col("label").alias("true_label")), "s_name").select(
+        "s_name", "true_label", "winner", "total", "winner_votes", F.round("winner_share", R).alias("winner_share"))
 
 
 def spec_vote_metrics(spark, sf) -> DataFrame:

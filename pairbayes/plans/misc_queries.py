@@ -183,15 +183,17 @@ FROM (SELECT c_custkey, 'obj_' || CAST(c_acctbal AS VARCHAR) || '_' || CAST(c_na
 
 def customer_sky_list(spark, sf) -> DataFrame:
     """Coordinate columns found by name (last containing RA / DEC),
-    rows with null coordinates dropped, object name from ``rec``."""
-    from pairbayes.sources.sinks import coordinate_columns
-
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("rec"), F.col("c_acctbal").alias("_RAJ2000"),
-                                            F.col("c_nationkey").cast("double").alias("DEC_deg"))
+    rows with null coordinates dropped; object name from ``rec``, else from
+    ``SDSS_Obj``, else from the place in the list."""
+    from pairbayes.sources.sinks import coordinate_columns, object_names
+
+    third = F.col("c_nationkey") % 3
+    c = table(spark, sf, "customer").select(
+        F.when(third == 0, F.col("c_custkey")).alias("rec"), F.when(third == 1, F.col("c_name")).alias("SDSS_Obj"), F.col("c_custkey").alias("place"),
+        F.col("c_acctbal").alias("_RAJ2000"), F.col("c_nationkey").cast("double").alias("DEC_deg"))
     ra, dec = coordinate_columns(c)
-    out = c.where(F.col(ra).isNotNull() & F.col(dec).isNotNull()).select(
-        F.concat(F.lit("obj_"), F.col("rec").cast("string")).alias("name"), F.col(ra).alias("ra"), F.col(dec).alias("dec"), "rec")
-    return out.drop("rec")
+    return c.where(F.col(ra).isNotNull() & F.col(dec).isNotNull()).select(
+        object_names(c, "sky", place=F.col("place")).alias("name"), F.col(ra).alias("ra"), F.col(dec).alias("dec"))
 
 
 QUERIES["customer_sky_list"] = customer_sky_list
@@ -201,6 +203,7 @@ _misc_oracles_base = oracles
 
 def oracles() -> dict[str, str]:  # noqa: F811
     o = _misc_oracles_base()
-    o["customer_sky_list"] = """SELECT 'obj_' || CAST(c_custkey AS VARCHAR) AS name, c_acctbal AS ra, CAST(c_nationkey AS DOUBLE) AS dec
+    o["customer_sky_list"] = """SELECT CASE c_nationkey % 3 WHEN 0 THEN 'sky_' || CAST(c_custkey AS VARCHAR) WHEN 1 THEN 'sky_' || c_name
+  ELSE 'sky_obj_' || CASE WHEN c_custkey < 1000 THEN lpad(CAST(c_custkey AS VARCHAR), 4, '0') ELSE CAST(c_custkey AS VARCHAR) END END AS name, c_acctbal AS ra, CAST(c_nationkey AS DOUBLE) AS dec
 FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL"""
     return o

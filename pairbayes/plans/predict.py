@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairbayes.operators.binning import class_profile, edges_from_minmax
-from pairbayes.operators.encode import encode_labels
+from pairbayes.operators.encode import apply_codes, encode_labels
 from pairbayes.operators.likelihood import HistogramModel, fit_histogram
 from pairbayes.operators.posterior import score
 from pairbayes.plans.train import TrainLog, train
+from pairbayes.sources.model_store import load_model, save_model, stored_measure
 
 
 def fit_predict(fx: DataFrame, n_features: int, n_bins: int = 128, epochs: int = 0, split_col: str = "split",
@@ -30,6 +31,44 @@ def fit_predict(fx: DataFrame, n_features: int, n_bins: int = 128, epochs: int =
     return model, scored
 
 
+def fit_save(fx: DataFrame, n_features: int, base: str, n_bins: int = 128, epochs: int = 0, split_col: str = "split",
+             by_class: bool = True, encoders: DataFrame | None = None, feature_names: list[str] | None = None,
+             options: dict | None = None) -> tuple[HistogramModel, DataFrame, dict]:
+    """B12 with save-if-better: fit, score every row, and store the model (with its category codes and
+    column names) only if its measure beats the stored one's.
+
+    The measure is the mean accuracy of the classes over all labelled rows, or the overall accuracy
+    (``by_class=False``).  Returns (model, scored, {measure, before, saved})."""
+    spark = fx.sparkSession
+    model, scored = fit_predict(fx, n_features, n_bins, epochs, split_col)
+    ok = F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)
+    per = scored.where(F.col("y").isNotNull()).groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(ok).alias("c"))
+    measure = F.avg(F.col("c") / F.col("n")) if by_class else F.sum("c") / F.sum("n")
+    got = per.agg(measure.alias("m")).first()["m"] or 0.0
+    before = stored_measure(spark, base)
+    saved = before is None or got > before
+    if saved:
+        save_model(model, base, feature_names=feature_names, encoders=encoders, options=(options or {}) | {"measure": float(got)})
+    return model, scored, {"measure": float(got), "before": before, "saved": saved}
+
+
+def coded_features(df: DataFrame, names: list[str], encoders: DataFrame | None, integer_columns: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``x``: its columns ``names`` as doubles, category columns by their stored codes (an unseen
+    value takes the column's mean code)."""
+    coded = [] if encoders is None else sorted(r["column_name"] for r in encoders.select("column_name").distinct().collect())
+    raw = df.withColumns({f"__raw_{c}": F.col(c) for c in coded})
+    out = apply_codes(raw, encoders, coded, integer_columns) if coded else raw
+    out = out.withColumn("x", F.array(*[F.col(c).cast("double") for c in names]))
+    return out.withColumns({c: F.col(f"__raw_{c}") for c in coded}).drop(*[f"__raw_{c}" for c in coded])
+
+
+def predict_stored(spark: SparkSession, base: str, df: DataFrame, row_id: str) -> DataFrame:
+    """S16 + B13: predictions of the stored model for raw rows, coded by the encoders stored with it."""
+    model, manifest, encoders = load_model(spark, base)
+    fx = coded_features(df, manifest["feature_names"], encoders).select(F.col(row_id).alias("row_id"), "x")
+    return predict_new(model, fx)
+
+
 def predict_new(model: HistogramModel, fx: DataFrame, keep=("row_id",)) -> DataFrame:
     """Score rows with a frozen model and decode the class label;
     ``prob_<class>`` columns for each class (C is small)."""

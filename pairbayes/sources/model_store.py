@@ -11,6 +11,7 @@ import json
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,16 @@ def save_model(model: HistogramModel, base: str, feature_names=None, encoders: D
     return path
 
 
+def stored_measure(spark: SparkSession, base: str) -> float | None:
+    """The ``measure`` that the latest version was saved with; None where nothing is stored yet."""
+    try:
+        return load_model(spark, base)[1]["options"].get("measure")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def load_model(spark: SparkSession, base: str) -> tuple[HistogramModel, dict, DataFrame | None]:
     """Read the latest version; every component named in the manifest must
     exist (a missing one raises), and the format version must be >= 2."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed separators tried by the sniffing rule, in order.
@@ -99,5 +99,21 @@ def attach_split(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
 
 
 def append_epoch_snapshot(split: DataFrame, path: str, epoch: int) -> None:
-    """Append (epoch, row_id, split), partitioned by epoch."""
-    split.select(F.lit(epoch).alias("epoch"), "row_id", "split").write.mode("append").partitionBy("epoch").parquet(path)
+    """The split of one epoch, partitioned by epoch; an epoch that runs again replaces its own rows."""
+    rows = split.select(F.lit(epoch).alias("epoch"), "row_id", "split")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path)
+
+
+def object_names(df: DataFrame, base: str, number: str = "rec", name: str = "SDSS_Obj", place: Column | None = None) -> Column:
+    """File name of a listed object: base and record number, else base and object name, else base
+    and its place in the list (four digits).  Either column may be missing."""
+    choices = []
+    if number in df.columns:
+        known = F.col(number).isNotNull() & ~F.isnan(F.col(number).cast("double"))
+        choices.append(F.when(known, F.concat(F.lit(f"{base}_"), F.col(number).cast("long").cast("string"))))
+    if name in df.columns:
+        choices.append(F.when(F.col(name).isNotNull(), F.concat(F.lit(f"{base}_"), F.col(name).cast("string"))))
+    if place is not None:
+        digits = place.cast("string")
+        choices.append(F.concat(F.lit(f"{base}_obj_"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)))
+    return F.coalesce(*choices)
