@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -39,16 +40,58 @@ class BinSpec:
         return len(self.lo)
 
 
+def pair_order(n_features: int, max_combinations: int | None = None, seed: int = 42) -> tuple[int, int, int]:
+    """(how many, step, start) of the pair numbers (step * t + start) mod P, t = 0, 1, ..: all P pairs, or
+    a seeded sample of ``max_combinations`` of them without a list.
+
+    The step has no factor in common with P, so no number comes twice; it is below 2^31, so products
+    stay in 64 bits."""
+    total = n_features * (n_features - 1) // 2
+    if max_combinations is None or total <= max_combinations:
+        return total, 1, 0
+    step = (int(total * 0.6180339887498949) + 2 * seed) % min(total, 2**31 - 1) or 1
+    while math.gcd(step, total) != 1:
+        step += 1
+    return max_combinations, step, (seed * 40503) % total
+
+
 def feature_pairs(n_features: int, max_combinations: int | None = None, seed: int = 42) -> list[tuple[int, int]]:
     """B1: all sorted 2-combinations; above ``max_combinations`` a seeded,
     deterministic sample (kept in sorted order)."""
-    pairs = list(itertools.combinations(range(n_features), 2))
-    if max_combinations is not None and len(pairs) > max_combinations:
-        import random
-
-        rnd = random.Random(seed)
-        pairs = sorted(rnd.sample(pairs, max_combinations))
-    return pairs
+    n, step, start = pair_order(n_features, max_combinations, seed)
+    if step == 1 and start == 0:
+        return list(itertools.combinations(range(n_features), 2))
+    total = n_features * (n_features - 1) // 2
+    return [pair_of(k, n_features) for k in sorted((step * t + start) % total for t in range(n))]
+
+
+def pair_of(number: int, n_features: int) -> tuple[int, int]:
+    """(i, j) of a pair number, by the closed-form inverse of its place in sorted order."""
+    wide = 2 * n_features - 1
+    i = (wide - math.isqrt(wide * wide - 8 * number)) // 2
+    first = lambda i: i * n_features - i * (i + 1) // 2
+    i -= first(i) > number
+    i += first(i + 1) <= number
+    return i, number - first(i) + i + 1
+
+
+def given_pairs(pairs: Sequence[Sequence[int]]) -> list[tuple[int, int]]:
+    """Given feature tuples, each sorted, every one once, in order."""
+    return sorted({tuple(sorted(p)) for p in pairs})
+
+
+def pairs_table(spark, n_features: int, max_combinations: int | None = None, seed: int = 42) -> DataFrame:
+    """B1 / W12 as a table (pair_id, f1, f2) made by Spark from pair numbers; ``pair_id`` is the number among all pairs."""
+    n, step, start = pair_order(n_features, max_combinations, seed)
+    total = n_features * (n_features - 1) // 2
+    wide = 2 * n_features - 1
+    k = F.col("k")
+    first = lambda i: i * n_features - F.floor(i * (i + 1) / 2)
+    rows = spark.range(n).select(F.pmod(F.col("id") * step + start, F.lit(total)).alias("k"))
+    rows = rows.withColumn("i", F.floor((wide - F.sqrt(F.lit(float(wide) ** 2) - 8 * k)) / 2))
+    rows = rows.withColumn("i", F.col("i") - (first(F.col("i")) > k).cast("int"))
+    rows = rows.withColumn("i", F.col("i") + (first(F.col("i") + 1) <= k).cast("int"))
+    return rows.select(k.cast("int").alias("pair_id"), F.col("i").cast("int").alias("f1"), (k - first(F.col("i")) + F.col("i") + 1).cast("int").alias("f2"))
 
 
 def edges_from_minmax(mins: Sequence[float], maxs: Sequence[float], n_bins: int) -> BinSpec:

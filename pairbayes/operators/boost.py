@@ -76,27 +76,27 @@ def clamp_gaussian_update(w: DataFrame, ratio_col: str = "ratio") -> DataFrame:
 def smooth_weights(model: HistogramModel, keep: float = 0.7) -> DataFrame:
     """B17 (re-aimed): w' = keep*w + (1-keep)*avg(w of the same cell in pairs
     that share a feature).  Replaces the reference's untrained graph layer by
-    a neighbour average; the adjacency is the pair self-join (J12)."""
-    from pairbayes.operators.binning import feature_pairs, pairs_frame
+    a neighbour average.
+
+    A pair's neighbours are those of its two features without itself, so sums
+    per feature and cell are enough: two rows a weight, whatever the number of
+    neighbours.  Neighbours without an entry hold w0."""
+    from pairbayes.operators.binning import pairs_frame, pairs_table
 
     if model.weights is None:
         return None
     spark = model.weights.sparkSession
-    pl = list(model.pairs) if model.pairs is not None else feature_pairs(model.n_features)
-    adj = pair_adjacency(pairs_frame(spark, pl))
-    nb = adj.select(F.col("a").alias("pair_id"), F.col("b").alias("nb")).unionByName(
-        adj.select(F.col("b").alias("pair_id"), F.col("a").alias("nb"))
-    )
-    w = model.weights
-    wn = w.select("y", F.col("pair_id").alias("nb"), "bi", "bj", F.col("w").alias("wn"))
-    # neighbours missing a weight entry hold w0
-    deg = nb.groupBy("pair_id").agg(F.count(F.lit(1)).alias("deg"))
-    s = w.join(nb, "pair_id").join(wn, ["y", "nb", "bi", "bj"], "left").groupBy("y", *CELL_KEYS).agg(
-        F.sum(F.coalesce("wn", F.lit(model.w0))).alias("s")
-    )
-    out = w.join(s, ["y", *CELL_KEYS], "left").join(F.broadcast(deg), "pair_id", "left")
-    avg = F.when(F.col("deg") > 0, F.col("s") / F.col("deg")).otherwise(F.col("w"))
-    return out.select("y", *CELL_KEYS, (F.lit(keep) * F.col("w") + F.lit(1 - keep) * avg).alias("w"))
+    pairs = pairs_table(spark, model.n_features) if model.pairs is None else pairs_frame(spark, list(model.pairs))
+    sides = pairs.select("pair_id", F.array_distinct(F.array("f1", "f2")).alias("fs"))
+    long = sides.select("pair_id", F.explode("fs").alias("f"))
+    deg = long.join(long.groupBy("f").agg(F.count(F.lit(1)).alias("n")), "f").groupBy("pair_id").agg(F.sum(F.col("n") - 1).alias("deg"))
+    own = F.col("w") - F.lit(model.w0)
+    each = model.weights.join(sides, "pair_id").select("y", *CELL_KEYS, "w", F.explode("fs").alias("f"))
+    sums = each.groupBy("y", "f", "bi", "bj").agg(F.sum(own).alias("s"))
+    near = each.join(sums, ["y", "f", "bi", "bj"]).groupBy("y", *CELL_KEYS, "w").agg(F.sum(F.col("s") - own).alias("s"))
+    near = near.join(deg, "pair_id")
+    avg = F.when(F.col("deg") > 0, F.col("s") / F.col("deg") + F.lit(model.w0)).otherwise(F.col("w"))
+    return near.select("y", *CELL_KEYS, (F.lit(keep) * F.col("w") + F.lit(1 - keep) * avg).alias("w"))
 
 
 def pair_adjacency(pairs: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ size is bounded by C*F, never the rows."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairbayes.functions.columns import cosine, l2_normalize
+from pairbayes.functions.columns import cosine, dot, l2_normalize
 from pairbayes.operators.gram import component_scores, correlations, principal_components, wanted_pairs
 
 
@@ -137,9 +139,10 @@ def contrastive_scores(fx_y: DataFrame, batch_rows: int = 128, temperature: floa
     return g.where(F.col("pos").isNotNull()).withColumn("score", -F.ln(F.col("pos") / F.col("all")))
 
 
-def kmeans_clusters(fx: DataFrame, k: int, seed: int = 42, normalize: bool = True):
+def kmeans_clusters(fx: DataFrame, k: int, seed: int = 42, normalize: bool = True, n_init: int = 10):
     """Pyspark.ml KMeans (k-means||, seeded) on (optionally L2-normalised)
-    vectors; returns the model and ``(row_id, cluster)``."""
+    vectors, the best of ``n_init`` starts by the sum of squared distances;
+    returns the model and ``(row_id, cluster)``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -149,15 +152,14 @@ def kmeans_clusters(fx: DataFrame, k: int, seed: int = 42, normalize: bool = Tru
                   array_to_vector(l2_normalize(F.col("x")) if normalize else F.col("x")).alias("features"))
     # iterative: cache the vectors once, not re-derived per iteration
     v = v.persist(StorageLevel.MEMORY_AND_DISK)
-    model = KMeans(k=k, seed=seed, maxIter=20, initSteps=2).fit(v)
+    fits = [KMeans(k=k, seed=seed + i, maxIter=20, initSteps=2).fit(v) for i in range(n_init)]
+    model = min(fits, key=lambda m: m.summary.trainingCost)  # the first of equal ones
     return model, model.transform(v).withColumnRenamed("prediction", "cluster").drop("features")
 
 
 def soft_assignment(fx: DataFrame, centres: list[list[float]], tau: float = 1.0) -> DataFrame:
     """B22 soft part: q = softmax(cos(x, centre)/tau) with L2-normalised
     centres (plan literal, k x F); p = q^2 / sum_rows(q), row-normalised."""
-    import math
-
     cn = []
     for c in centres:
         nrm = math.sqrt(sum(v * v for v in c)) or 1.0
@@ -181,6 +183,34 @@ def soft_assignment(fx: DataFrame, centres: list[list[float]], tau: float = 1.0)
     return q.withColumn("p", F.transform(p, lambda v: v / tot))
 
 
+# Fixed values of the soft assignment: freedom of the t law, and what keeps its quotients defined.
+T_FREEDOM, SOFT_EPS = 1.0, 1e-8
+
+
+def student_assignment(fx: DataFrame, centres: list[list[float]], alpha: float = T_FREEDOM) -> tuple[DataFrame, DataFrame]:
+    """(rows, loss) of Student-t assignments to L2-normalised centres.
+
+    rows: (row_id, q array, p array, cluster, confidence) with q ~ (1 + d^2/alpha)^(-(alpha+1)/2) by the chord
+    d between unit vectors, and the target p ~ q^2 / (sum of q over all rows).  loss: one row ``kl``, the mean
+    of sum p ln(p / (q + 1e-8)).  A zero vector has cosine 0 with every centre."""
+    from pairbayes.functions.columns import argmax_first, array_sum
+
+    lengths = [math.sqrt(sum(v * v for v in c)) or 1.0 for c in centres]
+    told = F.lit([[v / n for v in c] for c, n in zip(centres, lengths)])
+    k = range(len(centres))
+    d = fx.select("row_id", l2_normalize(F.col("x")).alias("xn"))
+    d = d.select("row_id", F.transform(told, lambda c: 2 * (1 - dot(F.col("xn"), c)) + SOFT_EPS).alias("d2"))
+    d = d.select("row_id", F.transform("d2", lambda v: F.pow(1 + v / alpha, F.lit(-(alpha + 1) / 2))).alias("t"))
+    q = d.select("row_id", "t", array_sum(F.col("t")).alias("s")).select("row_id", F.transform("t", lambda v: v / (F.col("s") + SOFT_EPS)).alias("q"))
+    total = q.agg(*[F.sum(F.col("q")[i]).alias(f"f{i}") for i in k]).first()
+    f = F.lit([float(total[f"f{i}"] or 0.0) + SOFT_EPS for i in k])
+    p = q.select("row_id", "q", F.transform("q", lambda v, i: v * v / f[i]).alias("u"))
+    p = p.select("row_id", "q", "u", array_sum(F.col("u")).alias("s")).select("row_id", "q", F.transform("u", lambda v: v / (F.col("s") + SOFT_EPS)).alias("p"))
+    rows = p.select("row_id", "q", "p", argmax_first(F.col("q")).alias("cluster"), F.array_max("q").alias("confidence"))
+    term = F.zip_with("p", "q", lambda a, b: F.when(a > 0, a * (F.log(a) - F.log(b + SOFT_EPS))).otherwise(F.lit(0.0)))
+    return rows, rows.agg(F.avg(F.aggregate(term, F.lit(0.0), lambda s, v: s + v)).alias("kl"))
+
+
 def pca_scores(fx: DataFrame, k: int = 2, n_features: int | None = None) -> DataFrame:
     """(row_id, pc1.., ev1..): scores on the principal components of the standardised features,
     each scaled to [-1, 1], and the components' shares of the variance."""

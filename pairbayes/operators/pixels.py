@@ -2,8 +2,8 @@
 
 Input: ``pixels(image_id, y, x, v[, bands...])`` -- one row per pixel.  All
 images are processed in one job: group-bys on ``image_id``, windows
-partitioned by image (bounded by the image size), equi-joins on mirrored or
-shifted coordinates for stencils.  Absent pixels of ragged images count as
+partitioned by image (bounded by the image size), tiles with a halo for
+stencils (``operators/tiles.py``).  Absent pixels of ragged images count as
 zero flux where a rectangle is needed (asymmetry)."""
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairbayes.operators import tiles
+from pairbayes.operators.quantiles import exact_quantiles
+from pairbayes.session import cut_lineage
+
 # Fixed values of the image formulas.
 STD_FLOOR = 1e-8
 FWHM_PER_SIGMA = 2.355
@@ -160,47 +164,22 @@ def focus_stats(pix: DataFrame, v: str = "v") -> DataFrame:
                     (F.abs(F.col("mdx") - F.col("mdy")) / (F.col("mdx") + F.col("mdy") + F.lit(STD_FLOOR))).alias("motion"))
 
 
-def around(pix: DataFrame, v: str = "v", mirror: bool = False) -> DataFrame:
-    """The 3x3 neighbourhood of every pixel as ``up``, ``mid`` and ``down``, structs
-    of ``w``, ``c`` and ``e``: two windows (along a row, then along a column), no
-    join.  Beyond the border the border pixel is repeated (a a b c), or with
-    ``mirror`` the pixel on the other side is taken (b a b c)."""
-    def beside(value, along, w):
-        before = F.when(F.lag(along).over(w) == F.col(along) - 1, F.lag(value).over(w))
-        after = F.when(F.lead(along).over(w) == F.col(along) + 1, F.lead(value).over(w))
-        here = F.col(value)
-        return (F.coalesce(before, after, here), here, F.coalesce(after, before, here)) if mirror else (
-            F.coalesce(before, here), here, F.coalesce(after, here))
-
-    w, c, e = beside(v, "x", Window.partitionBy("image_id", "y").orderBy("x"))
-    rows = pix.select("image_id", "y", "x", F.struct(w.alias("w"), c.alias("c"), e.alias("e")).alias("row"))
-    up, mid, down = beside("row", "y", Window.partitionBy("image_id", "x").orderBy("y"))
-    return rows.select("image_id", "y", "x", up.alias("up"), mid.alias("mid"), down.alias("down"))
-
-
-def laplacian_stats(pix: DataFrame, v: str = "v") -> DataFrame:
+def laplacian_stats(pix: DataFrame, v: str = "v", side: int | None = None) -> DataFrame:
     """4-neighbour Laplacian of the 8-bit gray values (v * 255, truncated,
     modulo 256), mirrored at the border; variance, focus score min(1, var/500),
     blur flag."""
     gray = pix.withColumn("__g", F.pmod((F.col(v) * F.lit(255.0)).cast("long"), F.lit(256)).cast("double"))
-    a = around(gray, "__g", mirror=True)
-    lap = F.col("up.c") + F.col("down.c") + F.col("mid.w") + F.col("mid.e") - F.lit(4.0) * F.col("mid.c")
-    g = a.groupBy("image_id").agg(F.var_pop(lap).alias("laplacian_variance"), F.count(F.lit(1)).alias("n_pixels"))
+    t = tiles.laplacian_sums(gray, "__g", side)
+    mean = F.try_divide(F.col("s"), F.col("n"))
+    g = t.select("image_id", F.greatest(F.try_divide(F.col("ss"), F.col("n")) - mean * mean, F.lit(0.0)).alias("laplacian_variance"), F.col("rows").alias("n_pixels"))
     fs = F.least(F.lit(1.0), F.col("laplacian_variance") / F.lit(500.0))
     return g.withColumn("focus_score", fs).withColumn("is_out_of_focus", F.when(fs < 0.3, 1.0).otherwise(0.0))
 
 
-def box_mean(pix: DataFrame, k: int, v: str = "v") -> DataFrame:
-    """I16: local (2k+1)x(2k+1) box mean as two separable running means
-    (over x within a row, then over y within a column); pixels whose full
-    box lies inside the image only."""
-    wx = Window.partitionBy("image_id", "y").orderBy("x").rangeBetween(-k, k)
-    r = pix.select("image_id", "y", "x", F.avg(v).over(wx).alias("rx"), F.count(v).over(wx).alias("cx"))
-    wy = Window.partitionBy("image_id", "x").orderBy("y").rangeBetween(-k, k)
-    c = r.select("image_id", "y", "x", F.avg("rx").over(wy).alias("box_mean"), F.min("cx").over(wy).alias("mcx"),
-                 F.count("rx").over(wy).alias("cy"))
-    full = (F.col("mcx") == 2 * k + 1) & (F.col("cy") == 2 * k + 1)
-    return c.where(full).select("image_id", "y", "x", "box_mean")
+def box_mean(pix: DataFrame, k: int, v: str = "v", side: int | None = None) -> DataFrame:
+    """I16: local (2k+1)x(2k+1) box mean; pixels whose full box lies inside the
+    image only."""
+    return tiles.box_means(pix, v, k, side)
 
 
 def dataset_stats(pix: DataFrame, bands) -> DataFrame:
@@ -335,53 +314,33 @@ def seeing(pix: DataFrame, v: str = "v", size: int = 15, pixel_scale: float = 1.
     return k.select("image_id", F.when((F.col("n") < 9) | (F.col("t") < STD_FLOOR), F.lit(0.0)).otherwise(fwhm).alias("seeing_fwhm"))
 
 
-def _sobel(pix: DataFrame, v: str) -> DataFrame:
-    """Sobel gradients along y and x of every pixel, the border pixel repeated beyond the border."""
-    row = lambda r: F.col(f"{r}.w") + 2 * F.col(f"{r}.c") + F.col(f"{r}.e")
-    col = lambda c: F.col(f"up.{c}") + 2 * F.col(f"mid.{c}") + F.col(f"down.{c}")
-    return around(pix, v).select("image_id", "y", "x", (row("down") - row("up")).alias("gy"), (col("e") - col("w")).alias("gx"))
-
-
-def sobel_sharpness(pix: DataFrame, v: str = "v") -> DataFrame:
+def sobel_sharpness(pix: DataFrame, v: str = "v", side: int | None = None) -> DataFrame:
     """I8: mean Sobel gradient magnitude over all pixels."""
-    return _sobel(pix, v).groupBy("image_id").agg(
-        F.avg(F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).alias("sharpness"), F.count(F.lit(1)).alias("n_pixels"))
+    return tiles.sobel_sums(pix, v, side).select("image_id", F.try_divide(F.col("s"), F.col("n")).alias("sharpness"), F.col("rows").alias("n_pixels"))
 
 
-def cosmic_rays(pix: DataFrame, v: str = "v", k: float = 5.0) -> DataFrame:
+def cosmic_rays(pix: DataFrame, v: str = "v", k: float = 5.0, side: int | None = None) -> DataFrame:
     """3x3 median (the border pixel repeated beyond the border), diff = v -
     median, robust std = 1.4826 * MAD(diff); pixels with |diff| > 5 robust std are
     replaced by the median.  Returns per image the count replaced and the cleaned
-    mean."""
-    nine = F.array(*[F.col(f"{r}.{c}") for r in ("up", "mid", "down") for c in ("w", "c", "e")])
-    d = around(pix, v).select("image_id", F.col("mid.c").alias("val"), F.element_at(F.array_sort(nine), 5).alias("med"))
-    d = d.withColumn("diff", F.col("val") - F.col("med"))
-    d = d.join(d.groupBy("image_id").agg(F.percentile(F.col("diff"), 0.5).alias("md")), "image_id")
-    mad = d.groupBy("image_id").agg(F.percentile(F.abs(F.col("diff") - F.col("md")), 0.5).alias("mad"))
-    hit = F.abs(F.col("diff")) > F.lit(k * 1.4826) * F.col("mad")
-    return d.join(mad, "image_id").groupBy("image_id").agg(F.sum(F.when(hit, 1).otherwise(0)).alias("n_replaced"),
-                                                           F.avg(F.when(hit, F.col("med")).otherwise(F.col("val"))).alias("clean_mean"))
-
-
-def glcm(pix: DataFrame, v: str = "v", distance: int = 1, levels: int = 256) -> DataFrame:
+    mean.  The two medians of an image are found by counting, not in one state."""
+    d = cut_lineage(tiles.medians(pix, v, side).withColumn("diff", F.col("val") - F.col("med")))
+    middle = lambda rows, c: exact_quantiles(rows, ["image_id"], c, [0.5]).select("image_id", F.col("q").alias(f"m_{c}"))
+    d = d.join(middle(d, "diff"), "image_id", "left").withColumn("off", F.abs(F.col("diff") - F.col("m_diff")))
+    d = d.join(middle(d, "off"), "image_id", "left")
+    hit = F.abs(F.col("diff")) > F.lit(k * 1.4826) * F.col("m_off")
+    return d.groupBy("image_id").agg(F.sum(F.when(hit, 1).otherwise(0)).alias("n_replaced"),
+                                     F.avg(F.when(hit, F.col("med")).otherwise(F.col("val"))).alias("clean_mean"))
+
+
+def glcm(pix: DataFrame, v: str = "v", distance: int = 1, levels: int = 256, side: int | None = None) -> DataFrame:
     """Grey-level co-occurrence (gray = floor(v*255)), symmetric, at
     0/45/90/135 degrees and one distance; contrast, dissimilarity,
     homogeneity, energy and correlation per angle, averaged over angles.
-    Pairs come from equi-joins on shifted coordinates; the matrix is kept
-    sparse as (image, angle, i, j, count)."""
+    Pairs are counted tile by tile; the matrix is kept sparse as
+    (image, angle, i, j, count)."""
     g = pix.select("image_id", "y", "x", F.floor(F.col(v) * F.lit(float(levels - 1))).cast("int").alias("q"))
-    d = distance
-    offsets = {0: (0, d), 45: (-d, d), 90: (-d, 0), 135: (-d, -d)}
-    parts = []
-    for ang, (dy, dx) in offsets.items():
-        nb = g.select("image_id", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("q").alias("q2"))
-        pr = g.join(nb, ["image_id", "y", "x"]).select("image_id", F.lit(ang).alias("angle"), F.col("q").alias("i"), F.col("q2").alias("j"))
-        parts.append(pr)
-        parts.append(pr.select("image_id", "angle", F.col("j").alias("i"), F.col("i").alias("j")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    c = u.groupBy("image_id", "angle", "i", "j").agg(F.count(F.lit(1)).alias("c"))
+    c = tiles.cooccurrence(g, "q", levels, distance, side)
     w = Window.partitionBy("image_id", "angle")
     c = c.withColumn("p", F.col("c") / F.sum("c").over(w))
     c = c.withColumn("mi", F.sum(F.col("i") * F.col("p")).over(w)).withColumn("mj", F.sum(F.col("j") * F.col("p")).over(w))
@@ -415,6 +374,35 @@ def land_cover(pix: DataFrame, nir: str, red: str, green: str, swir: str) -> Dat
     return g.withColumn("land_cover_diversity", F.lit(1.0) - (sq("vegetation_cover") + sq("water_cover") + sq("urban_cover") + sq("barren_cover")))
 
 
+# Fixed limits and shares of the derived covers: dense vegetation, open water, farmed part
+# of the vegetation, softening of the fragmentation.
+DENSE_NDVI, SPARSE_NDVI, OPEN_NDWI, FARMED, FRAGMENT_SOFTENING = 0.6, 0.3, 0.3, 0.8, 0.1
+
+
+def derived_covers(pix: DataFrame, nir: str, red: str, green: str, swir: str) -> DataFrame:
+    """Forest, water-body and agriculture shares of every image, from the indices of I10."""
+    e = F.lit(1e-8)
+    ndvi = (F.col(nir) - F.col(red)) / (F.col(nir) + F.col(red) + e)
+    ndwi = (F.col(green) - F.col(nir)) / (F.col(green) + F.col(nir) + e)
+    mndwi = (F.col(green) - F.col(swir)) / (F.col(green) + F.col(swir) + e)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    g = pix.groupBy("image_id").agg(
+        share(ndvi > DENSE_NDVI).alias("forest_cover_fraction"), F.avg(ndvi).alias("forest_health_index"),
+        share(ndwi > OPEN_NDWI).alias("water_body_fraction"), F.avg(mndwi).alias("water_quality_index"),
+        (share(ndvi > SPARSE_NDVI) * FARMED).alias("agriculture_fraction"))
+    forest = F.col("forest_cover_fraction")
+    return g.withColumn("forest_fragmentation", 1 - forest / (forest + FRAGMENT_SOFTENING)).withColumn("crop_health", F.col("forest_health_index"))
+
+
+def size_profile(pix: DataFrame, bands) -> DataFrame:
+    """(width, height, channels, images): how many images have which size and number of bands
+    that hold a value."""
+    per = pix.groupBy("image_id").agg(
+        (F.max("x") - F.min("x") + 1).cast("int").alias("width"), (F.max("y") - F.min("y") + 1).cast("int").alias("height"),
+        sum((F.when(F.count(b) > 0, 1).otherwise(0) for b in bands), F.lit(0)).cast("int").alias("channels"))
+    return per.groupBy("width", "height", "channels").agg(F.count(F.lit(1)).alias("images"))
+
+
 def roughness(pix: DataFrame, v: str = "v", k: int = 10) -> DataFrame:
     """I24 (re-aimed): high-pass = v - local mean over the (2k+1)^2 window
     (separable running means over the pixels present; the reference uses a

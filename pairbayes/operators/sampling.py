@@ -64,7 +64,7 @@ def global_index(df: DataFrame, order: list[str], name: str = "index", partition
     from pairbayes.session import cut_lineage
 
     spark = df.sparkSession
-    n = partitions or max(1, spark.sparkContext.defaultParallelism)
+    n = partitions or max(1, spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())  # follows the input's bytes
     s = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     s = s.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
     s = cut_lineage(s)
@@ -90,7 +90,7 @@ def rank_within_group(df: DataFrame, group: str, order: list, name: str = "rank"
     from pairbayes.session import cut_lineage
 
     spark = df.sparkSession
-    n = partitions or max(1, spark.sparkContext.defaultParallelism)
+    n = partitions or max(1, spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())  # follows the input's bytes
     keys = [F.col(group)] + [F.col(o) if isinstance(o, str) else o for o in order]
     s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     s = s.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairbayes.operators import embed
+from pairbayes.operators.binning import pair_order
 from pairbayes.operators.metrics import nmi
 from pairbayes.plans.learner_queries import EMB_DIMS, _emb, _emb_model
 from pairbayes.operators.posterior import score
@@ -14,6 +15,7 @@ from pairbayes.session import cut_lineage
 
 R = 6
 FULL = 64
+SAMPLED = 300
 
 
 def emb_label_corr(spark, sf) -> DataFrame:
@@ -26,6 +28,15 @@ def emb_feature_corr(spark, sf) -> DataFrame:
     return embed.feature_correlation(fx_y, None, EMB_DIMS).select("f1", "f2", F.round("corr", R).alias("corr"))
 
 
+def emb_sampled_pairs(spark, sf) -> DataFrame:
+    """W12 + A19: correlations of a seeded sample of 300 of the 2,016 feature pairs."""
+    from pairbayes.operators.binning import pairs_table
+
+    fx_y, _ = _emb(spark, sf, FULL)
+    every = embed.feature_correlation(fx_y, None, FULL)
+    return pairs_table(spark, FULL, SAMPLED).join(every, ["f1", "f2"]).select("pair_id", "f1", "f2", F.round("corr", R).alias("corr"))
+
+
 def emb_class_separation(spark, sf) -> DataFrame:
     fx_y, _ = _emb(spark, sf, FULL)
     s = embed.class_separation(fx_y)
@@ -102,6 +113,16 @@ def emb_kmeans(spark, sf) -> DataFrame:
     return cl.join(soft.select("row_id", F.array_max("p").alias("p_max")), "row_id")
 
 
+def emb_soft_clusters(spark, sf) -> DataFrame:
+    """Student-t assignment of every vector to the class means, its target share, and the
+    divergence of all targets."""
+    fx_y, classes = _emb(spark, sf, FULL)
+    means = embed.class_means_matrix(fx_y, len(classes), FULL)
+    rows, loss = embed.student_assignment(fx_y, means)
+    kl = loss.first()["kl"]
+    return rows.select("row_id", "cluster", F.round("confidence", R).alias("confidence"), F.round(F.array_max("p"), R).alias("target"), F.round(F.lit(kl), R).alias("kl"))
+
+
 def emb_pca(spark, sf) -> DataFrame:
     """Scores on 2 principal components scaled to [-1, 1], with their shares of the variance."""
     fx_y, _ = _emb(spark, sf, FULL)
@@ -120,6 +141,7 @@ def emb_pca_loadings(spark, sf) -> DataFrame:
 QUERIES = {
     "emb_label_corr": emb_label_corr,
     "emb_feature_corr": emb_feature_corr,
+    "emb_sampled_pairs": emb_sampled_pairs,
     "emb_class_separation": emb_class_separation,
     "emb_class_cosine": emb_class_cosine,
     "emb_gaussian_kl": emb_gaussian_kl,
@@ -129,6 +151,7 @@ QUERIES = {
     "emb_nmi": emb_nmi,
     "emb_contrastive": emb_contrastive,
     "emb_kmeans": emb_kmeans,
+    "emb_soft_clusters": emb_soft_clusters,
     "emb_pca": emb_pca,
     "emb_pca_loadings": emb_pca_loadings,
 }
@@ -177,8 +200,23 @@ xh AS MATERIALIZED (SELECT x.row_id, x.f, x.v, list_dot_product(z, w.w) AS xh FR
 
 
 def oracles() -> dict[str, str]:
+    _, step, start = pair_order(FULL, SAMPLED)
     norm = "list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y))))"
     return {
+        "emb_soft_clusters": f"""WITH {_long(FULL)},
+m AS (SELECT y AS c, feature, avg(v) AS m FROM lf GROUP BY y, feature),
+mn AS (SELECT c, list(m ORDER BY feature) AS m FROM m GROUP BY c), xn AS (SELECT row_id, list(v ORDER BY feature) AS x FROM lf GROUP BY row_id),
+d AS (SELECT row_id, c, 1 / (1 + 2 * (1 - list_dot_product(x, m) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(m, m)))) + 1e-8) AS t FROM xn, mn),
+q AS (SELECT row_id, c, t / (sum(t) OVER (PARTITION BY row_id) + 1e-8) AS q FROM d),
+u AS (SELECT row_id, c, q, q * q / (sum(q) OVER (PARTITION BY c) + 1e-8) AS u FROM q),
+p AS (SELECT row_id, c, q, u / (sum(u) OVER (PARTITION BY row_id) + 1e-8) AS p FROM u),
+l AS (SELECT sum(p * (ln(p) - ln(q + 1e-8))) / count(DISTINCT row_id) AS kl FROM p)
+SELECT row_id, CAST(arg_max(c, q) AS INTEGER) AS cluster, round(max(q), {R}) AS confidence, round(max(p), {R}) AS target, round(any_value(kl), {R}) AS kl FROM p, l GROUP BY row_id""",
+        "emb_sampled_pairs": f"""WITH {_long(FULL)},
+num AS (SELECT a.i AS f1, b.i AS f2, row_number() OVER (ORDER BY a.i, b.i) - 1 AS pair_id FROM range(0, {FULL}) a(i) JOIN range(0, {FULL}) b(i) ON a.i < b.i),
+pick AS (SELECT DISTINCT (t * {step} + {start}) % {FULL * (FULL - 1) // 2} AS pair_id FROM range(0, {SAMPLED}) r(t))
+SELECT CAST(pair_id AS INTEGER) AS pair_id, CAST(f1 AS INTEGER) AS f1, CAST(f2 AS INTEGER) AS f2, round(corr(a.v, b.v), {R}) AS corr
+FROM pick JOIN num USING (pair_id) JOIN lf a ON a.feature = f1 JOIN lf b ON b.feature = f2 AND b.row_id = a.row_id GROUP BY pair_id, f1, f2""",
         "emb_inverse_errors": f"""WITH RECURSIVE {_inverse_sql()}, pr AS (SELECT row_id, avg((v - xh) * (v - xh)) AS mse FROM xh GROUP BY row_id)
 SELECT f AS feature, count(*) AS n, round(avg((v - xh) * (v - xh)), {R}) AS mse, CAST(NULL AS DOUBLE) AS std FROM xh GROUP BY f
 UNION ALL SELECT -1, count(*), round(avg(mse), {R}), round(stddev_samp(mse), {R}) FROM pr""",

@@ -70,10 +70,9 @@ def emb_bin_assign(spark, sf_dir) -> DataFrame:
 def emb_cell_counts(spark, sf_dir) -> DataFrame:
     """A4/B1: 2-D histogram counts per (class, pair, cell), with the pair's features."""
     model, _ = _emb_model(spark, sf_dir)
-    from pairbayes.operators.binning import feature_pairs, pairs_frame
+    from pairbayes.operators.binning import pairs_table
 
-    pf = pairs_frame(spark, feature_pairs(EMB_DIMS))
-    return model.counts.join(F.broadcast(pf), "pair_id").select(
+    return model.counts.join(pairs_table(spark, EMB_DIMS), "pair_id").select(
         "y", "pair_id", "f1", "f2", "bi", "bj", F.col("n").cast("long").alias("n")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairbayes.functions.columns import entropy
 from pairbayes.operators import metrics
-from pairbayes.operators.binning import feature_pairs, pairs_frame
+from pairbayes.operators.binning import pairs_table
 from pairbayes.operators.boost import pair_adjacency
 from pairbayes.operators.posterior import score
 from pairbayes.operators.sampling import split_unit_sql, train_test_split
@@ -78,7 +78,7 @@ def emb_pair_adjacency(spark, sf) -> DataFrame:
     cells they hold together."""
     model, _ = _boost_model(spark, sf)
     held = model.counts.groupBy("pair_id").agg(F.count(F.lit(1)).alias("cells"))
-    pairs = pairs_frame(spark, feature_pairs(4)).join(held, "pair_id", "left_semi")
+    pairs = pairs_table(spark, 4).join(held, "pair_id", "left_semi")
     a, b = held.toDF("a", "cells_a"), held.toDF("b", "cells_b")
     return pair_adjacency(pairs).join(a, "a").join(b, "b").select("a", "b", (F.col("cells_a") + F.col("cells_b")).alias("cells"))
 

@@ -271,12 +271,23 @@ def px_land_cover(spark, sf):
     return _r(s, ["vegetation_cover", "water_cover", "urban_cover", "barren_cover", "land_cover_diversity"])
 
 
+COVERS = ["forest_cover_fraction", "forest_health_index", "forest_fragmentation", "water_body_fraction", "water_quality_index", "agriculture_fraction", "crop_health"]
+
+
+def px_derived_covers(spark, sf):
+    return _r(pixels.derived_covers(pixel_table(spark, sf), "nir", "red", "green", "blue"), COVERS)
+
+
+def px_size_profile(spark, sf):
+    return pixels.size_profile(pixel_table(spark, sf), ["v", "red", "green", "blue", "nir"])
+
+
 def px_roughness(spark, sf):
     s = pixels.roughness(pixel_table(spark, sf))
     return _r(s, ["rms_roughness", "mean_roughness", "peak_to_valley", "height_skewness", "height_kurtosis"])
 
 
-QUERIES.update({"px_land_cover": px_land_cover, "px_roughness": px_roughness})
+QUERIES.update({"px_land_cover": px_land_cover, "px_derived_covers": px_derived_covers, "px_size_profile": px_size_profile, "px_roughness": px_roughness})
 
 _base_oracles2 = oracles
 
@@ -290,6 +301,15 @@ g AS (SELECT image_id, avg(CASE WHEN (nir - red) / (nir + red + 1e-8) > 0.3 THEN
 h AS (SELECT *, greatest(0.0e0, 1.0e0 - veg - wat - urb) AS bar FROM g)
 SELECT image_id, round(veg, {R}) AS vegetation_cover, round(wat, {R}) AS water_cover, round(urb, {R}) AS urban_cover,
   round(bar, {R}) AS barren_cover, round(1.0e0 - (veg * veg + wat * wat + urb * urb + bar * bar), {R}) AS land_cover_diversity FROM h"""
+    o["px_derived_covers"] = f"""WITH {PIX},
+g AS (SELECT image_id, avg(CASE WHEN (nir - red) / (nir + red + 1e-8) > 0.6 THEN 1.0e0 ELSE 0.0e0 END) AS forest, avg((nir - red) / (nir + red + 1e-8)) AS ndvi,
+        avg(CASE WHEN (nir - red) / (nir + red + 1e-8) > 0.3 THEN 1.0e0 ELSE 0.0e0 END) AS veg,
+        avg(CASE WHEN (green - nir) / (green + nir + 1e-8) > 0.3 THEN 1.0e0 ELSE 0.0e0 END) AS water, avg((green - blue) / (green + blue + 1e-8)) AS mndwi FROM pix GROUP BY image_id)
+SELECT image_id, round(forest, {R}) AS forest_cover_fraction, round(ndvi, {R}) AS forest_health_index, round(1 - forest / (forest + 0.1e0), {R}) AS forest_fragmentation,
+  round(water, {R}) AS water_body_fraction, round(mndwi, {R}) AS water_quality_index, round(veg * 0.8e0, {R}) AS agriculture_fraction, round(ndvi, {R}) AS crop_health FROM g"""
+    o["px_size_profile"] = f"""WITH {PIX}, p AS (SELECT image_id, CAST(max(x) - min(x) + 1 AS INTEGER) AS width, CAST(max(y) - min(y) + 1 AS INTEGER) AS height,
+  CAST((count(v) > 0)::INT + (count(red) > 0)::INT + (count(green) > 0)::INT + (count(blue) > 0)::INT + (count(nir) > 0)::INT AS INTEGER) AS channels FROM pix GROUP BY image_id)
+SELECT width, height, channels, count(*) AS images FROM p GROUP BY width, height, channels"""
     o["px_roughness"] = f"""WITH {PIX},
 r AS (SELECT image_id, y, x, v, sum(v) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS sx,
         count(v) OVER (PARTITION BY image_id, y ORDER BY x RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS cx FROM pix),

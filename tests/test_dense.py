@@ -66,3 +66,26 @@ def test_model_table_is_the_same_from_cells_and_counts(rows):
 def test_nothing_to_count(spark):
     spec = edges_from_minmax([0.0] * 3, [1.0] * 3, 4)
     assert fit_counts(spark.createDataFrame([], "y int, x array<double>"), spec, None, 3, 2).collect() == []
+
+
+@pytest.mark.parametrize("n,most", [(2, None), (7, None), (30, 100), (64, 300), (5, 10), (3, 1)])
+def test_pair_table_and_list_agree(spark, n, most):
+    from pairbayes.operators.binning import feature_pairs, pair_of, pairs_table
+
+    every = list(itertools.combinations(range(n), 2))
+    assert [pair_of(k, n) for k in range(len(every))] == every
+    rows = pairs_table(spark, n, most).collect()
+    assert sorted((r.f1, r.f2) for r in rows) == feature_pairs(n, most)
+    assert all(every[r.pair_id] == (r.f1, r.f2) for r in rows)
+    assert len(set(rows)) == len(rows) == (len(every) if most is None else min(most, len(every)))
+
+
+def test_many_features_need_no_list(spark):
+    from pairbayes.operators.binning import given_pairs, pair_of, pairs_table
+
+    table = pairs_table(spark, 5000, 1000, seed=7)
+    assert len(table._jdf.queryExecution().analyzed().toString()) < 20_000
+    rows = table.collect()
+    assert len({r.pair_id for r in rows}) == 1000 and all(pair_of(r.pair_id, 5000) == (r.f1, r.f2) for r in rows)
+    assert max(r.f1 for r in rows) > 4000 and min(r.f1 for r in rows) < 100
+    assert given_pairs([(3, 1), (1, 3), (0, 2)]) == [(0, 2), (1, 3)]
