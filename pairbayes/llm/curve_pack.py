@@ -44,6 +44,12 @@ def bare_words(text: bytes | None) -> list[bytes]:
     return text.split() if b"<|" in text else TAIL.sub(rb" \g<0>", text.lower()).split()
 
 
+#: Mark of ids that end a word, as the tokeniser's vocabulary writes it.
+WORD_END = "</w>"
+#: Words that are encoded together, first in large groups.
+GROUPS = (8192, 64)
+
+
 class WordCodes:
     """Token ids of words, each distinct word encoded once.
 
@@ -57,6 +63,9 @@ class WordCodes:
         from tokenizers import Tokenizer
 
         self.tok, self.limit, self.kept = Tokenizer.from_file(path), limit, kept
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -88,23 +97,23 @@ class WordCodes:
         self.used += len(ids)
 
     def learn(self, words: list[bytes]) -> None:
-        """Words of letters go together: each is one piece, so the pieces' numbers tell them
-        apart; a group whose count is off, and the other words, are encoded one by one."""
+        """Words of letters go together: each is one piece, whose last id ends a word in the
+        vocabulary, so the ids part themselves.  A group whose count is off goes in small
+        groups, and what is off there, like all other words, is encoded one by one."""
         text = [w.decode("utf-8", "replace") for w in words]
-        alpha = [i for i, t in enumerate(text) if t.isalpha()]
-        alone = [i for i, t in enumerate(text) if not t.isalpha()]
-        groups = [alpha[a : a + 256] for a in range(0, len(alpha), 256)]
-        whole, parts, sizes = [], [], []
-        for group, e in zip(groups, self.tok.encode_batch([" ".join(text[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
-            which = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-            if len(which) and which.min() == 0 and which.max() == len(group) - 1:
-                whole += group
-                parts.append(np.array(e.ids, np.uint32))
-                sizes.append(np.bincount(which, minlength=len(group)))
-            else:
-                alone += group
-        if whole:
-            self.keep([words[i] for i in whole], np.concatenate(parts), np.concatenate(sizes))
+        plain = [t.isalpha() and (t.isascii() or t == t.lower()) for t in text]
+        todo, alone = [i for i, p in enumerate(plain) if p], [i for i, p in enumerate(plain) if not p]
+        for size in GROUPS:
+            groups = [todo[a : a + size] for a in range(0, len(todo), size)]
+            todo = []
+            for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(map(text.__getitem__, g)) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.fromiter(e.ids, np.uint32)
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) == len(group) and last[-1] == len(ids) - 1:
+                    self.keep(list(map(words.__getitem__, group)), ids, np.diff(last, prepend=-1))
+                else:
+                    todo += group
+        alone += todo
         ids = [e.ids for e in self.tok.encode_batch_fast([text[i] for i in alone], add_special_tokens=False)]
         self.keep([words[i] for i in alone], np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
 
