@@ -67,9 +67,11 @@ def tolerance_links(s: DataFrame, p: DataFrame, atol: float = ATOL, rtol: float
             left, right = cut_lineage(left), cut_lineage(right)
         small = left.join(large, "key", "left_anti") if rest else left
         met = small.select("key", "label", "v", F.col("node").alias("s_node")).join(right.select("key", F.col("label").alias("p_label"), F.col("v").alias("w"), F.col("node").alias("p_node")), "key")
-        found.append(cut_lineage(met.where((F.col("label") == F.col("p_label")) & (F.size("v") == F.size("w")) & ok).select("s_node", "p_node")))
+        met = met.where((F.col("label") == F.col("p_label")) & (F.size("v") == F.size("w")) & ok).select("s_node", "p_node")
         if not rest:
+            found.append(met)
             break
+        found.append(cut_lineage(met))
         left, right = left.join(large, "key", "left_semi"), right.join(large, "key", "left_semi")
     else:
         found.append(_block_links(left, right, atol, rtol))

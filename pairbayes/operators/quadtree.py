@@ -55,7 +55,7 @@ def build(points: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
         counted = laid.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), *box)
         counted = cut_lineage(counted.withColumn("into", F.when(F.col("n") > leaf, F.concat(F.lit(f"{turn}-"), F.monotonically_increasing_id()))))
         cells.append(counted)
-        both = cut_lineage(laid.join(counted.where("into IS NOT NULL").select(*CELL, "into"), CELL, "left"))
+        both = laid.join(counted.where("into IS NOT NULL").select(*CELL, "into"), CELL, "left")  # of two written tables
         done.append(both.where("into IS NULL").drop("into"))
         full = counted.where("into IS NOT NULL")
         if full.isEmpty():
