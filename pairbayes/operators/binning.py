@@ -59,9 +59,9 @@ def feature_pairs(n_features: int, max_combinations: int | None = None, seed: in
     """B1: all sorted 2-combinations; above ``max_combinations`` a seeded,
     deterministic sample (kept in sorted order)."""
     n, step, start = pair_order(n_features, max_combinations, seed)
-    if step == 1 and start == 0:
-        return list(itertools.combinations(range(n_features), 2))
     total = n_features * (n_features - 1) // 2
+    if n == total:
+        return list(itertools.combinations(range(n_features), 2))
     return [pair_of(k, n_features) for k in sorted((step * t + start) % total for t in range(n))]
 
 

@@ -15,10 +15,16 @@ from pairbayes.operators.posterior import score
 
 
 def stream_source(spark: SparkSession, directory: str, file_glob: str, schema, max_files: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    """The files of ``directory`` that match ``file_glob``, each a parquet file or a folder of them.
+
+    A pattern that names one entry is written with its last letter as a class: Spark takes a plain
+    path for the base folder of the stream, which a single file cannot be."""
+    if not any(c in file_glob for c in "*?[{"):
+        file_glob = f"{file_glob[:-1]}[{file_glob[-1]}]"
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(directory)
+    return r.parquet(f"{directory.rstrip('/')}/{file_glob}")
 
 
 def score_stream(stream: DataFrame, model: HistogramModel, to_features, sink: str, checkpoint: str):
