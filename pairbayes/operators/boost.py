@@ -2,8 +2,8 @@
 
 One epoch is full batch: failures are found under fixed weights and the
 weights change only after the epoch, so the whole epoch is one DataFrame
-plan: filter failed rows -> explode their cells -> join the model's p ->
-``groupBy(true class, cell).sum(adjustment)`` -> merge into the sparse
+plan: filter failed rows -> look up the model's p of their cells -> sums by
+(true class, cell) in each task and over the tasks -> merge into the sparse
 weight table.
 """
 
@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 
 from functools import reduce
 
-from pairbayes.operators.binning import explode_block
 from pairbayes.operators.likelihood import BROADCAST_BYTES, CELL_KEYS, HistogramModel, materialize_table, pair_blocks
-from pairbayes.operators.posterior import in_block
+from pairbayes.operators.lookup import block_cells, changed_cells
 
 # Fixed values of the update rule.
 SIMILARITY_THRESHOLD = 0.25
@@ -40,22 +39,14 @@ def weight_deltas(model: HistogramModel, failed: DataFrame, threshold: float = S
 
     ``rule="bin_overlap"`` (B14) instead updates only cells the predicted
     class does not occupy."""
-    table, _ = materialize_table(model)
-    side = table.select(*CELL_KEYS, "p")
-    parts = [explode_block(failed, model.pairs, model.n_features, block, keep=("y", "pred", "adj"))
-             .join(F.broadcast(in_block(side, block)), CELL_KEYS, "left") for block in pair_blocks(model, limit)]
-    j = reduce(DataFrame.unionByName, parts)
-    p0 = F.lit(model.p0())
-    p_pred = F.coalesce(F.col("p")[F.col("pred")], p0[F.col("pred")])
-    if rule == "threshold":
-        cond = p_pred < F.lit(threshold)
-    elif rule == "bin_overlap":
-        occupied = model.counts.select(F.col("y").alias("pred"), *CELL_KEYS, F.lit(True).alias("occ"))
-        j = j.join(occupied, ["pred", *CELL_KEYS], "left")
-        cond = F.col("occ").isNull()
-    else:
+    # a class's cells hold more than one and a half times the probability of an empty one
+    below = {"threshold": [threshold] * model.n_classes, "bin_overlap": [1.5 * p0 for p0 in model.p0()]}
+    if rule not in below:
         raise ValueError(rule)
-    return j.where(cond).groupBy("y", *CELL_KEYS).agg(F.sum("adj").alias("dw"))
+    table, _ = materialize_table(model)
+    parts = [changed_cells(failed, block_cells(table, "p", block, model.pairs, model.n_features, model.B, model.p0(), limit), model.n_features, model.n_classes, below[rule])
+             for block in pair_blocks(model, limit)]
+    return reduce(DataFrame.unionByName, parts).groupBy("y", *CELL_KEYS).agg(F.sum("dw").alias("dw"))
 
 
 def merge_weights(model: HistogramModel, deltas: DataFrame) -> DataFrame:

@@ -82,7 +82,7 @@ def require_features(df: DataFrame, required) -> DataFrame:
     return df.select(*required, *[c for c in df.columns if c not in required])
 
 
-def compare_methods(fx_y: DataFrame, model, epochs: int = 3) -> DataFrame:
+def compare_methods(fx_y: DataFrame, model, epochs: int = 3, unique: bool = False) -> DataFrame:
     """Accuracy, time and epochs for each weight-update rule."""
     import time
 
@@ -93,7 +93,7 @@ def compare_methods(fx_y: DataFrame, model, epochs: int = 3) -> DataFrame:
     for rule in ("threshold", "bin_overlap"):
         t = time.time()
         log = TrainLog()
-        m = train(model, fx_y, epochs=epochs, rule=rule, log=log)
-        acc = score(m, fx_y).agg(F.avg(F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0))).collect()[0][0]
+        m = train(model, fx_y, epochs=epochs, rule=rule, log=log, unique=unique)
+        acc = score(m, fx_y, unique=unique).agg(F.avg(F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0))).collect()[0][0]
         rows.append((rule, float(acc), float(time.time() - t), len(log.rows)))
     return fx_y.sparkSession.createDataFrame(rows, "method string, accuracy double, seconds double, epochs int")

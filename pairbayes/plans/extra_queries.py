@@ -27,7 +27,7 @@ def li_overlap_masked(spark, sf) -> DataFrame:
     """Posterior with cells shared by >= 2 classes zeroed."""
     model, fx_y = _boost_model(spark, sf)
     m = replace(model, overlap_mask=True, _table=None, _table_rows=None)
-    s = score(m, fx_y)
+    s = score(m, fx_y, unique=True)
     return s.select("row_id", F.col("y").alias("true_class"), F.col("pred").alias("pred_class"),
                     F.round("confidence", ROUND).alias("confidence"))
 
@@ -178,7 +178,7 @@ def emb_sample(spark, sf):
 def li_method_comparison(spark, sf):
     """Both weight-update rules on the 4-d model (rows-only)."""
     model, fx_y = _boost_model(spark, sf)
-    return select.compare_methods(fx_y, model, epochs=2).select("method", "accuracy", "epochs")
+    return select.compare_methods(fx_y, model, epochs=2, unique=True).select("method", "accuracy", "epochs")
 
 
 def li_csv_roundtrip(spark, sf):

@@ -26,7 +26,7 @@ def li_model_roundtrip(spark, sf) -> DataFrame:
     base = scratch_path(spark, "model")
     save_model(model, base)
     loaded, manifest, _ = load_model(spark, base)
-    s = score(loaded, fx_y)
+    s = score(loaded, fx_y, unique=True)
     return s.select("row_id", F.col("y").alias("true_class"), F.col("pred").alias("pred_class"),
                     F.round("confidence", ROUND).alias("confidence"))
 
@@ -37,7 +37,7 @@ def li_prediction_sink(spark, sf) -> DataFrame:
     from pairbayes.operators.sampling import train_test_split
 
     model, fx_y = _boost_model(spark, sf)
-    s = score(model, fx_y)
+    s = score(model, fx_y, unique=True)
     s = train_test_split(s, "row_id", 0.2, 42).withColumn("correct", F.col("pred") == F.col("y"))
     path = scratch_path(spark, "pred")
     sinks.write_predictions(s.select("row_id", "y", "pred", "confidence", "split", "correct"), path)

@@ -124,7 +124,7 @@ def _boost_model(spark, sf_dir):
 
 def _emb_trained(spark, sf_dir, epochs=2):
     model, fx_y = _boost_model(spark, sf_dir)
-    model = train(model, fx_y, epochs=epochs, patience=5)
+    model = train(model, fx_y, epochs=epochs, patience=5, unique=True)
     return model, fx_y
 
 
@@ -137,7 +137,7 @@ def li_boost_weights(spark, sf_dir) -> DataFrame:
 def li_boosted_predictions(spark, sf_dir) -> DataFrame:
     """B11 (fixed 2 epochs) then B13: predictions with the boosted weights."""
     model, fx_y = _emb_trained(spark, sf_dir, 2)
-    s = score(model, fx_y)
+    s = score(model, fx_y, unique=True)
     return s.select("row_id", F.col("y").alias("true_class"), F.col("pred").alias("pred_class"),
                     F.round("confidence", ROUND).alias("confidence"))
 

@@ -20,7 +20,7 @@ R = 6
 def _pred(spark, sf):
     # lineitem: the measures do not determine the flag, so there are errors
     model, fx_y = _boost_model(spark, sf)
-    return score(model, fx_y), model
+    return score(model, fx_y, unique=True), model
 
 
 def li_confusion_share(spark, sf) -> DataFrame:
@@ -165,7 +165,7 @@ def li_active_selection(spark, sf) -> DataFrame:
     from pairbayes.operators.active import select_samples
 
     model, fx_y = _boost_model(spark, sf)
-    s = score(model, fx_y)
+    s = score(model, fx_y, unique=True)
     sizes = s.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
     return select_samples(s, fx_y, sizes, 4)
 
@@ -178,7 +178,7 @@ def li_adaptive_rounds(spark, sf) -> DataFrame:
     from pairbayes.session import table
 
     fx = _boost_fx(spark, sf)
-    _, _, log = adaptive_fit(fx, n_bins=BOOST_BINS, epochs=2, rounds=3, patience=2)
+    _, _, log = adaptive_fit(fx, n_bins=BOOST_BINS, epochs=2, rounds=3, patience=2, unique=True)
     return log
 
 

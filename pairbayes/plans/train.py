@@ -53,7 +53,7 @@ def prepare(fx: DataFrame, n_bins: int = 128, max_combinations: int | None = Non
 
 def train(model: HistogramModel, train_fx: DataFrame, epochs: int = 10, patience: int = 5,
           lr: float = LEARNING_RATE, rule: str = "threshold", log: TrainLog | None = None,
-          keys: tuple[str, ...] = ("row_id",), n_rows: int | None = None) -> HistogramModel:
+          keys: tuple[str, ...] = ("row_id",), n_rows: int | None = None, unique: bool = False) -> HistogramModel:
     """Full-batch epochs.
 
     Per epoch: score under fixed weights -> count failures -> patience/learning
@@ -62,13 +62,14 @@ def train(model: HistogramModel, train_fx: DataFrame, epochs: int = 10, patience
     than 0.001 (so the first update uses lr/2)."""
     log = log if log is not None else TrainLog()
     # ``keys`` identify a row (a composite key avoids hashing ids together);
-    # ``n_rows`` saves a counting pass when the caller knows it
+    # ``n_rows`` saves a counting pass when the caller knows it, ``unique`` a shuffle an epoch
+    # when it knows that no row has the keys of another
     n_rows = train_fx.count() if n_rows is None else n_rows
     best_error = float("inf")
     patience_counter = 0
     cur_lr = lr
     for epoch in range(epochs):
-        scored = score(model, train_fx, keep=tuple(keys) + ("y",), with_bins=True)
+        scored = score(model, train_fx, keep=tuple(keys) + ("y",), with_bins=True, unique=unique)
         failed = failed_rows(scored, 1.0).persist(StorageLevel.MEMORY_AND_DISK)
         n_err = failed.count()
         err = n_err / n_rows if n_rows else 0.0
@@ -113,7 +114,7 @@ def fit(fx: DataFrame, n_bins: int = 128, epochs: int = 10, patience: int = 5,
 
 
 def adaptive_fit(fx: DataFrame, n_bins: int = 128, epochs: int = 5, rounds: int = 10, patience: int = 3,
-                 min_gain: float = 1e-4, likelihood_from_all: bool = False, max_combinations: int | None = None):
+                 min_gain: float = 1e-4, likelihood_from_all: bool = False, max_combinations: int | None = None, unique: bool = False):
     """Seed two rows per class -> fit -> boost -> score every row ->
     add selected failures of the not-yet-training rows -> repeat, until no
     row is added or ``patience`` rounds pass without an accuracy gain.
@@ -134,8 +135,8 @@ def adaptive_fit(fx: DataFrame, n_bins: int = 128, epochs: int = 5, rounds: int
         train_df = fx_y.join(train_ids, "row_id", "left_semi")
         base = fx_y if likelihood_from_all else train_df
         model = fit_histogram(base, spec, classes, pairs, nf, class_counts=counts if likelihood_from_all else None)
-        model = train(model, train_df, epochs=epochs, patience=5)
-        scored = score(model, fx_y).persist(StorageLevel.MEMORY_AND_DISK)
+        model = train(model, train_df, epochs=epochs, patience=5, unique=unique)
+        scored = score(model, fx_y, unique=unique).persist(StorageLevel.MEMORY_AND_DISK)
         acc_row = scored.agg(F.avg(F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)).alias("a"),
                              F.count(F.lit(1)).alias("n")).collect()[0]
         acc = float(acc_row["a"])

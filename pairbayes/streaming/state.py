@@ -1,6 +1,6 @@
 """Running cell counts as stream state, and a model version a micro-batch (ST2).
 
-The counts of a model's cells are a keyed aggregation whose state Spark keeps in its
+Tasks count their rows' cells; the sums of those counts are a keyed aggregation whose state Spark keeps in its
 state store, under the stream's checkpoint folder.  A micro-batch hands over the cells
 that it changed with their *totals*, not what it added, and writes them in a folder of
 its own number, overwriting it.  A batch that is run again, after a crash between its
@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairbayes.operators.binning import bin_rows, explode_cells
+from pairbayes.operators.binning import bin_rows
 from pairbayes.operators.likelihood import CELL_KEYS, HistogramModel
+from pairbayes.operators.lookup import task_counts
 
 STATE_KEYS = ["y", *CELL_KEYS]
 
@@ -21,7 +22,7 @@ STATE_KEYS = ["y", *CELL_KEYS]
 def running_counts(fx_y: DataFrame, model: HistogramModel) -> DataFrame:
     """(y, pair_id, bi, bj, n) of a streaming (y, x) under the model's frozen bins and pairs."""
     binned = bin_rows(fx_y.where("y IS NOT NULL"), model.spec, keep=("y",))
-    return explode_cells(binned, model.pairs, model.n_features, keep=("y",)).groupBy(*STATE_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    return task_counts(binned, model.pairs, model.n_features, model.B, model.n_classes).groupBy(*STATE_KEYS).agg(F.sum("n").alias("n"))
 
 
 def running_counts_stream(fx_y: DataFrame, model: HistogramModel, sink: str, checkpoint: str):
