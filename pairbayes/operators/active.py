@@ -46,9 +46,17 @@ def failed_margins(scored: DataFrame) -> DataFrame:
 def mandatory_rows(scored: DataFrame) -> DataFrame:
     """The failed rows with the two largest margins of each class (margin to 9
     decimals, then id); Spark keeps two rows a class and task before the shuffle."""
+    return largest_margins(failed_by_margin(scored))
+
+
+def failed_by_margin(scored: DataFrame) -> DataFrame:
+    """(row_id, y, margin) of the failed rows, the margin to 9 decimals."""
     margin = F.round(F.col("confidence") - F.col("posterior")[F.col("y")], 9)
-    w = Window.partitionBy("y").orderBy(margin.desc(), "row_id")
-    failed = scored.where(F.col("pred") != F.col("y"))
+    return scored.where(F.col("pred") != F.col("y")).select("row_id", "y", margin.alias("margin"))
+
+
+def largest_margins(failed: DataFrame) -> DataFrame:
+    w = Window.partitionBy("y").orderBy(F.col("margin").desc(), "row_id")
     return failed.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= MANDATORY_PER_CLASS).select("row_id", "y")
 
 
@@ -74,9 +82,13 @@ def select_samples(scored: DataFrame, features: DataFrame, class_sizes: DataFram
     scored set (the cap's base)."""
     from pairbayes.operators.sampling import cap_per_class
 
-    mandatory = mandatory_rows(scored)
-    failed = scored.where(F.col("pred") != F.col("y")).select("row_id", "y")
-    cand = failed.join(mandatory.select("row_id"), "row_id", "left_anti").join(features.select("row_id", "x"), "row_id")
+    from pairbayes.session import cut_lineage
+
+    # the rows are scored once: what follows reads the failed ones again
+    failed = cut_lineage(failed_by_margin(scored))
+    mandatory = cut_lineage(largest_margins(failed))
+    # two rows a class
+    cand = failed.select("row_id", "y").join(F.broadcast(mandatory.select("row_id")), "row_id", "left_anti").join(features.select("row_id", "x"), "row_id")
     if thinning == "grid":
         thin = grid_leaders(cand, n_features, min_divergence)
     else:

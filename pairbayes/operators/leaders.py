@@ -11,8 +11,8 @@ weighted by the share of pairs a feature is in; pairs that these bounds decide a
 computed.
 
 * Diameter: a pair further apart than a known one has both rows further from the class's
-  mean than that length less the largest distance from the mean.  Only such rows, in
-  blocks, meet.
+  mean than that length less the largest distance from the mean.  Only such rows meet, in
+  blocks whose boxes allow a larger length.
 * Leaders: a round takes the ``prefix`` smallest open ids of each class.  All smaller ids
   are decided, so walking just those rows in one task gives the leaders among them that a
   walk over the whole class gives.  Everything within the limit of them is then closed, in
@@ -135,7 +135,8 @@ def diameters(rows: DataFrame, n_features: int, pairs: Sequence[tuple[int, int]]
                 at = np.flatnonzero(y == c)
                 for s in range(0, len(at), FAR_BLOCK):
                     own = at[s : s + FAR_BLOCK]
-                    yield pa.RecordBatch.from_pylist([{"y": int(c), "first": int(ids[own].min()), "x": np.ascontiguousarray(x[own]).tobytes()}], pa.schema([("y", pa.int32()), ("first", pa.int64()), ("x", pa.binary())]))
+                    yield pa.RecordBatch.from_pylist([{"y": int(c), "first": int(ids[own].min()), "lo": x[own].min(axis=0), "hi": x[own].max(axis=0), "x": np.ascontiguousarray(x[own]).tobytes()}],
+                                                     pa.schema([("y", pa.int32()), ("first", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("x", pa.binary())]))
 
     def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         norm, known = told.value
@@ -146,8 +147,15 @@ def diameters(rows: DataFrame, n_features: int, pairs: Sequence[tuple[int, int]]
                 best[row["y"]] = norm.widest(a, b, best[row["y"]])
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.float64())], names=["y", "d"])
 
-    packs = cut_lineage(far.mapInArrow(pack, "y int, first long, x binary"))
-    both = packs.toDF("y", "a_first", "a").join(packs.toDF("y", "b_first", "b"), "y").where("a_first <= b_first").select("y", "a", "b")
+    # blocks are narrow in the feature that parts the class most; two meet only if their boxes allow a larger length
+    per_class = lambda values: F.create_map(*[F.lit(v) for y, value in values.items() for v in (y, value)])[F.col("y")]
+    main = {y: int(np.nan_to_num(np.abs(x - means[y]) * norm.weight).argmax()) for y, (_, x) in ends.items()}
+    far = far.withColumn("o", F.get("x", per_class(main))).repartitionByRange("y", "o").sortWithinPartitions("y", "o").drop("o")
+    packs = cut_lineage(far.mapInArrow(pack, "y int, first long, lo array<double>, hi array<double>, x binary"))
+    both = packs.toDF("y", "a_first", "a_lo", "a_hi", "a").join(packs.toDF("y", "b_first", "b_lo", "b_hi", "b"), "y").where("a_first <= b_first")
+    apart = F.zip_with(F.zip_with("a_hi", "b_lo", lambda u, v: u - v), F.zip_with("b_hi", "a_lo", lambda u, v: u - v), lambda u, v: F.greatest(u, v))
+    most = F.aggregate(F.zip_with(apart, F.lit(norm.weight.tolist()), lambda d, w: d * w), F.lit(0.0), lambda s, v: s + v)
+    both = both.where(most >= per_class({y: float(d) for y, d in known.items()}) * (1 - 1e-9)).select("y", "a", "b")
     found = both.mapInArrow(widest, "y int, d double").groupBy("y").agg(F.max("d").alias("d"))
     return known | {r["y"]: float(r["d"]) for r in found.collect()}
 

@@ -166,7 +166,7 @@ def li_active_selection(spark, sf) -> DataFrame:
 
     model, fx_y = _boost_model(spark, sf)
     s = score(model, fx_y, unique=True)
-    sizes = s.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    sizes = fx_y.groupBy("y").agg(F.count(F.lit(1)).alias("n"))  # every row is scored once
     return select_samples(s, fx_y, sizes, 4)
 
 

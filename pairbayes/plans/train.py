@@ -136,7 +136,7 @@ def adaptive_fit(fx: DataFrame, n_bins: int = 128, epochs: int = 5, rounds: int
         base = fx_y if likelihood_from_all else train_df
         model = fit_histogram(base, spec, classes, pairs, nf, class_counts=counts if likelihood_from_all else None)
         model = train(model, train_df, epochs=epochs, patience=5, unique=unique)
-        scored = score(model, fx_y, unique=unique).persist(StorageLevel.MEMORY_AND_DISK)
+        scored = score(model, fx_y, unique=unique).drop("ll").persist(StorageLevel.MEMORY_AND_DISK)
         acc_row = scored.agg(F.avg(F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)).alias("a"),
                              F.count(F.lit(1)).alias("n")).collect()[0]
         acc = float(acc_row["a"])

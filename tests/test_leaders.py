@@ -72,3 +72,37 @@ def test_given_pairs_missing_values_and_diameter(spark, data):
 
 def test_nothing_to_walk(spark):
     assert leaders(spark.createDataFrame([], "row_id long, y int, x array<double>"), 3).collect() == []
+
+
+def test_diameter_of_many_blocks(spark, monkeypatch):
+    from pairbayes.operators import leaders as own
+
+    monkeypatch.setattr(own, "FAR_BLOCK", 3)
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, [1, 40, 3], (300, 3))
+    rows = [(i, i % 2, x[i].tolist()) for i in range(len(x))]
+    got = own.diameters(spark.createDataFrame(rows, "row_id long, y int, x array<double>"), 3)
+    norm = own.PairNorm(3)
+    for y in (0, 1):
+        part = x[y::2]
+        assert got[y] == max(norm.length(part - p).max() for p in part)
+
+
+def test_selection_scores_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from pairbayes.operators.active import select_samples
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    kind = "row_id long, y int, posterior array<double>, confidence double, pred int, x array<double>"
+    rows = [(i, i % 2, [0.4, 0.6] if i % 2 == 0 else [0.7, 0.3], 0.7 if i % 2 else 0.6, 1 - i % 2, [float(i), float(i * i % 7)]) for i in range(40)]
+    df = spark.createDataFrame(rows, kind)
+    scored = df.drop("x").mapInArrow(count, kind.rsplit(",", 1)[0])
+    got = select_samples(scored, df.select("row_id", "x"), df.groupBy("y").agg(F.count(F.lit(1)).alias("n")), 2).collect()
+    assert got and seen.value == 40
