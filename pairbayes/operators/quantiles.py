@@ -21,6 +21,14 @@ from pairbayes.session import cut_lineage
 BINS = 1024
 #: A range with so many rows or fewer is sorted within its key.
 FEW = 4096
+#: Groups and ranges up to this number are broadcast to the rows; a join by few keys would
+#: bring all rows of a key into one task.
+TOLD = 100_000
+
+
+def _told(small: DataFrame) -> DataFrame:
+    """``small`` (its lineage cut) for a join, broadcast unless it has very many rows."""
+    return F.broadcast(small) if small.limit(TOLD + 1).count() <= TOLD else small
 
 
 def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, ps: Sequence[float]) -> DataFrame:
@@ -40,7 +48,7 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, ps: Sequence
     at = F.col("p") * (F.col("n") - 1)
     ranks = cut_lineage(wanted.select("gid", "p", F.floor(at).alias("r0"), F.ceil(at).alias("r1"), (at - F.floor(at)).alias("part"), "n", "lo", "hi"))
     same = lambda a, b: reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
-    numbered = rows.join(groups.select(*keys, "gid"), same(rows, groups)).select("gid", "v")
+    numbered = rows.join(_told(groups.select(*keys, "gid")), same(rows, groups)).select("gid", "v")
 
     # (gid, rank, lo, hi, before, m): the rank is the value of number rank - before among the m in [lo, hi]
     both = ranks.select("gid", F.explode(F.array_distinct(F.array("r0", "r1"))).alias("rank"), "lo", "hi", "n").distinct()
@@ -50,7 +58,7 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, ps: Sequence
         done = open_.where("lo = hi").select("gid", "rank", F.col("lo").alias("v"))
         few = open_.where(f"lo < hi AND m <= {FEW}")
         order = Window.partitionBy("gid", "rank").orderBy("v")
-        sorted_ = numbered.join(few, "gid").where("v >= lo AND v <= hi").withColumn("place", F.row_number().over(order) - 1)
+        sorted_ = numbered.join(_told(few), "gid").where("v >= lo AND v <= hi").withColumn("place", F.row_number().over(order) - 1)
         found.append(cut_lineage(done.unionByName(sorted_.where("place = rank - before").select("gid", "rank", "v"))))
         wide = open_.where(f"lo < hi AND m > {FEW}")
         ranges = wide.select("gid", "lo", "hi").distinct()
@@ -59,7 +67,7 @@ def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, ps: Sequence
         # ranks of one group share their range at first; a range is counted once
         share = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
         slot = F.when(F.col("v") >= F.col("hi"), BINS - 1).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))
-        counted = numbered.join(ranges, "gid").where("v >= lo AND v <= hi").groupBy("gid", "lo", "hi", slot.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+        counted = numbered.join(_told(ranges), "gid").where("v >= lo AND v <= hi").groupBy("gid", "lo", "hi", slot.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("greatest"))
         upto = Window.partitionBy("gid", "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         counted = cut_lineage(counted.withColumn("below", F.coalesce(F.sum("c").over(upto), F.lit(0))))
         next_ = wide.join(counted, ["gid", "lo", "hi"]).where("rank - before >= below AND rank - before < below + c")

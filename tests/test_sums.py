@@ -130,3 +130,18 @@ def test_quantiles(spark, monkeypatch, few, bins):
 
 def test_quantiles_of_nothing(spark):
     assert quantiles.exact_quantiles(spark.createDataFrame([], "g int, v double"), ["g"], "v", [0.5]).collect() == []
+
+
+def test_few_groups_deal_no_rows_by_key(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from pairbayes.operators import quantiles
+
+    rows = spark.range(20_000).selectExpr("IF(id % 3 = 2, NULL, id % 3) AS g", "CAST(id * 7919 % 20011 AS DOUBLE) AS v")
+    plans, cut = [], quantiles.cut_lineage
+    monkeypatch.setattr(quantiles, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    told = {(r.g, r.p): r.q for r in quantiles.exact_quantiles(rows, ["g"], "v", [0.0, 0.5, 0.77]).collect()}
+    assert isinstance(rows, DataFrame) and any("BroadcastHashJoin" in p for p in plans)
+    assert not any("SortMergeJoin" in p and "Range (0, 20000" in p for p in plans)
+    monkeypatch.setattr(quantiles, "TOLD", 0)
+    assert {(r.g, r.p): r.q for r in quantiles.exact_quantiles(rows, ["g"], "v", [0.0, 0.5, 0.77]).collect()} == told and len(told) == 9
