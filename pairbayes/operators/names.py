@@ -1,4 +1,4 @@
-"""Fuzzy and hybrid name matching (J5, J6) without comparing all pairs.
+"""Fuzzy and hybrid name matching (J5, J6) that scores few of all pairs.
 
 Similarity of two lower-case stems is 2 * M / (|a| + |b|), where M counts the characters
 in the longest common block and, left and right of it, in theirs, and so on; a stem that
@@ -10,9 +10,14 @@ tokens that is the size of an intersection of sets, so an exact prefix filter ho
 * both must then share ceil(t * (n+m) / 2) tokens, and if each is sorted rarest first,
   they share one among the first n - ceil(..) + 1 and m - ceil(..) + 1.
 
-So the join is an equi-join on tokens, with lengths and places as conditions; a pair is
-met at its rarest shared token only.  What is left is checked by the whole intersection
-and scored in Arrow batches, in the task that joined it: pairs are never shuffled.
+So ``candidates`` is an equi-join on tokens, with lengths and places as conditions; a pair
+is met at its rarest shared token only and checked by the whole intersection.
+
+The match needs one file a target.  Names of few letters share nearly all tokens, so there
+blocks of names of like length meet, in one task each: pairs that share too few characters
+are left, then those whose longest common subsequence, which holds all common blocks, is too
+short, and the rest is scored from the highest bound down.  A task returns its best: pairs
+are never rows.
 
 A stem that is contained in a much longer one passes outside that bound.  It has a key
 of its own: the shorter stem's rarest stretch of four characters (the whole stem, if it
@@ -42,6 +47,9 @@ TARGET_STEMS = 3
 # Fixed values of the block search: in second names of 200 characters or more, characters
 # that make up over 1 % of it, plus one, start no block.
 LONG_NAME = 200
+# Names of a block: so many targets meet so many files at once in a task.
+TARGET_BLOCK = 128
+FILE_BLOCK = 4096
 
 GRAM = 4
 
@@ -194,34 +202,119 @@ def similarity(first: list[str], second: list[str]) -> np.ndarray:
     return np.where(inside, np.maximum(ratio, CONTAINED), ratio)
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Best-first within a batch: a pair whose bound is below its target's best is not scored."""
-    for batch in batches:
-        a, b, name, bound = (batch.column(i).to_pylist() for i in range(4))
-        best: dict[str, tuple[float, str]] = {}
-        order = sorted(range(len(a)), key=lambda i: -bound[i])
-        while order:
-            turn, rest, seen = [], [], set()
-            for i in order:
-                known = best.get(a[i])
-                if known and bound[i] < known[0] - 1e-12:
-                    continue
-                if a[i] in seen and len(turn) >= 64:
-                    rest.append(i)
-                else:
-                    seen.add(a[i])
-                    turn.append(i)
-                if len(turn) >= 2048:
-                    rest += order[order.index(i) + 1 :]
-                    break
-            if not turn:
-                break
-            for i, s in zip(turn, similarity([a[i] for i in turn], [b[i] for i in turn]).tolist(), strict=True):
-                known = best.get(a[i])
-                if known is None or (-s, name[i]) < (-known[0], known[1]):
-                    best[a[i]] = (s, name[i])
-            order = rest
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array([v[0] for v in best.values()], pa.float64()), pa.array([v[1] for v in best.values()], pa.string())], names=["a", "s", "name"])
+def _best_of(first: list[str], second: list[str], names: list[str], who: np.ndarray, other: np.ndarray, bound: np.ndarray) -> dict[str, tuple[float, str]]:
+    """Best (similarity, name) of every first name over the pairs (who[i], other[i]).
+
+    The pairs of a name are scored from the highest bound down, in growing turns; one whose bound is
+    below its name's best is not scored."""
+    best: dict[str, tuple[float, str]] = {}
+    known = np.full(len(first), -1.0)
+    order = np.lexsort((-bound, who))
+    who, other, bound = who[order], other[order], bound[order]
+    starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
+    rank = np.arange(len(who)) - np.repeat(starts, np.diff(np.r_[starts, len(who)]))
+    done = 0
+    while len(who):
+        turn = rank < done + min(done + 1, 64)
+        i, j = who[turn], other[turn]
+        for lo in range(0, len(i), 2048):
+            a, b = i[lo : lo + 2048].tolist(), j[lo : lo + 2048].tolist()
+            for x, y, s in zip(a, b, similarity([first[x] for x in a], [second[y] for y in b]).tolist(), strict=True):
+                had = best.get(first[x])
+                if had is None or (-s, names[y]) < (-had[0], had[1]):
+                    best[first[x]] = (s, names[y])
+                    known[x] = s
+        done += min(done + 1, 64)
+        left = ~turn & (bound >= known[who] - 1e-12)
+        who, other, bound, rank = who[left], other[left], bound[left], rank[left]
+    return best
+
+
+def common_subsequence(masks: np.ndarray, length: int, codes: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a name of up to 64 characters with many: ``masks`` has
+    the name's places of every code as bits, ``codes`` a column for each of the others."""
+    open_ = np.full(codes.shape[1], ~np.uint64(0))
+    for row in codes:
+        hit = open_ & masks[row]
+        open_ = (open_ + hit) | (open_ - hit)
+    return np.bitwise_count(~open_ & np.uint64((1 << length) - 1)).astype(np.int64)
+
+
+def near_pairs(first: list[str], second: list[str], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, bound) of the pairs that may reach ``threshold``: by lengths, shared characters, then by the
+    longest common subsequence, which holds all common blocks."""
+    b, m = _padded(second)
+    letters, codes = np.unique(b, return_inverse=True)
+    codes = codes.reshape(b.shape).T  # a row for every place; beyond a name's end stands the code of 0
+    codes = np.where(np.arange(b.shape[1])[:, None] < m, codes, len(letters)).astype(np.int32)
+    small = np.min_scalar_type(int(max(m.max(initial=0), max(map(len, first), default=0))))
+    has = np.zeros((len(letters), len(second)), small)
+    for row in codes:
+        real = row < len(letters)
+        has[row[real], np.flatnonzero(real)] += 1
+    at = {chr(c): i for i, c in enumerate(letters.tolist()) if c < 0x110000}
+    who, other, bound = [], [], []
+    for x, name in enumerate(first):
+        total = len(name) + m
+        need = np.ceil(total * (threshold / 2) - 1e-9)
+        shared = np.zeros(len(second), np.int64)
+        masks = np.zeros(len(letters) + 1, np.uint64)
+        count: dict[int, int] = {}
+        for place, c in enumerate(name):
+            if c in at:
+                count[at[c]] = count.get(at[c], 0) + 1
+                if place < 64:
+                    masks[at[c]] |= np.uint64(1 << place)
+        for c, n in count.items():
+            shared += np.minimum(has[c], small.type(n))
+        kept = np.flatnonzero((shared >= need) & (m > 0) & (len(name) > 0))
+        most = shared[kept]
+        if len(name) <= 64 and len(kept):
+            most = common_subsequence(masks, len(name), codes[: int(m[kept].max()), kept])
+            still = most >= need[kept]
+            kept, most = kept[still], most[still]
+        high = 2.0 * most / total[kept]
+        # a name can lie in the other only if all its characters are shared
+        high = np.where(most == np.minimum(len(name), m[kept]), np.maximum(high, CONTAINED), high)
+        who.append(np.full(len(kept), x))
+        other.append(kept)
+        bound.append(high)
+    return (np.concatenate(who), np.concatenate(other), np.concatenate(bound)) if who else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def packed(names: DataFrame, cols: dict[str, str], size: int) -> DataFrame:
+    """Names of like length in blocks: one row for up to ``size`` of them, with a list for each column."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                part = batch.slice(lo, size)
+                n = [len(x) for x in part.column(0).to_pylist()]
+                lists = [pa.array([c.to_pylist()], pa.list_(pa.string())) for c in part.columns]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([min(n)], pa.int32()), pa.array([max(n)], pa.int32())], names=[*cols.values(), "least", "most"])
+
+    schema = ", ".join([f"{c} array<string>" for c in cols.values()] + ["least int", "most int"])
+    laid = names.select(*cols).where(F.length(next(iter(cols))) > 0).orderBy(F.length(next(iter(cols))), next(iter(cols)))
+    return laid.mapInArrow(pack, schema)
+
+
+def best_by_blocks(targets: DataFrame, files: DataFrame, threshold: float) -> DataFrame:
+    """(a, s, name): the best files of the targets (column ``stem``) among ``files`` (b, name) by blocks in
+    common; blocks of names meet where their lengths allow it, and a task returns one row a target and block."""
+    blocks = packed(targets, {"stem": "first"}, TARGET_BLOCK).repartition(4 * targets.sparkSession.sparkContext.defaultParallelism)
+    others = packed(files, {"b": "second", "name": "names"}, FILE_BLOCK).withColumnsRenamed({"least": "o_least", "most": "o_most"})
+    # lengths n and m allow a similarity of 2 * min(n, m) / (n + m)
+    ratio = (2 - threshold) / threshold + 1e-9
+    met = blocks.join(others.hint("shuffle_replicate_nl"), (F.col("least") <= F.col("o_most") * ratio) & (F.col("o_least") <= F.col("most") * ratio))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                first, second, names = (batch.column(i)[row].as_py() for i in range(3))
+                best = _best_of(first, second, names, *near_pairs(first, second, threshold))
+                yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array([v[0] for v in best.values()], pa.float64()), pa.array([v[1] for v in best.values()], pa.string())], names=["a", "s", "name"])
+
+    return met.select("first", "second", "names").mapInArrow(compare, "a string, s double, name string")
 
 
 def fuzzy_match(targets: DataFrame, files: DataFrame, target: str = "target", file: str = "file",
@@ -235,17 +328,14 @@ def fuzzy_match(targets: DataFrame, files: DataFrame, target: str = "target", fi
     images = cut_lineage(images)
     wanted = cut_lineage(asked.where(F.col("stem").isNotNull()).select("stem").distinct())
     names, stems = images.select(F.col("stem").alias("b"), "name"), images.select("stem")
-    total = (F.length("a") + F.length("b")).cast("double")
-    pairs = candidates(wanted, stems, threshold).withColumn("bound", F.lit(2.0) * F.col("shared") / total).select("a", "b", "bound")
     if threshold <= CONTAINED:
         # contained pairs whose lengths differ too much for the bound; their similarity is the fixed one
-        pairs = pairs.withColumn("bound", F.when(F.contains("a", "b") | F.contains("b", "a"), F.greatest("bound", F.lit(CONTAINED))).otherwise(F.col("bound")))
         inside = contained(wanted, stems).toDF("a", "b").unionAll(contained(stems, wanted).select("long", "short").toDF("a", "b"))
         inside = inside.where(least_shared(F.length("a") + F.length("b"), threshold) > F.least(F.length("a"), F.length("b")))
         flat = inside.join(names, "b").select("a", F.lit(CONTAINED).alias("s"), "name")
         empty = wanted.where("stem = ''").select(F.col("stem").alias("a"), F.lit(1).alias("one")).join(images.agg(F.min("name").alias("name")).withColumn("one", F.lit(1)), "one").where(F.col("name").isNotNull())
         flat = flat.unionByName(empty.select("a", F.lit(CONTAINED).alias("s"), "name"))
-    scored = pairs.join(names, "b").select("a", "b", "name", "bound").mapInArrow(_score, "a string, s double, name string").where(F.col("s") >= threshold)
+    scored = best_by_blocks(wanted, names, threshold).where(F.col("s") >= threshold)
     scored = scored.unionByName(flat) if threshold <= CONTAINED else scored
     best = scored.groupBy("a").agg(F.min(F.struct((-F.col("s")).alias("minus"), "name")).alias("m"))
     return asked.join(best.withColumnRenamed("a", "stem"), "stem", "left").select(F.col("target").alias(target), F.col("m.name").alias("match"), (-F.col("m.minus")).alias("similarity"))
@@ -266,8 +356,11 @@ def hybrid_match(targets: DataFrame, files: DataFrame, target: str = "target", f
     ra, dec = coord_from_name(F.col("file"))
     points = images.select("file", ra.alias("x"), dec.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     by_place = nearest_point(placed, points, "target", "x", "y", "file", "x", "y").select("target", F.col("file").alias("near_file"), "distance")
-    by_name = fuzzy_match(asked, images, "target", "file", threshold)
-    both = by_name.join(by_place, by_name["target"].eqNullSafe(by_place["target"]), "left").drop(by_place["target"])
+    by_place = cut_lineage(asked.join(by_place, asked["target"].eqNullSafe(by_place["target"]), "left").drop(by_place["target"]))
+    # where coordinates decide, the name is not asked
+    far = by_place.where(~F.coalesce(F.col("near_file").isNotNull() & (F.col("distance") < near), F.lit(False))).select("target")
+    by_name = fuzzy_match(far, images, "target", "file", threshold)
+    both = by_place.join(by_name, by_place["target"].eqNullSafe(by_name["target"]), "left").drop(by_name["target"])
     close = F.col("near_file").isNotNull() & (F.col("distance") < near)
     method = F.when(close, "coordinates").when(F.col("match").isNotNull(), "fuzzy").when(F.col("near_file").isNotNull(), "coordinates").otherwise("none")
     return both.withColumn("method", method).select(

@@ -93,3 +93,59 @@ def test_hybrid_rule(spark):
     empty = spark.createDataFrame([], "file string")
     assert {r.method for r in N.hybrid_match(t, empty).collect()} == {"none"}
     assert math.isclose(N.similarity(["abcd"], ["abxd"])[0], 0.75)
+
+
+def _subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[-1], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.85])
+def test_near_pairs_keep_all_that_reach_the_threshold(threshold):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("ab_é𝄞", k=n))
+    first = ["", "a", "x" * 64, "ab" * 32, word(64), word(65), word(90)] + [word(rng.randint(1, 30)) for _ in range(40)]
+    second = ["", "b", "x" * 63 + "y", word(64) + "q", word(120)] + first[4:9] + [x[2:] + x[:2] + word(3) for x in first[7:]]
+    i, j, bound = N.near_pairs(first, second, threshold)
+    found = dict(zip(zip(i.tolist(), j.tolist()), bound.tolist()))
+    assert len(found) == len(i) < len(first) * len(second)
+    for x, a in enumerate(first):
+        for y, b in enumerate(second):
+            s = plain(a, b)
+            if a and b and N.block_characters([a], [b])[0] * 2 / (len(a) + len(b)) >= threshold:
+                assert found[x, y] >= s - 1e-12
+            if (x, y) in found and len(a) <= 64 and a not in b and b not in a:
+                assert found[x, y] == max(2 * _subsequence(a, b) / (len(a) + len(b)), 0.8 if _subsequence(a, b) == min(len(a), len(b)) else 0)
+
+
+@pytest.mark.parametrize("sizes", [(3, 5), (128, 4096)])
+def test_blocks_of_any_size_match_alike(spark, monkeypatch, sizes):
+    monkeypatch.setattr(N, "TARGET_BLOCK", sizes[0])
+    monkeypatch.setattr(N, "FILE_BLOCK", sizes[1])
+    rng = random.Random(8)
+    targets, files = [x + ".jpg" for x in _names(rng, 60)], [x + ".png" for x in _names(rng, 90)]
+    got = N.fuzzy_match(spark.createDataFrame([(x,) for x in targets], "target string"), spark.createDataFrame([(x,) for x in files], "file string")).collect()
+    for r in got:
+        s, name = min((-plain(stems(r.target, 3), stems(y, 1)), y) for y in files)
+        assert (r.match, r.similarity) == ((name, -s) if -s >= 0.6 else (None, None))
+
+
+def test_names_are_asked_only_where_no_file_is_near(spark, monkeypatch):
+    asked, real = [], N.fuzzy_match
+
+    def seen(targets, *more):
+        asked.extend(r.target for r in targets.collect())
+        return real(targets, *more)
+
+    monkeypatch.setattr(N, "fuzzy_match", seen)
+    targets = ["ring_1.25_2.5.png", "ring_50.0_60.0.png", "ring.png", "zzz_90.0_80.0.png", None]
+    files = ["ring_1.75_2.5.jpg", "ring_50.0_60.0_.jpg", "other_51.0_61.0.jpg"]
+    frame = lambda x, c: spark.createDataFrame([(v,) for v in x], f"{c} string")
+    got = {r.target: (r.match, r.method) for r in N.hybrid_match(frame(targets, "target"), frame(files, "file")).collect()}
+    assert sorted(asked, key=str) == [None, "ring.png", "zzz_90.0_80.0.png"]
+    assert got["ring_1.25_2.5.png"] == ("ring_1.75_2.5.jpg", "coordinates") and got[None] == (None, "none") and len(got) == 5
