@@ -9,7 +9,8 @@ Absent pixels and null or NaN values are one thing: there is no value there."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 SIDE = 256
 # Fixed set of co-occurrence directions: angle -> step (rows, columns).
 ANGLES = {0: (0, 1), 45: (-1, 1), 90: (-1, 0), 135: (-1, -1)}
+# Co-occurrence matrices of so many times so many tiles are merged before those of an image.
+BLOCK = 4
+KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}
+MATRIX = ["angle", "code_type", "codes", "count_type", "counts"]
 
 
 class Tile:
@@ -73,8 +78,8 @@ def by_tile(pix: DataFrame, v: str, halo: int, work: Callable[[Tile], dict[str,
         n = len(next(iter(cols.values()))) if cols else 0
         image = pa.array([tile.image.as_py()] * n, t.schema.field("image_id").type)
         if not cols:
-            return pa.table({"image_id": image} | {c.split()[0]: pa.array([], {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in schema.split(", ")})
-        return pa.table({"image_id": image} | {c: pa.array(x, from_pandas=True) for c, x in cols.items()})
+            return pa.table({"image_id": image} | {c.split()[0]: pa.array([], KINDS[c.split()[1]]) for c in schema.split(", ")})
+        return pa.table({"image_id": image} | {c.split()[0]: pa.array(cols[c.split()[0]], KINDS[c.split()[1]], from_pandas=True) for c in schema.split(", ")})
 
     return cut.groupBy("image_id", "ty", "tx").applyInArrow(run, f"image_id {kind}, {schema}")
 
@@ -131,19 +136,68 @@ def box_means(pix: DataFrame, v: str, k: int, side: int | None = None) -> DataFr
     return by_tile(pix, v, k, work, "y long, x long, box_mean double", side)
 
 
-def cooccurrence(pix: DataFrame, q: str, levels: int, distance: int = 1, side: int | None = None) -> DataFrame:
-    """(image_id, angle, i, j, c): how often grey level i has j a step away; both orders count."""
-
-    def work(t: Tile) -> dict:
-        out: dict[str, list] = {"angle": [], "i": [], "j": [], "c": []}
+def _small(a: np.ndarray) -> tuple[str, bytes]:
+    """Whole numbers in the narrowest type that holds them: its name and the bytes."""
+    kind = np.result_type(np.min_scalar_type(a.min()), np.min_scalar_type(a.max())).newbyteorder("<")
+    return kind.str, a.astype(kind).tobytes()
+
+
+def _merged(batches: Iterable[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """angle -> (codes, counts) of all rows; holds one matrix and one batch at a time."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        parts: dict[int, list] = {}
+        for r in batch.select(MATRIX).to_pylist():
+            parts.setdefault(r["angle"], []).append((np.frombuffer(r["codes"], r["code_type"]).astype(np.int64), np.frombuffer(r["counts"], r["count_type"]).astype(np.int64)))
+        for angle, new in parts.items():
+            new += [held[angle]] if angle in held else []
+            if len(new) == 1:
+                held[angle] = new[0]
+                continue
+            codes, at = np.unique(np.concatenate([c for c, _ in new]), return_inverse=True)
+            counts = np.zeros(len(codes), np.int64)
+            np.add.at(counts, at, np.concatenate([n for _, n in new]))
+            held[angle] = codes, counts
+    return held
+
+
+def cooccurrence(pix: DataFrame, q: str, levels: int, work: Callable[[int, np.ndarray, np.ndarray, np.ndarray], dict], schema: str,
+                 distance: int = 1, side: int | None = None) -> DataFrame:
+    """``work(angle, i, j, c)`` on every image's matrix of an angle, a row each: how often (c) grey level i
+    has j a step away; both orders count.
+
+    A tile sends a row for each angle, the matrix as bytes; tiles are merged by blocks, blocks by image."""
+    columns = [*MATRIX, "by", "bx"]
+
+    def count(t: Tile) -> dict:
+        out: dict[str, list] = {c: [] for c in columns}
+        here = t.own(t.a)
         for angle, (dy, dx) in ANGLES.items():
-            here, there = t.own(t.a), t.own(np.roll(t.a, (-dy * distance, -dx * distance), (0, 1)))
+            there = t.a[t.rows + dy * distance, t.cols + dx * distance]
             both = ~np.isnan(here) & ~np.isnan(there)
+            if not both.any():
+                continue
             i, j = here[both].astype(np.int64), there[both].astype(np.int64)
-            code, n = np.unique(np.concatenate([i * levels + j, j * levels + i]), return_counts=True)
-            for name, col in (("angle", np.full(len(code), angle)), ("i", code // levels), ("j", code % levels), ("c", n)):
-                out[name].append(col)
-        return {k: np.concatenate(x).astype(np.int64 if k == "c" else np.int32) for k, x in out.items()}
+            codes, n = np.unique(np.concatenate([i * levels + j, j * levels + i]), return_counts=True)
+            place = (t.y[0] // (side or SIDE) // BLOCK, t.x[0] // (side or SIDE) // BLOCK)
+            for c, v in zip(columns, (angle, *_small(codes), *_small(n), *place), strict=True):
+                out[c].append(v)
+        return out
 
-    parts = by_tile(pix, q, distance, work, "angle int, i int, j int, c long", side)
-    return parts.groupBy("image_id", "angle", "i", "j").agg(F.sum("c").alias("c"))
+    kind = pix.schema["image_id"].dataType.simpleString()
+    packed = "angle int, code_type string, codes binary, count_type string, counts binary"
+    parts = by_tile(pix, q, distance, count, f"{packed}, by long, bx long", side)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+        for angle, (codes, n) in _merged(chain([first], batches)).items():
+            yield pa.RecordBatch.from_arrays([first.column("image_id")[:1], pa.array([angle], pa.int32()), *[pa.array([v]) for v in (*_small(codes), *_small(n))]], names=["image_id", *MATRIX])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+        rows = [work(angle, codes // levels, codes % levels, n) for angle, (codes, n) in _merged(chain([first], batches)).items()]
+        image = pa.array([first.column("image_id")[0].as_py()] * len(rows), first.schema.field("image_id").type)
+        yield pa.RecordBatch.from_arrays([image, *[pa.array([r[c] for r in rows], pa.float64()) for c in (x.split()[0] for x in schema.split(", "))]], names=["image_id", *[x.split()[0] for x in schema.split(", ")]])
+
+    blocks = parts.groupBy("image_id", "by", "bx").applyInArrow(merge, f"image_id {kind}, {packed}")
+    return blocks.groupBy("image_id").applyInArrow(finish, f"image_id {kind}, {schema}")

@@ -78,3 +78,35 @@ def test_plain_loops(images):
 def test_a_tile_is_wider_than_its_halo(images):
     with pytest.raises(ValueError):
         tiles.box_means(images[0], "v", 5, side=3)
+
+
+@pytest.mark.parametrize("side,block", [(5, 2), (64, 4)])
+def test_a_tile_sends_a_row_for_each_angle(spark, monkeypatch, side, block):
+    rng = np.random.default_rng(6)
+    v = rng.integers(0, 256, size=(23, 31))
+    rows = [(1, y, x, float(v[y, x]) / 255.0) for y in range(23) for x in range(31)] + [(2, 0, x, 0.2) for x in range(4)] + [(3, 0, 0, 0.5)]
+    sent, real = [], tiles.by_tile
+
+    def seen(*args):
+        sent.append(real(*args))
+        return sent[-1]
+
+    monkeypatch.setattr(tiles, "by_tile", seen)
+    monkeypatch.setattr(tiles, "BLOCK", block, raising=False)
+    got = {r.image_id: r for r in pixels.glcm(spark.createDataFrame(rows, "image_id long, y int, x int, v double"), side=side).collect()}
+    n_tiles = math.ceil(23 / side) * math.ceil(31 / side) + 2
+    assert sent[0].count() <= 4 * n_tiles
+    assert set(got) == {1, 2} and (got[2].contrast, got[2].energy, got[2].correlation) == (0, 1, 1)
+    level, want = np.floor(np.array([r[3] for r in rows[: 23 * 31]]) * 255.0).astype(int).reshape(23, 31), []
+    for dy, dx in tiles.ANGLES.values():
+        m = np.zeros((256, 256))
+        for y in range(23):
+            for x in range(31):
+                if 0 <= y + dy < 23 and 0 <= x + dx < 31:
+                    m[level[y, x], level[y + dy, x + dx]] += 1
+                    m[level[y + dy, x + dx], level[y, x]] += 1
+        m /= m.sum()
+        i, j = np.indices(m.shape)
+        ci, cj = i - (i * m).sum(), j - (j * m).sum()
+        want.append([(m * (i - j) ** 2).sum(), (m * abs(i - j)).sum(), (m / (1 + (i - j) ** 2)).sum(), math.sqrt((m * m).sum()), (m * ci * cj).sum() / math.sqrt((m * ci * ci).sum() * (m * cj * cj).sum())])
+    assert list(got[1])[1:] == pytest.approx(np.mean(want, axis=0).tolist(), rel=1e-9)
