@@ -109,10 +109,11 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalize(x: Column) -> Column:
     """x / ||x||; the zero vector is returned unchanged."""
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0).cast("double"), lambda acc, v: acc + v * v))
-    return F.when(norm == 0, F.transform(x, lambda v: v.cast("double"))).otherwise(
+    # a lambda works out all that it names for each element, so the norm is a value of an outer one: once a row
+    norms = F.array(F.sqrt(F.aggregate(x, F.lit(0.0).cast("double"), lambda acc, v: acc + v * v)))
+    return F.get(F.transform(norms, lambda norm: F.when(norm == 0, F.transform(x, lambda v: v.cast("double"))).otherwise(
         F.transform(x, lambda v: v / norm)
-    )
+    )), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

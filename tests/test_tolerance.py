@@ -53,3 +53,13 @@ def test_no_spectra(spark):
     p = spark.createDataFrame([(1, 1, [1.0], 2)], "row_id long, label int, pv array<double>, cls int")
     assert match.tolerance_join_cols(none, p, "label", "sv", "pv").collect() == []
     assert match.tolerance_join_cols(none.selectExpr("s_name", "label", "sv"), p.limit(0), "label", "sv", "pv").collect() == []
+
+
+def test_the_norm_is_worked_out_once_a_row(spark):
+    from pairbayes.functions.columns import l2_normalize
+
+    rows = [([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,), ([1.0, None],)]
+    df = spark.createDataFrame(rows, "x array<float>").select(l2_normalize(F.col("x")).alias("u"))
+    # in the lambda of the elements an aggregate over all of them would make the work quadratic
+    assert df._jdf.queryExecution().analyzed().toString().count("aggregate(") == 1
+    assert [r.u for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], [], None, [None, None]]
