@@ -11,10 +11,16 @@ for the ranges and one for the cells, for classes with very many leaders."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairbayes.operators.leaders import MIN_DIVERGENCE, leaders
+from pairbayes.functions.columns import MISSING_SENTINEL
+from pairbayes.operators import chunks
+from pairbayes.operators.leaders import MIN_DIVERGENCE, leaders, leaders_of_chunks
 
 # Fixed values of the selection rule.
 MANDATORY_PER_CLASS = 2
@@ -60,6 +66,48 @@ def largest_margins(failed: DataFrame) -> DataFrame:
     return failed.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= MANDATORY_PER_CLASS).select("row_id", "y")
 
 
+def failed_chunks(scored: DataFrame, known: np.ndarray, n_features: int, n_classes: int) -> DataFrame:
+    """The failed rows of scored chunks without those whose ids are in the sorted ``known``, as chunks with
+    ``margin``, not rounded; ``n_scored`` and ``right`` count all rows of the chunk.  Missing values stand as
+    the cleaned tables have them."""
+    told = scored.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            posterior, right = (batch.column(batch.schema.get_field_index(c)) for c in ("posterior", "right"))
+            for k, y, ids, x in chunks.read(batch, n_features):
+                p = np.frombuffer(posterior[k].as_buffer()).reshape(-1, n_classes)
+                at = np.flatnonzero(p.argmax(axis=1) != y)
+                at = at[~chunks.within(ids[at], told.value)]
+                margin, own = p[at].max(axis=1, initial=-np.inf) - p[at, y], x[at]
+                yield chunks.chunk(y, ids[at], np.where(np.isnan(own), MISSING_SENTINEL, own),
+                                   {"margin": (pa.binary(), margin.tobytes()), "n_scored": (pa.int64(), len(ids)), "right": (pa.int64(), right[k].as_py())})
+
+    return scored.select("y", "ids", "x", "posterior", "right").mapInArrow(run, f"{chunks.ABOUT_SQL}, ids binary, x binary, margin binary, n_scored long, right long")
+
+
+def widest_margins(failed: DataFrame) -> DataFrame:
+    """(row_id, y, margin) of the rows of each chunk that can be among the class's ``MANDATORY_PER_CLASS``
+    largest margins, the margin to 9 decimals: of equal margins the smallest ids, and all margins that rounding can lift."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, margin = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64), np.frombuffer(batch.column(2)[k].as_buffer())
+                if not len(ids):
+                    continue
+                least = np.sort(margin)[-MANDATORY_PER_CLASS:][0]  # NaN, the largest to Spark, is last
+                at = np.flatnonzero(~(margin < least - 2e-9))
+                order = at[np.lexsort((ids[at], margin[at]))]
+                start = np.r_[True, margin[order][1:] != margin[order][:-1]]
+                place = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+                own = order[(place < MANDATORY_PER_CLASS) | np.isnan(margin[order])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(np.full(len(own), batch.column(0)[k].as_py(), np.int32)), pa.array(margin[own])], names=["row_id", "y", "margin"])
+
+    found = failed.where("n > 0").select("y", "ids", "margin").mapInArrow(run, "row_id long, y int, margin double")
+    return found.withColumn("margin", F.round("margin", 9))
+
+
 def grid_leaders(cand: DataFrame, n_features: int, side: float = MIN_DIVERGENCE) -> DataFrame:
     """``(row_id, y)``: the lowest id of every occupied grid cell of ``cand``
     (row_id, y, x).  Cells have ``side`` times the class's range of a feature;
@@ -79,11 +127,19 @@ def select_samples(scored: DataFrame, features: DataFrame, class_sizes: DataFram
 
     ``scored``: (row_id, y, posterior, pred, confidence) of candidate rows;
     ``features``: (row_id, x); ``class_sizes``: (y, n) rows per class in the
-    scored set (the cap's base)."""
-    from pairbayes.operators.sampling import cap_per_class
+    scored set (the cap's base).
 
+    ``scored`` can be the chunks of ``failed_chunks`` that a caller keeps, which hold the values of
+    the failed rows: ``features`` is not read then, and every id is that of one row."""
     from pairbayes.session import cut_lineage
 
+    if chunks.packed(scored):
+        if thinning != "leaders":
+            raise ValueError("chunks are thinned to leaders only")
+        mandatory = cut_lineage(largest_margins(widest_margins(scored)))
+        skip = np.sort(np.array([r["row_id"] for r in mandatory.collect()], np.int64))  # two rows a class
+        thin = leaders_of_chunks(scored, n_features, min_divergence, pairs, skip=skip).select("row_id", "y")
+        return _capped(mandatory, thin, class_sizes)
     # the rows are scored once: what follows reads the failed ones again
     failed = cut_lineage(failed_by_margin(scored))
     mandatory = cut_lineage(largest_margins(failed))
@@ -93,5 +149,12 @@ def select_samples(scored: DataFrame, features: DataFrame, class_sizes: DataFram
         thin = grid_leaders(cand, n_features, min_divergence)
     else:
         thin = leaders(cand, n_features, min_divergence, pairs).select("row_id", "y")
+    return _capped(mandatory, thin, class_sizes)
+
+
+def _capped(mandatory: DataFrame, thin: DataFrame, class_sizes: DataFrame) -> DataFrame:
+    """Both selections as (row_id, y), each row once, under the cap of its class."""
+    from pairbayes.operators.sampling import cap_per_class
+
     sel = mandatory.select("row_id", F.col("y").cast("int").alias("y")).unionByName(thin.select("row_id", F.col("y").cast("int").alias("y"))).distinct()
     return cap_per_class(sel, "y", "row_id", MAX_CLASS_ADDITION_PERCENT / 100.0, 2, sizes=class_sizes).select("row_id", "y")

@@ -21,9 +21,11 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pairbayes.functions.columns import argmax_first, softmax  # noqa: F401
 
 from pairbayes.operators.binning import bin_rows
+from pairbayes.operators.chunks import packed
 from pairbayes.operators.dense import unrank_pairs
 from pairbayes.operators.likelihood import BROADCAST_BYTES, HistogramModel, materialize_table, pair_blocks
 from pairbayes.operators.lookup import block_cells, class_sums
+from pairbayes.session import cut_lineage
 
 
 def log_likelihoods(model: HistogramModel, fx: DataFrame, keep=("row_id", "y"), limit: int = BROADCAST_BYTES,
@@ -70,11 +72,67 @@ def posterior_columns(df: DataFrame, eps: float, ll: str = "ll") -> DataFrame:
 def score(model: HistogramModel, fx: DataFrame, keep=("row_id", "y"), limit: int = BROADCAST_BYTES,
           with_bins: bool = False, unique: bool = False) -> DataFrame:
     """B6 + W4: ``(keep..., ll, posterior array, confidence double, pred int)``;
-    ties of the maximum go to the lowest class code."""
+    ties of the maximum go to the lowest class code.
+
+    Rows that are kept as chunks (``operators/chunks.py``) stay chunks, with ``posterior`` as
+    a matrix and how many rows are ``right``."""
+    if packed(fx):
+        return _score_chunks(model, fx, limit)
     ll = log_likelihoods(model, fx, keep=keep, limit=limit, with_bins=with_bins, unique=unique)
     return posterior_columns(ll, model.eps)
 
 
+def _score_chunks(model: HistogramModel, chunks: DataFrame, limit: int) -> DataFrame:
+    """``chunks`` with ``ll`` and ``posterior`` (row x class doubles) and ``right``: block after block of
+    pairs is added to the sums in the task that holds the chunk, nothing is shuffled."""
+    C, P, F_ = model.n_classes, model.n_pairs, model.n_features
+    side = materialize_table(model)[0]
+    blocks = pair_blocks(model, limit)
+    base, eps = [P * math.log(p0 * model.w0 + model.eps) for p0 in model.p0()], model.eps
+    kept = [c for c in chunks.columns if c != "ll"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.select(*kept).schema)
+
+    def sums(told, first: bool, last: bool):
+        def run(batches):
+            cells = told.value
+            for batch in batches:
+                b, y = batch.column(batch.schema.get_field_index("b")), batch.column(batch.schema.get_field_index("y"))
+                for k in range(batch.num_rows):
+                    bins = np.frombuffer(b[k].as_buffer(), "<u2").reshape(F_, -1).astype(np.int64)
+                    s = np.zeros((bins.shape[1], C)) if first else np.frombuffer(batch.column(len(kept))[k].as_buffer()).reshape(-1, C).copy()
+                    for p in range(len(cells.i)):
+                        s += cells.values.take(cells.rows_of(cells.codes_of(bins, p)), axis=0)
+                    more = {}
+                    if last:
+                        s += np.array(base)
+                        posterior, pred = posteriors(s, eps)
+                        more = {"posterior": pa.array([posterior.tobytes()], pa.binary()), "right": pa.array([int((pred == y[k].as_py()).sum())], pa.int64())}
+                    one = batch.slice(k, 1)
+                    yield pa.RecordBatch.from_arrays([*one.columns[: len(kept)], pa.array([s.tobytes()], pa.binary()), *more.values()], names=[*kept, "ll", *more])
+
+        return run
+
+    out = chunks.select(*kept)
+    for n, block in enumerate(blocks):
+        first, last = n == 0, n == len(blocks) - 1
+        told = block_cells(side, "d", block, model.pairs, F_, model.B, [0.0] * C, limit)
+        out = out.mapInArrow(sums(told, first, last), f"{kinds}, ll binary" + (", posterior binary, right long" if last else ""))
+        if n % 4 == 3 and not last:
+            out = cut_lineage(out)  # few workers a task
+    return out
+
+
+def posteriors(ll: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """``posterior_columns`` for a matrix: (posterior, class of its first maximum)."""
+    with np.errstate(invalid="ignore"):
+        e = np.exp(ll - ll.max(axis=1, keepdims=True))
+    s = np.zeros(len(e))
+    for c in range(e.shape[1]):
+        s += e[:, c]
+    posterior = e / (s + eps)[:, None]
+    return posterior, posterior.argmax(axis=1)
+
+
 def gaussian_score(moments: DataFrame, fx: DataFrame, classes, pairs, n_features: int,
                    weights: DataFrame | None = None, w0: float = 1e-6, eps: float = 1e-10,
                    keep=("row_id", "y")) -> DataFrame:

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairbayes.operators.binning import class_profile, edges_from_minmax, feature_pairs
 from pairbayes.operators.boost import MIN_LR, failed_rows, merge_weights, weight_deltas
+from pairbayes.operators.chunks import first_rows, pack, rows_of, unpack
 from pairbayes.operators.encode import encode_labels
 from pairbayes.operators.likelihood import HistogramModel, fit_histogram
 from pairbayes.operators.posterior import score
@@ -22,6 +24,8 @@ from pairbayes.session import cut_lineage
 
 LEARNING_RATE = 0.1
 IMPROVEMENT_MIN = 0.001
+#: Training ids that adaptive rounds send to every task.
+KNOWN_IDS = 1 << 21
 
 
 @dataclass
@@ -120,32 +124,52 @@ def adaptive_fit(fx: DataFrame, n_bins: int = 128, epochs: int = 5, rounds: int
     row is added or ``patience`` rounds pass without an accuracy gain.
 
     Returns (model, training ids, round log).  The training-id table is
-    checkpointed each round so the plan does not grow with the rounds."""
-    from pairbayes.operators.active import select_samples
+    checkpointed each round so the plan does not grow with the rounds.
+
+    Where the caller knows ``row_id`` to be ``unique``, all rows are kept as chunks
+    with their bins (``operators/chunks.py``): scoring, the selection and its walk read
+    arrays, and only failed rows leave a scoring pass.  More training ids than
+    ``KNOWN_IDS`` are not broadcast; the rounds go on with plain rows then."""
+    from pairbayes.operators.active import failed_chunks, select_samples
     from pairbayes.operators.sampling import seed_rows
 
-    fx_y, classes, counts, spec, pairs, nf = prepare(fx, n_bins, max_combinations)
+    fx_y, classes, counts, spec, pairs, nf = prepare(fx, n_bins, max_combinations, persist=not unique)
     spark = fx_y.sparkSession
-    train_ids = cut_lineage(seed_rows(fx_y.select("row_id", "y"), 2).select("row_id"))
+    kept = None
+    if unique:
+        kept = pack(fx_y, nf, spec).persist(StorageLevel.MEMORY_AND_DISK)
+        fx_y = unpack(kept, nf)
+        train_ids = cut_lineage(seed_rows(first_rows(kept, 2), 2).select("row_id"))
+    else:
+        train_ids = cut_lineage(seed_rows(fx_y.select("row_id", "y"), 2).select("row_id"))
     log = []
     best = -1.0
     stale = 0
     model = None
+    n_train = train_ids.count()
     for rnd in range(rounds):
-        train_df = fx_y.join(train_ids, "row_id", "left_semi")
+        known = np.sort(np.array(train_ids.toArrow().column(0).to_numpy(), np.int64)) if unique and n_train <= KNOWN_IDS else None
+        # the epochs read the training rows, not the table
+        train_df = (fx_y.join(train_ids, "row_id", "left_semi") if known is None else rows_of(kept, known, nf)).persist(StorageLevel.MEMORY_AND_DISK)
         base = fx_y if likelihood_from_all else train_df
         model = fit_histogram(base, spec, classes, pairs, nf, class_counts=counts if likelihood_from_all else None)
         model = train(model, train_df, epochs=epochs, patience=5, unique=unique)
-        scored = score(model, fx_y, unique=unique).drop("ll").persist(StorageLevel.MEMORY_AND_DISK)
-        acc_row = scored.agg(F.avg(F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)).alias("a"),
-                             F.count(F.lit(1)).alias("n")).collect()[0]
-        acc = float(acc_row["a"])
-        rest = scored.join(train_ids, "row_id", "left_anti")
-        sizes = rest.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+        if known is None:
+            scored = score(model, fx_y, unique=unique).drop("ll").persist(StorageLevel.MEMORY_AND_DISK)
+            acc_row = scored.agg(F.avg(F.when(F.col("pred") == F.col("y"), 1.0).otherwise(0.0)).alias("a"),
+                                 F.count(F.lit(1)).alias("n")).collect()[0]
+            acc = float(acc_row["a"])
+            rest = scored.join(train_ids, "row_id", "left_anti")
+            sizes = rest.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+        else:
+            scored = rest = failed_chunks(score(model, kept), known, nf, len(classes)).persist(StorageLevel.MEMORY_AND_DISK)
+            acc_row = scored.agg(F.sum("right").alias("right"), F.sum("n_scored").alias("n")).collect()[0]
+            acc = acc_row["right"] / acc_row["n"]
+            own = {r["y"]: r["n"] for r in train_df.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+            sizes = spark.createDataFrame([(y, n - own.get(y, 0)) for y, n in enumerate(counts)], "y int, n long")
         new = select_samples(rest, fx_y, sizes, nf).select("row_id")
         new = cut_lineage(new)
         n_new = new.count()
-        n_train = train_ids.count()
         log.append((rnd, n_train, acc, n_new))
         if acc > best + min_gain:
             best = acc
@@ -153,8 +177,12 @@ def adaptive_fit(fx: DataFrame, n_bins: int = 128, epochs: int = 5, rounds: int
         else:
             stale += 1
         scored.unpersist()
+        train_df.unpersist()
         if n_new == 0 or stale >= patience:
             break
         train_ids = cut_lineage(train_ids.unionByName(new).distinct())
+        n_train = train_ids.count()
+    if kept is not None:
+        kept.unpersist()
     log_df = spark.createDataFrame(log, "round int, n_train long, accuracy double, n_added long")
     return model, train_ids, log_df
