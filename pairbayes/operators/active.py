@@ -96,7 +96,8 @@ def widest_margins(failed: DataFrame) -> DataFrame:
                 ids, margin = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64), np.frombuffer(batch.column(2)[k].as_buffer())
                 if not len(ids):
                     continue
-                least = np.sort(margin)[-MANDATORY_PER_CLASS:][0]  # NaN, the largest to Spark, is last
+                n = max(0, len(margin) - MANDATORY_PER_CLASS)
+                least = np.partition(margin, n)[n]  # NaN, the largest to Spark, is last
                 at = np.flatnonzero(~(margin < least - 2e-9))
                 order = at[np.lexsort((ids[at], margin[at]))]
                 start = np.r_[True, margin[order][1:] != margin[order][:-1]]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pairbayes.operators.binning import BinSpec
 
-CHUNK_ROWS = 1 << 14
+CHUNK_ROWS = 1 << 13
 #: Rows that a task holds at most, of all classes, before it hands over what it has.
 HELD_ROWS = 1 << 18
 
@@ -58,6 +58,7 @@ def pack(rows: DataFrame, n_features: int, spec: BinSpec | None = None) -> DataF
     """Chunks of ``rows`` (row_id, y, x) that have a class, with their bins ``b`` where a ``spec`` is given."""
     if spec is not None and spec.n_bins >= (1 << 16) - 1:
         raise ValueError("up to 65,534 bins a feature")
+    size, most = CHUNK_ROWS, HELD_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -68,8 +69,8 @@ def pack(rows: DataFrame, n_features: int, spec: BinSpec | None = None) -> DataF
             del count[c]
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
-            for a in range(0, len(ids), CHUNK_ROWS):
-                i, v = ids[a : a + CHUNK_ROWS], x[a : a + CHUNK_ROWS]
+            for a in range(0, len(ids), size):
+                i, v = ids[a : a + size], x[a : a + size]
                 yield chunk(c, i, v, None if spec is None else {"b": (pa.binary(), bins(v, spec).tobytes())})
 
         for batch in batches:
@@ -78,9 +79,9 @@ def pack(rows: DataFrame, n_features: int, spec: BinSpec | None = None) -> DataF
                 at = np.flatnonzero(y == c)
                 held.setdefault(c, []).append((ids[at], x[at]))
                 count[c] = count.get(c, 0) + len(at)
-                if count[c] >= CHUNK_ROWS:
+                if count[c] >= size:
                     yield from out(c)
-            if sum(count.values()) > HELD_ROWS:
+            if sum(count.values()) > most:
                 for c in list(held):
                     yield from out(c)
         for c in list(held):
@@ -111,10 +112,9 @@ def rows_of(chunks: DataFrame, ids: np.ndarray, n_features: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, y, own, x in read(batch, n_features):
-                for a in range(0, len(own), CHUNK_ROWS):
-                    at = a + np.flatnonzero(within(own[a : a + CHUNK_ROWS], told.value))
-                    if len(at):
-                        yield rows(y, own[at], x[at])
+                at = np.flatnonzero(within(own, told.value))
+                if len(at):
+                    yield rows(y, own[at], x[at])
 
     return chunks.select("y", "ids", "x").mapInArrow(run, "row_id long, y int, x array<double>")
 

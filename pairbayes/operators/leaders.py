@@ -76,7 +76,7 @@ class PairNorm:
     def near(self, a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
         """Which rows of b lie within ``limit`` of which rows of a (boolean matrix)."""
         out = np.zeros((len(a), len(b)), bool)
-        step = max(1, (1 << 21) // max(1, len(b) * a.shape[1]))
+        step = max(1, (1 << 17) // max(1, len(b) * a.shape[1]))
         for s in range(0, len(a), step):
             part = a[s : s + step]
             w = self.bound(part, b)
@@ -144,7 +144,7 @@ def diameters(rows: DataFrame, n_features: int, pairs: Sequence[tuple[int, int]]
     """Largest undivided divergence of two rows of each class: one number a class.  ``rows`` are
     (row_id, y, x) or chunks of them, of which the rows with the sorted ids ``skip`` take no part."""
     if not chunks.packed(rows):
-        kept = chunks.pack(rows, n_features).persist(StorageLevel.MEMORY_AND_DISK)
+        kept = chunks.pack(rows, n_features).persist(StorageLevel.DISK_ONLY)
         try:
             return diameters(kept, n_features, pairs, skip)
         finally:
@@ -219,7 +219,7 @@ def leaders(rows: DataFrame, n_features: int, min_divergence: float = MIN_DIVERG
     the smallest id within the limit of it (which can be an earlier row that another leader closed).
 
     Missing values stand as ``missing``; rows without a class take no part; equal ids are one row."""
-    clean = chunks.pack(_clean(rows, n_features, missing).dropDuplicates(["row_id", "y"]), n_features).persist(StorageLevel.MEMORY_AND_DISK)
+    clean = chunks.pack(_clean(rows, n_features, missing).dropDuplicates(["row_id", "y"]), n_features).persist(StorageLevel.DISK_ONLY)
     try:
         return leaders_of_chunks(clean, n_features, min_divergence, pairs, prefix)
     finally:

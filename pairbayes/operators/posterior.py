@@ -75,7 +75,7 @@ def score(model: HistogramModel, fx: DataFrame, keep=("row_id", "y"), limit: int
     ties of the maximum go to the lowest class code.
 
     Rows that are kept as chunks (``operators/chunks.py``) stay chunks, with ``posterior`` as
-    a matrix and how many rows are ``right``."""
+    a matrix instead of the bins, and how many rows are ``right``."""
     if packed(fx):
         return _score_chunks(model, fx, limit)
     ll = log_likelihoods(model, fx, keep=keep, limit=limit, with_bins=with_bins, unique=unique)
@@ -83,40 +83,40 @@ def score(model: HistogramModel, fx: DataFrame, keep=("row_id", "y"), limit: int
 
 
 def _score_chunks(model: HistogramModel, chunks: DataFrame, limit: int) -> DataFrame:
-    """``chunks`` with ``ll`` and ``posterior`` (row x class doubles) and ``right``: block after block of
+    """``chunks`` with ``posterior`` (row x class doubles) and ``right`` for ``b``: block after block of
     pairs is added to the sums in the task that holds the chunk, nothing is shuffled."""
     C, P, F_ = model.n_classes, model.n_pairs, model.n_features
     side = materialize_table(model)[0]
     blocks = pair_blocks(model, limit)
     base, eps = [P * math.log(p0 * model.w0 + model.eps) for p0 in model.p0()], model.eps
-    kept = [c for c in chunks.columns if c != "ll"]
+    kept = [c for c in chunks.columns if c != "b"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.select(*kept).schema)
 
     def sums(told, first: bool, last: bool):
         def run(batches):
-            cells = told.value
+            cells, made = told.value, ["posterior", "right"] if last else ["b", "s"]
             for batch in batches:
-                b, y = batch.column(batch.schema.get_field_index("b")), batch.column(batch.schema.get_field_index("y"))
+                b, y = (batch.column(batch.schema.get_field_index(c)) for c in ("b", "y"))
                 for k in range(batch.num_rows):
                     bins = np.frombuffer(b[k].as_buffer(), "<u2").reshape(F_, -1).astype(np.int64)
-                    s = np.zeros((bins.shape[1], C)) if first else np.frombuffer(batch.column(len(kept))[k].as_buffer()).reshape(-1, C).copy()
+                    s = np.zeros((bins.shape[1], C)) if first else np.frombuffer(batch.column(len(kept) + 1)[k].as_buffer()).reshape(-1, C).copy()
                     for p in range(len(cells.i)):
                         s += cells.values.take(cells.rows_of(cells.codes_of(bins, p)), axis=0)
-                    more = {}
-                    if last:
-                        s += np.array(base)
-                        posterior, pred = posteriors(s, eps)
-                        more = {"posterior": pa.array([posterior.tobytes()], pa.binary()), "right": pa.array([int((pred == y[k].as_py()).sum())], pa.int64())}
                     one = batch.slice(k, 1)
-                    yield pa.RecordBatch.from_arrays([*one.columns[: len(kept)], pa.array([s.tobytes()], pa.binary()), *more.values()], names=[*kept, "ll", *more])
+                    if last:
+                        posterior, pred = posteriors(s + np.array(base), eps)
+                        more = [pa.array([posterior.tobytes()], pa.binary()), pa.array([int((pred == y[k].as_py()).sum())], pa.int64())]
+                    else:
+                        more = [one.column(len(kept)), pa.array([s.tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*one.columns[: len(kept)], *more], names=[*kept, *made])
 
         return run
 
-    out = chunks.select(*kept)
+    out = chunks.select(*kept, "b")
     for n, block in enumerate(blocks):
         first, last = n == 0, n == len(blocks) - 1
         told = block_cells(side, "d", block, model.pairs, F_, model.B, [0.0] * C, limit)
-        out = out.mapInArrow(sums(told, first, last), f"{kinds}, ll binary" + (", posterior binary, right long" if last else ""))
+        out = out.mapInArrow(sums(told, first, last), f"{kinds}, " + ("posterior binary, right long" if last else "b binary, s binary"))
         if n % 4 == 3 and not last:
             out = cut_lineage(out)  # few workers a task
     return out

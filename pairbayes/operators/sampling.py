@@ -55,18 +55,19 @@ def cap_per_class(df: DataFrame, label: str = "y", order: str = "row_id", share:
     return r.join(F.broadcast(cap), label).where(F.col("__rn") <= F.col("__cap")).drop("__rn", "__cap")
 
 
-def global_index(df: DataFrame, order: list[str], name: str = "index", partitions: int | None = None) -> DataFrame:
+def global_index(df: DataFrame, order: list[str], name: str = "index", partitions: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """Dense 0-based position in the global order of ``order``, all
     JVM-side.  Range-partition + sort within partitions, checkpoint (so the
     sampled range bounds cannot change between the two passes), count rows
     per partition (one row per partition to the driver), then
-    index = rows in earlier partitions + position inside the partition."""
+    index = rows in earlier partitions + position inside the partition.
+    Columns that are not in ``keep`` are left out of the checkpoint."""
     from pairbayes.session import cut_lineage
 
     spark = df.sparkSession
     n = partitions or max(1, spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())  # follows the input's bytes
     s = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    s = s.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
+    s = (s if keep is None else s.select(*keep)).withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
     s = cut_lineage(s)
     cnt = {r["__pid"]: r["c"] for r in s.groupBy("__pid").agg(F.count(F.lit(1)).alias("c")).collect()}
     offs, acc = {}, 0

@@ -137,7 +137,7 @@ def adaptive_fit(fx: DataFrame, n_bins: int = 128, epochs: int = 5, rounds: int
     spark = fx_y.sparkSession
     kept = None
     if unique:
-        kept = pack(fx_y, nf, spec).persist(StorageLevel.MEMORY_AND_DISK)
+        kept = pack(fx_y, nf, spec).persist(StorageLevel.DISK_ONLY)  # the heap is not needed for arrays that tasks read in turn
         fx_y = unpack(kept, nf)
         train_ids = cut_lineage(seed_rows(first_rows(kept, 2), 2).select("row_id"))
     else:
@@ -162,7 +162,7 @@ def adaptive_fit(fx: DataFrame, n_bins: int = 128, epochs: int = 5, rounds: int
             rest = scored.join(train_ids, "row_id", "left_anti")
             sizes = rest.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
         else:
-            scored = rest = failed_chunks(score(model, kept), known, nf, len(classes)).persist(StorageLevel.MEMORY_AND_DISK)
+            scored = rest = failed_chunks(score(model, kept), known, nf, len(classes)).persist(StorageLevel.DISK_ONLY)
             acc_row = scored.agg(F.sum("right").alias("right"), F.sum("n_scored").alias("n")).collect()[0]
             acc = acc_row["right"] / acc_row["n"]
             own = {r["y"]: r["n"] for r in train_df.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
